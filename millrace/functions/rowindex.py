@@ -122,3 +122,28 @@ def rank_in_group(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[s
     return (indexed.join(starts, g)
             .withColumn(rank_col, F.col("__mr_i") - F.col("__mr_s"))
             .drop("__mr_i", "__mr_s"))
+
+
+# Value columns with at most this many distinct values use Spark's hash-based
+# percentile (buffer = value->count map, bounded by the distinct count); wider
+# ones use the distributed sort above so no task holds a whole column/group.
+HASH_PERCENTILE_LIMIT = 100_000
+
+
+def quantiles_auto(df: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str] = (),
+                   distinct_estimate: int | None = None) -> DataFrame:
+    """Exact linear quantiles ``group..., p, n, q``; strategy chosen from a
+    one-pass distinct estimate of the value column."""
+    g = list(group_cols)
+    if distinct_estimate is None:
+        distinct_estimate = df.agg(F.approx_count_distinct(value)).first()[0] or 0
+    if distinct_estimate > HASH_PERCENTILE_LIMIT:
+        return exact_quantiles(df, value, probs, g)
+    base = df.select(*g, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    for c in g:
+        base = base.filter(F.col(c).isNotNull())
+    plist = [float(p) for p in probs]
+    agg = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n"),
+                               F.percentile("__v", F.array(*[F.lit(p) for p in plist])).alias("__qs"))
+    return agg.select(*g, "n", F.posexplode("__qs").alias("__i", "q")).select(
+        *g, F.element_at(F.array(*[F.lit(p) for p in plist]), F.col("__i") + 1).alias("p"), "n", "q")

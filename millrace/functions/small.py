@@ -15,3 +15,12 @@ def small(df: DataFrame, limit: int = SMALL_ROW_LIMIT) -> DataFrame:
     if len(rows) > limit:
         raise ValueError(f"metadata frame larger than {limit} rows; keep it distributed")
     return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a single-row aggregate to every row of ``df``
+    through a constant equi-key (a broadcast hash join of one row, not a
+    nested-loop cross product)."""
+    from pyspark.sql import functions as F
+    return (df.withColumn("__one", F.lit(1))
+            .join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one").drop("__one"))
