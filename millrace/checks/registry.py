@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "charts"]
+MODULES = ["cleaning", "charts", "plans"]
 
 
 def _mods():

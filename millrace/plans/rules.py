@@ -278,3 +278,51 @@ def plan_permissions(plan: DataFrame, perm_table: DataFrame | None = None) -> Da
         perm_table = spark.createDataFrame(list(OPERATION_PERMISSION.items()), "operation string, level string")
     return (plan.drop("permission_level").join(F.broadcast(perm_table), "operation", "left")
             .withColumn("permission_level", F.coalesce(F.col("level"), F.lit("L3"))).drop("level"))
+
+
+# --- fixed values -----------------------------------------------------------
+# Chart types and the modalities each one is meaningful for.
+CHART_MODALITIES = {
+    "fft_spectrum": ("timeseries",),
+    "boxplot_by_label": ("timeseries", "order", "event-log"),
+    "histogram": ("timeseries", "order"),
+    "class_distribution": ("event-log", "order"),
+    "correlation_bar": ("timeseries", "order"),
+    "scatter": ("timeseries", "order"),
+    "pareto": ("event-log", "order"),
+    "rms_trend": ("timeseries",),
+}
+# Default charts per function axis: primary, then secondary.
+FUNCTION_CHART_GUIDE = {
+    "maintenance": (("fft_spectrum",), ("rms_trend", "boxplot_by_label")),
+    "quality": (("boxplot_by_label", "class_distribution"), ("histogram", "correlation_bar")),
+    "process": (("boxplot_by_label",), ("correlation_bar", "scatter", "histogram")),
+    "reference": (("pareto",), ("histogram", "class_distribution")),
+}
+FALLBACK_CHARTS = 2
+# ---------------------------------------------------------------------------
+
+
+def chart_table(spark: SparkSession) -> DataFrame:
+    rows = [(ct, m) for ct, mods in CHART_MODALITIES.items() for m in mods]
+    return spark.createDataFrame(rows, "chart_type string, modality string")
+
+
+def chart_filter(requests: DataFrame, session_cols: Sequence[str] = ("session",), pos_col: str = "pos") -> DataFrame:
+    """Keep requests whose chart type is known and allowed for the
+    request's modality, first occurrence per (session, chart type).
+    ``requests`` has session columns, pos, chart_type, modality. First
+    occurrence is a min(pos) aggregate (no window over a possibly hot session)."""
+    allowed = chart_table(requests.sparkSession)
+    ok = requests.join(F.broadcast(allowed), ["chart_type", "modality"], "left_semi")  # fixed 16-row table
+    keys = list(session_cols) + ["chart_type"]
+    first = ok.groupBy(*keys).agg(F.min(pos_col).alias(pos_col))
+    return ok.join(first, keys + [pos_col], "left_semi")
+
+
+def fallback_charts(spark: SparkSession, function_axis: str, modality: str) -> DataFrame:
+    """Up to two guide charts (primary then secondary) allowed for the modality."""
+    prim, sec = FUNCTION_CHART_GUIDE.get(function_axis, ((), ()))
+    out = [ct for ct in list(prim) + list(sec) if modality in CHART_MODALITIES.get(ct, ())][:FALLBACK_CHARTS]
+    return spark.createDataFrame([(i + 1, ct, True) for i, ct in enumerate(out)],
+                                 "rank int, chart_type string, fallback boolean")
