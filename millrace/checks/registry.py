@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "charts", "plans", "catalog"]
+MODULES = ["cleaning", "charts", "plans", "catalog", "sources"]
 
 
 def _mods():
