@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "charts", "plans", "catalog", "sources"]
+MODULES = ["cleaning", "charts", "plans", "catalog", "sources", "context"]
 
 
 def _mods():
