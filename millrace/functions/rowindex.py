@@ -147,3 +147,37 @@ def quantiles_auto(df: DataFrame, value: str, probs: Sequence[float], group_cols
                                F.percentile("__v", F.array(*[F.lit(p) for p in plist])).alias("__qs"))
     return agg.select(*g, "n", F.posexplode("__qs").alias("__i", "q")).select(
         *g, F.element_at(F.array(*[F.lit(p) for p in plist]), F.col("__i") + 1).alias("p"), "n", "q")
+
+
+def cumulative_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cum",
+                   num_partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value_col`` in ``order_col`` order (order values
+    unique), without a global window: range partitions compute local running
+    sums in Arrow batches, then each partition adds the total of the
+    partitions before it (one small row per partition)."""
+    import pandas as pd
+    n = _n_parts(df, num_partitions)
+    ranged = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+    schema = T.StructType(df.schema.fields + [T.StructField("__mr_pid", T.IntegerType()),
+                                              T.StructField(out_col, T.DoubleType())])
+
+    def local(it):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        run = 0.0
+        for pdf in it:
+            cs = pdf[value_col].astype(float).cumsum() + run
+            if len(cs):
+                run = float(cs.iloc[-1])
+            yield pdf.assign(__mr_pid=pid, **{out_col: cs})
+
+    loc = ranged.mapInPandas(local, schema=schema).persist()
+    totals = sorted((int(r[0]), float(r[1] or 0.0)) for r in
+                    loc.groupBy("__mr_pid").agg(F.max(out_col)).collect())  # one row per partition
+    offs, acc = [], 0.0
+    for pid, tot in totals:
+        offs.append((pid, acc))
+        acc += tot
+    off_df = df.sparkSession.createDataFrame(offs, "__mr_pid int, __mr_off double")
+    return (loc.join(F.broadcast(off_df), "__mr_pid")
+            .withColumn(out_col, F.col(out_col) + F.col("__mr_off")).drop("__mr_pid", "__mr_off"))
