@@ -63,10 +63,8 @@ SELECT table_name, semantic_group, strategy, string_agg(column_name, ',' ORDER B
 # --- J11 / J12 ----------------------------------------------------------------
 def suggested_plan(spark, sf):
     df = rebalance(messy_lineitem(spark, sf), persist=True)
-    prof = small(P.profile_columns(df, approx=True))
-    mixed = small(P.mixed_dtype(df))
-    imb = small(P.class_imbalance(df))
-    groups = R.semantic_groups(R.names_frame(spark, df.columns))
+    prof, mixed, imb = P.profile_pass(df)
+    groups = small(R.semantic_groups(R.names_frame(spark, df.columns)))
     cons = R.constraints_frame(spark, FLAGSHIP_CONSTRAINTS)
     return small(R.suggest_steps(prof, mixed, imb, groups, cons)), df, prof
 

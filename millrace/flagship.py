@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.checks.common import messy_lineitem
-from millrace.operators.profile import class_imbalance, mixed_dtype, profile_columns
+from millrace.operators.profile import profile_pass
 from millrace.plans.rules import constraints_frame, names_frame, semantic_groups, suggest_steps
 from millrace.plans.runner import RunResult, run_plan
 from millrace.functions.small import small
@@ -21,33 +21,36 @@ FLAGSHIP_CONSTRAINTS = {"L_QUANTITY": [1, 45]}
 PRICE_GROUP = ("price_block", ["l_extendedprice", "l_discount", "l_tax"], "profile_group")
 
 
-def flagship_plan(df: DataFrame) -> DataFrame:
+def flagship_plan(df: DataFrame, with_profile: bool = False):
+    """Rule plan for ``df`` plus the user's group request. Profiling costs
+    two passes (see profile_pass); the rule tables are tiny local frames."""
     spark = df.sparkSession
-    # per-column metadata (one row per column) is materialised once as local relations
-    prof = small(profile_columns(df, approx=True))
-    mixed = small(mixed_dtype(df))
-    imb = small(class_imbalance(df))
-    groups = semantic_groups(names_frame(spark, df.columns))
+    prof, mixed, imb = profile_pass(df)
+    groups = small(semantic_groups(names_frame(spark, df.columns)))
     cons = constraints_frame(spark, FLAGSHIP_CONSTRAINTS)
     plan = suggest_steps(prof, mixed, imb, groups, cons)
+    rows = [r.asDict() for r in plan.collect()]  # one row per step
     # the user's own group request is one more normalize step before the stats
     gname, members, strategy = PRICE_GROUP
-    last = plan.agg(F.max("order")).first()[0]  # step count: one scalar
-    extra_row = spark.createDataFrame(
-        [(int(last), "normalize_group", None, "L2", gname, members, strategy, f"normalize_group:{gname}")],
-        plan.schema)
-    stats_last = plan.withColumn("order", F.when(F.col("operation") == "compute_stats", F.col("order") + 1)
-                                 .otherwise(F.col("order")))
-    # the plan is one row per step: materialise it once as a local relation
-    rows = stats_last.unionByName(extra_row).collect()
-    return spark.createDataFrame(rows, plan.schema)
+    stats_order = max(r["order"] for r in rows)
+    for r in rows:
+        if r["operation"] == "compute_stats":
+            r["order"] += 1
+    rows.append(dict(order=stats_order, operation="normalize_group", target_column=None, permission_level="L2",
+                     semantic_group=gname, group_members=members, strategy=strategy,
+                     step_key=f"normalize_group:{gname}"))
+    out = spark.createDataFrame([tuple(r[f.name] for f in plan.schema.fields) for r in rows], plan.schema)
+    if with_profile:
+        return out, prof
+    return out
 
 
 def run_flagship(df: DataFrame, approve_all: bool = True) -> RunResult:
-    plan = flagship_plan(df)
+    plan, prof = flagship_plan(df, with_profile=True)
     keys = [r["step_key"] for r in plan.select("step_key").collect()] if approve_all else []
+    card = {r["name"]: r["n_unique"] for r in prof.collect()}
     return run_plan(df, plan, approved_keys=keys, constraints=FLAGSHIP_CONSTRAINTS,
-                    dataset_id="lineitem", run_id="flagship")
+                    dataset_id="lineitem", run_id="flagship", cardinality=card)
 
 
 def flagship_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,3 +317,46 @@ def strictly_increasing(df: DataFrame, columns: Sequence[str], order_by: str) ->
         if total >= 3 and ok:
             out.append(c)
     return out
+
+
+def profile_pass(df: DataFrame, label_limit: float = IMBALANCE_MINORITY_LIMIT):
+    """D1 + D2 + D3 with two data passes: one aggregate gives every column's
+    non-null count, a HyperLogLog distinct estimate and (text columns) the
+    numeric share; a second grouped count runs only for the (at most
+    3-valued or label-named) imbalance candidates. Returns three small local
+    frames (profile, mixed, imbalance) — one row per column each."""
+    from millrace.functions.small import small
+    spark = df.sparkSession
+    cols = df.columns
+    texts = set(text_columns(df))
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for i, c in enumerate(cols):
+        v = value_of(df, c)
+        aggs += [F.count(v).alias(f"nn{i}"), F.approx_count_distinct(v).alias(f"nd{i}")]
+        if c in texts:
+            aggs.append(F.count(F.when(is_number(v), 1)).alias(f"nm{i}"))
+    r = df.agg(*aggs).first()  # one row of scalars
+    n = r["__n"]
+    prof_rows, mixed_rows = [], []
+    for i, c in enumerate(cols):
+        prof_rows.append((c, i, dtype_name(df.schema[c].dataType), n, n - r[f"nn{i}"], int(r[f"nd{i}"])))
+        if c in texts:
+            nn, nm = r[f"nn{i}"], r[f"nm{i}"]
+            ratio = nm / nn if nn else 0.0
+            mixed_rows.append((c, round(ratio, 3), 0 < ratio < 1))
+    prof = spark.createDataFrame(prof_rows, "name string, ordinal int, dtype string, n_rows bigint, null_count bigint, n_unique bigint")
+    mixed = spark.createDataFrame(mixed_rows, "name string, numeric_ratio double, mixed boolean")
+    hinted = [c for c in cols if c.strip().upper() in LABEL_HINTS]
+    cands = [c for i, c in enumerate(cols) if r[f"nd{i}"] <= 3 or c in hinted]
+    schema = "name string, n_classes bigint, minority_ratio double, imbalanced boolean"
+    if not cands:
+        return prof, mixed, spark.createDataFrame([], schema)
+    parts = [F.struct(F.lit(c).alias("name"), value_of(df, c).cast("string").alias("value")) for c in cands]
+    long = df.select(F.explode(F.array(*parts)).alias("r")).select("r.*").filter(F.col("value").isNotNull())
+    vc = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("count"))
+    out = vc.groupBy("name").agg(F.count(F.lit(1)).alias("n_classes"),
+                                 F.round(F.min("count") / F.sum("count"), 4).alias("minority_ratio"))
+    hint_list = F.array(*[F.lit(c) for c in hinted]) if hinted else F.array().cast("array<string>")
+    out = out.filter((F.col("n_classes") == 2) | F.array_contains(hint_list, F.col("name")))
+    out = out.withColumn("imbalanced", (F.col("n_classes") == 2) & (F.col("minority_ratio") < label_limit))
+    return prof, mixed, small(out.select("name", "n_classes", "minority_ratio", "imbalanced"))

@@ -86,50 +86,63 @@ def constraint_issues(viol: DataFrame) -> DataFrame:
                    F.concat_ws("/", F.col("n_violations").cast("string"), F.col("n_total").cast("string")))
 
 
-def output_health(out: DataFrame, touched: Sequence[str] = (), groups: Sequence[tuple[str, Sequence[str]]] = ()) -> DataFrame:
-    """D16 in one aggregate: +-Inf in a numeric column (high); touched column
-    with > 1 value and population std 0 (high); normalised group whose pooled
-    |mean| > 0.1 or |std - 1| > 0.1 (medium). Output: issue rows."""
-    spark = out.sparkSession
-    nums = [f.name for f in out.schema.fields if is_numeric_type(f.dataType, bool_numeric=False)]
-    touched = [c for c in touched if c in nums]
+def output_health_aggs(out: DataFrame, touched: Sequence[str] = (), groups: Sequence[tuple[str, Sequence[str]]] = (),
+                       cond: Column | None = None):
+    """Aggregate expressions for D16 and a function turning the collected row
+    into issue tuples; ``cond`` restricts the rows (e.g. rows still alive)."""
+    import math
+    nums = [f.name for f in out.schema.fields if is_numeric_type(f.dataType, bool_numeric=False)
+            and not f.name.startswith("__")]
+    touched = [c for c in dict.fromkeys(touched) if c in nums]
+    keep = (lambda e: F.when(cond, e)) if cond is not None else (lambda e: e)
     aggs = []
     for i, c in enumerate(nums):
-        x = F.col(f"`{c}`").cast("double")
-        aggs.append(F.max(F.when(F.abs(x) == F.lit(float("inf")), 1).otherwise(0)).alias(f"inf{i}"))
+        x = keep(F.col(f"`{c}`").cast("double"))
+        aggs.append(F.max(F.when(F.abs(x) == F.lit(float("inf")), 1).otherwise(0)).alias(f"h_inf{i}"))
     for i, c in enumerate(touched):
-        x = value_of(out, c).cast("double")
-        aggs += [F.count(x).alias(f"tn{i}"), F.stddev_pop(x).alias(f"ts{i}")]
+        x = keep(value_of(out, c).cast("double"))
+        aggs += [F.count(x).alias(f"h_tn{i}"), F.stddev_pop(x).alias(f"h_ts{i}")]
     gstats = []
     for gi, (gname, members) in enumerate(groups):
         mem = [m for m in members if m in nums]
         if not mem:
             continue
         for mi, m in enumerate(mem):
-            x = value_of(out, m).cast("double")
-            aggs += [F.count(x).alias(f"g{gi}n{mi}"), F.avg(x).alias(f"g{gi}m{mi}"), F.var_pop(x).alias(f"g{gi}v{mi}")]
+            x = keep(value_of(out, m).cast("double"))
+            aggs += [F.count(x).alias(f"h_g{gi}n{mi}"), F.avg(x).alias(f"h_g{gi}m{mi}"), F.var_pop(x).alias(f"h_g{gi}v{mi}")]
         gstats.append((gi, gname, mem))
+
+    def interpret(r) -> list[tuple]:
+        rows = []
+        for i, c in enumerate(nums):
+            if r[f"h_inf{i}"]:
+                rows.append(("output_health", "high", None, c, "inf"))
+        for i, c in enumerate(touched):
+            if (r[f"h_tn{i}"] or 0) > 1 and r[f"h_ts{i}"] == 0.0:
+                rows.append(("output_health", "high", None, c, "zero_std"))
+        for gi, gname, mem in gstats:
+            parts = [(r[f"h_g{gi}n{mi}"], r[f"h_g{gi}m{mi}"], r[f"h_g{gi}v{mi}"]) for mi in range(len(mem)) if r[f"h_g{gi}n{mi}"]]
+            n = sum(p[0] for p in parts)
+            if n <= 1:
+                continue
+            mu = sum(p[0] * p[1] for p in parts) / n
+            sd = math.sqrt(sum(p[0] * p[2] + p[0] * (p[1] - mu) ** 2 for p in parts) / n)
+            if abs(mu) > NORM_MEAN_TOL or abs(sd - 1.0) > NORM_STD_TOL:
+                rows.append(("output_health", "medium", None, gname, f"group_mean={mu:.4f},group_std={sd:.4f}"))
+        return rows
+
+    return aggs, interpret
+
+
+def output_health(out: DataFrame, touched: Sequence[str] = (), groups: Sequence[tuple[str, Sequence[str]]] = ()) -> DataFrame:
+    """D16 in one aggregate: +-Inf in a numeric column (high); touched column
+    with > 1 value and population std 0 (high); normalised group whose pooled
+    |mean| > 0.1 or |std - 1| > 0.1 (medium). Output: issue rows."""
+    spark = out.sparkSession
+    aggs, interpret = output_health_aggs(out, touched, groups)
     if not aggs:
         return empty_issues(spark)
-    r = out.agg(*aggs).first()  # one row of scalars
-    rows = []
-    for i, c in enumerate(nums):
-        if r[f"inf{i}"]:
-            rows.append(("output_health", "high", None, c, "inf"))
-    for i, c in enumerate(touched):
-        if (r[f"tn{i}"] or 0) > 1 and r[f"ts{i}"] == 0.0:
-            rows.append(("output_health", "high", None, c, "zero_std"))
-    import math
-    for gi, gname, mem in gstats:
-        parts = [(r[f"g{gi}n{mi}"], r[f"g{gi}m{mi}"], r[f"g{gi}v{mi}"]) for mi in range(len(mem)) if r[f"g{gi}n{mi}"]]
-        n = sum(p[0] for p in parts)
-        if n <= 1:
-            continue
-        mu = sum(p[0] * p[1] for p in parts) / n
-        sd = math.sqrt(sum(p[0] * p[2] + p[0] * (p[1] - mu) ** 2 for p in parts) / n)
-        if abs(mu) > NORM_MEAN_TOL or abs(sd - 1.0) > NORM_STD_TOL:
-            rows.append(("output_health", "medium", None, gname, f"group_mean={mu:.4f},group_std={sd:.4f}"))
-    return spark.createDataFrame(rows, ISSUE_SCHEMA)
+    return spark.createDataFrame(interpret(out.agg(*aggs).first()), ISSUE_SCHEMA)
 
 
 def row_loss(n_before: Column, n_after: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.scalars import clean_mask
+from millrace.functions.scalars import clean_mask, try_to_double
 from millrace.operators import transforms as X
 from millrace.operators import validate as V
 from millrace.operators.profile import column_stats, value_of
@@ -114,7 +114,7 @@ def _fill_batch(steps: list[dict], start: int, approved: set, columns: set) -> l
 def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints: Mapping | None = None,
              selected_options: Mapping[str, str] | None = None, dataset_id: str = "dataset",
              run_id: str = "run-1", validate: bool = True, apply_resampling: bool = False,
-             resample_keys: Sequence[str] | None = None, profile_rows: int | None = None) -> RunResult:
+             resample_keys: Sequence[str] | None = None, cardinality: Mapping[str, int] | None = None) -> RunResult:
     spark: SparkSession = df.sparkSession
     steps = _plan_rows(plan)
     approved = set(approved_keys)
@@ -123,6 +123,19 @@ def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints
     lower_cons = {str(k).lower(): v for k, v in cons.items()}
 
     chain = df.withColumn(RM, F.lit(None).cast("int"))
+    # constraints are checked on the untouched values: keep them as hidden columns
+    lower_cols = {}
+    for c in df.columns:
+        lower_cols.setdefault(c.lower(), c)
+    cons_cols = []
+    for i, (key, spec) in enumerate(cons.items()):
+        lo, hi = X.bounds_of(spec)
+        if lo is None and hi is None:
+            continue
+        actual = lower_cols.get(str(key).lower())
+        cons_cols.append((key, lo, hi, actual))
+        if actual is not None and validate:
+            chain = chain.withColumn(f"__orig{len(cons_cols) - 1}", try_to_double(F.col(f"`{actual}`")))
     alive = F.col(RM).isNull()
     results: list[dict] = []
     probes: list[tuple[int, str]] = []      # (order, column) whose null counts are tracked
@@ -193,7 +206,7 @@ def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints
                 # touched in between come from one job set on the rows alive now
                 batch = _fill_batch(steps, o, approved, set(chain.columns))
                 live = chain.filter(alive)
-                fill_cache.update(X.fill_values(live, batch))
+                fill_cache.update(X.fill_values(live, batch, cardinality))
             val = fill_cache.pop(col, None)
             chain = chain.withColumn(f"__b{o}", value_of(chain, col).isNull())
             if val is not None:
@@ -218,6 +231,8 @@ def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints
             res(s, "skipped", f"'{op}' is applied at read time or needs inputs not given")
 
     # --- one aggregate for every step's counters -------------------------------
+    # --- ONE aggregate: step counters, output health (alive rows) and the
+    # constraint check on the untouched values (kept as hidden columns) -------
     aggs = [F.count(F.lit(1)).alias("n_input"), F.count(F.when(alive, 1)).alias("n_output")]
     for o, c in probes:
         before_alive = F.col(RM).isNull() | (F.col(RM) >= o)
@@ -226,28 +241,40 @@ def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints
     for o in removers:
         aggs += [F.count(F.when(F.col(RM).isNull() | (F.col(RM) >= o), 1)).alias(f"rb{o}"),
                  F.count(F.when(F.col(RM).isNull() | (F.col(RM) > o), 1)).alias(f"ra{o}")]
-    counters = chain.agg(*aggs)
+    health_interpret = None
+    viol_meta = []
+    if validate:
+        visible = chain.drop(*[c for c in chain.columns if c.startswith("__")])
+        h_aggs, health_interpret = V.output_health_aggs(visible, touched, norm_groups, cond=alive)
+        aggs += h_aggs
+        for i, (key, lo, hi, actual) in enumerate(cons_cols):
+            if actual is None:
+                viol_meta.append((i, key, actual))
+                continue
+            x = F.col(f"__orig{i}")
+            viol = F.lit(False)
+            if lo is not None:
+                viol = viol | (x < F.lit(lo))
+            if hi is not None:
+                viol = viol | (x > F.lit(hi))
+            aggs += [F.count(F.when(viol, 1)).alias(f"cv{i}"), F.count(x).alias(f"ct{i}")]
+            viol_meta.append((i, key, actual))
+    agg_row = chain.agg(*aggs).first()  # the single pass over the data
 
-    helpers = [c for c in chain.columns if c.startswith("__b") or c.startswith("__a") or c == RM]
+    helpers = [c for c in chain.columns if c.startswith("__b") or c.startswith("__a") or c.startswith("__orig") or c == RM]
     output = chain.filter(alive).drop(*helpers)
 
     steps_df = spark.createDataFrame(results, STEP_SCHEMA) if results else spark.createDataFrame([], STEP_SCHEMA)
-    # per-step counters from the single aggregate row
-    cnt_struct = []
+    cnt_rows = []
     for r in results:
         o = r["order"]
-        bn = F.col(f"bn{o}") if (o, r["target_column"]) in probes else F.lit(None).cast("long")
-        an = F.col(f"an{o}") if (o, r["target_column"]) in probes else F.lit(None).cast("long")
-        rb = F.col(f"rb{o}") if o in removers else F.lit(None).cast("long")
-        ra = F.col(f"ra{o}") if o in removers else F.lit(None).cast("long")
-        cnt_struct.append(F.struct(F.lit(o).alias("order"), bn.alias("before_nulls"), an.alias("after_nulls"),
-                                   rb.alias("rows_before"), ra.alias("rows_after")))
-    if cnt_struct:
-        step_counts = counters.select("n_input", "n_output", F.explode(F.array(*cnt_struct)).alias("c")).select(
-            "n_input", "n_output", "c.*")
-    else:
-        step_counts = counters.select("n_input", "n_output").withColumn("order", F.lit(None).cast("int"))
-    step_counts = step_counts.cache()  # one small row per step; computed once
+        probe = (o, r["target_column"]) in probes
+        cnt_rows.append((o, agg_row[f"bn{o}"] if probe else None, agg_row[f"an{o}"] if probe else None,
+                         agg_row[f"rb{o}"] if o in removers else None, agg_row[f"ra{o}"] if o in removers else None,
+                         agg_row["n_input"], agg_row["n_output"]))
+    step_counts = spark.createDataFrame(
+        cnt_rows, "order int, before_nulls bigint, after_nulls bigint, rows_before bigint, rows_after bigint, "
+                  "n_input bigint, n_output bigint")
     steps_full = steps_df.join(step_counts.drop("n_input", "n_output"), "order", "left")
 
     lin_rows = []
@@ -274,18 +301,24 @@ def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints
         result.stats = column_stats(output)
     if validate:
         issues = V.step_checks(steps_full, None)
-        if cons:
-            cdf = constraints_frame(spark, cons)
-            viol = V.constraint_violations(df, cdf, removed_cols)
-            issues = issues.unionByName(V.constraint_issues(viol))
-            result.extras["constraint_violations"] = viol
-        issues = issues.unionByName(V.output_health(output, touched, norm_groups))
-        loss = step_counts.select("n_input", "n_output").limit(1)
-        loss_issue = loss.filter(V.row_loss(F.col("n_input"), F.col("n_output")) > V.ROW_LOSS_LIMIT).select(
-            F.lit("regression").alias("kind"), F.lit("high").alias("severity"), F.lit(None).cast("int").alias("step_order"),
-            F.lit(None).cast("string").alias("target"),
-            F.concat_ws("->", F.col("n_input").cast("string"), F.col("n_output").cast("string")).alias("detail"))
-        issues = issues.unionByName(loss_issue)
+        rows = list(health_interpret(agg_row)) if health_interpret else []
+        viol_rows = []
+        removed = set(removed_cols)
+        for i, key, actual in viol_meta:
+            if actual is None:
+                viol_rows.append((key, None, 0, 0, "low", False))
+                continue
+            nv, nt = agg_row[f"cv{i}"], agg_row[f"ct{i}"]
+            if nv > 0:
+                viol_rows.append((key, actual, nv, nt, "low" if actual in removed else "medium", actual in removed))
+        for key, actual, nv, nt, sev, rem in viol_rows:
+            rows.append(("constraint", sev, None, actual or key, f"{nv}/{nt}"))
+        n_in, n_out = agg_row["n_input"], agg_row["n_output"]
+        if n_in and (n_in - n_out) / n_in > V.ROW_LOSS_LIMIT:
+            rows.append(("regression", "high", None, None, f"{n_in}->{n_out}"))
+        issues = issues.unionByName(spark.createDataFrame(rows, V.ISSUE_SCHEMA))
+        result.extras["constraint_violations"] = spark.createDataFrame(
+            viol_rows, "key string, column string, n_violations bigint, n_total bigint, severity string, removed boolean")
         result.issues = issues
         result.report = V.report(issues, steps_full)
     return result
