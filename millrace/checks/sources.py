@@ -330,7 +330,7 @@ def _wave(spark, sf):
     wide, offs = _wide_waves(spark, sf)
     check = W.verify_waveform(wide.columns, {"n_cols": 64, "window": [0.0, 63 / 488], "timestamp_col": "vec_id"})
     packed, _ = W.waveform_pack(wide)
-    return packed.select("vec_id", "label", F.size("wave").alias("n_points"),
+    return packed.select("vec_id", "label", F.size("wave").cast("long").alias("n_points"),
                          F.round(F.col("wave")[0], 4).alias("first"), F.round(F.element_at("wave", -1), 4).alias("last"),
                          F.round(CN.array_metric(F.col("wave"), "mean"), 4).alias("mean"),
                          F.lit(len(check["warnings"])).cast("bigint").alias("n_warnings"))

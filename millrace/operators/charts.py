@@ -127,13 +127,13 @@ def class_distribution(df: DataFrame, column: str, top: int = CATEGORY_TOP) -> D
           .groupBy("label").agg(F.count(F.lit(1)).alias("count")))
     head = vc.orderBy(F.desc("count"), F.asc("label")).limit(top)
     w = Window.orderBy(F.desc("count"), F.asc("label"))  # over at most `top` rows
-    ranked = head.withColumn("rank", F.row_number().over(w)).select(
+    ranked = head.withColumn("rank", F.row_number().over(w).cast("long")).select(
         F.col("label").cast("string").alias("label"), "count", "rank")
     total = vc.agg(F.sum("count").alias("t"))
     shown = head.agg(F.sum("count").alias("s"))
     others = (attach_row(total, shown)  # two single-row aggregates
               .select(F.lit("__others__").alias("label"), (F.col("t") - F.coalesce("s", F.lit(0))).alias("count"),
-                      F.lit(top + 1).alias("rank"))
+                      F.lit(top + 1).cast("long").alias("rank"))
               .filter(F.col("count") > 0))
     return ranked.unionByName(others)
 
@@ -177,7 +177,7 @@ def correlation_bar(df: DataFrame, target: str | None = None, order_by: str | No
                                          for i, c in enumerate(others)])).alias("r")).select("r.*")
     long = long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     w = Window.orderBy(F.desc_nulls_last("value"), F.asc("column"))  # one row per column
-    return (long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return (long.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top)
             .select(F.lit(target).alias("target_column"), "column", "value", "rank"))
 
 
