@@ -96,11 +96,16 @@ SQL["sample_head"] = ("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice
 
 @q("flatten_struct")
 def _flatten(spark, sf):
+    from millrace.functions.rowindex import rank_in_group
     e = table(spark, sf, "events")
-    nested = e.groupBy("event_type").agg(F.struct(
-        F.count(F.lit(1)).alias("n"),
-        F.struct(F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("max")).alias("stats"),
-        F.slice(F.array_sort(F.collect_list("user_id")), 1, 3).alias("first_users")).alias("v"))
+    # the three smallest user ids per type: distributed in-group rank, then a 3-element list
+    first3 = (rank_in_group(e.select("event_type", "user_id"), ["event_type"], ["user_id"], "rk")
+              .filter(F.col("rk") < 3).groupBy("event_type")
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "user_id"))), lambda x: x["user_id"]).alias("fu")))
+    stats = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"),
+                                        F.max("value").alias("max"))
+    nested = stats.join(first3, "event_type", "left").select("event_type", F.struct(
+        "n", F.struct("mean", "max").alias("stats"), F.col("fu").alias("first_users")).alias("v"))
     return RD.flatten_struct(nested, "event_type", "v")
 
 

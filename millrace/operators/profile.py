@@ -184,18 +184,21 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, digits: in
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
-    """Top-k values per column by count (ties: value ascending). The ranking
-    window runs over the per-value count table, partitioned by column."""
+    """Top-k values per column by count (ties: value ascending). Each column's
+    top-k is a distributed TakeOrderedAndProject over its value counts (no
+    window that would send a high-cardinality column to one task); the rank
+    window then runs over at most k rows per column."""
     from pyspark.sql import Window
     parts = None
     for c in columns:
-        vc = value_counts(df, c).select(F.lit(c).alias("name"), F.col("value").cast("string").alias("value"),
-                                        F.col("count"))
+        vc = (value_counts(df, c).select(F.col("value").cast("string").alias("value"), F.col("count"))
+              .orderBy(F.desc("count"), F.asc("value")).limit(k)
+              .select(F.lit(c).alias("name"), "value", "count"))
         parts = vc if parts is None else parts.unionByName(vc)
     if parts is None:
         return df.sparkSession.createDataFrame([], "name string, value string, count bigint, rank int")
-    w = Window.partitionBy("name").orderBy(F.desc("count"), F.asc("value"))
-    return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    w = Window.partitionBy("name").orderBy(F.desc("count"), F.asc("value"))  # <= k rows per column
+    return parts.withColumn("rank", F.row_number().over(w))
 
 
 def eda_profile(df: DataFrame, approx: bool = False) -> DataFrame:

@@ -117,8 +117,13 @@ def image_profile(scan: DataFrame, top: int = 5) -> DataFrame:
     n_rows = ok.agg(F.count(F.lit(1)).alias("__n"))
     from millrace.functions.small import attach_row
     from pyspark.sql import Window
-    w = Window.partitionBy("attr").orderBy(F.desc("n"), F.asc("val"))  # distinct values per attribute
-    ranked = counts.withColumn("rk", F.row_number().over(w))
+    # per attribute a distributed top-k, then ranks over at most k rows each
+    heads = None
+    for a in attrs:
+        h = counts.filter(F.col("attr") == a).orderBy(F.desc("n"), F.asc("val")).limit(top)
+        heads = h if heads is None else heads.unionByName(h)
+    w = Window.partitionBy("attr").orderBy(F.desc("n"), F.asc("val"))
+    ranked = heads.withColumn("rk", F.row_number().over(w))
     summary = counts.groupBy("attr").agg(F.count(F.lit(1)).alias("n_unique"), F.sum("n").alias("n_values"))
     tops = (ranked.filter(F.col("rk") <= top).groupBy("attr")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "val", "n"))),

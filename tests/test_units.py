@@ -89,3 +89,16 @@ def test_xlsx_roundtrip():
     cells = parse_xlsx(write_xlsx({"s1": s1, "s2": s2}))
     assert ("s1", 0, 1, 0, "LOT_NO") in cells
     assert ("s2", 1, 3, 1, "NG") in cells
+
+
+def test_uniquify_frame_matches_sequential(spark):
+    from millrace.sources.files import uniquify_frame
+    headers = {1: ["a", "b", "a", "", "a"], 2: ["x", "x__dup2", "x", "x"], 3: ["p", "q"]}
+    rows = [(h, i, n) for h, ns in headers.items() for i, n in enumerate(ns)]
+    df = spark.createDataFrame(rows, "hid long, pos long, name string")
+    got = {}
+    for r in uniquify_frame(df, "hid", "pos", "name").collect():
+        got.setdefault(r["hid"], {})[r["pos"]] = r["name"]
+    for h, ns in headers.items():
+        named = [n if n.strip() else f"__unnamed_{i}" for i, n in enumerate(ns)]
+        assert [got[h][i] for i in range(len(ns))] == uniquify_headers(named)[0]
