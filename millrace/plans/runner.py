@@ -179,7 +179,7 @@ def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints
             if not col or col not in cols or (lo is None and hi is None):
                 res(s, "skipped", "no column or bounds")
                 continue
-            keep = X.in_bounds(F.col(f"`{col}`"), lo, hi)
+            keep = X.in_bounds(F.col(f"`{col}`"), lo, hi, chain.schema[col].dataType)
             chain = chain.withColumn(RM, F.when(alive & ~keep, F.lit(o)).otherwise(F.col(RM)))
             removers.append(o)
             removed_cols.append(col)
