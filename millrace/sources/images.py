@@ -167,7 +167,7 @@ def image_ops(scan: DataFrame, target_mode: str = "RGB", target_size: tuple[int,
     labels = ok.select("label").filter(F.col("label").isNotNull()).distinct()
     from pyspark.sql import Window
     idx = labels.withColumn("label_index", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))  # one row per class
-    return (ok.join(F.broadcast(idx), "label", "left")
+    return (ok.join(idx, "label", "left")  # AQE broadcasts the class table when its runtime size allows
             .select("file", F.lit(target_size[0]).alias("width"), F.lit(target_size[1]).alias("height"),
                     F.lit(target_mode).alias("mode"), "format", "label", "label_index",
                     F.col("mode").alias("mode_before"), F.col("width").alias("width_before"),
