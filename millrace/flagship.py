@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.checks.common import messy_lineitem
 from millrace.operators.profile import profile_pass
-from millrace.plans.rules import constraints_frame, names_frame, semantic_groups, suggest_steps
+from millrace.plans.rules import constraints_frame, semantic_groups_local, suggest_steps
 from millrace.plans.runner import RunResult, run_plan
 from millrace.functions.small import small
 from millrace.sources.tables import rebalance
@@ -26,7 +26,7 @@ def flagship_plan(df: DataFrame, with_profile: bool = False):
     two passes (see profile_pass); the rule tables are tiny local frames."""
     spark = df.sparkSession
     prof, mixed, imb = profile_pass(df)
-    groups = small(semantic_groups(names_frame(spark, df.columns)))
+    groups = semantic_groups_local(spark, df.columns)  # schema metadata: no job
     cons = constraints_frame(spark, FLAGSHIP_CONSTRAINTS)
     plan = suggest_steps(prof, mixed, imb, groups, cons)
     rows = [r.asDict() for r in plan.collect()]  # one row per step

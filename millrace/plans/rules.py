@@ -120,6 +120,29 @@ def classify_columns(names_df: DataFrame) -> DataFrame:
             .withColumn("is_grouped", (F.col("group_size") > 1) & ~F.col("semantic_group").isin("unknown", "metadata")))
 
 
+def classify_names(names: Sequence[str]) -> list[tuple[str, int, str, str]]:
+    """J10 on a schema's column names (metadata, not data): (name, ordinal,
+    group, strategy) with the same first-match rule table as classify_expr."""
+    import re
+    compiled = [(re.compile(p), g, s) for p, g, s in SEMANTIC_RULES]
+    out = []
+    for i, n in enumerate(names):
+        key = n.strip().lower()
+        hit = next(((g, s) for rx, g, s in compiled if rx.search(key)), UNKNOWN_GROUP)
+        out.append((n, i, hit[0], hit[1]))
+    return out
+
+
+def semantic_groups_local(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """semantic_groups for a schema, built on the driver (column names only)."""
+    groups: dict[tuple[str, str], list] = {}
+    for n, i, g, s in classify_names(names):
+        groups.setdefault((g, s), []).append((i, n))
+    rows = [(g, s, [n for _, n in sorted(m)], len(m), min(i for i, _ in m)) for (g, s), m in groups.items()]
+    return spark.createDataFrame(rows, "semantic_group string, strategy string, members array<string>, count bigint, "
+                                       "first_ordinal int")
+
+
 def semantic_groups(names_df: DataFrame) -> DataFrame:
     """J10 per group: semantic_group, strategy, members (source order), count, first_ordinal."""
     cls = classify_columns(names_df)

@@ -176,3 +176,16 @@ def test_merge_view_precedence(spark):
     assert v["y"]["source"] == "prefill" and not v["y"]["applied"] and v["y"]["spec"] is None
     assert v["z"]["source"] == "blank"
     assert v["gone"]["stale"]
+
+
+def test_semantic_rules_same_in_spark_and_driver(spark):
+    from millrace.plans.rules import classify_columns, classify_names, names_frame
+    names = [f"{i}{'st' if i == 1 else 'nd' if i == 2 else 'rd' if i == 3 else 'th'} INJECTION VELOCITY" for i in range(1, 11)]
+    names += [f"{i}th INJECTION SWITCH POS" for i in range(1, 10)] + [f"PACK PRESSURE {i}" for i in range(1, 7)]
+    names += [f"PACK TIME {i}" for i in range(1, 7)] + ["LOT No.", "TimeStamp", "EQP_ID", "BACK PRESSURE"]
+    local = {n: (g, s) for n, _, g, s in classify_names(names)}
+    remote = {r["name"]: (r["semantic_group"], r["strategy"]) for r in classify_columns(names_frame(spark, names)).collect()}
+    assert local == remote
+    groups = {g for g, _ in local.values()}
+    # 35 columns -> 6 groups (metadata included), no unknown
+    assert len(names) == 35 and "unknown" not in groups and len(groups) == 6

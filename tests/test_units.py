@@ -102,3 +102,21 @@ def test_uniquify_frame_matches_sequential(spark):
     for h, ns in headers.items():
         named = [n if n.strip() else f"__unnamed_{i}" for i, n in enumerate(ns)]
         assert [got[h][i] for i in range(len(ns))] == uniquify_headers(named)[0]
+
+
+def test_classify_names_local_matches_rules():
+    from millrace.plans.rules import classify_names
+    got = {n: (g, s) for n, _, g, s in classify_names(
+        ["LOT No.", "TimeStamp", "1ST INJECTION VELOCITY", "2nd Injection Switch Pos", "PACK PRESSURE 3",
+         "BACK PRESSURE", "PASS_YN", "CNC_ServoLoad_1", "TEMP_1", "Cycle_Time", "misc"])}
+    assert got["LOT No."] == ("metadata", "passthrough")
+    assert got["TimeStamp"] == ("metadata", "passthrough")
+    assert got["1ST INJECTION VELOCITY"] == ("injection_sequence", "sequence_preserve")
+    assert got["2nd Injection Switch Pos"] == ("injection_switch_sequence", "sequence_preserve")
+    assert got["PACK PRESSURE 3"] == ("pack_pressure_profile", "profile_group")
+    assert got["BACK PRESSURE"] == ("back_pressure", "single_zscore")
+    assert got["PASS_YN"] == ("label", "label")
+    assert got["CNC_ServoLoad_1"] == ("servo_load", "single_zscore")
+    assert got["TEMP_1"] == ("temperature", "single_zscore")
+    assert got["Cycle_Time"] == ("cycle", "single_zscore")
+    assert got["misc"] == ("unknown", "single_zscore")
