@@ -90,14 +90,14 @@ def _findings(spark, sf):
 
 
 _KD = "stage_order, module_index, module_function"
-SQL["key_findings"] = f"""
-WITH rws AS ({ROWS_SQL.replace("AS STRING", "AS VARCHAR")}),
+_KF_CTE = f"""rws AS ({ROWS_SQL.replace("AS STRING", "AS VARCHAR")}),
 mix AS (SELECT {_KD}, 'price_txt' AS name, count(price_txt) AS nn,
                count(CASE WHEN regexp_matches(price_txt, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$') THEN 1 END) AS nm
         FROM rws GROUP BY ALL),
 imb AS (SELECT {_KD}, count(*) AS k, round(min(n) / sum(n), 4) AS r FROM (SELECT {_KD}, big, count(*) AS n FROM rws GROUP BY ALL) GROUP BY ALL),
 nul AS (SELECT {_KD}, count(*) - count(status) AS nb FROM rws GROUP BY ALL),
-vio AS (SELECT {_KD}, count(CASE WHEN o_totalprice > 400000 THEN 1 END) AS nv FROM rws GROUP BY ALL)
+vio AS (SELECT {_KD}, count(CASE WHEN o_totalprice > 400000 THEN 1 END) AS nv FROM rws GROUP BY ALL)"""
+_KF_SELECT = f"""
 SELECT {_KD}, 'dtype_mixed' AS type, CAST(NULL AS VARCHAR) AS column, 'medium' AS severity, 'mixed_dtype:price_txt' AS detail
 FROM mix WHERE nm > 0 AND nm < nn
 UNION ALL
@@ -112,6 +112,7 @@ UNION ALL
 SELECT {_KD}, 'class_imbalance', 'big', 'high', 'balance_classes:big' FROM imb WHERE k = 2 AND r < 0.1
 UNION ALL
 SELECT {_KD}, 'constraint_violation', NULL, 'medium', 'constraint:o_totalprice' FROM vio WHERE nv > 0"""
+SQL["key_findings"] = "WITH " + _KF_CTE + _KF_SELECT
 
 
 @q("stage_chain")
@@ -127,7 +128,35 @@ def _axis(spark, sf):
     return CX.function_axis(CX.key_findings(flags, steps, issues))
 
 
-SQL["function_axis"] = f"WITH f AS ({SQL['key_findings']}) SELECT module_function, severity, count(*) AS n FROM f GROUP BY ALL"
+SQL["function_axis"] = f"WITH {_KF_CTE}, f AS ({_KF_SELECT}) SELECT module_function, severity, count(*) AS n FROM f GROUP BY ALL"
+
+_RANK_D = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CX.SEVERITY_RANK.items()) + " ELSE 0 END"
+_TMPL_D = "CASE type " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in CX.IMPLICATION_TEMPLATES.items()) + " END"
+SQL["stage_chain"] = f"""
+WITH {_KF_CTE}, f AS ({_KF_SELECT}),
+st AS (SELECT DISTINCT stage_order, node_id FROM ({MODULES_SQL.replace('AS STRING', 'AS VARCHAR')})),
+nf AS (SELECT stage_order, count(*) AS n FROM f GROUP BY stage_order),
+ty AS (SELECT stage_order, type, max({_RANK_D}) AS r FROM f GROUP BY stage_order, type),
+im AS (SELECT stage_order, string_agg({_TMPL_D}, ' ' ORDER BY -r, type) AS txt FROM ty GROUP BY stage_order)
+SELECT st.stage_order, st.node_id, coalesce(nf.n, 0) AS n_findings,
+       coalesce(nullif(im.txt, ''), '{CX.NO_FINDING_IMPLICATION}') AS downstream_implication
+FROM st LEFT JOIN nf USING (stage_order) LEFT JOIN im USING (stage_order)"""
+
+SQL["agent_records"] = f"""
+WITH {_KF_CTE},
+mods AS ({MODULES_SQL.replace('AS STRING', 'AS VARCHAR')}),
+fl AS (SELECT stage_order, module_index, string_agg(x, '|' ORDER BY x) AS flags FROM (
+         SELECT stage_order, module_index, 'mixed_dtype:price_txt' AS x FROM mix WHERE nm > 0 AND nm < nn
+         UNION ALL SELECT stage_order, module_index, 'class_imbalance:big' FROM imb WHERE k = 2 AND r < 0.1) GROUP BY ALL),
+sp AS (SELECT stage_order, module_index, string_agg(x, '|' ORDER BY x) AS steps FROM (
+         SELECT stage_order, module_index, 'clean_masking:price_txt' AS x FROM mix WHERE nm > 0 AND nm < nn
+         UNION ALL SELECT stage_order, module_index, 'fill_missing:status' FROM nul WHERE nb > 0
+         UNION ALL SELECT stage_order, module_index, 'balance_classes:big' FROM imb WHERE k = 2 AND r < 0.1) GROUP BY ALL),
+iss AS (SELECT stage_order, module_index, count(*) AS n_medium FROM vio WHERE nv > 0 GROUP BY ALL)
+SELECT m.stage_order, m.module_index, m.module_function, m.datalake_id, m.modality, fl.flags, sp.steps,
+       coalesce(iss.n_medium, 0) AS n_medium, TRUE AS passed
+FROM mods m LEFT JOIN fl USING (stage_order, module_index) LEFT JOIN sp USING (stage_order, module_index)
+LEFT JOIN iss USING (stage_order, module_index) WHERE m.datalake_id IS NOT NULL"""
 
 
 @q("agent_records")

@@ -84,6 +84,15 @@ def _stream(spark, sf):
                    F.round(F.max("l_quantity"), 4).alias("max_qty"))
 
 
+from millrace.checks.cleaning import MASK_LIST, duck_to_double  # noqa: E402
+from millrace.checks.common import MESSY_LINEITEM_SQL  # noqa: E402
+
+SQL["stream_clean_filter"] = (f"WITH m AS ({MESSY_LINEITEM_SQL}), k AS (SELECT * FROM m WHERE l_quantity IS NULL OR "
+                              f"(l_quantity >= 1 AND l_quantity <= 45)) SELECT count(*) AS n, count(CASE WHEN trim(qty_txt) "
+                              f"IN {MASK_LIST} THEN NULL ELSE {duck_to_double('qty_txt')} END) AS qty_non_null, "
+                              f"round(max(l_quantity), 4) AS max_qty FROM k")
+
+
 # --- B1 / F9 / F11 -----------------------------------------------------------------
 @q("sample_head")
 def _head(spark, sf):
@@ -240,6 +249,12 @@ def _lineage_session(spark, sf):
     return ST.lineage_session(r.lineage, modules, r.steps)
 
 
+SQL["lineage_session"] = "WITH " + PLAN_CTE + """,
+rm AS (SELECT count(*) AS r FROM m WHERE NOT (l_quantity IS NULL OR (l_quantity >= 1 AND l_quantity <= 45)))
+SELECT 'lineitem' AS dataset_id, "order" AS step_order, operation AS transformation_type, target_column AS source_column,
+       CASE WHEN operation = 'remove_outlier' THEN (SELECT r FROM rm) END AS removed_rows, TRUE AS approved FROM plan"""
+
+
 @q("run_stages")
 def _stages(spark, sf):
     """Two calls: the first runs stage 0 and suspends on stage 1 (not

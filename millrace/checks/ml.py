@@ -52,6 +52,9 @@ def _cap(spark, sf):
     return M.hash_sample(li, M.ROW_SAMPLE_THRESHOLD, li.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
+SQL["train_row_cap"] = f"SELECT least(count(*), {M.ROW_SAMPLE_THRESHOLD}) AS n FROM lineitem"
+
+
 def _pred_events(spark, sf):
     e = event_labels(spark, sf)
     return e.select(F.col("judge").alias("actual"), F.when(F.col("value") > 140, "NG").otherwise("OK").alias("predicted"),

@@ -321,8 +321,6 @@ def _run(spark, sf):
 def _run_sql() -> str:
     cols = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "qty_txt", "l_discount", "l_tax",
             "l_returnflag", "l_linestatus"]
-    gm = PRICE_GROUP[1]
-    mask = ("('*', '**', '***', '-', 'N/A', 'n/a', 'null', 'NULL', '')")
     stats = []
     for c in cols:
         if c in ("l_returnflag", "l_linestatus"):
@@ -331,8 +329,16 @@ def _run_sql() -> str:
         else:
             stats.append(f"SELECT '{c}' AS name, count({c}) AS count, round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std, "
                          f"round(min({c}), 3) AS min, round(max({c}), 3) AS max, count(DISTINCT {c}) AS \"unique\" FROM o")
-    return f"""
-WITH m AS ({MESSY_LINEITEM_SQL}),
+    return "WITH " + _run_cte() + " " + " UNION ALL ".join(stats)
+
+
+def _run_cte(with_m: bool = True) -> str:
+    """CTE chain m -> a (masked) -> b (filled) -> c (outliers removed) -> o
+    (price block normalised): the flagship run expressed in SQL."""
+    gm = PRICE_GROUP[1]
+    mask = ("('*', '**', '***', '-', 'N/A', 'n/a', 'null', 'NULL', '')")
+    head = f"m AS ({MESSY_LINEITEM_SQL})," if with_m else ""
+    return head + f"""
 a AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice,
              CASE WHEN trim(qty_txt) IN {mask} THEN NULL ELSE {duck_to_double('qty_txt')} END AS qty_txt,
              l_discount, l_tax, l_returnflag, l_linestatus FROM m),
@@ -345,8 +351,7 @@ c AS (SELECT * FROM b WHERE l_quantity IS NULL OR (l_quantity >= 1 AND l_quantit
 cells AS ({" UNION ALL ".join(f"SELECT {g} AS x FROM c" for g in gm)}),
 s AS (SELECT avg(x) AS mu, stddev_pop(x) AS sd FROM cells),
 o AS (SELECT l_orderkey, l_linenumber, l_quantity, (l_extendedprice - mu) / sd AS l_extendedprice, qty_txt,
-             (l_discount - mu) / sd AS l_discount, (l_tax - mu) / sd AS l_tax, l_returnflag, l_linestatus FROM c, s)
-{" UNION ALL ".join(stats)}"""
+             (l_discount - mu) / sd AS l_discount, (l_tax - mu) / sd AS l_tax, l_returnflag, l_linestatus FROM c, s)"""
 
 
 SQL["run_plan"] = _run_sql()
@@ -369,6 +374,35 @@ FROM plan WHERE operation IN ('clean_masking', 'fill_missing')
 AND target_column IN ({", ".join(f"'{m}'" for m in PRICE_GROUP[1])})"""
 
 
+_NUM_OUT = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "qty_txt", "l_discount", "l_tax"]
+_TOUCHED = ["qty_txt", "l_discount", "l_tax", "l_quantity"] + list(PRICE_GROUP[1])
+
+
+def _report_sql() -> str:
+    inf = " + ".join(f"max(CASE WHEN abs({c}) = 'Infinity'::DOUBLE THEN 1 ELSE 0 END)" for c in _NUM_OUT)
+    zero = " + ".join(f"CASE WHEN count({c}) > 1 AND stddev_pop({c}) = 0 THEN 1 ELSE 0 END" for c in dict.fromkeys(_TOUCHED))
+    members = ", ".join(f"'{m}'" for m in PRICE_GROUP[1])
+    return "WITH " + PLAN_CTE + ", " + _run_cte(with_m=False) + f""",
+h AS (SELECT {inf} AS n_inf, {zero} AS n_zero FROM o),
+gc AS ({" UNION ALL ".join(f"SELECT {g} AS x FROM o" for g in PRICE_GROUP[1])}),
+gh AS (SELECT CASE WHEN abs(avg(x)) > 0.1 OR abs(stddev_pop(x) - 1.0) > 0.1 THEN 1 ELSE 0 END AS n_group FROM gc),
+ov AS (SELECT count(*) AS n_overlap FROM plan WHERE operation IN ('clean_masking', 'fill_missing') AND target_column IN ({members})),
+cv AS (SELECT CASE WHEN count(CASE WHEN l_quantity < 1 OR l_quantity > 45 THEN 1 END) > 0 THEN 1 ELSE 0 END AS n_con FROM m),
+rl AS (SELECT CASE WHEN ((SELECT count(*) FROM m) - (SELECT count(*) FROM o)) * 1.0 / (SELECT count(*) FROM m) > 0.5
+                   THEN 1 ELSE 0 END AS n_loss),
+t AS (SELECT (SELECT count(*) FROM plan) + 1 AS n_done, n_inf + n_zero + n_loss AS n_high, n_group AS n_medium,
+             n_overlap + n_con AS n_low, n_inf + n_zero + n_group AS n_health, n_overlap, n_con, n_loss FROM h, gh, ov, cv, rl)
+SELECT n_done, CAST(0 AS BIGINT) AS n_failed, CAST(0 AS BIGINT) AS n_pending, CAST(n_high AS BIGINT) AS n_high,
+       CAST(n_medium AS BIGINT) AS n_medium, CAST(n_low AS BIGINT) AS n_low,
+       TRUE AS check_compliance, TRUE AS check_transform, n_overlap = 0 AS check_integrity, n_loss = 0 AS check_regression,
+       n_con = 0 AS check_constraint, n_health = 0 AS check_output_health, n_high = 0 AS passed,
+       CASE WHEN n_high > 0 THEN 'retry_or_human' WHEN n_medium > 0 THEN 'review_recommended' ELSE 'ready_for_ml' END AS next_action
+FROM t"""
+
+
+SQL["validation_report"] = _report_sql()
+
+
 @q("validation_report")
 def _report(spark, sf):
     df = rebalance(messy_lineitem(spark, sf), persist=True)

@@ -241,6 +241,10 @@ def _backup_pair(spark, sf):
             .unionByName(spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit("processed"))))
 
 
+SQL["sink_backup_pair"] = ("SELECT count(*) AS n, 'backup' AS side FROM orders UNION ALL SELECT count(*), 'processed' FROM orders "
+                           "WHERE o_totalprice IS NULL OR isnan(o_totalprice) OR (o_totalprice >= 50000 AND o_totalprice <= 300000)")
+
+
 @q("export_diff")
 def _export_diff(spark, sf):
     from millrace.sources.sinks import export_diff
