@@ -21,10 +21,6 @@ def q(name):
     return deco
 
 
-def r4(c):
-    return F.round(c, 4).alias(c if isinstance(c, str) else None)
-
-
 # --- D9 -----------------------------------------------------------------------
 @q("histogram")
 def _hist(spark, sf):

@@ -60,14 +60,12 @@ def _customer_csv(spark, sf, encoding):
 # --- A1 / A2 / A3 -------------------------------------------------------------
 @q("src_encoding_probe")
 def _probe(spark, sf):
-    paths = []
-    for enc in ("UTF-8", "MS949", "ISO-8859-1"):
-        p = _customer_csv(spark, sf, enc) if enc != "ISO-8859-1" else None
-        if enc == "ISO-8859-1":
-            p = _dir(spark, "customer-latin1")
-            S.write_csv(table(spark, sf, "customer").selectExpr("c_custkey", "concat(c_name, ' café') AS c_name")
-                        .coalesce(1), p, encoding=enc)
-        paths.append(p)
+    """Customer rows written as UTF-8, MS949 (Korean suffix) and Latin-1
+    (accented suffix); the probe must name each file's codec."""
+    latin = _dir(spark, "customer-latin1")
+    S.write_csv(table(spark, sf, "customer").selectExpr("c_custkey", "concat(c_name, ' café') AS c_name").coalesce(1),
+                latin, encoding="ISO-8859-1")
+    paths = [_customer_csv(spark, sf, "UTF-8"), _customer_csv(spark, sf, "MS949"), latin]
     listed = None
     for p in paths:
         one = S.list_files(spark, p).select("path")

@@ -18,6 +18,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _PID = "__mr_pid"
+
+# Persisted intermediate frames are kept in a small ring: the oldest is
+# unpersisted when a new one arrives. A frame used again after that is
+# recomputed, which gives identical results (deterministic order keys).
+_RING_SIZE = 6
+_RING: list = []
+
+
+def keep_persisted(df: DataFrame) -> DataFrame:
+    from pyspark import StorageLevel
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _RING.append(out)
+    while len(_RING) > _RING_SIZE:
+        _RING.pop(0).unpersist()
+    return out
 _MID = "__mr_mid"
 _TB = "__mr_tb"
 
@@ -48,7 +63,7 @@ def global_index(df: DataFrame, order_by: Sequence[str | Column], idx_col: str =
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_MID, F.monotonically_increasing_id()))
     if persist:
-        ranged = ranged.persist()
+        ranged = keep_persisted(ranged)
     counts = ranged.groupBy(_PID).count().collect()  # one row per partition
     offsets, run = [], 0
     for row in sorted(counts, key=lambda r: r[0]):
@@ -171,7 +186,7 @@ def cumulative_sum(df: DataFrame, order_col: str, value_col: str, out_col: str =
                 run = float(cs.iloc[-1])
             yield pdf.assign(__mr_pid=pid, **{out_col: cs})
 
-    loc = ranged.mapInPandas(local, schema=schema).persist()
+    loc = keep_persisted(ranged.mapInPandas(local, schema=schema))
     totals = sorted((int(r[0]), float(r[1] or 0.0)) for r in
                     loc.groupBy("__mr_pid").agg(F.max(out_col)).collect())  # one row per partition
     offs, acc = [], 0.0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
@@ -21,5 +20,6 @@ def rebalance(df: DataFrame, persist: bool = False) -> DataFrame:
         return df
     out = df.repartition(slots)
     if persist:
-        out = out.persist(StorageLevel.MEMORY_AND_DISK)
+        from millrace.functions.rowindex import keep_persisted
+        out = keep_persisted(out)
     return out
