@@ -346,22 +346,25 @@ WHERE json_extract_string(spec, '$.type') IS DISTINCT FROM 'range'"""
 
 @q("constraint_merge")
 def _merge(spark, sf):
+    """Session specs on the float columns of lineitem (plus one key with no
+    column), stored specs on all numeric columns: floats resolve to the
+    session value, integers to the stored suggestion, text stays blank."""
     cm = columns_meta(spark, sf).filter(F.col("datalake_id") == "lineitem")
     sp = specs(spark, sf).filter(F.col("datalake_id") == "lineitem")
-    session = sp.join(cm.select(F.col("name").alias("column_name"), "ordinal"), "column_name").filter(
-        F.col("ordinal") % 2 == 0).select("column_name", "spec")
+    typed = sp.join(cm.select(F.col("name").alias("column_name"), "dtype"), "column_name")
+    session = typed.filter(F.col("dtype") == "float").select("column_name", "spec")
     session = session.unionByName(spark.createDataFrame([("l_comment", '{"type": "range", "min": 0}')], "column_name string, spec string"))
-    stored = sp.join(cm.select(F.col("name").alias("column_name"), "ordinal"), "column_name").filter(
-        F.col("ordinal") % 3 == 0).select("column_name", "spec", F.lit("planner").alias("approved_by"))
+    stored = typed.filter(F.col("dtype").isin("integer", "float")).select("column_name", "spec", F.lit("planner").alias("approved_by"))
     return CN.merge_view(cm.select("name"), session, stored)
 
 
 SQL["constraint_merge"] = f"""
-WITH c AS (SELECT name, ordinal FROM ({COLS_D}) WHERE datalake_id = 'lineitem'),
+WITH c AS (SELECT name, dtype FROM ({COLS_D}) WHERE datalake_id = 'lineitem'),
 sp AS (SELECT column_name, spec FROM ({SPECS_D}) WHERE datalake_id = 'lineitem'),
-ses AS (SELECT sp.column_name, sp.spec FROM sp JOIN c ON sp.column_name = c.name WHERE c.ordinal % 2 = 0
+ses AS (SELECT sp.column_name, sp.spec FROM sp JOIN c ON sp.column_name = c.name WHERE c.dtype = 'float'
         UNION ALL SELECT 'l_comment', '{{"type": "range", "min": 0}}'),
-sto AS (SELECT sp.column_name, sp.spec, 'planner' AS approved_by FROM sp JOIN c ON sp.column_name = c.name WHERE c.ordinal % 3 = 0)
+sto AS (SELECT sp.column_name, sp.spec, 'planner' AS approved_by FROM sp JOIN c ON sp.column_name = c.name
+        WHERE c.dtype IN ('integer', 'float'))
 SELECT c.name AS column_name, CASE WHEN ses.spec IS NOT NULL THEN 'session' WHEN sto.spec IS NOT NULL THEN 'prefill' ELSE 'blank' END AS source,
        ses.spec AS spec, ses.spec IS NOT NULL AS applied, sto.spec AS prefill_spec, sto.approved_by AS prefill_by, FALSE AS stale
 FROM c LEFT JOIN ses ON c.name = ses.column_name LEFT JOIN sto ON c.name = sto.column_name

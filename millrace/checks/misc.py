@@ -262,7 +262,6 @@ def _stages(spark, sf):
     regions = table(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("stage_order"),
                                                 F.lit(0).alias("module_index"),
                                                 F.concat(F.lit("region_"), F.col("r_regionkey")).alias("datalake_id"))
-    regions = regions.filter(F.col("stage_order") <= 2)
     cust = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
 
     def load(did):
