@@ -258,14 +258,18 @@ SQL["stat_minmax"] = _minmax_sql()
 
 
 # --- constraint specs derived from the columns metadata ------------------------------
+# One spec per column, chosen from the column's kind, type and name so that
+# every acceptance rule is exercised: group -> aggregate; *key -> extra field;
+# dates -> both bounds null; *name -> boolean value; *type / *status ->
+# unknown metric; free text -> deferred type; numbers -> a valid range.
 _SPEC_RULE = (
     "CASE "
     "WHEN column_kind = 'group' THEN '{\"type\": \"aggregate\", \"metric\": \"rms\", \"op\": \"<=\", \"value\": 1.5}' "
-    "WHEN ordinal % 7 = 1 THEN '{\"type\": \"range\", \"min\": 1, \"max\": 9, \"extra\": true}' "
-    "WHEN ordinal % 7 = 2 THEN '{\"type\": \"range\", \"min\": null, \"max\": null}' "
-    "WHEN ordinal % 7 = 3 THEN '{\"type\": \"single_value\", \"value\": true}' "
-    "WHEN ordinal % 7 = 4 THEN '{\"type\": \"aggregate\", \"metric\": \"median\", \"op\": \"<=\", \"value\": 1}' "
-    "WHEN ordinal % 7 = 5 THEN '{\"type\": \"ratio\", \"value\": 0.5}' "
+    "WHEN name LIKE '%key' THEN '{\"type\": \"range\", \"min\": 1, \"max\": 9, \"extra\": true}' "
+    "WHEN dtype = 'datetime' THEN '{\"type\": \"range\", \"min\": null, \"max\": null}' "
+    "WHEN name LIKE '%name' THEN '{\"type\": \"single_value\", \"value\": true}' "
+    "WHEN name LIKE '%type' OR name LIKE '%status' THEN '{\"type\": \"aggregate\", \"metric\": \"median\", \"op\": \"<=\", \"value\": 1}' "
+    "WHEN name IN ('text', 'html') THEN '{\"type\": \"ratio\", \"value\": 0.5}' "
     "WHEN dtype IN ('integer', 'float') THEN concat('{\"type\": \"range\", \"min\": ', CAST(ordinal AS STRING), "
     "', \"max\": null, \"unit\": \"mm\"}') "
     "ELSE '{\"type\": \"single_value\", \"value\": \"42\"}' END")
