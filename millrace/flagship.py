@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.checks.common import messy_lineitem
 from millrace.operators.profile import profile_pass
-from millrace.plans.rules import constraints_frame, semantic_groups_local, suggest_steps
+from millrace.plans.rules import resolve_constraints, semantic_groups_local, suggest_steps
 from millrace.plans.runner import RunResult, run_plan
 from millrace.functions.small import small
 from millrace.sources.tables import rebalance
@@ -27,8 +27,8 @@ def flagship_plan(df: DataFrame, with_profile: bool = False):
     spark = df.sparkSession
     prof, mixed, imb = profile_pass(df)
     groups = semantic_groups_local(spark, df.columns)  # schema metadata: no job
-    cons = constraints_frame(spark, FLAGSHIP_CONSTRAINTS)
-    plan = suggest_steps(prof, mixed, imb, groups, cons)
+    cons = resolve_constraints(spark, FLAGSHIP_CONSTRAINTS, df.columns)  # names resolved once, on the driver
+    plan = suggest_steps(prof, None, None, groups, cons)
     rows = [r.asDict() for r in plan.collect()]  # one row per step
     # the user's own group request is one more normalize step before the stats
     gname, members, strategy = PRICE_GROUP

@@ -327,8 +327,8 @@ def profile_pass(df: DataFrame, label_limit: float = IMBALANCE_MINORITY_LIMIT):
     non-null count, a HyperLogLog distinct estimate and (text columns) the
     numeric share; a second grouped count runs only for the (at most
     3-valued or label-named) imbalance candidates. Returns three small local
-    frames (profile, mixed, imbalance) — one row per column each."""
-    from millrace.functions.small import small
+    frames: the profile (one row per column, carrying the mixed and
+    imbalance flags), the mixed rows and the imbalance rows."""
     spark = df.sparkSession
     cols = df.columns
     texts = set(text_columns(df))
@@ -347,13 +347,22 @@ def profile_pass(df: DataFrame, label_limit: float = IMBALANCE_MINORITY_LIMIT):
             nn, nm = r[f"nn{i}"], r[f"nm{i}"]
             ratio = nm / nn if nn else 0.0
             mixed_rows.append((c, round(ratio, 3), 0 < ratio < 1))
-    prof = spark.createDataFrame(prof_rows, "name string, ordinal int, dtype string, n_rows bigint, null_count bigint, n_unique bigint")
     mixed = spark.createDataFrame(mixed_rows, "name string, numeric_ratio double, mixed boolean")
+    mixed_of = {m[0]: m[2] for m in mixed_rows}
     hinted = [c for c in cols if c.strip().upper() in LABEL_HINTS]
     cands = [c for i, c in enumerate(cols) if r[f"nd{i}"] <= 3 or c in hinted]
     schema = "name string, n_classes bigint, minority_ratio double, imbalanced boolean"
+    prof_schema = ("name string, ordinal int, dtype string, n_rows bigint, null_count bigint, n_unique bigint, "
+                   "mixed boolean, n_classes bigint, minority_ratio double, imbalanced boolean")
+
+    def combined(imb_rows):
+        by = {r[0]: r for r in imb_rows}
+        rows = [p + (mixed_of.get(p[0], False),) + (tuple(by[p[0]][1:]) if p[0] in by else (None, None, False))
+                for p in prof_rows]
+        return spark.createDataFrame(rows, prof_schema)
+
     if not cands:
-        return prof, mixed, spark.createDataFrame([], schema)
+        return combined([]), mixed, spark.createDataFrame([], schema)
     parts = [F.struct(F.lit(c).alias("name"), value_of(df, c).cast("string").alias("value")) for c in cands]
     long = df.select(F.explode(F.array(*parts)).alias("r")).select("r.*").filter(F.col("value").isNotNull())
     vc = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("count"))
@@ -362,4 +371,5 @@ def profile_pass(df: DataFrame, label_limit: float = IMBALANCE_MINORITY_LIMIT):
     hint_list = F.array(*[F.lit(c) for c in hinted]) if hinted else F.array().cast("array<string>")
     out = out.filter((F.col("n_classes") == 2) | F.array_contains(hint_list, F.col("name")))
     out = out.withColumn("imbalanced", (F.col("n_classes") == 2) & (F.col("minority_ratio") < label_limit))
-    return prof, mixed, small(out.select("name", "n_classes", "minority_ratio", "imbalanced"))
+    imb_rows = [tuple(r) for r in out.select("name", "n_classes", "minority_ratio", "imbalanced").collect()]  # candidates only
+    return combined(imb_rows), mixed, spark.createDataFrame(imb_rows, schema)

@@ -152,6 +152,23 @@ def semantic_groups(names_df: DataFrame) -> DataFrame:
                  F.min("ordinal").alias("first_ordinal")))
 
 
+def resolve_constraints(spark: SparkSession, constraints: Mapping[str, object] | None,
+                        names: Sequence[str]) -> DataFrame:
+    """Constraint keys resolved once against a schema's column names: exact
+    match first, else case-insensitive (first column in source order).
+    Output: key, pos, lo, hi, actual (NULL when no column matches)."""
+    from millrace.operators.transforms import bounds_of
+    lower: dict[str, str] = {}
+    for n in names:
+        lower.setdefault(n.lower(), n)
+    rows = []
+    for i, (k, spec) in enumerate((constraints or {}).items()):
+        lo, hi = bounds_of(spec)
+        actual = k if k in names else lower.get(str(k).lower())
+        rows.append((str(k), i, lo, hi, actual))
+    return spark.createDataFrame(rows, "key string, pos int, lo double, hi double, actual string")
+
+
 def constraints_frame(spark: SparkSession, constraints: Mapping[str, object] | None) -> DataFrame:
     """{column: [lo, hi] | {min, max}} -> (key, pos, lo, hi)."""
     from millrace.operators.transforms import bounds_of
@@ -189,11 +206,12 @@ def suggest_steps(profile: DataFrame, mixed: DataFrame | None = None, imbalance:
         parts.append(frame(one, 0, F.lit(0), "detect_encoding", null_s))
     if any("headerless" in f for f in flags):
         parts.append(frame(one, 1, F.lit(0), "reparse_header", null_s))
-    prof = profile.select("name", "ordinal", "null_count")
-    if mixed is not None:
-        prof = prof.join(mixed.select("name", "mixed"), "name", "left")
+    if "mixed" in profile.columns:  # profile already carries the flags (no join)
+        prof = profile.select("name", "ordinal", "null_count", "mixed")
+    elif mixed is not None:
+        prof = profile.select("name", "ordinal", "null_count").join(mixed.select("name", "mixed"), "name", "left")
     else:
-        prof = prof.withColumn("mixed", F.lit(False))
+        prof = profile.select("name", "ordinal", "null_count").withColumn("mixed", F.lit(False))
     prof = prof.withColumn("mixed", F.coalesce("mixed", F.lit(False)))
     parts.append(frame(prof.filter("mixed"), 2, F.col("ordinal"), "clean_masking", F.col("name")))
     fill_cond = F.col("null_count") > 0
@@ -202,7 +220,10 @@ def suggest_steps(profile: DataFrame, mixed: DataFrame | None = None, imbalance:
     else:
         fill_cond = (F.col("null_count") > 0) | F.col("mixed")
     parts.append(frame(prof.filter(fill_cond), 3, F.col("ordinal"), "fill_missing", F.col("name")))
-    if imbalance is not None:
+    if "imbalanced" in profile.columns:
+        imb = profile.filter(F.coalesce(F.col("imbalanced"), F.lit(False)))
+        parts.append(frame(imb, 4, F.col("ordinal"), "balance_classes", F.col("name")))
+    elif imbalance is not None:
         imb = imbalance.filter("imbalanced").join(profile.select("name", "ordinal"), "name")
         parts.append(frame(imb, 4, F.col("ordinal"), "balance_classes", F.col("name")))
     if groups is not None:
@@ -211,7 +232,11 @@ def suggest_steps(profile: DataFrame, mixed: DataFrame | None = None, imbalance:
                                  & (F.size("members") > 0))
         parts.append(frame(eligible, 5, F.col("first_ordinal"), "normalize_group", null_s,
                            F.col("semantic_group"), F.col("members"), F.col("strategy")))
-    if constraints is not None:
+    if constraints is not None and "actual" in constraints.columns:  # names resolved already
+        matched = (constraints.filter(F.col("actual").isNotNull())
+                   .groupBy("actual").agg(F.min("pos").alias("pos")))
+        parts.append(frame(matched, 6, F.col("pos"), "remove_outlier", F.col("actual")))
+    elif constraints is not None:
         names = profile.select("name")
         exact = constraints.join(names, constraints["key"] == names["name"], "left").select(
             "key", "pos", F.col("name").alias("exact"))
