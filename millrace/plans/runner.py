@@ -264,7 +264,6 @@ def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints
     helpers = [c for c in chain.columns if c.startswith("__b") or c.startswith("__a") or c.startswith("__orig") or c == RM]
     output = chain.filter(alive).drop(*helpers)
 
-    steps_df = spark.createDataFrame(results, STEP_SCHEMA) if results else spark.createDataFrame([], STEP_SCHEMA)
     cnt_rows = []
     for r in results:
         o = r["order"]
@@ -275,7 +274,13 @@ def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints
     step_counts = spark.createDataFrame(
         cnt_rows, "order int, before_nulls bigint, after_nulls bigint, rows_before bigint, rows_after bigint, "
                   "n_input bigint, n_output bigint")
-    steps_full = steps_df.join(step_counts.drop("n_input", "n_output"), "order", "left")
+    # step results and their counters are both driver-side rows: one local relation, no join
+    by_order = {c[0]: c[1:5] for c in cnt_rows}
+    full_schema = T.StructType(STEP_SCHEMA.fields + [T.StructField(n, T.LongType()) for n in
+                                                     ("before_nulls", "after_nulls", "rows_before", "rows_after")])
+    steps_full = spark.createDataFrame(
+        [tuple(r[f.name] for f in STEP_SCHEMA.fields) + tuple(by_order.get(r["order"], (None,) * 4)) for r in results],
+        full_schema)
 
     lin_rows = []
     for r in results:
