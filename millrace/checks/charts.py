@@ -234,3 +234,31 @@ SQL["rms_trend"] = _SIG + """,
 p AS (SELECT greatest(8, n // 64) AS w, n // greatest(8, n // 64) AS nwin FROM c)
 SELECT idx // w AS win, round(sqrt(avg(x * x)), 4) AS rms, w AS window_size FROM s, p
 WHERE idx < nwin * w GROUP BY idx // w, w"""
+
+
+@q("fft_spectrum_by_key")
+def _fft_by_key(spark, sf):
+    """G2 for many signals at once: one spectrum per event type (value in
+    event_id order); every signal is reduced to its window mean by
+    distributed group-bys before a Python worker sees at most 4096 points."""
+    f = S.multi_signal_spectrum(table(spark, sf, "events"), ["event_type"], "value", "event_id")
+    return f.select("event_type", "k", F.round("freq", 6).alias("freq"), F.round("magnitude", 3).alias("magnitude"),
+                    "window_len", F.round("peak_freq", 6).alias("peak_freq"))
+
+
+SQL["fft_spectrum_by_key"] = """
+WITH s AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS idx, value AS x
+           FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL),
+c AS (SELECT event_type, count(*) AS n FROM s GROUP BY event_type),
+wm AS (SELECT s.event_type, CASE WHEN c.n <= 4096 THEN idx ELSE idx % 4096 END AS pos, avg(x) AS value
+       FROM s JOIN c USING (event_type) WHERE c.n <= 4096 OR idx < (c.n // 4096) * 4096 GROUP BY 1, 2),
+nn AS (SELECT event_type, count(*) AS n FROM wm GROUP BY event_type HAVING count(*) >= 8),
+ks AS (SELECT event_type, n, unnest(range(0, n // 2 + 1)) AS k, n // 2 + 1 AS nbins FROM nn),
+sel AS (SELECT event_type, n, k FROM ks WHERE nbins <= 512 OR k % (nbins // 512) = 0),
+dft AS (SELECT sel.event_type, sel.k, sel.n,
+               sqrt(pow(sum(value * cos(2 * pi() * ((pos * sel.k) % sel.n) / sel.n)), 2)
+                    + pow(sum(value * sin(2 * pi() * ((pos * sel.k) % sel.n) / sel.n)), 2)) AS magnitude
+        FROM sel JOIN wm USING (event_type) GROUP BY sel.event_type, sel.k, sel.n),
+pk AS (SELECT event_type, arg_max(k, magnitude) AS kmax FROM dft GROUP BY event_type)
+SELECT event_type, k, round(k / n, 6) AS freq, round(magnitude, 3) AS magnitude, n AS window_len,
+       round(kmax / n, 6) AS peak_freq FROM dft JOIN pk USING (event_type)"""
