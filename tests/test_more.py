@@ -112,3 +112,19 @@ def test_split_and_metrics(spark):
     assert math.isclose(m["accuracy"], 0.6)
     # AUC by pairs: pos scores .9,.4 vs neg .1,.6,.4 -> (3 + 0.5 + 1) / 6
     assert math.isclose(m["auc"], 4.5 / 6)
+
+
+def test_train_and_save_model(spark):
+    import tempfile
+    from pyspark.ml.classification import RandomForestClassificationModel
+    from millrace.operators.ml import train_model
+    rng = np.random.default_rng(42)
+    pdf = pd.DataFrame({"id": range(400), "a": rng.normal(size=400), "b": rng.normal(size=400)})
+    pdf["y"] = np.where(pdf["a"] + pdf["b"] > 0, "pos", "neg")
+    path = tempfile.mkdtemp(prefix="mr-model-") + "/rf"
+    res = train_model(spark.createDataFrame(pdf), "RandomForestClassifier", "y", ["id"],
+                      {"n_estimators": 10, "max_depth": 4, "random_state": 7}, save_path=path)
+    m = res["metrics"].first()
+    assert m["accuracy"] > 0.8 and res["n_train"] + res["n_test"] == 400
+    assert res["params"]["random_state"] == 42 and any("random_state" in n for n in res["notices"])
+    assert RandomForestClassificationModel.load(path).numFeatures == len(res["features"])
