@@ -100,10 +100,14 @@ def scan_images(spark: SparkSession, root: str) -> DataFrame:
            .load(root).select(F.regexp_replace("path", r"\.[^./]+$", "").alias("__stem")).distinct()
            .withColumn("has_txt_label", F.lit(True)))
     parts = F.split(rel, "/")
-    return (attrs.withColumn("__stem", stem).join(txt, "__stem", "left")
-            .select(rel.alias("file"), "width", "height", "mode", "format",
-                    F.when(F.size(parts) > 1, parts[0]).alias("label"),
-                    F.coalesce("has_txt_label", F.lit(False)).alias("has_txt_label"), "error"))
+    out = (attrs.withColumn("__stem", stem).join(txt, "__stem", "left")
+           .select(rel.alias("file"), "width", "height", "mode", "format",
+                   F.when(F.size(parts) > 1, parts[0]).alias("label"),
+                   F.coalesce("has_txt_label", F.lit(False)).alias("has_txt_label"), "error"))
+    # the attribute table (one small row per file) feeds several aggregates:
+    # keep it instead of re-opening every file for each of them
+    from millrace.functions.rowindex import keep_persisted
+    return keep_persisted(out)
 
 
 def image_profile(scan: DataFrame, top: int = 5) -> DataFrame:
