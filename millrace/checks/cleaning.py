@@ -356,3 +356,24 @@ def _slug(spark, sf):
 
 SQL["slug"] = ("SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(trim(concat_ws(' ', p_name, p_brand, p_type))), "
                "'[^a-z0-9_]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
+
+
+EV_TXT = ["event_id", "CASE WHEN event_type = 'error' THEN '*' ELSE CAST(value AS STRING) END AS v_txt",
+          "CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS kind"]
+
+
+@q("mixed_dtype_head")
+def _mixed_head(spark, sf):
+    """D2 with the reference's sample: the first 200 non-null values per text
+    column in event_id order (distributed in-column rank)."""
+    e = table(spark, sf, "events").selectExpr(*EV_TXT)
+    return P.mixed_dtype(e, ["v_txt", "kind"], order_by=["event_id"], head_rows=200)
+
+
+SQL["mixed_dtype_head"] = (
+    "WITH e AS (SELECT " + ", ".join(x.replace("AS STRING", "AS VARCHAR") for x in EV_TXT) + " FROM events), "
+    + ", ".join(f"h_{c} AS (SELECT {c} AS v FROM e WHERE {c} IS NOT NULL ORDER BY event_id LIMIT 200)" for c in ("v_txt", "kind"))
+    + " " + " UNION ALL ".join(
+        f"SELECT '{c}' AS name, round(CASE WHEN count(v) > 0 THEN count({duck_to_double('v')}) / count(v) ELSE 0.0 END, 3) "
+        f"AS numeric_ratio, (count({duck_to_double('v')}) > 0 AND count({duck_to_double('v')}) < count(v)) AS mixed FROM h_{c}"
+        for c in ("v_txt", "kind")))

@@ -94,13 +94,29 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approx:
     return _unpivot_one_row(one, fields)
 
 
-def mixed_dtype(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def mixed_dtype(df: DataFrame, columns: Sequence[str] | None = None, order_by: Sequence[str] | None = None,
+                head_rows: int | None = None) -> DataFrame:
     """For text columns, share of non-null values that parse as numbers
     (rounded 3); ``mixed`` when strictly between 0 and 1. Evaluated on every
-    non-null value (the whole column)."""
+    non-null value (the whole column) by default; with ``order_by`` and
+    ``head_rows`` (the reference uses 200) only the first non-null values in
+    row order count, selected by a distributed in-column rank."""
     cols = list(columns) if columns is not None else text_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "name string, numeric_ratio double, mixed boolean")
+    if order_by and head_rows:
+        from millrace.functions.rowindex import rank_in_group
+        keys = list(order_by)
+        long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("v"))
+                                                    for c in cols])).alias("r")).select(*keys, "r.*")
+        head = rank_in_group(long.filter(F.col("v").isNotNull()), ["name"], keys, "__rk").filter(F.col("__rk") < head_rows)
+        agg = head.groupBy("name").agg(F.count(F.lit(1)).alias("nn"), F.count(F.when(is_number(F.col("v")), 1)).alias("nm"))
+        ratio = F.col("nm") / F.col("nn")
+        found = agg.select("name", F.round(ratio, 3).alias("numeric_ratio"), ((ratio > 0) & (ratio < 1)).alias("mixed"))
+        names = df.sparkSession.createDataFrame([(c,) for c in cols], "name string")
+        return (names.join(found, "name", "left")
+                .select("name", F.coalesce("numeric_ratio", F.lit(0.0)).alias("numeric_ratio"),
+                        F.coalesce("mixed", F.lit(False)).alias("mixed")))
     aggs = []
     for i, c in enumerate(cols):
         v = F.col(f"`{c}`")

@@ -189,3 +189,13 @@ def test_semantic_rules_same_in_spark_and_driver(spark):
     groups = {g for g, _ in local.values()}
     # 35 columns -> 6 groups (metadata included), no unknown
     assert len(names) == 35 and "unknown" not in groups and len(groups) == 6
+
+
+def test_mixed_dtype_first_rows(spark):
+    # numbers first, masks only after the 200th non-null value
+    vals = [str(i) for i in range(250)] + ["*"] * 50
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "row long, c string")
+    full = P.mixed_dtype(df, ["c"]).first()
+    head = P.mixed_dtype(df, ["c"], order_by=["row"], head_rows=200).first()
+    assert full["mixed"] and full["numeric_ratio"] == round(250 / 300, 3)
+    assert not head["mixed"] and head["numeric_ratio"] == 1.0
