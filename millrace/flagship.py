@@ -12,7 +12,7 @@ from millrace.checks.common import messy_lineitem
 from millrace.operators.profile import profile_pass
 from millrace.plans.rules import resolve_constraints, semantic_groups_local, suggest_steps
 from millrace.plans.runner import RunResult, run_plan
-from millrace.functions.small import small
+from millrace.functions.small import attach_row, small
 from millrace.sources.tables import rebalance
 
 # The request the flagship answers: a range constraint on the quantity and a
@@ -60,6 +60,5 @@ def flagship_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rep = r.report.select("n_done", "n_failed", "n_pending", "n_high", "n_medium", "n_low", "passed", "next_action")
     steps = r.steps.select("order", "operation", "target_column", "semantic_group", "status",
                            "before_nulls", "after_nulls", "rows_before", "rows_after")
-    # the report is a single row: attach it through a constant key (hash join, no nested loop)
-    return (steps.withColumn("__k", F.lit(1))
-            .join(rep.withColumn("__k", F.lit(1)), "__k", "left").drop("__k"))
+    # the report is a single row: attach its values to every step row (no join)
+    return attach_row(steps, rep)

@@ -18,9 +18,15 @@ def small(df: DataFrame, limit: int = SMALL_ROW_LIMIT) -> DataFrame:
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a single-row aggregate to every row of ``df``
-    through a constant equi-key (a broadcast hash join of one row, not a
-    nested-loop cross product)."""
+    """Attach the columns of a single-row aggregate to every row of ``df``.
+
+    The one row is computed first (one small job) and its values become typed
+    literals, so the result plan has no join at all — a constant-key join
+    would be folded by the optimizer into a nested-loop cross product."""
     from pyspark.sql import functions as F
-    return (df.withColumn("__one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one").drop("__one"))
+    r = one_row.first()
+    cols = []
+    for f in one_row.schema.fields:
+        v = r[f.name] if r is not None else None
+        cols.append(F.lit(v).cast(f.dataType).alias(f.name))
+    return df.select("*", *cols)

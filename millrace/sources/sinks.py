@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.small import attach_row
 from millrace.sources.files import list_files, probe_files
 
 
@@ -39,12 +40,10 @@ def manifest_verify(spark: SparkSession, manifest: DataFrame, max_files: int = 2
         try:
             files = list_files(spark, r["path"])
             probes = probe_files(spark, files.select("path").orderBy("path").limit(max_files))
-            agg = (files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
-                   .withColumn("__k", F.lit(1)))
-            pagg = (probes.agg(F.count_distinct(F.array_join("header", "\u001f")).alias("n_headers"),
-                               F.array_join(F.array_sort(F.collect_set("encoding")), ",").alias("encodings"))
-                    .withColumn("__k", F.lit(1)))
-            rec = agg.join(pagg, "__k").drop("__k").select(
+            agg = files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
+            pagg = probes.agg(F.count_distinct(F.array_join("header", "\u001f")).alias("n_headers"),
+                              F.array_join(F.array_sort(F.collect_set("encoding")), ",").alias("encodings"))
+            rec = attach_row(agg, pagg).select(
                 F.lit(r["dataset"]).alias("dataset"), F.lit(True).alias("exists"), "n_files", "size_bytes",
                 "encodings", "n_headers")
         except Exception:
