@@ -102,3 +102,16 @@ def test_entry_and_registry(spark):
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     assert len(qs) >= 100
+
+
+def test_constraint_resolution_and_gate(spark):
+    from millrace.plans.rules import approval_gate, plan_from_rows, resolve_constraints
+    cons = resolve_constraints(spark, {"L_QUANTITY": [1, 45], "missing": [0, 1], "Tax": {"min": 0}},
+                               ["l_quantity", "tax", "Tax"])
+    got = {r["key"]: r["actual"] for r in cons.collect()}
+    assert got == {"L_QUANTITY": "l_quantity", "missing": None, "Tax": "Tax"}   # exact match wins
+    plan = plan_from_rows(spark, [{"operation": "compute_stats"}, {"operation": "fill_missing", "target_column": "a"},
+                                  {"operation": "drop_column", "target_column": "b"}])
+    approved = spark.createDataFrame([("fill_missing:a",)], "step_key string")
+    gate = {r["operation"]: r["gate"] for r in approval_gate(plan, approved).collect()}
+    assert gate == {"compute_stats": "run", "fill_missing": "run", "drop_column": "awaiting_approval"}
