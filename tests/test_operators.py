@@ -199,3 +199,29 @@ def test_mixed_dtype_first_rows(spark):
     head = P.mixed_dtype(df, ["c"], order_by=["row"], head_rows=200).first()
     assert full["mixed"] and full["numeric_ratio"] == round(250 / 300, 3)
     assert not head["mixed"] and head["numeric_ratio"] == 1.0
+
+
+def test_profile_pass_agrees_with_profile_columns(spark):
+    from conftest import SF_SMALL
+    from millrace.checks.common import messy_lineitem
+    df = messy_lineitem(spark, SF_SMALL)
+    prof, mixed, imb = P.profile_pass(df)
+    exact = {r["name"]: (r["null_count"], r["n_unique"]) for r in P.profile_columns(df).collect()}
+    fast = {r["name"]: (r["null_count"], r["n_unique"], r["mixed"]) for r in prof.collect()}
+    for name, (nulls, nu) in exact.items():
+        assert fast[name][0] == nulls
+        assert abs(fast[name][1] - nu) <= max(2, 0.15 * nu)   # HyperLogLog estimate (rsd 0.05, 3 sigma)
+    assert fast["qty_txt"][2] and not fast["l_returnflag"][2]
+    assert {r["name"] for r in mixed.collect()} == {"qty_txt", "l_returnflag", "l_linestatus"}
+
+
+def test_fill_values_narrow_and_wide_paths_agree(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"x": rng.normal(size=3000), "s": rng.choice(["u", "v", "w", "v"], 3000)})
+    pdf.loc[::5, "x"] = np.nan
+    df = spark.createDataFrame(pdf)
+    narrow = X.fill_values(df, ["x", "s"], cardinality={"x": 10, "s": 3})
+    wide = X.fill_values(df, ["x", "s"], cardinality={"x": 10 ** 9, "s": 10 ** 9})
+    assert math.isclose(narrow["x"], wide["x"], rel_tol=1e-12)
+    assert math.isclose(narrow["x"], float(pdf["x"].median()), rel_tol=1e-12)
+    assert narrow["s"] == wide["s"] == pdf["s"].value_counts().idxmax()
