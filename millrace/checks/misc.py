@@ -297,3 +297,16 @@ def _register(spark, sf):
         n_cols = r["columns"].count() if r.get("columns") is not None else None
         out.append((name, r["datalake_id"], r["status"], r["reason"], n_cols))
     return spark.createDataFrame(out, "name string, datalake_id string, status string, reason string, n_columns bigint")
+
+
+SQL["register_dataset"] = """
+WITH nc AS (SELECT table_name, count(*) AS n FROM information_schema.columns
+            WHERE table_name IN ('customer', 'orders', 'events') GROUP BY table_name),
+doc AS (SELECT count(*) > 0 AS taken FROM documents WHERE doc_id = 1)
+SELECT 'Customer Master!' AS name, 'customer_master' AS datalake_id, 'registered' AS status, CAST(NULL AS VARCHAR) AS reason,
+       (SELECT n FROM nc WHERE table_name = 'customer') AS n_columns
+UNION ALL SELECT 'doc_1', 'doc_1', CASE WHEN taken THEN 'refused' ELSE 'registered' END,
+       CASE WHEN taken THEN 'id already registered' END,
+       CASE WHEN taken THEN NULL ELSE (SELECT n FROM nc WHERE table_name = 'orders') END FROM doc
+UNION ALL SELECT 'Orders 2024', 'orders_2024', 'refused', 'modality not allowed: spreadsheet', NULL
+UNION ALL SELECT 'Events Log', 'events_log', 'registered', NULL, (SELECT n FROM nc WHERE table_name = 'events')"""
