@@ -310,3 +310,14 @@ UNION ALL SELECT 'doc_1', 'doc_1', CASE WHEN taken THEN 'refused' ELSE 'register
        CASE WHEN taken THEN NULL ELSE (SELECT n FROM nc WHERE table_name = 'orders') END FROM doc
 UNION ALL SELECT 'Orders 2024', 'orders_2024', 'refused', 'modality not allowed: spreadsheet', NULL
 UNION ALL SELECT 'Events Log', 'events_log', 'registered', NULL, (SELECT n FROM nc WHERE table_name = 'events')"""
+
+
+SQL["guarded_query_rules"] = """
+SELECT * FROM (VALUES (0, FALSE, 'only a SELECT query is allowed', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), FALSE),
+                      (1, FALSE, 'relation not allowed: [''lineitem'']', NULL, NULL, FALSE),
+                      (2, FALSE, 'function not allowed: [''my_udf'']', NULL, NULL, FALSE),
+                      (3, FALSE, 'only a SELECT query is allowed', NULL, NULL, FALSE),
+                      (4, FALSE, 'relation not allowed: [''orders'']', NULL, NULL, FALSE),
+                      (5, FALSE, 'too long', NULL, NULL, FALSE)) t("case", ok, reason, returned, total, truncated)
+UNION ALL
+SELECT 6, TRUE, '', least(count(*), 200), count(*), count(*) > 200 FROM lineitem"""
