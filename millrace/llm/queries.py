@@ -36,3 +36,11 @@ def op10_windows(spark, sf_dir):
     """Documents without windows of 13 words that a smaller id has too."""
     from millrace.llm.windows import cut_repeated_windows, digests
     return digests(cut_repeated_windows(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op4_quality(spark, sf_dir):
+    """Counts and verdict of every document."""
+    from millrace.llm.quality import quality_verdicts
+    out = quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
