@@ -44,3 +44,10 @@ def op4_quality(spark, sf_dir):
     from millrace.llm.quality import quality_verdicts
     out = quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+@_query
+def op3_mix(spark, sf_dir):
+    """Words of every document that a mix of the sources takes."""
+    from millrace.llm.mixing import mix_counts
+    return mix_counts(table(spark, sf_dir, "documents"))
