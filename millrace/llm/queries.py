@@ -51,3 +51,10 @@ def op3_mix(spark, sf_dir):
     """Words of every document that a mix of the sources takes."""
     from millrace.llm.mixing import mix_counts
     return mix_counts(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_jaccard(spark, sf_dir):
+    """Components of documents linked by 3-word shingles at 0.9."""
+    from millrace.llm.partenum import near_duplicate_components
+    return near_duplicate_components(table(spark, sf_dir, "documents"), shingle=3, similarity=0.9)
