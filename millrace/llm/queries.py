@@ -58,3 +58,10 @@ def op8_jaccard(spark, sf_dir):
     """Components of documents linked by 3-word shingles at 0.9."""
     from millrace.llm.partenum import near_duplicate_components
     return near_duplicate_components(table(spark, sf_dir, "documents"), shingle=3, similarity=0.9)
+
+
+@_query
+def op6_suffixes(spark, sf_dir):
+    """Documents without 200-byte strings that start more than once."""
+    from millrace.llm.suffixes import cut_repeated_bytes, digests
+    return digests(cut_repeated_bytes(table(spark, sf_dir, "documents")))

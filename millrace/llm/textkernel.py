@@ -16,15 +16,15 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BYTE_KEYS = np.random.default_rng(20240917).integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
-    """_BASE ** 0 .. _BASE ** (n - 1) modulo 2 ** 64."""
+    """BASE ** 0 .. BASE ** (n - 1) modulo 2 ** 64."""
     global _POWERS
     if len(_POWERS) < n:
-        steps = np.full(max(n, 1024), _BASE, np.uint64)
+        steps = np.full(max(n, 1024), BASE, np.uint64)
         steps[0] = 1
         _POWERS = np.multiply.accumulate(steps)
     return _POWERS[:n]
@@ -100,6 +100,11 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     inside = np.flatnonzero(text[:n] == text[size - 1:])
     rolled = np.zeros(n, np.uint64)
     for j in range(size):
-        rolled *= _BASE
+        rolled *= BASE
         rolled += hashes[j:n + j]
     return mix(rolled[inside]), inside
+
+
+def byte_keys(data: np.ndarray) -> np.ndarray:
+    """A random 64-bit key for every byte."""
+    return _BYTE_KEYS[data]
