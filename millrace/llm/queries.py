@@ -65,3 +65,13 @@ def op6_suffixes(spark, sf_dir):
     """Documents without 200-byte strings that start more than once."""
     from millrace.llm.suffixes import cut_repeated_bytes, digests
     return digests(cut_repeated_bytes(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op7_personal(spark, sf_dir):
+    """Personal data in every document."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm.pii import find_personal_data
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
