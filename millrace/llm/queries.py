@@ -75,3 +75,10 @@ def op7_personal(spark, sf_dir):
     from millrace.llm.pii import find_personal_data
     found = find_personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@_query
+def op2_chunks(spark, sf_dir):
+    """Fingerprints of every document and of its edited text."""
+    from millrace.llm.chunks import edit_trial
+    return edit_trial(table(spark, sf_dir, "documents"))
