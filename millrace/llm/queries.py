@@ -82,3 +82,15 @@ def op2_chunks(spark, sf_dir):
     """Fingerprints of every document and of its edited text."""
     from millrace.llm.chunks import edit_trial
     return edit_trial(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned from the labels not held out."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm.toxicity import fit, held_out, score_toxicity
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.filter(~held_out(F.col("doc_id"))))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
