@@ -94,3 +94,10 @@ def op9_toxicity(spark, sf_dir):
     model = fit(docs, labels.filter(~held_out(F.col("doc_id"))))
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op5_language(spark, sf_dir):
+    """Language of every page, from its text, markup and address."""
+    from millrace.llm.langid import fit, identify_languages
+    return identify_languages(table(spark, sf_dir, "pages"), fit(table(spark, sf_dir, "documents")))
