@@ -161,57 +161,82 @@ def _amounts(items: list[int], lengths: np.ndarray, pairs: bool) -> tuple[np.nda
     return np.array(list(found), np.int64), list(found.values())
 
 
+class _OpenBins:
+    """Underfull bins with, for each, the amounts that can leave it: lengths of
+    one item and of two."""
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        self.bins, self.fills, self.one, self.two = bins, [0] * len(bins), [None] * len(bins), [None] * len(bins)
+        for b in range(len(bins)):
+            self.refresh(b)
+
+    def refresh(self, b: int) -> None:
+        items = self.bins[b]
+        self.fills[b] = int(self.lengths[items].sum()) if items else 0
+        self.one[b], self.two[b] = _amounts(items, self.lengths, False), _amounts(items, self.lengths, True)
+
+    def open(self) -> list[int]:
+        return [b for b, f in enumerate(self.fills) if 0 < f < self.capacity]
+
+    def exchange(self, donor: int) -> bool:
+        """The exchange of one item or two of the donor for none, one or two of
+        another bin that raises the sum of squared fills most, if any does: a
+        gain g of a bin filled v from one filled d raises it by 2g(v - d + g)."""
+        others = [b for b in self.open() if b != donor]
+        if not others or not self.bins[donor]:
+            return False
+        fill = self.fills[donor]
+        fills = np.array([self.fills[b] for b in others], np.int64)
+        best, choice = 0, None
+        nothing = [(np.zeros(1, np.int64), [()])] * len(others)
+        for (out, outs), backs in ((self.one[donor], nothing), (self.one[donor], [self.one[b] for b in others]),
+                                   (self.two[donor], [self.one[b] for b in others]), (self.one[donor], [self.two[b] for b in others])):
+            counts = [len(x[0]) for x in backs]
+            if not len(out) or not sum(counts):
+                continue
+            of = np.repeat(np.arange(len(others)), counts)
+            gain = out[:, None] - np.concatenate([x[0] for x in backs])[None, :]
+            held = fills[of][None, :]
+            worth = np.where((gain > 0) & (gain <= self.capacity - held), gain * (held - fill + gain), 0)
+            k = int(worth.argmax())
+            if worth.flat[k] > best:
+                i, j = divmod(k, worth.shape[1])
+                other = int(of[j])
+                best, choice = int(worth.flat[k]), (outs[i], others[other], backs[other][1][j - sum(counts[:other])])
+        if choice is None:
+            return False
+        given, other, taken = choice
+        for i in given:
+            self.bins[donor].remove(i)
+            self.bins[other].append(i)
+        for i in taken:
+            self.bins[other].remove(i)
+            self.bins[donor].append(i)
+        self.refresh(donor)
+        self.refresh(other)
+        return True
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Exchange items between underfull bins while that increases the sum of
-    squared fills. The donor is the least filled bin; what it hands over must
-    fit and be longer than what it gets back. The sum is a bounded integer that
-    grows with every exchange, so the search ends."""
+    squared fills, the least filled bin giving first, until a round over all
+    bins empties none or no fewer bins could hold the items. The sum is a
+    bounded integer that grows with every exchange, so each round ends."""
     fills = [int(lengths[b].sum()) if b else 0 for b in bins]
     least = -(-sum(fills) // capacity)
     full = [b for b, f in zip(bins, fills, strict=True) if f == capacity]
-    open_bins = [list(b) for b, f in zip(bins, fills, strict=True) if 0 < f < capacity]
-
-    def exchange(donor: list[int], others: list[list[int]]) -> bool:
-        size = lambda b: int(lengths[b].sum())
-        fill = size(donor)
-        one, two = _amounts(donor, lengths, False), _amounts(donor, lengths, True)
-        top = int(max(one[0].max(), two[0].max() if len(two[0]) else 0))
-        for other in sorted(others, key=size, reverse=True):
-            held = size(other)
-            room = capacity - held
-            if held < fill or room == 0 or (int(one[0].min()) > room and int(lengths[other].min()) >= top):
-                continue
-            best = (0, (), ())
-            back = _amounts(other, lengths, False), _amounts(other, lengths, True)
-            nothing = np.zeros(1, np.int64), [()]
-            for (out, outs), (got, gots) in ((one, nothing), (one, back[0]), (two, back[0]), (one, back[1])):
-                if len(out) and len(got):
-                    gain = out[:, None] - got[None, :]
-                    gain = np.where((gain > 0) & (gain <= room), gain, 0)
-                    k = int(gain.argmax())
-                    if gain.flat[k] > best[0]:
-                        best = (int(gain.flat[k]), outs[k // len(got)], gots[k % len(got)])
-            if best[0]:
-                for i in best[1]:
-                    donor.remove(i)
-                    other.append(i)
-                for i in best[2]:
-                    other.remove(i)
-                    donor.append(i)
-                return True
-        return False
-
-    changed = True
-    while changed and len(full) + len(open_bins) > least:
-        changed = False
-        for donor in sorted(open_bins, key=lambda b: int(lengths[b].sum())):
-            if not donor or int(lengths[donor].sum()) == capacity:
-                continue
-            while donor and exchange(donor, [b for b in open_bins if b is not donor and b]):
-                changed = True
-        full += [b for b in open_bins if b and int(lengths[b].sum()) == capacity]
-        open_bins = [b for b in open_bins if b and int(lengths[b].sum()) < capacity]
-    return full + open_bins
+    work = _OpenBins([list(b) for b, f in zip(bins, fills, strict=True) if 0 < f < capacity], lengths, capacity)
+    used, before = len(bins), len(bins) + 1
+    while least < used < before:
+        before = used
+        for donor in sorted(work.open(), key=lambda b: work.fills[b]):
+            while 0 < work.fills[donor] < capacity and work.exchange(donor):
+                pass
+            used = len(full) + sum(map(bool, work.bins))
+            if used == least:
+                break
+    return full + [b for b in work.bins if b]
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
