@@ -93,7 +93,7 @@ def schedule(sources: DataFrame, slots: int, bucket_rows: int = BUCKET_ROWS) ->
 
 def mix_counts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, slots_a_source: int = SLOTS_A_SOURCE,
                max_block: int = MAX_BLOCK, seed: int = 17, bucket_rows: int = BUCKET_ROWS,
-               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: bool = False) -> DataFrame:
     """How much of each document the mix takes.
 
     Returns one row per input row: ``doc_id, size`` (words), ``source_size,
@@ -103,9 +103,11 @@ def mix_counts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat
     so reruns agree; rows that are repeated are taken each. NULL texts have no
     words; NULL sources are one source, the last; sources without words have
     target 0; an empty table gives an empty result; other columns are ignored.
+    With ``key`` the result has ``text_key``, a hash of the text, too.
     """
     sized = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
+                    *([F.xxhash64(text_col).alias("text_key")] if key else []))
         .withColumn("nth", F.monotonically_increasing_id()), "sizes")
     targets = source_targets(sized, weights, max_repeats)
     spark = docs.sparkSession
@@ -135,16 +137,32 @@ def mix_counts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat
     played = (ranked.join(numbered.filter("blocks > 0").select("sid", "blocks", "source_size", "words"), "sid")
               .withColumn("block", turn).withColumn("until", F.least(F.lit(block), F.col("words") - reached))
               .filter("until > 0").groupBy("sid", "block").agg(F.collect_list("until").alias("plays")))  # at most max_repeats + 1 a block
+    extra = ["text_key"] if key else []
     # documents on their source's line of words, in shuffled order
     keyed = sized.join(numbered.select("source", "sid", "source_size", "target"), sized["source"].eqNullSafe(numbered["source"])).drop("source")
     mixed = keyed.withColumn("mixed", F.xxhash64("doc_id", F.lit(seed)))
     n_buckets = max(1, sized.count() // bucket_rows)
     laid = _running(mixed, "sid", "size", ["mixed", "doc_id", "size", "nth"], F.floor((F.col("mixed") / float(2**64) + 0.5) * n_buckets), "at")
-    laid = materialize(laid.select("nth", "doc_id", "sid", "size", "source_size", "target", "at"), "laid")
+    laid = materialize(laid.select("nth", "doc_id", *extra, "sid", "size", "source_size", "target", "at"), "laid")
     parts = (laid.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
              .withColumn("lo", F.greatest(F.col("at") - F.col("block") * block, F.lit(0)))
              .withColumn("hi", F.least(F.col("at") + F.col("size") - F.col("block") * block, F.lit(block)))
              .select("nth", "sid", "block", "lo", "hi"))
     words = F.aggregate("plays", F.lit(0).cast("long"), lambda s, u: s + F.greatest(F.least(F.col("hi"), u) - F.col("lo"), F.lit(0)))
     taken = parts.join(played, ["sid", "block"]).groupBy("nth").agg(F.sum(words).alias("taken"))
-    return laid.join(taken, "nth", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return laid.join(taken, "nth", "left").select("doc_id", *extra, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 17,
+                  id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it: the
+    words taken by its size, rounded. Only the one document of each source that
+    the mix ends in is taken in part, so a source's words miss its target by half
+    a document at most. Documents without words are not taken. Rows with the same
+    id and text share what is taken of them."""
+    taken = mix_counts(docs, weights, max_repeats, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, key=True)
+    copies = F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int")
+    wanted = materialize(taken.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(copies.alias("_copies")).filter("_copies > 0"), "copies")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"))
+    same = (keyed["_key"] == wanted["_key"]) & keyed["_id"].eqNullSafe(wanted["_id"])
+    return keyed.join(wanted, same).select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth")).select("row.*")

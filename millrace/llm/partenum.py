@@ -218,10 +218,10 @@ def _describe(size: int):
         rows = (wanted["node"].to_numpy() - chunk).astype(np.int64)
         empty = len(rows) * [None]
         sets = [hashes[at[i]:at[i + 1]] for i in rows]
-        return pa.table([pa.concat_arrays([table["doc_id"].combine_chunks(), pa.array(empty, pa.int64())]),
+        return pa.table([*[pa.concat_arrays([table[c].combine_chunks(), pa.array(empty, pa.int64())]) for c in ("doc_id", "text_key")],
                          pa.array(np.concatenate((chunk + same, chunk + rows)), pa.int64()), pa.array(np.concatenate((sizes, sizes[rows])), pa.int64()),
                          pa.array([None] * len(sizes) + [s.tobytes() for s in sets], pa.binary()), pa.array([None] * len(sizes) + [_sketch(s) for s in sets], pa.binary())],
-                        names=["doc_id", "node", "n", "hashes", "sketch"])
+                        names=["doc_id", "text_key", "node", "n", "hashes", "sketch"])
     return run
 
 
@@ -278,22 +278,12 @@ def _missed(members: DataFrame, sets: DataFrame, labels: DataFrame, similarity:
     return homes.unionByName(probes).groupBy("signature", "block").applyInArrow(_across(similarity), "a long, b long").distinct()
 
 
-def near_duplicate_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, chunk_bytes: int = CHUNK_BYTES,
-                              block_sets: int = BLOCK_SETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Link texts whose sets of ``shingle``-word shingles (A-Z as a-z) have a
-    Jaccard similarity of at least ``similarity``.
-
-    Returns one row per input row: ``doc_id, n_shingles`` and ``component_id``,
-    the smallest id reachable by links, itself included. A text of fewer words
-    has its whole sequence as one shingle; NULL and empty texts have none and
-    link with nothing; a NULL id is passed over when the smallest is sought;
-    repeated rows and ties are rows of their own; an empty table gives an empty
-    result; other columns are ignored. No pair similar enough is missed.
-    Shingles are compared by 64-bit hashes.
-    """
+def _classes(docs: DataFrame, shingle: int, similarity: float, chunk_bytes: int, block_sets: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component_id`` of every row."""
     rows = doc_rows(docs, id_col, text_col)
     n = max(1, math.ceil(text_bytes(rows) / chunk_bytes))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "chunk")
+    dealt = (rows.withColumn("text_key", F.xxhash64("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(n)).cast("int"))
+             .repartition(n, "chunk"))
     signed = dealt.groupBy("chunk").applyInArrow(_sign(shingle, similarity, n), "bucket int, chunk int, signatures binary, sets binary")
     grouped = materialize(signed.repartition(n, "bucket").groupBy("bucket").applyInArrow(_group, "signature long, a long, b long"), "groups")
     pairs = grouped.filter("b >= 0").select("a", "b").distinct()
@@ -301,8 +291,8 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 5, similarity: flo
     wanted = (pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
               .withColumn("chunk", F.shiftright("node", 32).cast("int")))
     described = materialize(dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(
-        _describe(shingle), "doc_id long, node long, n long, hashes binary, sketch binary"), "sets")
-    sets, every = described.filter("hashes IS NOT NULL"), described.filter("hashes IS NULL").select("doc_id", "node", "n")
+        _describe(shingle), "doc_id long, text_key long, node long, n long, hashes binary, sketch binary"), "sets")
+    sets, every = described.filter("hashes IS NOT NULL"), described.filter("hashes IS NULL").select("doc_id", "text_key", "node", "n")
     links = materialize(_verify(pairs, sets, similarity), "links")
     labels = components(links)
     more = materialize(_verify(materialize(_missed(members, sets, labels, similarity, block_sets), "missed"), sets, similarity), "links")
@@ -312,12 +302,35 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 5, similarity: flo
     named = every.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicate_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, chunk_bytes: int = CHUNK_BYTES,
+                              block_sets: int = BLOCK_SETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Link texts whose sets of ``shingle``-word shingles (A-Z as a-z) have a
+    Jaccard similarity of at least ``similarity``.
+
+    Returns one row per input row: ``doc_id, n_shingles`` and ``component_id``,
+    the smallest id reachable by links, itself included. A text of fewer words
+    has its whole sequence as one shingle; NULL and empty texts have none and
+    link with nothing; a NULL id is passed over when the smallest is sought;
+    repeated rows and ties are rows of their own; an empty table gives an empty
+    result; other columns are ignored. No pair similar enough is missed.
+    Shingles are compared by 64-bit hashes.
+    """
+    return _classes(docs, shingle, similarity, chunk_bytes, block_sets, id_col, text_col).drop("text_key")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, chunk_bytes: int = CHUNK_BYTES,
+                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, less near duplicates: of each group of
-    linked documents the one with the smallest id stays."""
-    ids = near_duplicate_components(docs, shingle, similarity, id_col=id_col, text_col=text_col)
-    kept = materialize(ids.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi")
+    linked documents the one with the smallest id stays, and of rows with the
+    same id and text one. Rows without an id go where a document with an id has
+    such a text, and stay, one of each text, where none has."""
+    found = _classes(docs, shingle, similarity, chunk_bytes, BLOCK_SETS, id_col, text_col)
+    kept = materialize(found.filter("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "kept")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("_id"),
+                        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_key"))
+    same = (keyed["_key"] == kept["_key"]) & keyed["_id"].eqNullSafe(kept["_id"])
+    once = Window.partitionBy("_key", "_id").orderBy("_key")
+    return keyed.join(kept, same, "left_semi").withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select("row.*")

@@ -105,31 +105,54 @@ def language_references(counts: DataFrame) -> DataFrame:
         "q_lang", _shares(F.col("classes")).alias("_class_ref"), _shares(F.col("commons")).alias("_word_ref"))
 
 
-def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: dict[str, list[str]] | None = None,
-                     max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE,
-                     min_class_words: int = MIN_CLASS_WORDS, min_word_words: int = MIN_WORD_WORDS) -> DataFrame:
+def _verdict(counts: DataFrame, references: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """Add the distances, ``base_failed`` and ``kept`` to counted documents.
+    ``references`` is read from a small written table, whose size the planner
+    knows: it is broadcast only where it is under Spark's limit."""
+    joined = counts.join(references, "q_lang", "left")
+    compared = F.col("n_words") > 0
+    distances = joined.withColumn("class_distance", F.when(compared, js_distance(_shares(F.col("classes")), F.col("_class_ref")))) \
+        .withColumn("word_distance", F.when(compared & (F.size("commons") > 0), js_distance(_shares(F.col("commons")), F.col("_word_ref"))))
+    far = (((F.col("n_words") >= limits["min_class_words"]) & F.coalesce(F.col("class_distance") > limits["max_class_distance"], F.lit(False)))
+           | ((F.col("n_words") >= limits["min_word_words"]) & F.coalesce(F.col("word_distance") > limits["max_word_distance"], F.lit(False))))
+    return (distances.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+            .withColumn("kept", ~F.col("base_failed") & ~far))
+
+
+LIMITS = {"max_class_distance": MAX_CLASS_DISTANCE, "max_word_distance": MAX_WORD_DISTANCE, "min_class_words": MIN_CLASS_WORDS, "min_word_words": MIN_WORD_WORDS}
+
+
+def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: dict[str, list[str]] | None = None, **limits) -> DataFrame:
     """Every input row without its text, with its counts, ``class_distance``,
     ``word_distance``, ``base_failed`` and ``kept``.
 
     ``base_failed``: fewer than 50 words, or more than half of the words in
     repeated 3-word windows. ``kept`` is false if ``base_failed``, or if a
-    distance to the language's reference exceeds its limit in a document long
-    enough for that comparison. A distance is NULL where there is nothing to
-    compare: no words, or for words a language without a list. NULL texts are
-    empty (and fail); a NULL language counts as one of its own; ties and
-    repeated rows are judged each; an empty table gives an empty result. Columns
-    of the input named like a result are replaced.
+    distance to the language's reference exceeds its limit (``LIMITS``, or
+    keyword arguments of the same names) in a document long enough for that
+    comparison. A distance is NULL where there is nothing to compare: no words,
+    or for words a language without a list. NULL texts are empty (and fail); a
+    NULL language counts as one of its own; ties and repeated rows are judged
+    each; an empty table gives an empty result. Columns of the input named like
+    a result are replaced.
     """
     names = ("q_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "commons",
              "class_distance", "word_distance", "base_failed", "kept")
     keep = [c for c in docs.columns if c not in names and c not in (text_col, lang_col) and not c.startswith("_")]
     narrowed = docs.select(*keep, F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
     counts = materialize(document_counts(narrowed, "_t", "_l", common).drop("_t", "_l"), "quality")
-    joined = counts.join(language_references(counts), "q_lang", "left")
-    compared = F.col("n_words") > 0
-    distances = joined.withColumn("class_distance", F.when(compared, js_distance(_shares(F.col("classes")), F.col("_class_ref")))) \
-        .withColumn("word_distance", F.when(compared & (F.size("commons") > 0), js_distance(_shares(F.col("commons")), F.col("_word_ref"))))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    far = (((F.col("n_words") >= min_class_words) & F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False)))
-           | ((F.col("n_words") >= min_word_words) & F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False))))
-    return distances.select(*keep, *names[1:6], "class_distance", "word_distance", failed.alias("base_failed"), (~failed & ~far).alias("kept"))
+    references = materialize(language_references(counts), "references")
+    return _verdict(counts, references, LIMITS | limits).select(*keep, *names[1:6], "class_distance", "word_distance", "base_failed", "kept")
+
+
+def keep_good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                        common: dict[str, list[str]] | None = None, **limits) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``quality_verdicts`` keeps. Rows
+    are found again by id, hash of the text and language; the verdicts are
+    written first, so that texts are counted once."""
+    ids, key, lang = F.col(id_col), F.xxhash64(text_col), F.col(lang_col)
+    judged = quality_verdicts(docs.select(ids.alias("id"), key.alias("key"), lang.alias("of"), F.col(text_col).alias("text"), lang.alias("lang")), common=common, **limits)
+    kept = materialize(judged.filter("kept").select("id", "key", "of").distinct(), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), ids.alias("_id"), key.alias("_key"), lang.alias("_of"))
+    same = (rows["_key"] == kept["key"]) & rows["_id"].eqNullSafe(kept["id"]) & rows["_of"].eqNullSafe(kept["of"])
+    return rows.join(kept, same, "left_semi").select("row.*")
