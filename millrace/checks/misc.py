@@ -55,6 +55,11 @@ REFUSED = [
     "SELECT * FROM t JOIN orders ON l_orderkey = o_orderkey",
     "SELECT " + "1 + " * 3000 + "1 FROM t",
     "SELECT l_orderkey, l_quantity FROM t",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM t",
+    "SELECT java_method('java.lang.System', 'getenv', 'HOME') FROM t",
+    "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') FROM t",
+    "SELECT * FROM parquet.`/data/other`",
+    "WITH big AS (SELECT l_orderkey FROM t WHERE l_quantity > 49) SELECT count(*) AS n FROM big",
 ]
 
 
@@ -110,11 +115,12 @@ def _flatten(spark, sf):
     # the three smallest user ids per type: distributed in-group rank, then a 3-element list
     first3 = (rank_in_group(e.select("event_type", "user_id"), ["event_type"], ["user_id"], "rk")
               .filter(F.col("rk") < 3).groupBy("event_type")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "user_id"))), lambda x: x["user_id"]).alias("fu")))
+              .agg(F.array_sort(F.collect_list(F.struct("rk", "user_id"))).alias("pairs")))
     stats = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"),
                                         F.max("value").alias("max"))
     nested = stats.join(first3, "event_type", "left").select("event_type", F.struct(
-        "n", F.struct("mean", "max").alias("stats"), F.col("fu").alias("first_users")).alias("v"))
+        "n", F.struct("mean", "max").alias("stats"), F.transform("pairs", lambda x: x["user_id"]).alias("first_users"),
+        F.transform("pairs", lambda x: F.struct(x["user_id"].alias("user"), F.array(x["rk"], x["rk"] + 1).alias("ranks"))).alias("pairs")).alias("v"))
     return RD.flatten_struct(nested, "event_type", "v")
 
 
@@ -125,7 +131,10 @@ SELECT event_type || ' · n' AS label, CAST(n AS VARCHAR) AS value FROM g
 UNION ALL SELECT event_type || ' · stats · mean', CAST(mean AS VARCHAR) FROM g
 UNION ALL SELECT event_type || ' · stats · max', CAST(mx AS VARCHAR) FROM g
 UNION ALL SELECT event_type || ' · first_users[' || CAST(i - 1 AS VARCHAR) || ']', CAST(fu[i] AS VARCHAR)
-FROM g, range(1, 4) r(i) WHERE i <= len(fu)"""
+FROM g, range(1, 4) r(i) WHERE i <= len(fu)
+UNION ALL SELECT event_type || ' · pairs[' || CAST(i - 1 AS VARCHAR) || '] · user', CAST(fu[i] AS VARCHAR) FROM g, range(1, 4) r(i) WHERE i <= len(fu)
+UNION ALL SELECT event_type || ' · pairs[' || CAST(i - 1 AS VARCHAR) || '] · ranks[' || CAST(j AS VARCHAR) || ']', CAST(i - 1 + j AS VARCHAR)
+FROM g, range(1, 4) r(i), range(0, 2) s(j) WHERE i <= len(fu)"""
 
 
 @q("spec_summary")
@@ -320,4 +329,9 @@ SELECT * FROM (VALUES (0, FALSE, 'only a SELECT query is allowed', CAST(NULL AS
                       (4, FALSE, 'relation not allowed: [''orders'']', NULL, NULL, FALSE),
                       (5, FALSE, 'too long', NULL, NULL, FALSE)) t("case", ok, reason, returned, total, truncated)
 UNION ALL
-SELECT 6, TRUE, '', least(count(*), 200), count(*), count(*) > 200 FROM lineitem"""
+SELECT 6, TRUE, '', least(count(*), 200), count(*), count(*) > 200 FROM lineitem
+UNION ALL SELECT * FROM (VALUES (7, FALSE, 'function not allowed: [''reflect'']', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), FALSE),
+                                (8, FALSE, 'function not allowed: [''java_method'']', NULL, NULL, FALSE),
+                                (9, FALSE, 'function not allowed: [''try_reflect'']', NULL, NULL, FALSE),
+                                (10, FALSE, 'relation not allowed: [''parquet./data/other'']', NULL, NULL, FALSE),
+                                (11, TRUE, '', 1, 1, FALSE)) t("case", ok, reason, returned, total, truncated)"""

@@ -1,115 +1,141 @@
-"""Distributed global row numbering and exact rank statistics.
-
-No un-partitioned window is used: rows are range-partitioned on the order key
-(plus a tie-break so that even one hot value spreads across partitions), sorted
-inside each partition, and numbered as ``offset(partition) + local position``.
-Offsets come from one tiny per-partition count (one row per partition).
-
-Recomputation is deterministic (file scans, seeded range sampling, total
-order), so a lost executor re-derives exactly the same numbers.
+"""Distributed row numbers, running sums and exact quantiles that depend on
+values only.
+
+Rows are dealt into buckets of consecutive keys. The buckets' bounds are keys
+drawn by hash, fixed once as literals, so a row's bucket is a function of its
+values: a replanned or recomputed job deals it to the same one, and nothing has
+to stay cached. Inside a bucket a window counts or sums; a table with one row
+per bucket (and group) supplies what comes before. The number of buckets follows
+the number of rows, and a hash of the whole row ends every key that isn't
+unique, so one value with a third of the rows spreads over many buckets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_PID = "__mr_pid"
-
-# Persisted intermediate frames are kept in a small ring: the oldest is
-# unpersisted when a new one arrives. A frame used again after that is
-# recomputed, which gives identical results (deterministic order keys).
-_RING_SIZE = 6
-_RING: list = []
 
+#: Rows of a bucket, about, and keys drawn for each bound.
+BUCKET_ROWS = 500_000
+_DRAWN = 32
+
+
+def _col(name: str | Column) -> Column:
+    return F.col(f"`{name}`") if isinstance(name, str) else name
+
+
+def _dealt(df: DataFrame, keys: Sequence[str | Column], unique: bool, bucket_rows: int) -> tuple[DataFrame, list[Column], int]:
+    """``df`` with ``__k0 ...`` (the ordering key) and ``__bucket``; the key's
+    columns; and the number of buckets."""
+    key = [_col(k) for k in keys] + ([] if unique else [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])])
+    names = [f"__k{i}" for i in range(len(key))]
+    keyed = df.select("*", *[k.alias(n) for k, n in zip(key, names, strict=True)])
+    order = [F.col(n) for n in names]
+    rows = df.count()
+    n = max(1, math.ceil(rows / bucket_rows))
+    if n == 1:
+        return keyed.withColumn("__bucket", F.lit(0)), order, 1
+    types = [keyed.schema[c].dataType for c in names]
+    every = max(1, rows // (_DRAWN * n))
+    drawn = (keyed.select(*names).filter(F.pmod(F.xxhash64(*names, F.lit(1)), F.lit(every)) == 0).orderBy(*names).collect())
+    picked = sorted({len(drawn) * b // n for b in range(1, n)}) if drawn else []
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(drawn[i], types, names, strict=True)]) for i in picked]
+    if not bounds:
+        return keyed.withColumn("__bucket", F.lit(0)), order, 1
+    whole = F.struct(*order)
+    # two searches of about sqrt(n) comparisons
+    step = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i:i + step] for i in range(0, len(bounds), step)]
+    outer = F.size(F.filter(F.array(*[g[0] for g in groups]), lambda b: b <= whole))
+    inner = F.size(F.filter(F.element_at(F.array(*[F.array(*g) for g in groups]), F.greatest(outer, F.lit(1))), lambda b: b <= whole))
+    return keyed.withColumn("__bucket", F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * step + inner)), order, len(bounds) + 1
+
+
+def running_sum(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[str | Column], value: str | Column, out_col: str,
+                unique_key: bool = False, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add ``out_col``: the sum of ``value`` over the rows of the same group that
+    come before in ``order_by`` (ascending). Groups are compared with NULLs as
+    equal. Without group columns the whole table is one group."""
+    groups = list(group_cols)
+    valued = df.withColumn("__value", _col(value))
+    keyed, order, n = _dealt(valued, [*groups, *order_by], unique_key, bucket_rows)
+    inside = Window.partitionBy("__bucket", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    drop = [c for c in keyed.columns if c.startswith("__k")]
+    summed = keyed.withColumn("__inside", F.coalesce(F.sum("__value").over(inside), F.lit(0))).drop(*drop)
+    if n == 1:
+        return summed.withColumn(out_col, F.col("__inside")).drop("__bucket", "__inside", "__value")
+    # one row per bucket and group: a group's buckets, and buckets' groups, are neighbours
+    parts = keyed.groupBy("__bucket", *groups).agg(F.sum("__value").alias("__sum"))
+    before = Window.partitionBy(*[F.col(g) for g in groups]).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col("__bucket").alias("__b"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)],
+                          F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    same = F.col("__bucket") == F.col("__b")
+    for i, g in enumerate(groups):
+        same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"__g{i}"))
+    return (summed.join(starts, same).withColumn(out_col, F.col("__inside") + F.col("__before"))
+            .drop("__bucket", "__inside", "__value", "__b", "__before", *[f"__g{i}" for i in range(len(groups))]))
+
+
+def global_index(df: DataFrame, order_by: Sequence[str | Column], idx_col: str = "idx", unique_key: bool = False,
+                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Attach ``idx_col`` = 0..n-1 following ``order_by`` (ascending).
 
-def keep_persisted(df: DataFrame) -> DataFrame:
-    from pyspark import StorageLevel
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _RING.append(out)
-    while len(_RING) > _RING_SIZE:
-        _RING.pop(0).unpersist()
-    return out
-_MID = "__mr_mid"
-_TB = "__mr_tb"
+    ``unique_key=True`` states that ``order_by`` already is a total order;
+    otherwise rows with equal keys follow a hash of the whole row, and rows that
+    are equal throughout share out their numbers in any way.
+    """
+    return running_sum(df, [], order_by, F.lit(1).cast("long"), idx_col, unique_key, bucket_rows)
 
 
-def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+def rank_in_group(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[str | Column], rank_col: str = "rk",
+                  bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """0-based rank of each row inside its group following ``order_by``; rows
+    with equal keys follow a hash of the whole row. A hot group spreads over its
+    buckets. Rows with a NULL group key are dropped."""
+    base = df
+    for c in group_cols:
+        base = base.filter(F.col(f"`{c}`").isNotNull())
+    return running_sum(base, group_cols, order_by, F.lit(1).cast("long"), rank_col, False, bucket_rows)
 
 
-def global_index(df: DataFrame, order_by: Sequence[str | Column], idx_col: str = "idx",
-                 num_partitions: int | None = None, unique_key: bool = False,
-                 persist: bool = True) -> DataFrame:
-    """Attach ``idx_col`` = 0..n-1 following ``order_by`` (ascending).
-
-    ``unique_key=True`` states that ``order_by`` already is a total order;
-    otherwise a tie-break id taken from the input position is appended.
-    """
-    keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    src = df
-    if not unique_key:
-        src = src.withColumn(_TB, F.monotonically_increasing_id())
-        keys = keys + [F.col(_TB)]
-    n = _n_parts(df, num_partitions)
-    ranged = (src.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_MID, F.monotonically_increasing_id()))
-    if persist:
-        ranged = keep_persisted(ranged)
-    counts = ranged.groupBy(_PID).count().collect()  # one row per partition
-    offsets, run = [], 0
-    for row in sorted(counts, key=lambda r: r[0]):
-        offsets.append((int(row[0]), run))
-        run += int(row[1])
-    spark = df.sparkSession
-    off_df = spark.createDataFrame(
-        offsets, T.StructType([T.StructField(_PID, T.IntegerType()),
-                               T.StructField("__mr_off", T.LongType())]))
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
-    out = (ranged.join(F.broadcast(off_df), _PID)
-           .withColumn(idx_col, F.col("__mr_off") + local)
-           .drop(_PID, _MID, "__mr_off"))
-    if not unique_key:
-        out = out.drop(_TB)
-    return out
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str] = (),
+                    bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Linear-interpolated quantiles (numpy 'linear', DuckDB quantile_cont),
     exact, without sending a group to one task.
 
-    Rows are numbered globally in (group, value) order; a group's k-th value
-    sits at ``start(group) + k`` where ``start`` is the group's smallest index
-    (a distributed aggregate, no window). Output: ``group_cols..., p, n, q``.
-    Rows whose value or group is NULL are ignored.
+    Equal values are counted first (partial sums before the shuffle); a running
+    sum over the different values then tells which one holds the k-th row.
+    Output: ``group_cols..., p, n, q``. Rows whose value or group is NULL are
+    ignored.
     """
     g = list(group_cols)
-    base = df.select(*g, value)
-    for c in [*g, value]:
-        base = base.filter(F.col(c).isNotNull())
-    indexed = global_index(base, [*g, value], idx_col="__mr_i", num_partitions=num_partitions)
-    counts = indexed.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("__mr_i").alias("start"))
+    base = df.select(*g, F.col(value).alias("__x")).dropna()
+    counted = base.groupBy(*g, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    placed = running_sum(counted, g, ["__x"], "__c", "__at", unique_key=True, bucket_rows=bucket_rows)
+    totals = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
     plist = F.array(*[F.lit(float(p)) for p in probs])
-    need = (counts.withColumn("p", F.explode(plist))
-            .withColumn("pos", F.col("p") * (F.col("n") - 1))
-            .withColumn("lo", F.col("start") + F.floor("pos").cast("long"))
-            .withColumn("hi", F.col("start") + F.ceil("pos").cast("long")))
-    wanted = need.select(F.explode(F.array("lo", "hi")).alias("__mr_i")).distinct()
-    picked = indexed.join(wanted, "__mr_i").select("__mr_i", F.col(value).alias("v"))
-    lo = picked.select(F.col("__mr_i").alias("lo"), F.col("v").alias("v_lo"))
-    hi = picked.select(F.col("__mr_i").alias("hi"), F.col("v").alias("v_hi"))
-    frac = F.col("pos") - F.floor("pos")
-    return (need.join(lo, "lo").join(hi, "hi")
-            .select(*g, "p", "n", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("q")))
+    need = (totals.withColumn("p", F.explode(plist)).filter("n > 0").withColumn("__pos", F.col("p") * (F.col("n") - 1))
+            .withColumn("__lo", F.floor("__pos").cast("long")).withColumn("__hi", F.ceil("__pos").cast("long")))
+    wanted = F.collect_list(F.struct("p", "n", "__pos", "__lo", "__hi"))  # one per probability
+    if g:
+        joined = placed.join(need.groupBy(*g).agg(wanted.alias("__need")), g)
+    else:
+        rows = need.collect()  # one per probability
+        if not rows:
+            return need.select("p", "n", F.lit(None).cast("double").alias("q"))
+        joined = placed.withColumn("__need", F.array(*[F.struct(F.lit(r["p"]).alias("p"), F.lit(r["n"]).cast("long").alias("n"), F.lit(r["__pos"]).alias("__pos"),
+                                                              F.lit(r["__lo"]).cast("long").alias("__lo"), F.lit(r["__hi"]).cast("long").alias("__hi")) for r in rows]))
+    end = F.col("__at") + F.col("__c")
+    hit = F.filter("__need", lambda w: ((w["__lo"] >= F.col("__at")) & (w["__lo"] < end)) | ((w["__hi"] >= F.col("__at")) & (w["__hi"] < end)))
+    held = (joined.withColumn("__hits", hit).filter(F.size("__hits") > 0).select(*g, "__x", "__at", end.alias("__end"), F.explode("__hits").alias("w"))
+            .select(*g, "__x", "__at", "__end", "w.*"))
+    low = F.max(F.when((F.col("__lo") >= F.col("__at")) & (F.col("__lo") < F.col("__end")), F.col("__x")))
+    high = F.max(F.when((F.col("__hi") >= F.col("__at")) & (F.col("__hi") < F.col("__end")), F.col("__x")))
+    return (held.groupBy(*g, "p", "n", "__pos", "__lo").agg(low.alias("__l"), high.alias("__h"))
+            .select(*g, "p", "n", (F.col("__l") + (F.col("__h") - F.col("__l")) * (F.col("__pos") - F.col("__lo"))).alias("q")))
 
 
 def exact_quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
@@ -118,81 +144,8 @@ def exact_quantile_values(df: DataFrame, value: str, probs: Sequence[float]) ->
     return [rows.get(float(p)) for p in probs]
 
 
-def rank_in_group(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[str | Column],
-                  rank_col: str = "rk", num_partitions: int | None = None) -> DataFrame:
-    """0-based rank of each row inside its group following ``order_by``.
-
-    Unlike ``row_number().over(partitionBy(group))`` a hot group is not sent to
-    one task: rows are numbered globally in (group, order) order by range
-    partitions, and a group's first index (a distributed min per group) is
-    subtracted. Rows with a NULL group key are dropped.
-    """
-    g = list(group_cols)
-    base = df
-    for c in g:
-        base = base.filter(F.col(c).isNotNull())
-    keys = [F.col(c) for c in g] + [F.col(c) if isinstance(c, str) else c for c in order_by]
-    indexed = global_index(base, keys, idx_col="__mr_i", num_partitions=num_partitions)
-    starts = indexed.groupBy(*g).agg(F.min("__mr_i").alias("__mr_s"))
-    return (indexed.join(starts, g)
-            .withColumn(rank_col, F.col("__mr_i") - F.col("__mr_s"))
-            .drop("__mr_i", "__mr_s"))
-
-
-# Value columns with at most this many distinct values use Spark's hash-based
-# percentile (buffer = value->count map, bounded by the distinct count); wider
-# ones use the distributed sort above so no task holds a whole column/group.
-HASH_PERCENTILE_LIMIT = 100_000
-
-
-def quantiles_auto(df: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str] = (),
-                   distinct_estimate: int | None = None) -> DataFrame:
-    """Exact linear quantiles ``group..., p, n, q``; strategy chosen from a
-    one-pass distinct estimate of the value column."""
-    g = list(group_cols)
-    if distinct_estimate is None:
-        distinct_estimate = df.agg(F.approx_count_distinct(value)).first()[0] or 0
-    if distinct_estimate > HASH_PERCENTILE_LIMIT:
-        return exact_quantiles(df, value, probs, g)
-    base = df.select(*g, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    for c in g:
-        base = base.filter(F.col(c).isNotNull())
-    plist = [float(p) for p in probs]
-    agg = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n"),
-                               F.percentile("__v", F.array(*[F.lit(p) for p in plist])).alias("__qs"))
-    return agg.select(*g, "n", F.posexplode("__qs").alias("__i", "q")).select(
-        *g, F.element_at(F.array(*[F.lit(p) for p in plist]), F.col("__i") + 1).alias("p"), "n", "q")
-
-
-def cumulative_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cum",
-                   num_partitions: int | None = None) -> DataFrame:
-    """Running sum of ``value_col`` in ``order_col`` order (order values
-    unique), without a global window: range partitions compute local running
-    sums in Arrow batches, then each partition adds the total of the
-    partitions before it (one small row per partition)."""
-    import pandas as pd
-    n = _n_parts(df, num_partitions)
-    ranged = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
-    schema = T.StructType(df.schema.fields + [T.StructField("__mr_pid", T.IntegerType()),
-                                              T.StructField(out_col, T.DoubleType())])
-
-    def local(it):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        run = 0.0
-        for pdf in it:
-            cs = pdf[value_col].astype(float).cumsum() + run
-            if len(cs):
-                run = float(cs.iloc[-1])
-            yield pdf.assign(__mr_pid=pid, **{out_col: cs})
-
-    loc = keep_persisted(ranged.mapInPandas(local, schema=schema))
-    totals = sorted((int(r[0]), float(r[1] or 0.0)) for r in
-                    loc.groupBy("__mr_pid").agg(F.max(out_col)).collect())  # one row per partition
-    offs, acc = [], 0.0
-    for pid, tot in totals:
-        offs.append((pid, acc))
-        acc += tot
-    off_df = df.sparkSession.createDataFrame(offs, "__mr_pid int, __mr_off double")
-    return (loc.join(F.broadcast(off_df), "__mr_pid")
-            .withColumn(out_col, F.col(out_col) + F.col("__mr_off")).drop("__mr_pid", "__mr_off"))
+def cumulative_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cum", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Running sum of ``value_col`` in ``order_col`` order, the row itself
+    included (order values unique)."""
+    return (running_sum(df, [], [order_col], F.col(value_col).cast("double"), out_col, True, bucket_rows)
+            .withColumn(out_col, F.col(out_col) + F.col(value_col).cast("double")))

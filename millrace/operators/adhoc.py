@@ -1,12 +1,13 @@
 """Guarded ad-hoc query over a read-only view of a processed table.
 
 The user writes one Spark SQL SELECT over the view ``t``. Before running it
-the statement is parsed (not analysed) with the session's parser and
-refused when it is too long, is not a query, names another relation, or
-calls a function that is not a built-in (no UDFs). The query runs under a
-job group that is cancelled after a time limit; the result is capped at 200
-rows with the total and a truncated flag; success and failure both produce
-a lineage row.
+the statement is parsed (not analysed) with the session's parser and refused
+when it is too long, is not a query, reads a relation other than ``t`` or a
+name that its own WITH clause defines, or calls a function that is not on the
+list below: built-in functions reach the JVM, files and the session too. The
+query runs under a job group, cancelled after a time limit where one is given;
+the result is capped at 200 rows with the total and a truncated flag; success
+and failure both produce a lineage row.
 """
 
 from __future__ import annotations
@@ -21,18 +22,29 @@ from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 MAX_CHARS = 10_000
-TIME_LIMIT_SEC = 5.0
 ROW_CAP = 200
 VIEW = "t"
+#: Functions that compute on values and nothing else.
+ALLOWED_FUNCTIONS = frozenset("""
+abs acos any any_value approx_count_distinct array array_contains array_distinct array_join array_max array_min array_size array_sort asin atan avg
+bool_and bool_or bround cardinality cast cbrt ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr cos count count_if
+covar_pop covar_samp cume_dist current_date date_add date_diff date_format date_part date_sub date_trunc datediff day dayofmonth dayofweek dayofyear
+dense_rank element_at endswith every exp explode extract first first_value floor greatest hour if ifnull initcap instr isnan isnotnull isnull kurtosis lag
+last last_value lcase lead least left len length ln locate log log10 log2 lower lpad ltrim make_date max max_by mean median min min_by minute mod mode
+month months_between named_struct nanvl ntile nullif nvl nvl2 percent_rank percentile percentile_approx pmod position posexplode pow power quarter rank
+regexp_count regexp_extract regexp_like regexp_replace regr_r2 regr_slope replace reverse right rlike round row_number rpad rtrim second sequence sign
+sin size skewness slice sort_array split sqrt startswith std stddev stddev_pop stddev_samp struct substr substring sum tan timestampdiff to_date
+to_timestamp translate trim trunc try_cast try_divide try_to_number typeof ucase upper var_pop var_samp variance weekofyear when width_bucket window year
+""".split())
 # ---------------------------------------------------------------------------
 
 _NOT_QUERY = re.compile(r"(Command|Insert|CreateTable|CreateView|DropTable|DropView|Alter|SetCatalog|Cache|Uncache|"
                         r"Refresh|LoadData|Truncate|DeleteFrom|UpdateTable|MergeInto|ReplaceTable|AddJar|AddFile)")
 _RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
-_FUNCTION = re.compile(r"'([A-Za-z_][A-Za-z0-9_]*)\(")
+_FUNCTION = re.compile(r"'([A-Za-z_][A-Za-z0-9_.]*)\(")
 _TVF = re.compile(r"UnresolvedTableValuedFunction \[([^\]]*)\]")
-
-_BUILTINS: set[str] | None = None
+_WITH = re.compile(r"(?is)\s*with\b(?!\s+recursive\b)")
+_NAMED = re.compile(r"(?m)^[\s:+|-]*'?(?:CTE|UnresolvedWith) \[([^\]]*)\]")
 
 
 @dataclass
@@ -45,13 +57,6 @@ class GuardResult:
     lineage: DataFrame | None = None
 
 
-def builtin_functions(spark: SparkSession) -> set[str]:
-    global _BUILTINS
-    if _BUILTINS is None:
-        _BUILTINS = {r[0].split(".")[-1].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()}
-    return _BUILTINS
-
-
 def check_sql(spark: SparkSession, sql: str) -> str | None:
     """Reason the statement is refused, or None when it may run."""
     if len(sql) > MAX_CHARS:
@@ -65,19 +70,24 @@ def check_sql(spark: SparkSession, sql: str) -> str | None:
     if _NOT_QUERY.search(root) or any(_NOT_QUERY.search(line.strip().lstrip("+-: '")) for line in tree.splitlines()
                                       if line.strip().lstrip("+-: '")[:1].isupper()):
         return "only a SELECT query is allowed"
-    rels = {r.strip().strip("`").lower() for m in _RELATION.findall(tree) for r in m.split(",") if r.strip()}
-    if rels - {VIEW}:
-        return f"relation not allowed: {sorted(rels - {VIEW})}"
+    parts = [[p.strip().strip("`").lower() for p in m.split(",") if p.strip()] for m in _RELATION.findall(tree)]
+    named = {n.strip().strip("`").lower() for m in _NAMED.findall(tree) for n in m.split(",")}
+    if VIEW in named:
+        return f"{VIEW} can't be redefined"
+    # options end a relation's list; a name of several parts is never a view or a WITH name
+    rels = {".".join(p for p in r if p not in ("false", "true") and not p.startswith("[")) for r in parts}
+    if rels - named - {VIEW}:
+        return f"relation not allowed: {sorted(rels - named - {VIEW})}"
     if _TVF.search(tree):
         return "table-valued functions are not allowed"
     funcs = {f.lower() for f in _FUNCTION.findall(tree)}
-    bad = funcs - builtin_functions(spark)
+    bad = funcs - ALLOWED_FUNCTIONS
     if bad:
         return f"function not allowed: {sorted(bad)}"
     return None
 
 
-def guarded_query(df: DataFrame, sql: str, dataset_id: str = "dataset", time_limit: float = TIME_LIMIT_SEC,
+def guarded_query(df: DataFrame, sql: str, dataset_id: str = "dataset", time_limit: float | None = None,
                   count_total: bool = True) -> GuardResult:
     spark = df.sparkSession
     reason = check_sql(spark, sql)
@@ -86,21 +96,27 @@ def guarded_query(df: DataFrame, sql: str, dataset_id: str = "dataset", time_lim
         lin = spark.createDataFrame([(lid, dataset_id, "adhoc_query", "refused", reason)],
                                     "id string, dataset_id string, transformation_type string, status string, detail string")
         return GuardResult(False, reason, lineage=lin)
-    df.createOrReplaceTempView(VIEW)
+    view = f"{VIEW}_{uuid.uuid4().hex}"  # another call's view is another view
+    df.createOrReplaceTempView(view)
+    opening = _WITH.match(sql)
+    bound = f"WITH {VIEW} AS (SELECT * FROM {view})" + (f", {sql[opening.end():]}" if opening else f" {sql}")
     sc = spark.sparkContext
     group = f"millrace-adhoc-{lid[:12]}"
     sc.setJobGroup(group, "guarded ad-hoc query", interruptOnCancel=True)
-    timer = threading.Timer(time_limit, lambda: sc.cancelJobGroup(group))
-    timer.start()
+    timer = threading.Timer(time_limit, lambda: sc.cancelJobGroup(group)) if time_limit else None
+    if timer:
+        timer.start()
     try:
-        res = spark.sql(sql)
+        res = spark.sql(bound)
         head = res.limit(ROW_CAP + 1).collect()  # at most 201 rows reach the driver
         total = res.count() if (count_total and len(head) > ROW_CAP) else len(head)
         status, detail = "done", f"rows={total}"
     except Exception as e:  # noqa: BLE001 - failures are recorded in lineage
         head, total, status, detail = [], None, "failed", str(e).splitlines()[0][:200]
     finally:
-        timer.cancel()
+        if timer:
+            timer.cancel()
+        spark.catalog.dropTempView(view)
         sc.setLocalProperty("spark.jobGroup.id", None)
     lin = spark.createDataFrame([(lid, dataset_id, "adhoc_query", status, detail)],
                                 "id string, dataset_id string, transformation_type string, status string, detail string")

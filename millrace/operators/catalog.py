@@ -186,4 +186,6 @@ def snapshot_compare(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFr
 
 def lineage_chain(lineage: DataFrame, dataset_id: str) -> DataFrame:
     """Lineage of a dataset in application order."""
-    return lineage.filter(F.col("dataset_id") == dataset_id).orderBy("applied_at", "step_order")
+    order = [c for c in ("applied_at", "step_order") if c in lineage.columns]
+    own = lineage.filter(F.col("dataset_id") == dataset_id)
+    return own.orderBy(*order) if order else own

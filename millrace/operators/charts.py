@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.rowindex import global_index, quantiles_auto
+from millrace.functions.rowindex import exact_quantiles, global_index
 from millrace.functions.small import attach_row
 from millrace.operators.profile import (is_numeric_type, junk_columns, numeric_columns, value_of)
 
@@ -24,14 +24,17 @@ SCATTER_MAX_POINTS = 5000
 # ---------------------------------------------------------------------------
 
 
-def stride_sample(df: DataFrame, order_by: Sequence[str], max_rows: int = ROW_GUARD_MAX,
-                  target_rows: int = ROW_GUARD_TARGET, idx_col: str = "idx") -> DataFrame:
-    """B10 row guard: more than ``max_rows`` rows -> every (n // target)-th row
-    in ``order_by`` order, starting at row 0. Adds the row index."""
-    n = df.count()
-    stride = max(1, n // target_rows) if n > max_rows else 1
+def guard_stride(n_rows: int, max_rows: int = ROW_GUARD_MAX, target_rows: int = ROW_GUARD_TARGET) -> int:
+    """B10 row guard: the stride that leaves about ``target_rows`` of more than
+    ``max_rows`` rows, 1 for fewer. Callers choose whether to use it."""
+    return max(1, n_rows // target_rows) if n_rows > max_rows else 1
+
+
+def stride_sample(df: DataFrame, order_by: Sequence[str], every_nth: int = 1, idx_col: str = "idx") -> DataFrame:
+    """Every ``every_nth`` row in ``order_by`` order, starting at row 0; all
+    rows unless asked for less. Adds the row index."""
     idx = global_index(df, order_by, idx_col=idx_col, unique_key=True)
-    return idx.filter(F.col(idx_col) % stride == 0) if stride > 1 else idx
+    return idx.filter(F.col(idx_col) % every_nth == 0) if every_nth > 1 else idx
 
 
 # --- D9 -----------------------------------------------------------------------
@@ -63,7 +66,7 @@ def histogram_stats(df: DataFrame, column: str) -> dict:
               F.approx_count_distinct("x").alias("nd")).first()
     out = r.asDict()
     if out["n"]:
-        qs = {row["p"]: row["q"] for row in quantiles_auto(s, "x", [0.25, 0.75], distinct_estimate=out["nd"]).collect()}
+        qs = {row["p"]: row["q"] for row in exact_quantiles(s, "x", [0.25, 0.75]).collect()}
         out["q1"], out["q3"] = qs.get(0.25), qs.get(0.75)
     return out
 
@@ -111,7 +114,7 @@ def boxplot_by_label(df: DataFrame, target: str, label: str, top: int = BOX_TOP_
     labels = top_labels(df, label, top).select("label")
     data = (df.select(F.col(f"`{label}`").alias("label"), value_of(df, target).cast("double").alias("x"))
             .join(F.broadcast(labels), "label", "left_semi"))  # at most `top` rows: bounded broadcast
-    qs = quantiles_auto(data, "x", [0.0, 0.25, 0.5, 0.75, 1.0], ["label"])
+    qs = exact_quantiles(data, "x", [0.0, 0.25, 0.5, 0.75, 1.0], ["label"])
     pick = {p: F.max(F.when(F.col("p") == p, F.col("q"))) for p in (0.0, 0.25, 0.5, 0.75, 1.0)}
     return (qs.groupBy("label", "n")
             .agg(pick[0.0].alias("min"), pick[0.25].alias("q1"), pick[0.5].alias("median"),

@@ -24,51 +24,29 @@ def sample_head(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame
     return df.orderBy(*order_by).limit(n)
 
 
-def _leaves(dt: T.DataType, path: list, depth: int):
-    """(path, type) of every leaf reachable within the depth limit."""
-    if depth > FLATTEN_MAX_DEPTH:
-        return
-    if isinstance(dt, T.StructType):
-        for f in dt.fields:
-            yield from _leaves(f.dataType, path + [("field", f.name)], depth + 1)
-    elif isinstance(dt, T.ArrayType):
-        yield path + [("array", None)], dt.elementType, depth
-    else:
-        yield path, dt, depth
+def _leaves(value: Column, dtype: T.DataType, label: Column, depth: int, max_depth: int, max_items: int) -> Column:
+    """(label, value) of every leaf below ``value``, as one array column."""
+    none = F.array().cast("array<struct<label:string,value:string>>")
+    if depth > max_depth:
+        return none
+    if isinstance(dtype, T.StructType):
+        parts = [_leaves(value.getField(f.name), f.dataType, F.concat(label, F.lit(LABEL_SEP + f.name)), depth + 1, max_depth, max_items) for f in dtype.fields]
+        return F.concat(*parts) if parts else none
+    if isinstance(dtype, T.ArrayType):
+        nested = F.transform(F.slice(value, 1, max_items), lambda v, i: _leaves(
+            v, dtype.elementType, F.concat(label, F.lit("["), i.cast("string"), F.lit("]")), depth + 1, max_depth, max_items))
+        return F.coalesce(F.flatten(nested), none)
+    return F.array(F.struct(label.alias("label"), value.cast("string").alias("value")))
 
 
-def flatten_struct(df: DataFrame, label_col: str, value_col: str) -> DataFrame:
-    """every row's nested value (struct / array, depth <= 4, at most 50
-    array items) as (label, value) rows; labels join keys with ' · ' and
-    array positions as [i]; values as text; at most 200 rows per source row,
-    in schema order."""
-    dt = df.schema[value_col].dataType
-    parts = []
-    order = 0
-    for path, leaf_t, depth in _leaves(dt, [], 0):
-        expr: Column = F.col(value_col)
-        label = F.col(label_col).cast("string")
-        arr = None
-        for kind, name in path:
-            if kind == "field":
-                expr = expr.getField(name)
-                label = F.concat(label, F.lit(LABEL_SEP), F.lit(name))
-            else:
-                arr = expr
-        if arr is not None:
-            base = df.select(label.alias("__lbl"), F.posexplode(F.slice(arr, 1, FLATTEN_MAX_ITEMS)).alias("__i", "__v"))
-            part = base.select(F.concat(F.col("__lbl"), F.lit("["), F.col("__i").cast("string"), F.lit("]")).alias("label"),
-                               F.col("__v").cast("string").alias("value"),
-                               F.lit(order).alias("__o"), F.col("__i").alias("__j"))
-        else:
-            part = df.select(label.alias("label"), expr.cast("string").alias("value"), F.lit(order).alias("__o"),
-                             F.lit(0).alias("__j"))
-        parts.append(part.withColumn("__src", F.col("label")))
-        order += 1
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("label", "value")
+def flatten_struct(df: DataFrame, label_col: str, value_col: str, max_depth: int = FLATTEN_MAX_DEPTH,
+                   max_items: int = FLATTEN_MAX_ITEMS, max_rows: int = FLATTEN_MAX_ROWS) -> DataFrame:
+    """every row's nested value as (label, value) rows, in schema order, in
+    one pass: structs and arrays are gone into to ``max_depth``, arrays to
+    ``max_items`` items, and a source row gives ``max_rows`` rows at most. Labels
+    join keys with ' · ' and array positions as [i]; values are text."""
+    leaves = _leaves(F.col(f"`{value_col}`"), df.schema[value_col].dataType, F.col(f"`{label_col}`").cast("string"), 0, max_depth, max_items)
+    return df.select(F.explode(F.slice(leaves, 1, max_rows)).alias("r")).select("r.label", "r.value")
 
 
 def spec_summary(spec: Column) -> Column:

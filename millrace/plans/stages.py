@@ -129,8 +129,10 @@ def lineage_session(lineage: DataFrame, modules: DataFrame, steps: DataFrame) ->
     """Lineage rows of the session's module datasets, with the removed
     row count of outlier steps and whether the step was approved."""
     ds = modules.select(F.col("datalake_id").alias("dataset_id")).filter(F.col("dataset_id").isNotNull()).distinct()
-    removed = steps.select(F.col("order").alias("step_order"),
-                           (F.col("rows_before") - F.col("rows_after")).alias("removed_rows"))
-    return (lineage.join(ds, "dataset_id", "left_semi").join(removed, "step_order", "left")
+    keys = ["step_order"] + (["dataset_id"] if "dataset_id" in steps.columns else [])
+    if len(keys) == 1 and lineage.select("dataset_id").distinct().limit(2).count() > 1:
+        raise ValueError("steps of several datasets need a dataset_id")
+    removed = steps.select(F.col("order").alias("step_order"), *keys[1:], (F.col("rows_before") - F.col("rows_after")).alias("removed_rows"))
+    return (lineage.join(ds, "dataset_id", "left_semi").join(removed, keys, "left")
             .withColumn("approved", F.col("user_approval_id").isNotNull())
             .select("dataset_id", "step_order", "transformation_type", "source_column", "removed_rows", "approved"))

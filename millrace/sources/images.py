@@ -5,6 +5,7 @@ metadata-only image operations (A8, A12, C8, D4, B14, J8)."""
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -94,7 +95,7 @@ def scan_images(spark: SparkSession, root: str) -> DataFrame:
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     imgs = listing.filter(ext.isin(*IMAGE_EXTS))
     attrs = imgs.mapInPandas(_decode, schema=ATTR_SCHEMA)
-    rel = F.regexp_replace("path", r"^.*?" + root.split(":")[-1].replace(".", r"\.") + "/", "")
+    rel = F.regexp_replace("path", r"^.*?" + re.escape(root.split(":")[-1]) + "/", "")
     stem = F.regexp_replace("path", r"\.[^./]+$", "")
     txt = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
            .load(root).select(F.regexp_replace("path", r"\.[^./]+$", "").alias("__stem")).distinct()
@@ -106,8 +107,7 @@ def scan_images(spark: SparkSession, root: str) -> DataFrame:
                    F.coalesce("has_txt_label", F.lit(False)).alias("has_txt_label"), "error"))
     # the attribute table (one small row per file) feeds several aggregates:
     # keep it instead of re-opening every file for each of them
-    from millrace.functions.rowindex import keep_persisted
-    return keep_persisted(out)
+    return out.persist()
 
 
 def image_profile(scan: DataFrame, top: int = 5) -> DataFrame:

@@ -13,13 +13,10 @@ def rebalance(df: DataFrame, persist: bool = False) -> DataFrame:
     that already has at least as many partitions is left alone (no shuffle).
     ``persist=True`` keeps the rebalanced rows for the following passes; it
     only applies when a rebalance happened, i.e. when the input is small
-    relative to the cluster.
+    relative to the cluster. The caller releases them with ``unpersist()``.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= slots:
         return df
     out = df.repartition(slots)
-    if persist:
-        from millrace.functions.rowindex import keep_persisted
-        out = keep_persisted(out)
-    return out
+    return out.persist() if persist else out

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.rowindex import exact_quantiles, global_index, quantiles_auto, rank_in_group
+from millrace.functions.rowindex import cumulative_sum, exact_quantiles, global_index, rank_in_group
 from millrace.functions.scalars import try_to_double
 from millrace.operators import charts as C
 from millrace.operators import constraints as CN
@@ -33,6 +33,42 @@ def test_global_index_dense_with_hot_key(spark):
     assert sorted(r[0] for r in idx) == list(range(3000))
 
 
+@pytest.mark.parametrize("bucket_rows", [500_000, 100])
+def test_index_depends_on_values_only(spark, bucket_rows):
+    """Replanned twice, in other partitions, each row has the same number."""
+    rows = [(i, 7 if i % 3 == 0 else None if i % 50 == 1 else i % 900, f"s{i % 13}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, k long, s string")
+    one = {r["id"]: r["idx"] for r in global_index(df, ["k", "s"], bucket_rows=bucket_rows).collect()}
+    two = {r["id"]: r["idx"] for r in global_index(df.repartition(7), ["k", "s"], bucket_rows=bucket_rows).collect()}
+    assert one == two and sorted(one.values()) == list(range(3000))
+    ranked = sorted(rows, key=lambda r: one[r[0]])
+    keys = [(r[1] is not None, r[1] or 0, r[2]) for r in ranked]
+    assert keys == sorted(keys)
+
+
+def test_index_of_millions_after_releasing_caches(spark):
+    n = 3_000_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 1000).alias("k"))
+    idx = global_index(df, ["k"])
+    for _ in range(2):
+        spark.catalog.clearCache()
+        r = idx.agg(F.count_distinct("idx").alias("d"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+        assert (r["d"], r["lo"], r["hi"], r["n"]) == (n, 0, n - 1, n)
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(500)], "o long, v double")
+    for bucket_rows in (500_000, 60):
+        got = {r["o"]: r["cum"] for r in cumulative_sum(df, "o", "v", bucket_rows=bucket_rows).collect()}
+        assert got == {i: sum(float(j % 7) for j in range(i + 1)) for i in range(500)}
+
+
+def test_balance_keeps_rows_without_a_class(spark):
+    df = spark.createDataFrame([(i, "A" if i < 10 else "B" if i < 14 else None) for i in range(20)], "id long, c string")
+    got = X.balance_under(df, "c", ["id"]).groupBy("c").count().collect()
+    assert {r["c"]: r["count"] for r in got} == {"A": 4, "B": 4, None: 6}
+
+
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(42)
     g = np.where(rng.random(5000) < 0.34, "hot", rng.choice(["a", "b", "c"], 5000))
@@ -40,12 +76,12 @@ def test_exact_quantiles_match_numpy(spark):
     df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x}))
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
     got = {(r["g"], r["p"]): r["q"] for r in exact_quantiles(df, "x", probs, ["g"]).collect()}
-    hashed = {(r["g"], r["p"]): r["q"] for r in quantiles_auto(df, "x", probs, ["g"], distinct_estimate=10).collect()}
+    dealt = {(r["g"], r["p"]): r["q"] for r in exact_quantiles(df, "x", probs, ["g"], bucket_rows=300).collect()}
     for k in ("hot", "a", "b", "c"):
         exp = np.percentile(x[g == k], [p * 100 for p in probs])
         for p, e in zip(probs, exp):
             assert math.isclose(got[(k, p)], e, rel_tol=1e-12, abs_tol=1e-12)
-            assert math.isclose(hashed[(k, p)], e, rel_tol=1e-12, abs_tol=1e-12)
+            assert math.isclose(dealt[(k, p)], e, rel_tol=1e-12, abs_tol=1e-12)
 
 
 def test_rank_in_group(spark):
@@ -202,7 +238,7 @@ def test_mixed_dtype_first_rows(spark):
 
 
 def test_profile_pass_agrees_with_profile_columns(spark):
-    from conftest import SF_SMALL
+    from tests.conftest import SF_SMALL
     from millrace.checks.common import messy_lineitem
     df = messy_lineitem(spark, SF_SMALL)
     prof, mixed, imb = P.profile_pass(df)

@@ -9,7 +9,7 @@ import pandas as pd
 from millrace.operators.charts import auto_bin_count
 from millrace.operators.ml import clamp_params
 from millrace.operators.transforms import bounds_of
-from millrace.sources.files import audit_header_names, detect_encoding, probe_bytes, uniquify_headers
+from millrace.sources.files import detect_encoding, header_audit, probe_bytes, uniquify_headers
 from millrace.sources.images import fake_image_bytes, image_header
 from millrace.sources.workbook import parse_xlsx, write_xlsx
 
@@ -24,16 +24,14 @@ def test_uniquify_cases():
     assert uniquify_headers(uniquify_headers(names)[0])[0] == names
 
 
-def test_header_audit_buckets():
+def test_header_audit_buckets(spark):
     raw = ["A", "A", "A", "단위", "단위.1", "단위.2", "단위.3", ""]
     named = [c if c.strip() else f"__unnamed_{i}" for i, c in enumerate(raw)]
     names, _ = uniquify_headers(named)
-    a = audit_header_names(names)
-    assert len(a["dup_marked"]) == 2
-    assert a["unnamed_marked"] == ["__unnamed_7"]
-    assert len(a["dotn_upstream"]) == 3
-    assert audit_header_names(["0.02875", "0.025", "0.05"])["dotn_upstream"] == []
-    assert audit_header_names(["0", "0.1", "0.2"])["dotn_upstream"] == ["0.1", "0.2"]
+    headers = {"h": names, "numbers": ["0.02875", "0.025", "0.05"], "with base": ["0", "0.1", "0.2"]}
+    frame = spark.createDataFrame([(h, n) for h, ns in headers.items() for n in ns], "h string, name string")
+    got = {r["h"]: (r["n_dup"], r["n_unnamed"], r["n_dotn"]) for r in header_audit(frame, "h", "name").collect()}
+    assert got == {"h": (2, 1, 3), "numbers": (0, 0, 0), "with base": (0, 0, 2)}
 
 
 def test_encoding_probe_incremental_cut():
