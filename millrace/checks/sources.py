@@ -66,13 +66,13 @@ def _probe(spark, sf):
     S.write_csv(table(spark, sf, "customer").selectExpr("c_custkey", "concat(c_name, ' café') AS c_name").coalesce(1),
                 latin, encoding="ISO-8859-1")
     paths = [_customer_csv(spark, sf, "UTF-8"), _customer_csv(spark, sf, "MS949"), latin]
-    listed = None
-    for p in paths:
-        one = S.list_files(spark, p).select("path")
-        listed = one if listed is None else listed.unionByName(one)
-    pr = S.probe_files(spark, listed)
+    pr = S.probe_files(spark, paths, "*.csv")
     return pr.select(F.regexp_extract("path", r"customer-([A-Za-z0-9-]+)-[0-9a-f]+/", 1).alias("written_as"),
-                     "encoding", "headerless", F.size("header").alias("n_cols"), "n_bytes")
+                     "encoding", "headerless", F.size("header").alias("n_cols"), "open_quote")
+
+
+SQL["src_encoding_probe"] = """SELECT * FROM (VALUES ('UTF-8', 'utf-8-sig', FALSE, 5, FALSE), ('MS949', 'cp949', FALSE, 5, FALSE), ('latin1', 'latin1', FALSE, 2, FALSE))
+t(written_as, encoding, headerless, n_cols, open_quote) WHERE EXISTS (SELECT 1 FROM customer)"""
 
 
 @q("src_headerless")
@@ -97,6 +97,51 @@ SQL["src_csv_ms949"] = (f"SELECT c_custkey, c_name || ' {KOREAN}' AS c_name, CAS
                         "c_acctbal, c_mktsegment FROM customer")
 
 
+_NOTE = "'line one' || chr(10) || 'said \"yes\", twice'"
+
+
+@q("src_csv_mixed_folder")
+def _mixed_folder(spark, sf):
+    """One folder, nested, of UTF-8 and MS949 files with quoted line ends and
+    quotes; a data row that equals the header stays."""
+    def build():
+        root = _dir(spark, "customer-mixed")
+        c = table(spark, sf, "customer").selectExpr("CAST(c_custkey AS STRING) AS c_custkey", f"concat(c_name, ' {KOREAN}') AS c_name", _NOTE + " AS note")
+        head = spark.range(1).selectExpr("'c_custkey' AS c_custkey", "'c_name' AS c_name", "'note' AS note")
+        for part, charset in ((0, "UTF-8"), (1, "MS949")):
+            rows = c.filter(F.col("c_custkey").cast("long") % 2 == part)
+            (rows.unionByName(head) if part else rows).coalesce(2).write.option("header", "true").option("encoding", charset).option("escape", '"').csv(f"{root}/{charset}")
+        return root
+    return S.read_csv_safe(spark, _once(spark, sf, "customer-mixed", build), typed=False, pattern="*.csv")
+
+
+SQL["src_csv_mixed_folder"] = (f"SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ' {KOREAN}' AS c_name, {_NOTE} AS note FROM customer "
+                               "UNION ALL SELECT 'c_custkey', 'c_name', 'note'")
+
+
+@q("src_csv_reordered")
+def _reordered(spark, sf):
+    """Files whose headers have another order are refused, not misread."""
+    def build():
+        root = _dir(spark, "customer-reordered")
+        c = table(spark, sf, "customer").select("c_custkey", "c_name")
+        c.filter("c_custkey % 2 = 0").write.option("header", "true").csv(f"{root}/a")
+        c.filter("c_custkey % 2 = 1").select("c_name", "c_custkey").write.option("header", "true").csv(f"{root}/b")
+        return root
+    root = _once(spark, sf, "customer-reordered", build)
+    heads = S.probe_files(spark, root, "*.csv").select(F.concat_ws(",", "header").alias("header")).distinct()
+    try:
+        S.read_csv_safe(spark, root, pattern="*.csv")
+        refused = False
+    except ValueError:
+        refused = True
+    return heads.withColumn("refused", F.lit(refused))
+
+
+SQL["src_csv_reordered"] = ("SELECT CASE WHEN c_custkey % 2 = 0 THEN 'c_custkey,c_name' ELSE 'c_name,c_custkey' END AS header, TRUE AS refused "
+                            "FROM customer GROUP BY 1")
+
+
 # --- A4 / A5 -------------------------------------------------------------------
 HEADER_EXPRS = ["conv_id", "turn",
                 "CASE WHEN length(text) < 40 THEN '' WHEN turn >= 6 THEN concat(role, '.', CAST(turn - 5 AS STRING)) "
@@ -225,10 +270,13 @@ def _normalize(spark, sf):
     dst = _dir(spark, "normalized")
     df = S.read_csv_safe(spark, src, typed=False)
     S.write_csv(df, dst, encoding="UTF-8")
-    back = S.probe_files(spark, S.list_files(spark, dst).select("path"))
+    back = S.probe_files(spark, dst, "*.csv")
     return back.select("encoding", "headerless", F.size("header").alias("n_cols")).distinct()
 
 
+SQL["ingest_normalize"] = "SELECT DISTINCT 'utf-8-sig' AS encoding, FALSE AS headerless, 5 AS n_cols FROM customer"
+
+
 @q("sink_backup_pair")
 def _backup_pair(spark, sf):
     from millrace.sources.sinks import write_backup_pair

@@ -30,16 +30,16 @@ def export_diff(before: DataFrame, after: DataFrame, root: str | None = None) ->
     return removed, {"before": before, "after": after}
 
 
-def manifest_verify(spark: SparkSession, manifest: DataFrame, max_files: int = 24) -> DataFrame:
+def manifest_verify(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """One load record per manifest row (dataset, path, declared_encoding,
     declared_rows): exists, n_files, size, probed encodings, header
-    homogeneity over at most ``max_files`` files, and warnings."""
+    homogeneity over all files, and warnings."""
     rows = manifest.collect()  # one row per dataset in the manifest
     parts = []
     for r in rows:
         try:
             files = list_files(spark, r["path"])
-            probes = probe_files(spark, files.select("path").orderBy("path").limit(max_files))
+            probes = probe_files(spark, r["path"], "*.csv")
             agg = files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
             pagg = probes.agg(F.count_distinct(F.array_join("header", "\u001f")).alias("n_headers"),
                               F.array_join(F.array_sort(F.collect_set("encoding")), ",").alias("encodings"))

@@ -115,3 +115,25 @@ def test_constraint_resolution_and_gate(spark):
     approved = spark.createDataFrame([("fill_missing:a",)], "step_key string")
     gate = {r["operation"]: r["gate"] for r in approval_gate(plan, approved).collect()}
     assert gate == {"compute_stats": "run", "fill_missing": "run", "drop_column": "awaiting_approval"}
+
+
+def test_csv_is_not_misread(spark):
+    from millrace.sources.files import probe_files, read_csv_safe
+    d = tempfile.mkdtemp(prefix="mr-csv-")
+    late = "a,b\n" + "1,plain\n" * 12_000 + "2,한글\n"  # the first other character lies after 64 KiB
+    for name, text, codec in (("u.csv", "a,b\n1,\"two\nlines\"\na,b\n", "utf-8"), ("k.csv", late, "cp949")):
+        with open(os.path.join(d, name), "wb") as fh:
+            fh.write(text.encode(codec))
+    assert {r["encoding"] for r in probe_files(spark, d).collect()} == {"utf-8-sig", "cp949"}
+    df = read_csv_safe(spark, d, typed=False)
+    rows = [(r["a"], r["b"]) for r in df.collect()]
+    assert len(rows) == 12_003 and ("1", "two\nlines") in rows and ("a", "b") in rows and ("2", "한글") in rows
+    for bad in ({"encoding": "utf-8"}, {}):
+        if not bad:
+            with open(os.path.join(d, "z.csv"), "wb") as fh:
+                fh.write(b"b,a\n1,2\n")
+        try:
+            read_csv_safe(spark, d, **bad)
+            raise AssertionError("read what can't be read")
+        except ValueError:
+            pass
