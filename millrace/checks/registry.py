@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "charts", "plans", "catalog", "sources", "context", "ml", "misc"]
+MODULES = ["cleaning", "charts", "plans", "catalog", "sources", "context", "ml", "misc", "records"]
 
 
 def _mods():

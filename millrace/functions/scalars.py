@@ -99,3 +99,18 @@ def is_finite(c: str | Column) -> Column:
 def stable_id(*parts: str | Column) -> Column:
     """Deterministic, replayable identifier (sha-256 of the parts)."""
     return F.sha2(F.concat_ws("\u001f", *[col_of(p).cast("string") for p in parts]), 256)
+
+
+def iso_utc(ts: Column) -> Column:
+    """a timestamp as ISO text with microseconds; the session's zone is UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def parse_time(text: Column, patterns: tuple[str, ...] = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSX", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd")) -> Column:
+    """the timestamp of the first pattern that fits, else NULL."""
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in patterns])
+
+
+def utc_now() -> Column:
+    """the time the query began, as ISO text."""
+    return iso_utc(F.current_timestamp())

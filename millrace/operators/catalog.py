@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import try_to_double
@@ -189,3 +189,51 @@ def lineage_chain(lineage: DataFrame, dataset_id: str) -> DataFrame:
     order = [c for c in ("applied_at", "step_order") if c in lineage.columns]
     own = lineage.filter(F.col("dataset_id") == dataset_id)
     return own.orderBy(*order) if order else own
+
+
+def list_constraints(current: DataFrame, datalake_id: str | None = None) -> DataFrame:
+    """Constraints in force, of one entry or of all, by entry and column."""
+    own = current if datalake_id is None else current.filter(F.col("datalake_id") == datalake_id)
+    return own.orderBy("datalake_id", "column_name")
+
+
+def constraint_history(history: DataFrame, datalake_id: str | None = None, column_name: str | None = None) -> DataFrame:
+    """History of one constraint, one entry's or all, with ``version`` = 1 for
+    a constraint's oldest change."""
+    own = history
+    for name, wanted in (("datalake_id", datalake_id), ("column_name", column_name)):
+        own = own if wanted is None else own.filter(F.col(name) == wanted)
+    age = Window.partitionBy("datalake_id", "column_name").orderBy("approved_at", "history_id")  # one constraint's changes
+    return own.withColumn("version", F.row_number().over(age))
+
+
+def upsert_column(columns_meta: DataFrame, new: DataFrame) -> DataFrame:
+    """L2: replace or add single columns by (datalake_id, name); others stay."""
+    keys = ["datalake_id", "name"]
+    return columns_meta.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*columns_meta.columns))
+
+
+def dump_snapshot(tables: dict[str, DataFrame], keys: dict[str, list[str]], root: str) -> None:
+    """Every table below ``root``, its rows ordered by its keys, so that
+    two dumps of the same rows have them in the same order."""
+    for name, rows in tables.items():
+        rows.orderBy(*keys[name]).write.parquet(f"{root.rstrip('/')}/{name}")
+
+
+def restore_snapshot(spark, root: str, names: list[str]) -> dict[str, DataFrame]:
+    """The dumped tables, parents before children as in ``names``."""
+    return {name: spark.read.parquet(f"{root.rstrip('/')}/{name}") for name in names}
+
+
+def verify_snapshot(live: dict[str, DataFrame], dumped: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each table live and dumped, and rows that differ: ``table,
+    n_live, n_dump, n_differ``. Equal rows are counted, not paired."""
+    parts = None
+    for name, rows in live.items():
+        both = (rows.select(F.xxhash64(*rows.columns).alias("h"), F.lit(1).alias("l"), F.lit(0).alias("d"))
+                .unionByName(dumped[name].select(F.xxhash64(*rows.columns).alias("h"), F.lit(0).alias("l"), F.lit(1).alias("d"))))
+        one = both.groupBy("h").agg(F.sum("l").alias("l"), F.sum("d").alias("d")).agg(
+            F.coalesce(F.sum("l"), F.lit(0)).alias("n_live"), F.coalesce(F.sum("d"), F.lit(0)).alias("n_dump"),
+            F.coalesce(F.sum(F.abs(F.col("l") - F.col("d"))), F.lit(0)).alias("n_differ")).select(F.lit(name).alias("table"), "n_live", "n_dump", "n_differ")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts

@@ -374,3 +374,11 @@ def fallback_charts(spark: SparkSession, function_axis: str, modality: str) -> D
     out = [ct for ct in list(prim) + list(sec) if modality in CHART_MODALITIES.get(ct, ())][:FALLBACK_CHARTS]
     return spark.createDataFrame([(i + 1, ct, True) for i, ct in enumerate(out)],
                                  "rank int, chart_type string, fallback boolean")
+
+
+def order_by_ranking(steps: DataFrame, ranking: DataFrame, position: str = "position") -> DataFrame:
+    """Steps of every dataset in the order of an external ranking
+    (``operation, rank``); operations it lacks come last, equal ranks keep their
+    order. ``steps``: ``dataset_id, operation`` and a position. Adds ``order``."""
+    turn = Window.partitionBy("dataset_id").orderBy(F.col("rank").asc_nulls_last(), position)  # one plan's steps
+    return steps.join(ranking.select("operation", "rank"), "operation", "left").withColumn("order", F.row_number().over(turn))

@@ -61,3 +61,15 @@ def manifest_verify(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def read_processed(spark: SparkSession, root: str, dataset_id: str) -> DataFrame | None:
+    """A dataset's processed rows, or None where it has none yet. Any other
+    failure to read them is raised."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(f"{root.rstrip('/')}/{dataset_id}__processed.parquet")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
