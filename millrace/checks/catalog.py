@@ -470,7 +470,7 @@ SQL["constrainable_columns"] = (f"SELECT datalake_id, name, dtype, column_kind F
 
 @q("target_candidates")
 def _targets(spark, sf):
-    prof = P.profile_columns(table(spark, sf, "orders"))
+    prof = P.profile_columns(table(spark, sf, "orders"), approx=False)
     num = F.col("dtype").isin("integer", "float", "boolean")
     return prof.select("name", num.alias("regression_ok"), ((~num) | (F.col("n_unique") <= 10)).alias("classification_ok"))
 

@@ -42,7 +42,7 @@ MESSY_COLS = [("l_orderkey", "integer"), ("l_linenumber", "integer"), ("l_quanti
 # --- D1 ---------------------------------------------------------------------
 @q("profile_columns")
 def _profile_columns(spark, sf):
-    return P.profile_columns(messy_lineitem(spark, sf)).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    return P.profile_columns(messy_lineitem(spark, sf), approx=False).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 SQL["profile_columns"] = M + " " + " UNION ALL ".join(
@@ -54,7 +54,7 @@ SQL["profile_columns"] = M + " " + " UNION ALL ".join(
 @q("profile_numeric_only")
 def _profile_numeric_only(spark, sf):
     """B2: the profile restricted to numeric columns (slim metadata)."""
-    prof = P.profile_columns(messy_lineitem(spark, sf))
+    prof = P.profile_columns(messy_lineitem(spark, sf), approx=False)
     return (prof.filter(F.col("dtype").isin("integer", "float", "boolean"))
             .select("name", F.col("ordinal").cast("bigint").alias("ordinal"), "dtype", "null_count"))
 
@@ -95,7 +95,7 @@ ORDERS_COLS = [("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", Fals
 
 @q("compute_stats")
 def _stats(spark, sf):
-    return P.column_stats(table(spark, sf, "orders"))
+    return P.column_stats(table(spark, sf, "orders"), approx=False)
 
 
 SQL["compute_stats"] = " UNION ALL ".join(
@@ -114,7 +114,7 @@ CUSTOMER_COLS = [("c_custkey", "integer", True), ("c_name", "text", False), ("c_
 
 @q("eda_profile")
 def _eda(spark, sf):
-    p = P.eda_profile(table(spark, sf, "customer"))
+    p = P.eda_profile(table(spark, sf, "customer"), approx=False)
     return p.select("name", F.col("ordinal").cast("bigint").alias("ordinal"), "dtype", "n_rows", "null_count",
                     "n_unique", "is_numeric", F.round("range_min", 4).alias("range_min"),
                     F.round("range_max", 4).alias("range_max"), F.round("mean", 4).alias("mean"),

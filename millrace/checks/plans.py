@@ -313,9 +313,11 @@ SELECT n_before, n_after, round((n_before - n_after) * 1.0 / n_before, 4) AS los
 # --- J14 / D18 / D20 ----------------------------------------------------------------
 @q("run_plan")
 def _run(spark, sf):
+    """Statistics of the run's output, with exact distinct counts (the run itself
+    estimates them)."""
+    from millrace.operators.profile import column_stats
     df = rebalance(messy_lineitem(spark, sf), persist=True)
-    r = run_flagship(df)
-    return r.stats
+    return column_stats(run_flagship(df).output, approx=False)
 
 
 def _run_sql() -> str:

@@ -71,9 +71,10 @@ def _unpivot_one_row(agg_row: DataFrame, fields: list[tuple[str, list[tuple[str,
     return agg_row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = True) -> DataFrame:
     """Name, ordinal, dtype, n_rows, null_count, n_unique for every column,
-    in one aggregate. ``approx=True`` uses HyperLogLog distinct counts."""
+    in one aggregate. Distinct counts are HyperLogLog sketches unless
+    ``approx=False``, which shuffles every column's different values."""
     cols = list(columns) if columns is not None else df.columns
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
@@ -169,16 +170,17 @@ def class_imbalance(df: DataFrame, columns: Sequence[str] | None = None,
         "imbalanced", (F.col("n_classes") == 2) & (F.col("minority_ratio") < limit))
 
 
-def column_stats(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 3) -> DataFrame:
+def column_stats(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 3, approx: bool = True) -> DataFrame:
     """D5 compute_stats: count, mean, std (sample), min, max, unique per column,
-    rounded; text columns get count/unique only (mean/std/min/max NULL)."""
+    rounded; text columns get count/unique only (mean/std/min/max NULL). Distinct
+    counts as in ``profile_columns``."""
     cols = list(columns) if columns is not None else df.columns
     aggs = []
     for i, c in enumerate(cols):
         v = value_of(df, c)
         num = is_numeric_type(df.schema[c].dataType)
         x = v.cast("double") if num else None
-        aggs += [F.count(v).alias(f"c{i}"), F.count_distinct(v).alias(f"u{i}")]
+        aggs += [F.count(v).alias(f"c{i}"), (F.approx_count_distinct(v) if approx else F.count_distinct(v)).alias(f"u{i}")]
         if num:
             aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                      F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
@@ -200,24 +202,23 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, digits: in
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
-    """Top-k values per column by count (ties: value ascending). Each column's
-    top-k is a distributed TakeOrderedAndProject over its value counts (no
-    window that would send a high-cardinality column to one task); the rank
-    window then runs over at most k rows per column."""
-    from pyspark.sql import Window
-    parts = None
-    for c in columns:
-        vc = (value_counts(df, c).select(F.col("value").cast("string").alias("value"), F.col("count"))
-              .orderBy(F.desc("count"), F.asc("value")).limit(k)
-              .select(F.lit(c).alias("name"), "value", "count"))
-        parts = vc if parts is None else parts.unionByName(vc)
-    if parts is None:
+    """Top-k values per column by count (ties: value ascending), in one pass:
+    all columns' values are counted together (partial sums before the shuffle),
+    a column's counts are cut to k in each of many buckets of values, and the
+    rest, at most k per column and bucket, are ranked."""
+    if not columns:
         return df.sparkSession.createDataFrame([], "name string, value string, count bigint, rank int")
-    w = Window.partitionBy("name").orderBy(F.desc("count"), F.asc("value"))  # <= k rows per column
-    return parts.withColumn("rank", F.row_number().over(w))
+    from pyspark.sql import Window
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), value_of(df, c).cast("string").alias("value")) for c in columns]))
+    counts = (df.select(cells.alias("r")).select("r.*").filter(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count(F.lit(1)).alias("count")))
+    best = [F.desc("count"), F.asc("value")]
+    dealt = counts.withColumn("__b", F.pmod(F.xxhash64("value"), F.lit(256)))
+    few = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("name", "__b").orderBy(*best))).filter(F.col("__r") <= k)
+    return (few.drop("__b", "__r").withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(*best))).filter(F.col("rank") <= k)
+            .select("name", "value", "count", "rank"))
 
 
-def eda_profile(df: DataFrame, approx: bool = False) -> DataFrame:
+def eda_profile(df: DataFrame, approx: bool = True) -> DataFrame:
     """D1 plus numeric min/max/mean/std (sample) with NaN/Inf as NULL and
     the top-5 values of non-numeric columns as 'value:count' text."""
     prof = profile_columns(df, approx=approx)
