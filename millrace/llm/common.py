@@ -23,6 +23,9 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    # operators run in several jobs that hand on written tables: a finished job's
+    # shuffle files are of no more use
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

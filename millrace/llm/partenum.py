@@ -4,14 +4,18 @@ Sets are dealt into bands of similar size. In a band whose largest set has
 ``hi`` shingles, a similarity of at least ``s`` allows at most
 ``k = 2 * hi * (1 - s) / (1 + s)`` shingles that only one of two sets has. The
 shingle domain is cut into (k + 1) / 2 partitions of three parts each; in some
-partition two such sets differ in one part at most, so they share the signature
-of the other two. Signatures are the enumerated pairs of parts of every
-partition. Sets that share one are checked exactly.
+partition two such sets differ in one shingle at most, so they share the
+signature of the two parts that it isn't in. Signatures are the enumerated pairs
+of parts of every partition. Where a pair of parts is empty its signature would
+bring together all such sets: there the third part holds the whole partition,
+and its signatures with and without each one of its shingles stand in.
+
+Sets that share a signature are compared by sketches whose difference never
+exceeds the sets' own, and what passes is checked exactly.
 
 In a group of sets with the same signature each is checked against the smallest
 one. Only where that leaves a group in several components are the sets of
-different components compared with one another, by sketches whose difference
-never exceeds the sets' own; what passes is checked exactly again.
+different components compared with one another.
 """
 
 from __future__ import annotations
@@ -31,7 +35,8 @@ from millrace.llm.graph import components
 CHUNK_BYTES = 12 << 20
 #: Sets with one signature that one task compares at a time.
 BLOCK_SETS = 4096
-_BAND_STEPS = 3
+#: A band's largest size by its smallest, at most.
+_BAND_RATIO = 1.4
 _SALT = np.uint64(0x632BE59BD9B4E019)
 
 
@@ -44,7 +49,8 @@ class Bands:
         self._grow(1)
 
     def _grow(self, size: int) -> None:
-        ratio = (1 / self.similarity) ** _BAND_STEPS
+        steps = max(1, int(math.log(_BAND_RATIO) / math.log(1 / self.similarity)))
+        ratio = (1 / self.similarity) ** steps
         while self.lo[-1] <= size:
             self.lo.append(max(int(self.lo[-1] * ratio), self.lo[-1]) + 1)
 
@@ -118,19 +124,29 @@ def signatures(hashes: np.ndarray, at: np.ndarray, similarity: float) -> tuple[n
         begin = np.concatenate(([0], np.cumsum(3 * partitions)))
         cell = _cells(hashes[rows], np.repeat(3 * partitions, sizes[sets])) + np.repeat(begin[:-1], sizes[sets])
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
-        sums = np.zeros(begin[-1], np.uint64)
+        sums, held = np.zeros(begin[-1], np.uint64), np.bincount(cell, minlength=begin[-1]).reshape(-1, 3)
         sums[cell[starts]] = np.add.reduceat(mixed[rows], starts)
         sums = sums.reshape(-1, 3)
-        whole = sums.sum(axis=1)
+        whole, size = sums.sum(axis=1), held.sum(axis=1)
         owner = np.repeat(np.arange(len(sets)), partitions)
         place = (np.arange(len(owner)) - np.repeat(begin[:-1] // 3, partitions)).astype(np.uint64)
-        key = tk.mix(place * np.uint64(4) + (band[owner].astype(np.uint64) << np.uint64(40)))
+        key = tk.mix(place * np.uint64(8) + (band[owner].astype(np.uint64) << np.uint64(40)))
         one = k[owner] == 0  # no difference allowed: the whole set is the signature
         out.append(tk.mix(whole[one] + key[one]))
         of.append(sets[owner[one]])
         for j in range(3):
-            out.append(tk.mix(whole[~one] - sums[~one, j] + key[~one] + np.uint64(j + 1)))
-            of.append(sets[owner[~one]])
+            some = ~one & (held[:, j] < size)
+            out.append(tk.mix(whole[some] - sums[some, j] + key[some] + np.uint64(j + 1)))
+            of.append(sets[owner[some]])
+        # partitions held by one part, or empty: with and without each shingle
+        narrow = ~one & (held.max(axis=1) == size)
+        out.append(tk.mix(whole[narrow] + key[narrow] + np.uint64(4)))
+        of.append(sets[owner[narrow]])
+        partition = cell // 3
+        less = narrow[partition]
+        at_less = partition[less]
+        out.append(tk.mix(whole[at_less] - mixed[rows][less] + key[at_less] + np.uint64(4)))
+        of.append(sets[owner[at_less]])
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(out), np.concatenate(of)
@@ -203,13 +219,23 @@ def _group(key, table):
 
 
 def _sketch(hashes: np.ndarray) -> bytes:
-    """Sums (modulo 256) of the hashes in a power of two of cells: sets that
-    differ in d hashes differ in d cells at most."""
-    cells = 1 << max(0, (len(hashes) - 1).bit_length())
-    return np.bincount(_cells(hashes, np.full(len(hashes), cells)), weights=(hashes & np.uint64(255)).astype(np.float64), minlength=cells).astype(np.uint64).astype(np.uint8).tobytes()
+    """Whether each of a power of two of cells, three to six times as many as
+    hashes, holds an odd number of them, as bits: sets that differ in d hashes
+    differ in d bits at most, and in nearly as many unless d is large."""
+    cells = 1 << max(6, (3 * len(hashes)).bit_length())
+    return np.packbits(np.bincount(_cells(hashes, np.full(len(hashes), cells)), minlength=cells) & 1 == 1).tobytes()
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch as if it had ``size`` bytes of cells, in words of 64 bits."""
+    if len(sketch) > size:
+        odd = np.unpackbits(np.frombuffer(sketch, np.uint8)).reshape(8 * size, -1).sum(axis=1) & 1
+        sketch = np.packbits(odd == 1).tobytes()
+    return np.frombuffer(sketch, np.uint64)
 
 
 def _describe(size: int):
+    """Every row's node and size; the sketch of every node asked for."""
     def run(key, table, wanted):
         table = _ordered(table)
         hashes, at = shingle_sets(table["text"], size)
@@ -217,65 +243,111 @@ def _describe(size: int):
         same, sizes = _same_sets(hashes, at), np.diff(at)
         rows = (wanted["node"].to_numpy() - chunk).astype(np.int64)
         empty = len(rows) * [None]
-        sets = [hashes[at[i]:at[i + 1]] for i in rows]
         return pa.table([*[pa.concat_arrays([table[c].combine_chunks(), pa.array(empty, pa.int64())]) for c in ("doc_id", "text_key")],
                          pa.array(np.concatenate((chunk + same, chunk + rows)), pa.int64()), pa.array(np.concatenate((sizes, sizes[rows])), pa.int64()),
-                         pa.array([None] * len(sizes) + [s.tobytes() for s in sets], pa.binary()), pa.array([None] * len(sizes) + [_sketch(s) for s in sets], pa.binary())],
-                        names=["doc_id", "text_key", "node", "n", "hashes", "sketch"])
+                         pa.array([None] * len(sizes) + [_sketch(hashes[at[i]:at[i + 1]]) for i in rows], pa.binary())],
+                        names=["doc_id", "text_key", "node", "n", "sketch"])
+    return run
+
+
+def _sets(size: int):
+    """The shingle hashes of every node asked for."""
+    def run(key, table, wanted):
+        if not wanted.num_rows:
+            return pa.table({"node": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary())})
+        hashes, at = shingle_sets(_ordered(table)["text"], size)
+        nodes = wanted["node"].to_numpy()
+        rows = (nodes - (np.int64(key[0].as_py()) << 32)).astype(np.int64)
+        return pa.table({"node": pa.array(nodes, pa.int64()), "hashes": pa.array([hashes[at[i]:at[i + 1]].tobytes() for i in rows], pa.binary())})
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _asked(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("chunk", F.shiftright("node", 32).cast("int"))
+
+
+def _joined(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` with ``columns`` of both nodes, as ``a_...`` and ``b_...``."""
+    side = lambda s: sets.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+    return pairs.join(side("b"), "b").join(side("a"), "a")
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches don't rule out that the sets are similar."""
+    bands = Bands(similarity)
+
+    def run(batches):
+        for batch in batches:
+            total = batch["a_n"].to_numpy() + batch["b_n"].to_numpy()
+            allowed, keep = bands.allowed(total), []
+            for x, y, k in zip(batch["a_sketch"].to_pylist(), batch["b_sketch"].to_pylist(), allowed.tolist(), strict=True):
+                size = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) <= k)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return _joined(pairs, sketches, ["n", "sketch"]).mapInArrow(run, "a long, b long")
+
+
+def _verify(pairs: DataFrame, dealt: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs whose sets are similar enough, by exact intersection."""
-    one = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    other = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+    sets = materialize(dealt.groupBy("chunk").cogroup(_asked(pairs).groupBy("chunk")).applyInArrow(_sets(shingle), "node long, hashes binary"), "sets")
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch["ha"].to_pylist(), batch["hb"].to_pylist(), strict=True):
+            for x, y in zip(batch["a_hashes"].to_pylist(), batch["b_hashes"].to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both + 1e-9 >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return pairs.join(one, "b").join(other, "a").mapInArrow(run, "a long, b long")
+    return _joined(pairs, sets, ["hashes"]).mapInArrow(run, "a long, b long")
 
 
 def _across(similarity: float):
     bands = Bands(similarity)
 
     def run(key, table):
-        """Pairs of a probe and a resident of another component whose sketches
-        don't rule out that they are similar."""
-        nodes, comps, sizes = (table[c].to_numpy() for c in ("node", "component", "n"))
-        sketches = [np.frombuffer(s, np.uint8) for s in table["sketch"].to_pylist()]
-        cells = min(map(len, sketches))
-        level = np.stack([s.reshape(cells, -1).sum(axis=1, dtype=np.uint8) for s in sketches])
-        probe = table["probe"].to_numpy(zero_copy_only=False)
-        home = np.flatnonzero(~probe)
+        """Pairs of a probe and a resident of another component, in one block of
+        a signature's sets, whose sketches don't rule out that they are similar."""
+        nodes, comps, sizes, probe = (table[c].to_numpy(zero_copy_only=False) for c in ("node", "component", "n", "probe"))
+        sketches = table["sketch"].to_pylist()
+        signature, block = table["signature"].to_numpy(), table["block"].to_numpy()
+        order = np.lexsort((block, signature))
+        cuts = np.flatnonzero((np.diff(signature[order]) != 0) | (np.diff(block[order]) != 0)) + 1
         found = []
-        for i in np.flatnonzero(probe):
-            others = home[comps[home] != comps[i]]
-            near = (level[others] != level[i]).sum(axis=1) <= bands.allowed(sizes[others] + sizes[i])
-            found.append(np.stack((np.minimum(nodes[others], nodes[i]), np.maximum(nodes[others], nodes[i])), 1)[near])
+        for rows in np.split(order, cuts):
+            size = min(len(sketches[r]) for r in rows)
+            home = rows[~probe[rows]]
+            if not len(home):
+                continue
+            level = np.stack([_folded(sketches[r], size) for r in home])
+            for i in rows[probe[rows]]:
+                other = comps[home] != comps[i]
+                near = np.bitwise_count(level[other] ^ _folded(sketches[i], size)).sum(axis=1) <= bands.allowed(sizes[home[other]] + sizes[i])
+                hits = nodes[home[other][near]]
+                found.append(np.stack((np.minimum(hits, nodes[i]), np.maximum(hits, nodes[i])), 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
     return run
 
 
-def _missed(members: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, block_sets: int) -> DataFrame:
+def _missed(members: DataFrame, sketches: DataFrame, labels: DataFrame, similarity: float, block_sets: int) -> DataFrame:
     """Candidate pairs between components inside signature groups: all but the
-    largest component's sets are compared with the whole group, in blocks."""
+    largest component's sets are compared with the whole group, in blocks. Of
+    signatures with the same sets one is taken."""
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = named.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("c"))
-    split = (sizes.groupBy("signature").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("parts"))
-             .filter("parts > 1").select("signature", F.col("top.component").alias("main"), F.ceil(F.col("total") / block_sets).cast("int").alias("blocks")))
-    rows = (named.join(split, "signature").join(sets.select("node", "n", "sketch"), "node")
-            .withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    homes = rows.select("signature", F.col("home").alias("block"), "node", "component", "n", "sketch", F.lit(False).alias("probe"))
-    probes = rows.filter("component != main").select("signature", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-                                                     "node", "component", "n", "sketch", F.lit(True).alias("probe"))
-    return homes.unionByName(probes).groupBy("signature", "block").applyInArrow(_across(similarity), "a long, b long").distinct()
+    groups = (named.groupBy("signature").agg(F.count(F.lit(1)).alias("total"), F.bit_xor(F.xxhash64("node")).alias("sets"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+              .filter("lo != hi").groupBy("total", "sets").agg(F.min("signature").alias("signature")))
+    rows = materialize(named.join(groups.select("signature", "total"), "signature"), "mixed")
+    top = rows.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("signature").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    blocks = F.ceil(F.col("total") / block_sets).cast("int")
+    placed = (rows.join(top, "signature").join(sketches.select("node", "n", "sketch"), "node")
+              .withColumn("home", F.pmod(F.xxhash64("node"), blocks).cast("int")))
+    homes = placed.withColumn("block", F.col("home")).withColumn("probe", F.lit(False))
+    probes = placed.filter("component != main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("probe", F.lit(True))
+    n = max(1, rows.count() // block_sets)  # blocks that one task goes through one after another
+    dealt = (homes.unionByName(probes).select("signature", "block", "node", "component", "n", "sketch", "probe")
+             .withColumn("part", F.pmod(F.xxhash64("signature", "block"), F.lit(n))))
+    return dealt.groupBy("part").applyInArrow(_across(similarity), "a long, b long").distinct()
 
 
 def _classes(docs: DataFrame, shingle: int, similarity: float, chunk_bytes: int, block_sets: int, id_col: str, text_col: str) -> DataFrame:
@@ -288,16 +360,16 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, chunk_bytes: int,
     grouped = materialize(signed.repartition(n, "bucket").groupBy("bucket").applyInArrow(_group, "signature long, a long, b long"), "groups")
     pairs = grouped.filter("b >= 0").select("a", "b").distinct()
     members = grouped.filter("b < 0").select("signature", F.col("a").alias("node"))
-    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-              .withColumn("chunk", F.shiftright("node", 32).cast("int")))
-    described = materialize(dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(
-        _describe(shingle), "doc_id long, text_key long, node long, n long, hashes binary, sketch binary"), "sets")
-    sets, every = described.filter("hashes IS NOT NULL"), described.filter("hashes IS NULL").select("doc_id", "text_key", "node", "n")
-    links = materialize(_verify(pairs, sets, similarity), "links")
+    described = materialize(dealt.groupBy("chunk").cogroup(_asked(pairs).groupBy("chunk")).applyInArrow(
+        _describe(shingle), "doc_id long, text_key long, node long, n long, sketch binary"), "sketches")
+    sketches, every = described.filter("sketch IS NOT NULL"), described.filter("sketch IS NULL").select("doc_id", "text_key", "node", "n")
+    links = materialize(_verify(materialize(_possible(pairs, sketches, similarity), "possible"), dealt, shingle, similarity), "links")
     labels = components(links)
-    more = materialize(_verify(materialize(_missed(members, sets, labels, similarity, block_sets), "missed"), sets, similarity), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    missed = materialize(_missed(members, sketches, labels, similarity, block_sets), "missed")
+    if not missed.isEmpty():
+        more = materialize(_verify(missed, dealt, shingle, similarity), "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
     # sets without words stay alone: each of their rows is its own class
     named = every.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
