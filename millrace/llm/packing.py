@@ -13,6 +13,7 @@ import base64
 import functools
 import math
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -25,8 +26,6 @@ from millrace.llm.common import doc_rows, materialize
 
 #: Pieces packed together in one task's memory.
 GROUP_PIECES = 4096
-#: Different words whose ids one Python worker remembers.
-CACHED_WORDS = 250_000
 
 
 def vocabulary_path() -> str:
@@ -43,45 +42,9 @@ def _encoding(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class _Words(dict):
-    """Ids (little-endian unsigned 32-bit) of ``before`` + word, remembered.
-    None where a word isn't a whole number of the tokenizer's own words, that
-    is where it is empty or white space touches the blank at its border."""
-
-    def __init__(self, encoding, before: str):
-        self.encoding, self.before = encoding, before
-
-    def __missing__(self, word: str):
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        plain = word and not word[0].isspace() and not word[-1].isspace()
-        ids = self[word] = np.array(self.encoding.encode_ordinary(self.before + word), "<u4").tobytes() if plain else None
-        return ids
-
-
-class Tokenizer:
-    """Ids of whole texts. A blank between two characters that aren't white
-    space always begins a word of the tokenizer's pattern, so texts are cut
-    there and the parts' ids are looked up; texts that blanks don't cut cleanly
-    are encoded as they are. Strings of special tokens are ordinary text."""
-
-    def __init__(self, path: str):
-        self.encoding = _encoding(path)
-        self.head, self.rest = _Words(self.encoding, ""), _Words(self.encoding, " ")
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = text.split(" ")
-        try:
-            return self.head[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
-        except TypeError:
-            return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
-
-
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+def encode(path: str, text: str) -> array:
+    """Ids of a whole text; strings of special tokens are ordinary text."""
+    return array("I", _encoding(path).encode_ordinary(text))
 
 
 def token_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, end_id: int = 0,
@@ -98,16 +61,15 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None,
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
 
     def run(batches):
-        encode, closing = _tokenizer(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = defaultdict(list)
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = encode(text) + closing
-                total, at, piece = len(ids) // 4, 0, 0
+                ids = np.frombuffer(encode(path, text) + array("I", [end_id]), np.uint32).astype("<u4", copy=False)
+                total, at, piece = len(ids), 0, 0
                 step = total % capacity or capacity
                 while at < total:
-                    part = ids[4 * at:4 * (at + step)]
-                    row = (doc_id, piece, at, step, zlib.crc32(part), *([np.frombuffer(part, "<u4").tolist()] if keep_ids else []))
+                    part = ids[at:at + step]
+                    row = (doc_id, piece, at, step, zlib.crc32(part), *([part.tolist()] if keep_ids else []))
                     for k, v in enumerate(row):
                         out[k].append(v)
                     at, piece, step = at + step, piece + 1, capacity
