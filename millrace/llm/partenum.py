@@ -35,6 +35,8 @@ from millrace.llm.graph import components
 CHUNK_BYTES = 12 << 20
 #: Sets with one signature that one task compares at a time.
 BLOCK_SETS = 4096
+#: Blocks' worth of members that one task goes through.
+BLOCKS_A_TASK = 32
 #: A band's largest size by its smallest, at most.
 _BAND_RATIO = 1.4
 _SALT = np.uint64(0x632BE59BD9B4E019)
@@ -344,7 +346,7 @@ def _missed(members: DataFrame, sketches: DataFrame, labels: DataFrame, similari
               .withColumn("home", F.pmod(F.xxhash64("node"), blocks).cast("int")))
     homes = placed.withColumn("block", F.col("home")).withColumn("probe", F.lit(False))
     probes = placed.filter("component != main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("probe", F.lit(True))
-    n = max(1, rows.count() // block_sets)  # blocks that one task goes through one after another
+    n = max(1, rows.count() // (BLOCKS_A_TASK * block_sets))  # a task names each pair once, however many signatures it shares
     dealt = (homes.unionByName(probes).select("signature", "block", "node", "component", "n", "sketch", "probe")
              .withColumn("part", F.pmod(F.xxhash64("signature", "block"), F.lit(n))))
     return dealt.groupBy("part").applyInArrow(_across(similarity), "a long, b long").distinct()
