@@ -8,6 +8,8 @@ whose histograms say little, out of the comparison.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,11 @@ WHITE = " \t\n\x0b\f\r"
 #: (lower-case and uncased letters) make two more.
 CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{N}", "symbol": r"[#*$%&|<>]", "mark": r"[\p{P}\p{S}&&[^#*$%&|<>]]"}
 
-#: Distances above which a document is rejected, and the words it must have for
-#: either comparison.
+#: Distance of classes above which a document is rejected; for words, the share
+#: of the distance that a text without any listed word has; and the words a
+#: document must have for either comparison.
 MAX_CLASS_DISTANCE = 0.3
-MAX_WORD_DISTANCE = 0.8
+MAX_WORD_SHARE = 0.5
 MIN_CLASS_WORDS = 50
 MIN_WORD_WORDS = 200
 
@@ -102,7 +105,17 @@ def language_references(counts: DataFrame) -> DataFrame:
         return (counts.select("q_lang", F.posexplode(column).alias("k", "n")).groupBy("q_lang", "k").agg(F.sum("n").alias("n"))
                 .groupBy("q_lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias(column)))
     return summed("classes").join(summed("commons"), "q_lang", "left").select(
-        "q_lang", _shares(F.col("classes")).alias("_class_ref"), _shares(F.col("commons")).alias("_word_ref"))
+        "q_lang", _shares(F.col("classes")).alias("_class_ref"), _shares(F.col("commons")).alias("_word_ref")) \
+        .withColumn("_bare", F.when(F.size("_word_ref") > 0, js_distance(F.transform("_word_ref", lambda x, i: F.when(i == F.size("_word_ref") - 1, 1.0).otherwise(0.0)), F.col("_word_ref")))) \
+        .withColumn("_cells", F.size(F.filter("_word_ref", lambda x: x > 0)))
+
+
+def word_limit(share: float) -> Column:
+    """Word distance above which a document is rejected: ``share`` of the
+    distance ``_bare`` of a text without any listed word, and what drawing
+    ``n_words`` words from the reference itself is expected to add (squares add
+    up; the divergence of a draw is about (cells - 1) / (8 n ln 2))."""
+    return F.sqrt(F.pow(share * F.col("_bare"), F.lit(2.0)) + (F.col("_cells") - 1) / (8 * math.log(2) * F.col("n_words")))
 
 
 def _verdict(counts: DataFrame, references: DataFrame, limits: dict[str, float]) -> DataFrame:
@@ -114,12 +127,12 @@ def _verdict(counts: DataFrame, references: DataFrame, limits: dict[str, float])
     distances = joined.withColumn("class_distance", F.when(compared, js_distance(_shares(F.col("classes")), F.col("_class_ref")))) \
         .withColumn("word_distance", F.when(compared & (F.size("commons") > 0), js_distance(_shares(F.col("commons")), F.col("_word_ref"))))
     far = (((F.col("n_words") >= limits["min_class_words"]) & F.coalesce(F.col("class_distance") > limits["max_class_distance"], F.lit(False)))
-           | ((F.col("n_words") >= limits["min_word_words"]) & F.coalesce(F.col("word_distance") > limits["max_word_distance"], F.lit(False))))
+           | ((F.col("n_words") >= limits["min_word_words"]) & F.coalesce(F.col("word_distance") > word_limit(limits["max_word_share"]), F.lit(False))))
     return (distances.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
             .withColumn("kept", ~F.col("base_failed") & ~far))
 
 
-LIMITS = {"max_class_distance": MAX_CLASS_DISTANCE, "max_word_distance": MAX_WORD_DISTANCE, "min_class_words": MIN_CLASS_WORDS, "min_word_words": MIN_WORD_WORDS}
+LIMITS = {"max_class_distance": MAX_CLASS_DISTANCE, "max_word_share": MAX_WORD_SHARE, "min_class_words": MIN_CLASS_WORDS, "min_word_words": MIN_WORD_WORDS}
 
 
 def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: dict[str, list[str]] | None = None, **limits) -> DataFrame:
@@ -129,8 +142,8 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     ``base_failed``: fewer than 50 words, or more than half of the words in
     repeated 3-word windows. ``kept`` is false if ``base_failed``, or if a
     distance to the language's reference exceeds its limit (``LIMITS``, or
-    keyword arguments of the same names) in a document long enough for that
-    comparison. A distance is NULL where there is nothing to compare: no words,
+    keyword arguments of the same names; ``word_limit`` for words) in a document
+    long enough for that comparison. A distance is NULL where there is nothing to compare: no words,
     or for words a language without a list. NULL texts are empty (and fail); a
     NULL language counts as one of its own; ties and repeated rows are judged
     each; an empty table gives an empty result. Columns of the input named like

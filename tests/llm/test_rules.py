@@ -56,6 +56,24 @@ def test_quality_rejects_what_diverges(llm):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, g in got.items() if g["kept"]}
 
 
+def test_quality_rejects_other_languages_and_no_common_words(llm):
+    """Clean texts of all languages stay; the same under another language, and
+    with every listed word taken out, go."""
+    lists = {lang: set(w) for lang, w in quality.COMMON_WORDS.items()}
+    rows = llm.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("length(text) BETWEEN 2500 AND 60000").collect()
+    clean = [r for r in rows if not re.search(r"[#*$%&|<>]", r["text"]) and _counts(r["text"])[4] * 10 < len(words(r["text"]))
+             and sum(w.lower() in lists[r["lang"]] for w in words(r["text"])) * 8 > len(words(r["text"]))]
+    some = [r for lang in sorted(lists) for r in [r for r in clean if r["lang"] == lang][:8]]
+    other = {"de": "fr", "en": "de", "es": "fr", "fr": "es"}
+    wrong = [(100_000 + i, r["text"], other[r["lang"]]) for i, r in enumerate(some[::4])]
+    bare = [(200_000 + i, " ".join(w for w in words(r["text"]) if w.lower() not in lists[r["lang"]]), r["lang"]) for i, r in enumerate(some[::4])]
+    docs = llm.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in clean] + wrong + bare, "doc_id long, text string, lang string")
+    got = {g["doc_id"]: g for g in quality.quality_verdicts(docs).collect()}
+    assert len(some) >= 20 and len({r["lang"] for r in some}) == 4
+    assert all(got[r["doc_id"]]["kept"] for r in clean)
+    assert not any(got[x[0]]["base_failed"] or got[x[0]]["kept"] for x in wrong + bare)
+
+
 def test_quality_is_native(llm):
     plan = quality.quality_verdicts(llm.read.parquet(f"{SF_SMALL}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
