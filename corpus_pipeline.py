@@ -45,7 +45,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 2048 tokens."""
     prepare(spark)
-    return pack_documents(docs).drop("filled")
+    return pack_documents(docs, added_tokens=True).drop("filled")
 
 
 STAGES = [

@@ -26,6 +26,8 @@ from millrace.llm.common import doc_rows, materialize
 
 #: Pieces packed together in one task's memory.
 GROUP_PIECES = 4096
+#: Added tokens of ``byte_bpe_50k``.
+ADDED_TOKENS = {"<|endoftext|>": 50256}
 
 
 def vocabulary_path() -> str:
@@ -39,23 +41,26 @@ def _encoding(path: str):
     import tiktoken
     with open(path, "rb") as f:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED_TOKENS)
 
 
-def encode(path: str, text: str) -> array:
-    """Ids of a whole text; strings of special tokens are ordinary text."""
+def encode(path: str, text: str, added_tokens: bool = False) -> array:
+    """Ids of a whole text. With ``added_tokens`` their strings have their own
+    ids, as in the ``tokenizers`` library; otherwise they are ordinary text."""
+    if added_tokens and any(s in text for s in ADDED_TOKENS):
+        return array("I", _encoding(path).encode(text, allowed_special=set(ADDED_TOKENS), disallowed_special=()))
     return array("I", _encoding(path).encode_ordinary(text))
 
 
 def token_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, end_id: int = 0,
-                 keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Token ids of every whole text, closed by ``end_id``, cut where longer than
     ``capacity``: all pieces but the first then hold ``capacity`` ids.
 
     Returns per piece ``doc_id, piece, start, length, ids_crc32`` and, with
     ``keep_ids``, ``ids`` (array<long>). A NULL or empty text is one piece of one
     id; rows with the same id yield pieces each; other columns are ignored.
-    ``path`` must be readable on every executor (it is part of the install).
+    ``added_tokens``: see ``encode``. ``path`` must be readable on every executor (it is part of the install).
     """
     path = path or vocabulary_path()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
@@ -64,7 +69,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None,
         for batch in batches:
             out = defaultdict(list)
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = np.frombuffer(encode(path, text) + array("I", [end_id]), np.uint32).astype("<u4", copy=False)
+                ids = np.frombuffer(encode(path, text, added_tokens) + array("I", [end_id]), np.uint32).astype("<u4", copy=False)
                 total, at, piece = len(ids), 0, 0
                 step = total % capacity or capacity
                 while at < total:
@@ -247,6 +252,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GRO
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, path: str | None = None, keep_ids: bool = False,
-                   group_pieces: int = GROUP_PIECES) -> DataFrame:
+                   group_pieces: int = GROUP_PIECES, added_tokens: bool = False) -> DataFrame:
     """Tokenise ``docs`` and pack the pieces; see ``token_pieces`` and ``pack_pieces``."""
-    return pack_pieces(token_pieces(docs, capacity, path, keep_ids=keep_ids), capacity, group_pieces)
+    return pack_pieces(token_pieces(docs, capacity, path, keep_ids=keep_ids, added_tokens=added_tokens), capacity, group_pieces)

@@ -28,7 +28,7 @@ def _query(fn):
 def op1_pack(spark, sf_dir):
     """All documents in sequences of at most 2048 tokens."""
     from millrace.llm.packing import pack_documents
-    return pack_documents(table(spark, sf_dir, "documents")).drop("filled")
+    return pack_documents(table(spark, sf_dir, "documents"), added_tokens=True).drop("filled")
 
 
 @_query

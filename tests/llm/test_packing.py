@@ -51,6 +51,26 @@ def test_pack_documents(odd, tokenizer, group_pieces):
     assert len(sequences) <= (least + 1 if group_pieces > 1000 else 1.05 * least)
 
 
+def test_added_tokens(llm, tmp_path):
+    """The registered query's ids are the tokenizers library's with its default settings."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from millrace.llm.queries import QUERIES
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(5)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", " ", "  ", "\n", "a", " b", "it's", "'s", "<", ">", "é", "你", "12", "..."]
+    texts = ["a <|endoftext|> b", "<|endoftext|>"] + ["".join(rnd.choices(parts, k=rnd.randrange(12))) for _ in range(500)]
+    path = packing.vocabulary_path()
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(packing.encode(path, t, added_tokens=True)) for t in texts] == want and 50256 in want[0]
+    llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in QUERIES["op1_pack"](llm, str(tmp_path)).collect()}
+    assert got == {i: (len(w) + 1, zlib.crc32(np.array(w + [0], "<u4").tobytes())) for i, w in enumerate(want)}
+
+
 def _loads(bins, lengths):
     return sorted(int(lengths[b].sum()) for b in bins)
 
