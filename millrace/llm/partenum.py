@@ -14,8 +14,9 @@ Sets that share a signature are compared by sketches whose difference never
 exceeds the sets' own, and what passes is checked exactly.
 
 In a group of sets with the same signature each is checked against the smallest
-one. Only where that leaves a group in several components are the sets of
-different components compared with one another.
+one. Where that leaves a group of several blocks in several components, the
+smallest set outside the largest one is the next centre, as long as that saves a
+quarter of the comparisons left. Then sets of different components are compared with one another.
 """
 
 from __future__ import annotations
@@ -35,8 +36,14 @@ from millrace.llm.graph import components
 CHUNK_BYTES = 12 << 20
 #: Sets with one signature that one task compares at a time.
 BLOCK_SETS = 4096
-#: Blocks' worth of members that one task goes through.
+#: The same in bytes of sketches.
+BLOCK_BYTES = 16 << 20
+#: Blocks of probes that meet a block at a time.
+PROBE_BLOCKS = 4
+#: Blocks' worth of dealt rows, and their bytes of sketches, that one task goes
+#: through where signatures of one block lie together.
 BLOCKS_A_TASK = 32
+TASK_BYTES = 64 << 20
 #: A band's largest size by its smallest, at most.
 _BAND_RATIO = 1.4
 _SALT = np.uint64(0x632BE59BD9B4E019)
@@ -332,24 +339,58 @@ def _across(similarity: float):
     return run
 
 
-def _missed(members: DataFrame, sketches: DataFrame, labels: DataFrame, similarity: float, block_sets: int) -> DataFrame:
-    """Candidate pairs between components inside signature groups: all but the
-    largest component's sets are compared with the whole group, in blocks. Of
-    signatures with the same sets one is taken."""
+def _mixed(members: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
+    """``signature, node, component, n`` of signatures whose sets lie in several
+    components. Of signatures with the same sets one is taken."""
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = (named.groupBy("signature").agg(F.count(F.lit(1)).alias("total"), F.bit_xor(F.xxhash64("node")).alias("sets"), F.min("component").alias("lo"), F.max("component").alias("hi"))
               .filter("lo != hi").groupBy("total", "sets").agg(F.min("signature").alias("signature")))
-    rows = materialize(named.join(groups.select("signature", "total"), "signature"), "mixed")
-    top = rows.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("signature").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    blocks = F.ceil(F.col("total") / block_sets).cast("int")
-    placed = (rows.join(top, "signature").join(sketches.select("node", "n", "sketch"), "node")
-              .withColumn("home", F.pmod(F.xxhash64("node"), blocks).cast("int")))
-    homes = placed.withColumn("block", F.col("home")).withColumn("probe", F.lit(False))
-    probes = placed.filter("component != main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("probe", F.lit(True))
-    n = max(1, rows.count() // (BLOCKS_A_TASK * block_sets))  # a task names each pair once, however many signatures it shares
-    dealt = (homes.unionByName(probes).select("signature", "block", "node", "component", "n", "sketch", "probe")
-             .withColumn("part", F.pmod(F.xxhash64("signature", "block"), F.lit(n))))
-    return dealt.groupBy("part").applyInArrow(_across(similarity), "a long, b long").distinct()
+    return materialize(named.join(groups.select("signature"), "signature").join(sketches.select("node", "n"), "node"), "mixed")
+
+
+def _sized(rows: DataFrame, block_sets: int) -> DataFrame:
+    """Of every signature the largest component, the sets in all (``total``) and
+    outside it (``out``), an upper bound of a set's mean bytes of sketch, the
+    ``blocks`` of sets and the ``turns`` in which probes meet each."""
+    per = (rows.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") + 8).alias("w")).groupBy("signature")
+           .agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("total"), (F.sum("c") - F.max("c")).alias("out"), (F.sum("w") / F.sum("c")).alias("bytes")))
+    places = F.greatest(F.lit(1 / block_sets), F.col("bytes") / BLOCK_BYTES)  # blocks a set fills
+    return materialize(per.withColumn("blocks", F.ceil(F.col("total") * places).cast("int")).withColumn("turns", F.ceil(F.col("out") * places / PROBE_BLOCKS).cast("int")), "sized")
+
+
+def _work(sized: DataFrame) -> int:
+    """Comparisons that signatures of several blocks ask for."""
+    return int(sized.filter("blocks > 1").agg(F.sum(F.col("out").cast("double") * F.col("total"))).first()[0] or 0)
+
+
+def _recentred(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """Pairs of every set of a signature of several blocks and a new centre, the
+    smallest set outside the signature's largest component."""
+    large = rows.join(sized.filter("blocks > 1").select("signature", "main"), "signature")
+    centres = large.filter("component != main").groupBy("signature").agg(F.min(F.struct("node", "component")).alias("centre"))
+    return (large.join(centres, "signature").filter("component != centre.component")
+            .select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct())
+
+
+def _missed(rows: DataFrame, sized: DataFrame, sketches: DataFrame, similarity: float, block_sets: int) -> DataFrame:
+    """Candidate pairs between components inside signature groups: all but the
+    largest component's sets are compared with the whole group, a block of it
+    with a few blocks of probes at a time. What is dealt for one signature of
+    several blocks is a group for each such meeting; the other signatures are
+    put together by the rows and bytes dealt."""
+    dealt_rows = F.col("total") + F.col("out")
+    load = sized.filter("blocks = 1").agg(F.sum(dealt_rows).alias("r"), F.sum(dealt_rows * F.col("bytes")).alias("b")).first()
+    n = max(1, math.ceil(max((load["r"] or 0) / (BLOCKS_A_TASK * block_sets), (load["b"] or 0) / TASK_BYTES)))
+    placed = rows.join(sized, "signature").join(sketches.select("node", "sketch"), "node")
+    homes = (placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("probe", F.lit(False)))
+    probes = (placed.filter("component != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .withColumn("turn", F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")).cast("int")).withColumn("probe", F.lit(True)))
+    large = F.col("blocks") > 1
+    dealt = homes.unionByName(probes).select(
+        "signature", "block", "node", "component", "n", "sketch", "probe", F.when(large, F.col("signature")).otherwise(F.pmod(F.xxhash64("signature"), F.lit(n))).alias("part"),
+        F.when(large, F.col("block")).otherwise(-1).alias("part_block"), F.when(large, F.col("turn")).otherwise(-1).alias("part_turn"))
+    return dealt.groupBy("part", "part_block", "part_turn").applyInArrow(_across(similarity), "a long, b long").distinct()
 
 
 def _classes(docs: DataFrame, shingle: int, similarity: float, chunk_bytes: int, block_sets: int, id_col: str, text_col: str) -> DataFrame:
@@ -367,7 +408,20 @@ def _classes(docs: DataFrame, shingle: int, similarity: float, chunk_bytes: int,
     sketches, every = described.filter("sketch IS NOT NULL"), described.filter("sketch IS NULL").select("doc_id", "text_key", "node", "n")
     links = materialize(_verify(materialize(_possible(pairs, sketches, similarity), "possible"), dealt, shingle, similarity), "links")
     labels = components(links)
-    missed = materialize(_missed(members, sketches, labels, similarity, block_sets), "missed")
+    mixed = _mixed(members, sketches, labels)
+    sized = _sized(mixed, block_sets)
+    work, before = _work(sized), math.inf
+    while 0 < work <= 0.75 * before:
+        near = materialize(_possible(_recentred(mixed, sized), sketches, similarity), "possible")
+        more = None if near.isEmpty() else materialize(_verify(near, dealt, shingle, similarity), "links")
+        if more is None or more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = components(links)
+        mixed = _mixed(members, sketches, labels)
+        sized = _sized(mixed, block_sets)
+        work, before = _work(sized), work
+    missed = materialize(_missed(mixed, sized, sketches, similarity, block_sets), "missed")
     if not missed.isEmpty():
         more = materialize(_verify(missed, dealt, shingle, similarity), "links")
         if not more.isEmpty():

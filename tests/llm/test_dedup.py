@@ -142,6 +142,39 @@ def test_jaccard_chains(llm):
     assert as_counter(got) == Counter(_components(rows, 3, 0.9))
 
 
+def test_across_is_dealt_in_bounded_groups(llm, monkeypatch):
+    """300 unlinked sets of one signature, 16 a block: no task's group holds more
+    than a block and a few blocks of probes, and every pair meets."""
+    import numpy as np
+    import pyarrow as pa
+    members = llm.createDataFrame([(7, i) for i in range(300)], "signature long, node long")
+    sketches = llm.createDataFrame([(i, 10, bytes(8)) for i in range(300)], "node long, n long, sketch binary")
+    labels = llm.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+
+    def missed():
+        if hasattr(partenum, "_sized"):
+            mixed = partenum._mixed(members, sketches, labels)
+            return partenum._missed(mixed, partenum._sized(mixed, 16), sketches, 0.8, 16)
+        return partenum._missed(members, sketches, labels, 0.8, 16)
+    assert {(r["a"], r["b"]) for r in missed().collect()} == {(a, b) for b in range(300) for a in range(b)} - {(0, 1)}
+
+    def counted(_):
+        return lambda key, table: pa.table({"a": pa.array([table.num_rows], pa.int64()), "b": pa.array(np.zeros(1, np.int64))})
+    monkeypatch.setattr(partenum, "_across", counted)
+    assert max(r["a"] for r in missed().collect()) <= 3 * 5 * 16
+
+
+def test_across_starts_from_new_centres(llm):
+    """Two templates that share signatures and not a link: found whole with
+    blocks of three sets, as by plain comparison."""
+    base = [f"w{i}" for i in range(400)]
+    other = base[:60] + [f"v{i}" for i in range(340)]
+    rows = [(i, " ".join((base if i % 2 else other)[:390] + [f"u{i}"]), None, None, None) for i in range(40)]
+    docs = llm.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in partenum.near_duplicate_components(docs, 3, 0.8, block_sets=3).collect()}
+    assert got == {i: i % 2 for i in range(40)}
+
+
 def test_signatures_meet():
     """Any two similar enough sets of one size band share a signature."""
     import numpy as np
