@@ -128,3 +128,15 @@ def test_train_and_save_model(spark):
     assert m["accuracy"] > 0.8 and res["n_train"] + res["n_test"] == 400
     assert res["params"]["random_state"] == 42 and any("random_state" in n for n in res["notices"])
     assert RandomForestClassificationModel.load(path).numFeatures == len(res["features"])
+
+
+def test_csv_with_given_header_reads_every_file(spark, tmp_path):
+    """First lines all differ: the encodings and quoted line ends of every file
+    count, not those of a few groups."""
+    from millrace.sources.files import read_csv_safe
+    for i in range(40):
+        word, codec = ("한글자료", "cp949") if i % 8 == 3 else (f"w{i}", "utf-8")
+        (tmp_path / f"f{i:02}.csv").write_bytes(f"id{i},name{i}\n{i},{word}\n".encode(codec) + (b'100,"two\nlines"\n' if i == 21 else b""))
+    got = read_csv_safe(spark, str(tmp_path), headerless=False, header=["a", "b"], typed=False).collect()
+    want = [(str(i), "한글자료" if i % 8 == 3 else f"w{i}") for i in range(40)] + [("100", "two\nlines")]
+    assert sorted(map(tuple, got)) == sorted(want)
