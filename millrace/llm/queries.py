@@ -9,10 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import prepare
+from millrace.llm.oracles import SQL
 from millrace.session import table
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def _query(fn):
@@ -101,3 +103,27 @@ def op5_language(spark, sf_dir):
     """Language of every page, from its text, markup and address."""
     from millrace.llm.langid import fit, identify_languages
     return identify_languages(table(spark, sf_dir, "pages"), fit(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op11_divergence(spark, sf_dir):
+    """Distances between the sources of each language, and their own terms."""
+    from millrace.llm.divergence import source_divergence
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_codes(spark, sf_dir):
+    """Codes of all vectors, and a digest of the codebooks."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm.veccodes import encode_vectors
+    coded, books = encode_vectors(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+@_query
+def op13_decontaminate(spark, sf_dir):
+    """What every document shares with the benchmark."""
+    from millrace.llm.decontaminate import digests, find_contamination
+    return digests(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
