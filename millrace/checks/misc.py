@@ -60,6 +60,23 @@ REFUSED = [
     "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') FROM t",
     "SELECT * FROM parquet.`/data/other`",
     "WITH big AS (SELECT l_orderkey FROM t WHERE l_quantity > 49) SELECT count(*) AS n FROM big",
+    "SELECT " + ", ".join(f"l_orderkey AS c{i}" for i in range(30)) + ", reflect('java.lang.System', 'getProperty', 'user.home') AS x FROM t",
+    "SELECT TRANSFORM(l_orderkey) USING 'cat' AS (x string) FROM t",
+    "SELECT * FROM (SELECT TRANSFORM(l_orderkey) USING 'cat' AS (x string) FROM t) s",
+    "SELECT * FROM t WHERE l_orderkey IN (SELECT max(l_orderkey) FROM t WHERE l_tax = (SELECT java_method('java.lang.Math', 'random') FROM t LIMIT 1))",
+    "SELECT l_orderkey FROM t WHERE EXISTS (SELECT 1 FROM (SELECT 1 AS a FROM customer) c)",
+    "SELECT count(*) OVER (ORDER BY input_file_name()) FROM t",
+    "SELECT l_orderkey FROM IDENTIFIER('lineitem')",
+    "SELECT * FROM range(10)",
+    "WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r) SELECT * FROM r",
+    "SELECT * FROM (WITH orders AS (SELECT 1 AS a) SELECT * FROM orders) x, orders",
+    "WITH t AS (SELECT 1 AS a) SELECT * FROM t",
+    "SELECT * FROM t WITH (`header` = 'true')",
+    "SELECT * FROM t TABLESAMPLE (10 PERCENT)",
+    "SELECT transform(array(1, 2), x -> reflect('java.lang.Math', 'abs', x)) FROM t",
+    "SET spark.sql.shuffle.partitions = 1",
+    "WITH a AS (SELECT l_linenumber AS n, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS big FROM t), b AS (SELECT n, sum(big) * 2 - 1 AS k FROM a GROUP BY n HAVING count(*) > 0) "
+    "SELECT n, k, rank() OVER (ORDER BY k DESC) AS r FROM b WHERE k IN (SELECT max(k) FROM b) OR k BETWEEN -1 AND 100000000 UNION ALL SELECT 0, 0, 0 ORDER BY n LIMIT 5",
 ]
 
 
@@ -334,4 +351,21 @@ UNION ALL SELECT * FROM (VALUES (7, FALSE, 'function not allowed: [''reflect'']'
                                 (8, FALSE, 'function not allowed: [''java_method'']', NULL, NULL, FALSE),
                                 (9, FALSE, 'function not allowed: [''try_reflect'']', NULL, NULL, FALSE),
                                 (10, FALSE, 'relation not allowed: [''parquet./data/other'']', NULL, NULL, FALSE),
-                                (11, TRUE, '', 1, 1, FALSE)) t("case", ok, reason, returned, total, truncated)"""
+                                (11, TRUE, '', 1, 1, FALSE),
+                                (12, FALSE, 'function not allowed: [''reflect'']', NULL, NULL, FALSE),
+                                (13, FALSE, 'syntax not allowed: ScriptTransformation', NULL, NULL, FALSE),
+                                (14, FALSE, 'syntax not allowed: ScriptTransformation', NULL, NULL, FALSE),
+                                (15, FALSE, 'function not allowed: [''java_method'']', NULL, NULL, FALSE),
+                                (16, FALSE, 'relation not allowed: [''customer'']', NULL, NULL, FALSE),
+                                (17, FALSE, 'function not allowed: [''input_file_name'']', NULL, NULL, FALSE),
+                                (18, FALSE, 'syntax not allowed: PlanWithUnresolvedIdentifier', NULL, NULL, FALSE),
+                                (19, FALSE, 'table-valued functions are not allowed', NULL, NULL, FALSE),
+                                (20, FALSE, 'recursive queries are not allowed', NULL, NULL, FALSE),
+                                (21, FALSE, 'relation not allowed: [''orders'']', NULL, NULL, FALSE),
+                                (22, FALSE, 't can''t be redefined', NULL, NULL, FALSE),
+                                (23, FALSE, 'options are not allowed', NULL, NULL, FALSE),
+                                (24, FALSE, 'syntax not allowed: Sample', NULL, NULL, FALSE),
+                                (25, FALSE, 'function not allowed: [''reflect'']', NULL, NULL, FALSE),
+                                (26, FALSE, 'only a SELECT query is allowed', NULL, NULL, FALSE)) t("case", ok, reason, returned, total, truncated)
+UNION ALL
+SELECT 27, TRUE, '', least(5, count(DISTINCT l_linenumber) + 1), least(5, count(DISTINCT l_linenumber) + 1), FALSE FROM lineitem"""
