@@ -65,12 +65,12 @@ FROM orders WHERE o_orderpriority IN (SELECT label FROM top) AND o_totalprice IS
 @q("boxplot_by_label_wide")
 def _box_wide(spark, sf):
     """Quartiles of a high-cardinality column per label."""
-    from millrace.functions import rowindex as R
+    from millrace.functions.quantiles import exact_quantiles
     li = table(spark, sf, "lineitem")
     labels = C.top_labels(li, "l_returnflag", 30).select("label")
     data = li.select(F.col("l_returnflag").alias("label"), F.col("l_extendedprice").alias("x")).join(
         F.broadcast(labels), "label", "left_semi")
-    qs = R.exact_quantiles(data, "x", [0.0, 0.25, 0.5, 0.75, 1.0], ["label"])
+    qs = exact_quantiles(data, "x", [0.0, 0.25, 0.5, 0.75, 1.0], ["label"])
     return qs.select("label", "p", "n", F.round("q", 4).alias("q"))
 
 

@@ -1,151 +1,138 @@
-"""Distributed row numbers, running sums and exact quantiles that depend on
-values only.
-
-Rows are dealt into buckets of consecutive keys. The buckets' bounds are keys
-drawn by hash, fixed once as literals, so a row's bucket is a function of its
-values: a replanned or recomputed job deals it to the same one, and nothing has
-to stay cached. Inside a bucket a window counts or sums; a table with one row
-per bucket (and group) supplies what comes before. The number of buckets follows
-the number of rows, and a hash of the whole row ends every key that isn't
-unique, so one value with a third of the rows spreads over many buckets.
+"""Distributed row numbers, in-group ranks and running sums over a table that is
+written once in order.
+
+Rows are dealt by range on the ordering key, sorted inside their partition and
+written as Parquet to the shared folder, each with its partition and its place
+there. A row's number is then the rows of all earlier partitions plus that place:
+one small table with a row per partition holds the first part. What was written
+is fixed, so a replanned or recomputed job gives the same numbers; nothing is
+collected, and no bound or list that grows with the rows enters a plan. The
+number of partitions is Spark's (``spark.sql.shuffle.partitions``, joined by
+adaptive execution where they are small). A hash of the whole row ends each key
+that isn't unique, so one value with a third of the rows spreads over many
+partitions; rows that are equal throughout lie in one.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a bucket, about, and keys drawn for each bound.
-BUCKET_ROWS = 500_000
-_DRAWN = 32
+from millrace.session import scratch_path
+
+#: ``monotonically_increasing_id`` numbers a partition's rows in the lower bits.
+_PLACE_BITS = 33
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def _col(name: str | Column) -> Column:
-    return F.col(f"`{name}`") if isinstance(name, str) else name
-
-
-def _dealt(df: DataFrame, keys: Sequence[str | Column], unique: bool, bucket_rows: int) -> tuple[DataFrame, list[Column], int]:
-    """``df`` with ``__k0 ...`` (the ordering key) and ``__bucket``; the key's
-    columns; and the number of buckets."""
-    key = [_col(k) for k in keys] + ([] if unique else [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])])
-    names = [f"__k{i}" for i in range(len(key))]
-    keyed = df.select("*", *[k.alias(n) for k, n in zip(key, names, strict=True)])
-    order = [F.col(n) for n in names]
-    rows = df.count()
-    n = max(1, math.ceil(rows / bucket_rows))
-    if n == 1:
-        return keyed.withColumn("__bucket", F.lit(0)), order, 1
-    types = [keyed.schema[c].dataType for c in names]
-    every = max(1, rows // (_DRAWN * n))
-    drawn = (keyed.select(*names).filter(F.pmod(F.xxhash64(*names, F.lit(1)), F.lit(every)) == 0).orderBy(*names).collect())
-    picked = sorted({len(drawn) * b // n for b in range(1, n)}) if drawn else []
-    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(drawn[i], types, names, strict=True)]) for i in picked]
-    if not bounds:
-        return keyed.withColumn("__bucket", F.lit(0)), order, 1
-    whole = F.struct(*order)
-    # two searches of about sqrt(n) comparisons
-    step = max(1, math.isqrt(len(bounds)))
-    groups = [bounds[i:i + step] for i in range(0, len(bounds), step)]
-    outer = F.size(F.filter(F.array(*[g[0] for g in groups]), lambda b: b <= whole))
-    inner = F.size(F.filter(F.element_at(F.array(*[F.array(*g) for g in groups]), F.greatest(outer, F.lit(1))), lambda b: b <= whole))
-    return keyed.withColumn("__bucket", F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * step + inner)), order, len(bounds) + 1
-
-
-def running_sum(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[str | Column], value: str | Column, out_col: str,
-                unique_key: bool = False, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Add ``out_col``: the sum of ``value`` over the rows of the same group that
-    come before in ``order_by`` (ascending). Groups are compared with NULLs as
-    equal. Without group columns the whole table is one group."""
-    groups = list(group_cols)
-    valued = df.withColumn("__value", _col(value))
-    keyed, order, n = _dealt(valued, [*groups, *order_by], unique_key, bucket_rows)
-    inside = Window.partitionBy("__bucket", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    drop = [c for c in keyed.columns if c.startswith("__k")]
-    summed = keyed.withColumn("__inside", F.coalesce(F.sum("__value").over(inside), F.lit(0))).drop(*drop)
-    if n == 1:
-        return summed.withColumn(out_col, F.col("__inside")).drop("__bucket", "__inside", "__value")
-    # one row per bucket and group: a group's buckets, and buckets' groups, are neighbours
-    parts = keyed.groupBy("__bucket", *groups).agg(F.sum("__value").alias("__sum"))
-    before = Window.partitionBy(*[F.col(g) for g in groups]).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(F.col("__bucket").alias("__b"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)],
-                          F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    same = F.col("__bucket") == F.col("__b")
-    for i, g in enumerate(groups):
-        same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"__g{i}"))
-    return (summed.join(starts, same).withColumn(out_col, F.col("__inside") + F.col("__before"))
-            .drop("__bucket", "__inside", "__value", "__b", "__before", *[f"__g{i}" for i in range(len(groups))]))
-
-
-def global_index(df: DataFrame, order_by: Sequence[str | Column], idx_col: str = "idx", unique_key: bool = False,
-                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    return quoted(name) if isinstance(name, str) else name
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, f"{tag}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of all columns; maps, which Spark doesn't hash, as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(quoted(f.name))) if _holds_map(f.dataType) else quoted(f.name) for f in df.schema.fields])
+
+
+def _running(value_type: pa.DataType):
+    """Per row of a sorted partition, the sum of ``v`` over the earlier rows of
+    the same group (rows of a group are neighbours; ``g`` tells groups apart)."""
+    def run(batches):
+        group, total = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch["g"].to_numpy(zero_copy_only=False)
+            v = batch["v"].fill_null(0).to_numpy(zero_copy_only=False)
+            heads = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1))
+            before = np.concatenate(([0], np.cumsum(v)))
+            off = before[heads]
+            if group is not None and g[0] == group:
+                off[0] -= total
+            sums = before[:-1] - np.repeat(off, np.diff(np.append(heads, len(v))))
+            group, total = g[-1], sums[-1] + v[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, value_type)], names=[*batch.schema.names, "s"])
+    return run
+
+
+def running_sum(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[str | Column], value: str | Column | None, out_col: str,
+                unique_key: bool = False) -> DataFrame:
+    """Add ``out_col``: the sum of ``value`` (rows, if None) over the rows of the
+    same group that come before in ``order_by`` (ascending). Groups are compared
+    with NULLs as equal, and told apart by 64-bit hashes where they are
+    neighbours. Without group columns the whole table is one group. NULL values
+    count as 0; an empty table stays empty."""
+    groups = [quoted(g) for g in group_cols]
+    names = [f"c{i}" for i in range(len(df.columns))]
+    key = [*groups, *[_col(k) for k in order_by], *([] if unique_key else [row_hash(df)])]
+    keys = [f"k{i}" for i in range(len(key))]
+    counted = value is None
+    v = F.lit(1).cast("long") if counted else _col(value)
+    v = v.cast("double") if not counted and df.select(v.alias("v")).schema[0].dataType in (T.FloatType(), T.DoubleType()) else v.cast("long")
+    keyed = df.select(*[quoted(c).alias(n) for c, n in zip(df.columns, names, strict=True)], *[k.alias(n) for k, n in zip(key, keys, strict=True)],
+                      (F.xxhash64(*groups) if groups else F.lit(0).cast("long")).alias("g"), v.alias("v"))
+    dealt = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys).withColumn("place", F.monotonically_increasing_id())
+    if counted and not groups:  # the place is the sum
+        stored = dealt.withColumn("s", F.col("place").bitwiseAND((1 << _PLACE_BITS) - 1))
+    else:
+        double = isinstance(dealt.schema["v"].dataType, T.DoubleType)
+        fields = [*dealt.schema.fields, T.StructField("s", T.DoubleType() if double else T.LongType())]
+        stored = dealt.mapInArrow(_running(pa.float64() if double else pa.int64()), T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+    table = written(stored.withColumn("part", F.shiftright("place", _PLACE_BITS).cast("int")).drop("place"), "ordered")
+    parts = table.groupBy("part", "g").agg(F.sum("v").alias("v"))
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # only the group that opens a partition has rows in earlier ones: at most one row each
+    carried = written(parts.select("part", "g", F.sum("v").over(before).alias("carry")).filter(F.col("carry").isNotNull()), "carried")
+    joined = table.join(carried, ["part", "g"], "left")
+    return joined.select(*[F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)], (F.col("s") + F.coalesce("carry", F.lit(0))).alias(out_col))
+
+
+def global_index(df: DataFrame, order_by: Sequence[str | Column], idx_col: str = "idx", unique_key: bool = False) -> DataFrame:
     """Attach ``idx_col`` = 0..n-1 following ``order_by`` (ascending).
 
     ``unique_key=True`` states that ``order_by`` already is a total order;
     otherwise rows with equal keys follow a hash of the whole row, and rows that
     are equal throughout share out their numbers in any way.
     """
-    return running_sum(df, [], order_by, F.lit(1).cast("long"), idx_col, unique_key, bucket_rows)
+    return running_sum(df, [], order_by, None, idx_col, unique_key)
 
 
-def rank_in_group(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[str | Column], rank_col: str = "rk",
-                  bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def rank_in_group(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[str | Column], rank_col: str = "rk") -> DataFrame:
     """0-based rank of each row inside its group following ``order_by``; rows
-    with equal keys follow a hash of the whole row. A hot group spreads over its
-    buckets. Rows with a NULL group key are dropped."""
-    base = df
+    with equal keys follow a hash of the whole row. A hot group spreads over
+    partitions. Rows with a NULL group key are dropped."""
     for c in group_cols:
-        base = base.filter(F.col(f"`{c}`").isNotNull())
-    return running_sum(base, group_cols, order_by, F.lit(1).cast("long"), rank_col, False, bucket_rows)
+        df = df.filter(quoted(c).isNotNull())
+    return running_sum(df, group_cols, order_by, None, rank_col)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str] = (),
-                    bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Linear-interpolated quantiles (numpy 'linear', DuckDB quantile_cont),
-    exact, without sending a group to one task.
-
-    Equal values are counted first (partial sums before the shuffle); a running
-    sum over the different values then tells which one holds the k-th row.
-    Output: ``group_cols..., p, n, q``. Rows whose value or group is NULL are
-    ignored.
-    """
-    g = list(group_cols)
-    base = df.select(*g, F.col(value).alias("__x")).dropna()
-    counted = base.groupBy(*g, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    placed = running_sum(counted, g, ["__x"], "__c", "__at", unique_key=True, bucket_rows=bucket_rows)
-    totals = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
-    plist = F.array(*[F.lit(float(p)) for p in probs])
-    need = (totals.withColumn("p", F.explode(plist)).filter("n > 0").withColumn("__pos", F.col("p") * (F.col("n") - 1))
-            .withColumn("__lo", F.floor("__pos").cast("long")).withColumn("__hi", F.ceil("__pos").cast("long")))
-    wanted = F.collect_list(F.struct("p", "n", "__pos", "__lo", "__hi"))  # one per probability
-    if g:
-        joined = placed.join(need.groupBy(*g).agg(wanted.alias("__need")), g)
-    else:
-        rows = need.collect()  # one per probability
-        if not rows:
-            return need.select("p", "n", F.lit(None).cast("double").alias("q"))
-        joined = placed.withColumn("__need", F.array(*[F.struct(F.lit(r["p"]).alias("p"), F.lit(r["n"]).cast("long").alias("n"), F.lit(r["__pos"]).alias("__pos"),
-                                                              F.lit(r["__lo"]).cast("long").alias("__lo"), F.lit(r["__hi"]).cast("long").alias("__hi")) for r in rows]))
-    end = F.col("__at") + F.col("__c")
-    hit = F.filter("__need", lambda w: ((w["__lo"] >= F.col("__at")) & (w["__lo"] < end)) | ((w["__hi"] >= F.col("__at")) & (w["__hi"] < end)))
-    held = (joined.withColumn("__hits", hit).filter(F.size("__hits") > 0).select(*g, "__x", "__at", end.alias("__end"), F.explode("__hits").alias("w"))
-            .select(*g, "__x", "__at", "__end", "w.*"))
-    low = F.max(F.when((F.col("__lo") >= F.col("__at")) & (F.col("__lo") < F.col("__end")), F.col("__x")))
-    high = F.max(F.when((F.col("__hi") >= F.col("__at")) & (F.col("__hi") < F.col("__end")), F.col("__x")))
-    return (held.groupBy(*g, "p", "n", "__pos", "__lo").agg(low.alias("__l"), high.alias("__h"))
-            .select(*g, "p", "n", (F.col("__l") + (F.col("__h") - F.col("__l")) * (F.col("__pos") - F.col("__lo"))).alias("q")))
-
-
-def exact_quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
-    """Driver-side list of ungrouped exact quantiles (one tiny collect)."""
-    rows = {float(r["p"]): r["q"] for r in exact_quantiles(df, value, probs).collect()}
-    return [rows.get(float(p)) for p in probs]
-
-
-def cumulative_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cum", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def cumulative_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cum") -> DataFrame:
     """Running sum of ``value_col`` in ``order_col`` order, the row itself
     included (order values unique)."""
-    return (running_sum(df, [], [order_col], F.col(value_col).cast("double"), out_col, True, bucket_rows)
-            .withColumn(out_col, F.col(out_col) + F.col(value_col).cast("double")))
+    value = quoted(value_col).cast("double")
+    return running_sum(df, [], [order_col], value, out_col, True).withColumn(out_col, quoted(out_col) + value)

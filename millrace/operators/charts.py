@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.rowindex import exact_quantiles, global_index
+from millrace.functions.quantiles import exact_quantiles
+from millrace.functions.rowindex import global_index
 from millrace.functions.small import attach_row
 from millrace.operators.profile import (is_numeric_type, junk_columns, numeric_columns, value_of)
 

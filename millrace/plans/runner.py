@@ -114,7 +114,7 @@ def _fill_batch(steps: list[dict], start: int, approved: set, columns: set) -> l
 def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints: Mapping | None = None,
              selected_options: Mapping[str, str] | None = None, dataset_id: str = "dataset",
              run_id: str = "run-1", validate: bool = True, apply_resampling: bool = False,
-             resample_keys: Sequence[str] | None = None, cardinality: Mapping[str, int] | None = None) -> RunResult:
+             resample_keys: Sequence[str] | None = None) -> RunResult:
     spark: SparkSession = df.sparkSession
     steps = _plan_rows(plan)
     approved = set(approved_keys)
@@ -206,7 +206,7 @@ def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints
                 # touched in between come from one job set on the rows alive now
                 batch = _fill_batch(steps, o, approved, set(chain.columns))
                 live = chain.filter(alive)
-                fill_cache.update(X.fill_values(live, batch, cardinality))
+                fill_cache.update(X.fill_values(live, batch))
             val = fill_cache.pop(col, None)
             chain = chain.withColumn(f"__b{o}", value_of(chain, col).isNull())
             if val is not None:

@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.rowindex import cumulative_sum, exact_quantiles, global_index, rank_in_group
+from millrace.functions.quantiles import exact_quantiles, from_ordered_bits, ordered_bits
+from millrace.functions.rowindex import cumulative_sum, global_index, rank_in_group, running_sum
 from millrace.functions.scalars import try_to_double
 from millrace.operators import charts as C
 from millrace.operators import constraints as CN
@@ -33,13 +34,12 @@ def test_global_index_dense_with_hot_key(spark):
     assert sorted(r[0] for r in idx) == list(range(3000))
 
 
-@pytest.mark.parametrize("bucket_rows", [500_000, 100])
-def test_index_depends_on_values_only(spark, bucket_rows):
+def test_index_depends_on_values_only(spark):
     """Replanned twice, in other partitions, each row has the same number."""
     rows = [(i, 7 if i % 3 == 0 else None if i % 50 == 1 else i % 900, f"s{i % 13}") for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, k long, s string")
-    one = {r["id"]: r["idx"] for r in global_index(df, ["k", "s"], bucket_rows=bucket_rows).collect()}
-    two = {r["id"]: r["idx"] for r in global_index(df.repartition(7), ["k", "s"], bucket_rows=bucket_rows).collect()}
+    one = {r["id"]: r["idx"] for r in global_index(df, ["k", "s"]).collect()}
+    two = {r["id"]: r["idx"] for r in global_index(df.repartition(7), ["k", "s"]).collect()}
     assert one == two and sorted(one.values()) == list(range(3000))
     ranked = sorted(rows, key=lambda r: one[r[0]])
     keys = [(r[1] is not None, r[1] or 0, r[2]) for r in ranked]
@@ -58,10 +58,67 @@ def test_index_of_millions_after_releasing_caches(spark):
 
 def test_running_sums(spark):
     df = spark.createDataFrame([(i, float(i % 7)) for i in range(500)], "o long, v double")
-    for bucket_rows in (500_000, 60):
-        got = {r["o"]: r["cum"] for r in cumulative_sum(df, "o", "v", bucket_rows=bucket_rows).collect()}
-        assert got == {i: sum(float(j % 7) for j in range(i + 1)) for i in range(500)}
-
+    got = {r["o"]: r["cum"] for r in cumulative_sum(df, "o", "v").collect()}
+    assert got == {i: sum(float(j % 7) for j in range(i + 1)) for i in range(500)}
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Small range partitions that adaptive execution leaves apart."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_sums_of_groups_over_many_partitions(spark, many_partitions):
+    """Groups that fill many partitions, single rows, NULL groups and values."""
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"g{i % 400}", None if i % 11 == 0 else i % 5) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, g string, v int")
+    got = {r["id"]: r["s"] for r in running_sum(df, ["g"], ["id"], "v", "s", True).collect()}
+    seen = {}
+    for i, g, v in rows:
+        assert got[i] == seen.get(g, 0), (i, g)
+        seen[g] = seen.get(g, 0) + (v or 0)
+    ranks = {r["id"]: r["rk"] for r in rank_in_group(df, ["g"], ["id"]).collect()}
+    place = {}
+    for i, g, _ in rows:
+        if g is not None:
+            assert ranks.pop(i) == place.get(g, 0)
+            place[g] = place.get(g, 0) + 1
+    assert not ranks
+    assert sorted(r["idx"] for r in global_index(df, ["g"]).select("idx").collect()) == list(range(4000))
+
+
+def test_index_of_odd_columns(spark, many_partitions):
+    """Names with dots, quotes and clashes; maps, which Spark doesn't hash."""
+    df = spark.sql("SELECT id AS `k.z`, id % 3 AS `g``s`, map('a', id) AS m, array(map('b', id)) AS n, struct(id AS x) AS part, 1 AS v, 2 AS place, 'x' AS idx2 FROM range(300)")
+    got = rank_in_group(df, ["g`s"], ["k.z"], "rk")
+    assert got.columns == [*df.columns, "rk"]
+    assert all(r["rk"] == r["k.z"] // 3 and r["m"] == {"a": r["k.z"]} for r in got.collect())
+    assert sorted(r["idx"] for r in global_index(df, ["v"]).collect()) == list(range(300))
+    assert global_index(df.limit(0), ["v"]).count() == 0
+
+
+def test_plans_hold_no_list_that_grows_with_rows(spark):
+    def plan(n):
+        return len(global_index(spark.range(n).select((F.col("id") % 97).alias("k"), "id"), ["k"])._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(plan(200_000) - plan(2_000)) < 100
+
+
+def test_ordered_bits(spark):
+    """Every power of two, its neighbours, subnormals, infinities, NaN, zeros."""
+    powers = 2.0 ** np.arange(-1074, 1024)
+    x = np.concatenate([powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), np.random.default_rng(1).normal(size=500), [0.0, np.inf, 1e308, 5e-324]])
+    x = np.concatenate([x, -x])
+    df = spark.createDataFrame([(float(v),) for v in [*x, float("nan")]], "x double").select("x", ordered_bits(F.col("x")).alias("k")).select("x", "k", from_ordered_bits(F.col("k")).alias("y"))
+    rows = df.collect()
+    bits = np.abs(x).view(np.int64)
+    for r, v, b in zip(rows, x, bits, strict=False):
+        assert r["k"] == (-int(b) if v < 0 else int(b)) and r["y"] == v
+    assert math.isnan(rows[-1]["y"]) and rows[-1]["k"] == max(r["k"] for r in rows)
 
 def test_balance_keeps_rows_without_a_class(spark):
     df = spark.createDataFrame([(i, "A" if i < 10 else "B" if i < 14 else None) for i in range(20)], "id long, c string")
@@ -76,12 +133,22 @@ def test_exact_quantiles_match_numpy(spark):
     df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x}))
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
     got = {(r["g"], r["p"]): r["q"] for r in exact_quantiles(df, "x", probs, ["g"]).collect()}
-    dealt = {(r["g"], r["p"]): r["q"] for r in exact_quantiles(df, "x", probs, ["g"], bucket_rows=300).collect()}
     for k in ("hot", "a", "b", "c"):
         exp = np.percentile(x[g == k], [p * 100 for p in probs])
         for p, e in zip(probs, exp):
             assert math.isclose(got[(k, p)], e, rel_tol=1e-12, abs_tol=1e-12)
-            assert math.isclose(dealt[(k, p)], e, rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_exact_quantiles_need_all_digits(spark):
+    """Values that differ in their last bits only, ties, one value, no value."""
+    base = np.float64(3.0).view(np.int64)
+    x = np.concatenate([(base + np.arange(301)).view(np.float64), np.repeat(3.0, 77), [-3.0, -3.5, 0.0, 5e-324]])
+    rows = [(1, float(v)) for v in x] + [(2, 4.5), (3, None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "`g.h` int, `x y` double")
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {(r["g.h"], r["p"]): r["q"] for r in exact_quantiles(df, "x y", probs, ["g.h"]).collect()}
+    assert got == {**{(1, p): float(np.quantile(x, p)) for p in probs}, **{(2, p): 4.5 for p in probs}}
+    assert exact_quantiles(df.filter("`x y` > 100"), "x y", probs).count() == 0
 
 
 def test_rank_in_group(spark):
@@ -251,13 +318,11 @@ def test_profile_pass_agrees_with_profile_columns(spark):
     assert {r["name"] for r in mixed.collect()} == {"qty_txt", "l_returnflag", "l_linestatus"}
 
 
-def test_fill_values_narrow_and_wide_paths_agree(spark):
+def test_fill_values(spark):
     rng = np.random.default_rng(7)
     pdf = pd.DataFrame({"x": rng.normal(size=3000), "s": rng.choice(["u", "v", "w", "v"], 3000)})
     pdf.loc[::5, "x"] = np.nan
     df = spark.createDataFrame(pdf)
-    narrow = X.fill_values(df, ["x", "s"], cardinality={"x": 10, "s": 3})
-    wide = X.fill_values(df, ["x", "s"], cardinality={"x": 10 ** 9, "s": 10 ** 9})
-    assert math.isclose(narrow["x"], wide["x"], rel_tol=1e-12)
-    assert math.isclose(narrow["x"], float(pdf["x"].median()), rel_tol=1e-12)
-    assert narrow["s"] == wide["s"] == pdf["s"].value_counts().idxmax()
+    got = X.fill_values(df, ["x", "s", "absent"])
+    assert math.isclose(got["x"], float(pdf["x"].median()), rel_tol=1e-12)
+    assert got["s"] == pdf["s"].value_counts().idxmax() and set(got) == {"x", "s"}
