@@ -2,10 +2,10 @@
 
 A task folds whole documents into one hash stripe a term: its document frequency
 and its count in every source. Stripes that outgrow ``SPILL_CELLS`` are emitted
-and begun anew. Spark merges the stripes by term, in partial sums before the
-shuffle's reducers; the merged stripes of frequent terms are dealt, a bounded
-number of cells at a time, to tasks that emit the divergences of all their terms
-at once. All numbers are integers.
+and begun anew. One shuffle brings a term's stripes together, one a task and
+spill, and Spark adds them up. The merged stripes of frequent terms are dealt, a
+bounded number of cells at a time, to tasks that emit the divergences of all their
+terms at once. All numbers are integers.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def term_stripes(docs: DataFrame, spill_cells: int = SPILL_CELLS) -> DataFrame:
     documents that hold it, and per source (``counts``: array of source, n_docs,
     n) its occurrences. Input: ``text, lang, source`` without NULLs."""
     mapped = docs.select("text", "lang", "source").mapInArrow(_map_stripes(spill_cells), "lang string, term string, counts array<struct<source:string,n_docs:bigint,n:bigint>>")
-    cells = mapped.select("lang", "term", F.inline("counts"))
+    cells = mapped.repartition("lang", "term").select("lang", "term", F.inline("counts"))  # both sums need no other shuffle
     merged = cells.groupBy("lang", "term", "source").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
     return merged.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"), F.collect_list(F.struct("source", "n_docs", "n")).alias("counts"))
 

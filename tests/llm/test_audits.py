@@ -147,10 +147,13 @@ def test_net_displacement_rules_out_more_than_summed_drifts():
     assert (held["code"] == veccodes._squares(x, away).argmin(axis=1)).all() and moved < full
     back = veccodes.assign(x, state, [first, away, first], group, False)  # bounds of round 0, net displacement 0
     assert (state["code"] == veccodes._squares(x, first).argmin(axis=1)).all() and back < moved / 2
-    for k in range(6):  # several rounds on the same stamped bounds
-        books = [first, away, first + k, away - k, first]
-        veccodes.assign(x, held, books[:2 + k % 3], group, False)
-        assert (held["code"] == veccodes._squares(x, books[1 + k % 3]).argmin(axis=1)).all() or k % 3 == 2
+    books, summed, scanned = [first, away], 0, moved
+    for k in range(6):  # further rounds, each from the bounds and stamps of the ones before
+        books.append(books[-1] + rng.integers(-9, 10, first.shape) if k % 2 else books[-2].copy())
+        scanned += veccodes.assign(x, held, books, group, False)
+        summed += full
+        assert (held["code"] == veccodes._squares(x, books[-1]).argmin(axis=1)).all(), k
+    assert scanned < summed
 
 
 def _contaminated(rows, items, window=10):
