@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.checks.common import MESSY_LINEITEM_EXPRS, messy_lineitem
@@ -248,36 +249,48 @@ UNION ALL SELECT id, 'only_right' FROM b WHERE id NOT IN (SELECT id FROM a)"""
 
 
 # --- L8 / C10 / J15 / L7 -----------------------------------------------------------
-def _suggested_run(spark, sf):
+def _suggested_runs(spark, sf):
+    """Two runs committed to one log: all steps approved, then none."""
+    from millrace.plans.commits import CommitLog
+    from millrace.plans.runner import run_plan
     plan, df, _ = suggested_plan(spark, sf)
     keys = [r["step_key"] for r in plan.select("step_key").collect()]
-    from millrace.plans.runner import run_plan
-    return run_plan(df, plan, approved_keys=keys, constraints=FLAGSHIP_CONSTRAINTS, dataset_id="lineitem",
-                    run_id="suggested", validate=False)
+    log = CommitLog(spark, _dir(spark, "runs"))
+    first = run_plan(df, plan, approved_keys=keys, constraints=FLAGSHIP_CONSTRAINTS, dataset_id="lineitem",
+                     run_id="suggested", validate=False, log=log)
+    run_plan(first.output, plan, approved_keys=[], constraints=FLAGSHIP_CONSTRAINTS, dataset_id="lineitem",
+             run_id="again", validate=False, log=log)
+    return log
 
 
 @q("lineage_chain")
 def _lineage(spark, sf):
-    r = _suggested_run(spark, sf)
-    return r.lineage.select("id", "step_order", "transformation_type", "source_column", "result_column", "user_approval_id")
+    """The lineage of two runs as the log holds it, in the order of application."""
+    from millrace.operators.catalog import lineage_chain
+    chain = lineage_chain(_suggested_runs(spark, sf).appended("lineitem", "lineage"), "lineitem")
+    place = F.row_number().over(Window.partitionBy("dataset_id").orderBy("version", "applied_at", "step_order")).cast("long")
+    return chain.select("id", "version", place.alias("place"), "step_order", "transformation_type", "source_column", "result_column", "user_approval_id",
+                        F.col("applied_at").rlike(r"^\d{4}-\d\d-\d\dT[0-9:]{8}\.\d{6}Z$").alias("timed"))
 
 
 SQL["lineage_chain"] = "WITH " + PLAN_CTE + """
-SELECT sha256('lineitem' || chr(31) || 'suggested' || chr(31) || step_key || chr(31) || CAST("order" AS VARCHAR)) AS id,
-       "order" AS step_order, operation AS transformation_type, target_column AS source_column,
-       target_column AS result_column, 'ui-' || step_key AS user_approval_id FROM plan"""
+,
+runs AS (SELECT 1 AS version, 'suggested' AS run_id, * FROM plan UNION ALL SELECT 2, 'again', * FROM plan WHERE permission_level = 'L1')
+SELECT sha256('lineitem' || chr(31) || run_id || chr(31) || step_key || chr(31) || CAST("order" AS VARCHAR)) AS id, version,
+       row_number() OVER (ORDER BY version, "order") AS place, "order" AS step_order, operation AS transformation_type, target_column AS source_column,
+       target_column AS result_column, CASE WHEN version = 1 THEN 'ui-' || step_key END AS user_approval_id, TRUE AS timed FROM runs"""
 
 
 @q("lineage_session")
 def _lineage_session(spark, sf):
-    r = _suggested_run(spark, sf)
+    log = _suggested_runs(spark, sf)
     modules = spark.createDataFrame([("lineitem",), (None,)], "datalake_id string")
-    return ST.lineage_session(r.lineage, modules, r.steps)
+    return ST.lineage_session(log.read("lineitem", "lineage", 1), modules, log.read("lineitem", "steps", 1))
 
 
 SQL["lineage_session"] = "WITH " + PLAN_CTE + """,
 rm AS (SELECT count(*) AS r FROM m WHERE NOT (l_quantity IS NULL OR (l_quantity >= 1 AND l_quantity <= 45)))
-SELECT 'lineitem' AS dataset_id, "order" AS step_order, operation AS transformation_type, target_column AS source_column,
+SELECT 'lineitem' AS dataset_id, row_number() OVER (ORDER BY "order") AS place, "order" AS step_order, operation AS transformation_type, target_column AS source_column,
        CASE WHEN operation = 'remove_outlier' THEN (SELECT r FROM rm) END AS removed_rows, TRUE AS approved FROM plan"""
 
 
@@ -311,31 +324,47 @@ def _stages(spark, sf):
 
 @q("register_dataset")
 def _register(spark, sf):
+    """Registrations from CSV folders against a catalog with an entry a document:
+    what each answers, and the catalog as it is afterwards."""
     from millrace.checks.catalog import entries
-    lake = _dir(spark, "lake")
-    ents = entries(spark, sf)
+    from millrace.plans.commits import CommitLog
+    from millrace.sources.files import write_csv
+    log = CommitLog(spark, _dir(spark, "lake"))
+    log.commit(ST.CATALOG, "load", {"entries": entries(spark, sf)})
     out = []
-    for name, t, modality, fn in (("Customer Master!", "customer", "order", "reference"),
-                                  ("doc_1", "orders", "order", None),
-                                  ("Orders 2024", "orders", "spreadsheet", None),
-                                  ("Events Log", "events", "event-log", "quality")):
-        r = ST.register_dataset(spark, ents, name, t, modality, fn, lake, lambda p: table(spark, sf, p))
-        n_cols = r["columns"].count() if r.get("columns") is not None else None
-        out.append((name, r["datalake_id"], r["status"], r["reason"], n_cols))
-    return spark.createDataFrame(out, "name string, datalake_id string, status string, reason string, n_columns bigint")
-
-
+    for name, t, modality, fn in REGISTRATIONS:
+        path = write_csv(table(spark, sf, t), _dir(spark, f"csv-{t}"))
+        r = ST.register_dataset(log, name, path, modality, fn)
+        rows = log.read(r["datalake_id"], "source").count() if r["status"] == "registered" else None
+        out.append((name, r["datalake_id"], r["status"], r["reason"], r["n_columns"], rows, r["version"]))
+    results = spark.createDataFrame(out, "name string, datalake_id string, status string, reason string, n_columns int, n_rows bigint, version int")
+    now = log.read(ST.CATALOG, "entries").groupBy("modality").agg(F.count(F.lit(1)).alias("n_rows"))
+    named = F.array_sort(F.collect_list(F.struct("ordinal", "name")))
+    names = log.read(ST.CATALOG, "columns").groupBy("datalake_id").agg(
+        F.array_join(F.transform(named, lambda c: c["name"]), ",").alias("reason"), F.count(F.lit(1)).cast("int").alias("n_columns"))
+    return (results.unionByName(now.select(F.lit("entries").alias("name"), F.col("modality").alias("datalake_id"), "n_rows"), allowMissingColumns=True)
+            .unionByName(names.select(F.lit("columns").alias("name"), "datalake_id", "reason", "n_columns"), allowMissingColumns=True))
+
+
+REGISTRATIONS = [("Customer Master!", "customer", "order", "reference"), ("doc_1", "orders", "order", None), ("Orders 2024", "orders", "spreadsheet", None),
+                 ("Events Log", "events", "event-log", "quality"), ("customer  MASTER", "nation", "order", None), ("Lines", "supplier", "order", "cooking")]
+
+_REGISTERED = (("customer_master", "customer"), ("events_log", "events"))
 SQL["register_dataset"] = """
-WITH nc AS (SELECT table_name, count(*) AS n FROM information_schema.columns
-            WHERE table_name IN ('customer', 'orders', 'events') GROUP BY table_name),
-doc AS (SELECT count(*) > 0 AS taken FROM documents WHERE doc_id = 1)
+WITH doc AS (SELECT count(*) > 0 AS taken FROM documents WHERE doc_id = 1),
+nc AS (SELECT table_name, CAST(count(*) AS INTEGER) AS n, string_agg(column_name, ',' ORDER BY ordinal_position) AS names FROM information_schema.columns
+       WHERE table_name IN ('customer', 'events') GROUP BY table_name),
+e AS (SELECT CASE lang WHEN 'en' THEN 'timeseries' WHEN 'de' THEN 'event-log' WHEN 'fr' THEN 'order' ELSE 'inspection-image' END AS modality FROM documents
+      UNION ALL SELECT 'order' UNION ALL SELECT 'event-log')
 SELECT 'Customer Master!' AS name, 'customer_master' AS datalake_id, 'registered' AS status, CAST(NULL AS VARCHAR) AS reason,
-       (SELECT n FROM nc WHERE table_name = 'customer') AS n_columns
-UNION ALL SELECT 'doc_1', 'doc_1', CASE WHEN taken THEN 'refused' ELSE 'registered' END,
-       CASE WHEN taken THEN 'id already registered' END,
-       CASE WHEN taken THEN NULL ELSE (SELECT n FROM nc WHERE table_name = 'orders') END FROM doc
-UNION ALL SELECT 'Orders 2024', 'orders_2024', 'refused', 'modality not allowed: spreadsheet', NULL
-UNION ALL SELECT 'Events Log', 'events_log', 'registered', NULL, (SELECT n FROM nc WHERE table_name = 'events')"""
+       (SELECT n FROM nc WHERE table_name = 'customer') AS n_columns, (SELECT count(*) FROM customer) AS n_rows, 2 AS version
+UNION ALL SELECT 'doc_1', 'doc_1', 'refused', 'id already registered', NULL, NULL, 2 FROM doc WHERE taken
+UNION ALL SELECT 'Orders 2024', 'orders_2024', 'refused', 'modality not allowed: spreadsheet', NULL, NULL, 2
+UNION ALL SELECT 'Events Log', 'events_log', 'registered', NULL, (SELECT n FROM nc WHERE table_name = 'events'), (SELECT count(*) FROM events), 3
+UNION ALL SELECT 'customer  MASTER', 'customer_master', 'refused', 'id already registered', NULL, NULL, 3
+UNION ALL SELECT 'Lines', 'lines', 'refused', 'function not allowed: cooking', NULL, NULL, 3
+UNION ALL SELECT 'entries', modality, NULL, NULL, NULL, count(*), NULL FROM e GROUP BY modality
+UNION ALL """ + " UNION ALL ".join(f"SELECT 'columns', '{d}', NULL, names, n, NULL, NULL FROM nc WHERE table_name = '{t}'" for d, t in _REGISTERED)
 
 
 SQL["guarded_query_rules"] = """

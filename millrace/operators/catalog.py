@@ -185,10 +185,10 @@ def snapshot_compare(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFr
 
 
 def lineage_chain(lineage: DataFrame, dataset_id: str) -> DataFrame:
-    """Lineage of a dataset in application order."""
-    order = [c for c in ("applied_at", "step_order") if c in lineage.columns]
+    """Lineage of a dataset in application order: by version, where
+    rows have one, then time, then step."""
     own = lineage.filter(F.col("dataset_id") == dataset_id)
-    return own.orderBy(*order) if order else own
+    return own.orderBy(*[c for c in ("version", "applied_at", "step_order") if c in lineage.columns])
 
 
 def list_constraints(current: DataFrame, datalake_id: str | None = None) -> DataFrame:

@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.scalars import clean_mask, try_to_double
+from millrace.functions.scalars import clean_mask, try_to_double, utc_now
 from millrace.operators import transforms as X
 from millrace.operators import validate as V
 from millrace.operators.profile import column_stats, value_of
+from millrace.plans.commits import Commit, CommitLog
 from millrace.plans.rules import OPERATION_PERMISSION, constraints_frame
 
 RM = "__rm"
@@ -52,6 +53,7 @@ LINEAGE_SCHEMA = T.StructType([
     T.StructField("applied_by_agent", T.StringType()),
     T.StructField("user_approval_id", T.StringType()),
     T.StructField("can_rollback", T.BooleanType()),
+    T.StructField("applied_at", T.StringType()),
 ])
 
 
@@ -66,6 +68,7 @@ class RunResult:
     report: DataFrame | None = None
     step_counts: DataFrame | None = None
     extras: dict = field(default_factory=dict)
+    commit: Commit | None = None
 
 
 def _lineage_id(dataset_id: str, run_id: str, step_key: str, order: int) -> str:
@@ -114,7 +117,12 @@ def _fill_batch(steps: list[dict], start: int, approved: set, columns: set) -> l
 def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints: Mapping | None = None,
              selected_options: Mapping[str, str] | None = None, dataset_id: str = "dataset",
              run_id: str = "run-1", validate: bool = True, apply_resampling: bool = False,
-             resample_keys: Sequence[str] | None = None) -> RunResult:
+             resample_keys: Sequence[str] | None = None, log: CommitLog | None = None) -> RunResult:
+    """Run the approved steps of ``plan`` over ``df``.
+
+    With ``log``, the untouched rows, the output, the steps, the lineage and the
+    report are written and published as one version of ``dataset_id``; the result's
+    frames then read that version. A run that fails has published nothing."""
     spark: SparkSession = df.sparkSession
     steps = _plan_rows(plan)
     approved = set(approved_keys)
@@ -297,8 +305,8 @@ def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints
         members = r["group_members"] or []
         src = r["target_column"] or (",".join(members[:3]) + ("..." if len(members) > 3 else "") if members else None)
         lin_rows.append((r["lineage_id"], dataset_id, src, ttype, params, r["target_column"], r["order"], "executor",
-                         ("ui-" + r["step_key"]) if r["step_key"] in approved else None, True))
-    lineage = spark.createDataFrame(lin_rows, LINEAGE_SCHEMA)
+                         ("ui-" + r["step_key"]) if r["step_key"] in approved else None, True, None))
+    lineage = spark.createDataFrame(lin_rows, LINEAGE_SCHEMA).withColumn("applied_at", utc_now())
 
     result = RunResult(output=output, backup=df, steps=steps_full, lineage=lineage, step_counts=step_counts,
                        extras=extras)
@@ -326,5 +334,16 @@ def run_plan(df: DataFrame, plan, approved_keys: Iterable[str] = (), constraints
             viol_rows, "key string, column string, n_violations bigint, n_total bigint, severity string, removed boolean")
         result.issues = issues
         result.report = V.report(issues, steps_full)
+    if log is not None:
+        _commit(result, log, dataset_id, run_id)
     return result
 
+
+def _commit(result: RunResult, log: CommitLog, dataset_id: str, run_id: str) -> None:
+    """Publish the run's tables together, and read them back."""
+    names = ("backup", "output", "steps", "lineage", "stats", "issues", "report")
+    tables = {n: getattr(result, n) for n in names if getattr(result, n) is not None}
+    result.commit = log.commit(dataset_id, run_id, tables)
+    for n in tables:
+        setattr(result, n, log.read(dataset_id, n, result.commit.version))
+
