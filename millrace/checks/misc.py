@@ -296,30 +296,81 @@ SELECT 'lineitem' AS dataset_id, row_number() OVER (ORDER BY "order") AS place,
 
 @q("run_stages")
 def _stages(spark, sf):
-    """Two calls: the first runs stage 0 and suspends on stage 1 (not
-    approved); the second, with the approvals, resumes at stage 1."""
-    regions = table(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("stage_order"),
-                                                F.lit(0).alias("module_index"),
-                                                F.concat(F.lit("region_"), F.col("r_regionkey")).alias("datalake_id"))
-    cust = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-
-    def load(did):
-        rk = int(did.split("_")[1])
-        return (cust.filter(F.col("n_regionkey") == rk)
-                .select("c_custkey", F.when(F.col("c_acctbal") < 0, None).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
-                        "c_mktsegment"))
-
-    def plan_for(df):
-        from millrace.functions.small import small
-        from millrace.operators.profile import profile_columns
-        prof = small(profile_columns(df, approx=True))
-        return small(R.suggest_steps(prof, None, None, None, None))
-
-    done_path = _dir(spark, "completed")
-    first = ST.run_stages(spark, regions, done_path, load, plan_for, approved_keys=[])
-    keys = ["fill_missing:c_acctbal"]
-    second = ST.run_stages(spark, regions, done_path, load, plan_for, approved_keys=keys)
-    return first.withColumn("call", F.lit(1)).unionByName(second.withColumn("call", F.lit(2)))
+    """Regions as stages, nations as modules. The first call has approvals for
+    region 0 and the first nations of region 1 and stops at the next one; the
+    second has all and goes on there. Status rows, previews, and what each module's
+    output holds."""
+    from millrace.plans.commits import CommitLog
+    from millrace.plans.stage_runs import run_stages
+    nations = table(spark, sf, "nation").select(F.col("n_regionkey").cast("int").alias("stage_order"), F.col("n_nationkey").cast("int").alias("module_index"),
+                                                F.concat(F.lit("nation_"), F.col("n_nationkey")).alias("datalake_id"), F.col("n_nationkey").alias("c_nationkey"))
+    modules = nations.drop("c_nationkey").unionByName(spark.createDataFrame([(0, 99, None)], "stage_order int, module_index int, datalake_id string"))
+    customers = table(spark, sf, "customer")
+
+    def load(stage):
+        key = F.col("c_custkey")
+        return customers.join(nations.filter(F.col("stage_order") == stage), "c_nationkey").select(
+            "datalake_id", "c_custkey", F.when(F.col("c_acctbal") < 0, None).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
+            F.when(key % 7 == 0, "N/A").otherwise(key.cast("string")).alias("bal_txt"), F.when(key % 23 == 0, "NG").otherwise("OK").alias("judge"),
+            (key % 50).alias("packpressure1"), (key % 30 * 2).alias("packpressure2"))
+
+    bounds = nations.select("datalake_id", F.lit("C_ACCTBAL").alias("column_name"), F.lit(0.0).alias("lo"), F.lit(9000.0).alias("hi"))
+    every = spark.createDataFrame([(k,) for k in STAGE_KEYS], "step_key string")
+    second = nations.filter("stage_order = 1").orderBy("module_index").select("module_index").limit(3).agg(F.max("module_index")).first()[0]
+    some = every.crossJoin(F.broadcast(nations.filter((F.col("stage_order") == 0) | (F.col("stage_order") == 1) & (F.col("module_index") < second)).select("datalake_id")))
+    log = CommitLog(spark, _dir(spark, "stages"))
+    first = run_stages(log, "s", modules, load, some, bounds)
+    last = run_stages(log, "s", modules, load, every, bounds)
+    status = first.status.withColumn("call", F.lit(1)).unionByName(last.status.withColumn("call", F.lit(2)))
+    previews = first.previews.select(F.lit("preview").alias("kind"), F.lit(1).alias("call"), "step_key", "option", "rows_before", "rows_after")
+    out = log.appended("s", "output").groupBy("datalake_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("bal_txt").alias("n_bal"), F.round(F.sum("c_acctbal"), 3).alias("acctbal"), F.round(F.sum(F.col("bal_txt").cast("double")), 3).alias("bal"),
+        F.round(F.sum(F.abs("packpressure1")), 3).alias("z1"), F.round(F.sum(F.abs("packpressure2")), 3).alias("z2"))
+    steps = log.appended("s", "steps").select(F.lit("step").alias("kind"), "datalake_id", "order", "step_key", "before_nulls", "after_nulls", "rows_before", "rows_after")
+    frames = [status.withColumn("kind", F.lit("status")), previews, out.withColumn("kind", F.lit("output")), steps]
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.unionByName(f, allowMissingColumns=True)
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("stage_order", "module_index", "call", "order")})
+
+
+STAGE_KEYS = ["balance_classes:judge", "clean_masking:bal_txt", "fill_missing:c_acctbal", "normalize_group:pack_pressure_profile", "remove_outlier:c_acctbal"]
+
+SQL["run_stages"] = """
+WITH b AS (SELECT n_regionkey AS stage_order, n_nationkey AS module_index, 'nation_' || n_nationkey AS datalake_id, c_custkey AS k,
+                  CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS bal, c_custkey % 7 = 0 AS na, c_custkey % 23 = 0 AS ng, c_custkey % 50 AS p1, c_custkey % 30 * 2 AS p2
+           FROM customer JOIN nation ON c_nationkey = n_nationkey),
+m AS (SELECT stage_order, module_index, datalake_id, count(*) AS n, count(*) - count(bal) AS nulls, quantile_cont(bal, 0.5) AS med, count(CASE WHEN na THEN 1 END) AS n_na,
+             count(CASE WHEN ng THEN 1 END) AS n_ng, sum(p1 + p2) / (2.0 * count(*)) AS mu, sum(p1 * p1 + p2 * p2) / (2.0 * count(*)) AS sq FROM b GROUP BY ALL),
+f AS (SELECT b.*, coalesce(bal, med) AS filled, (p1 - mu) / sqrt(sq - mu * mu) AS z1, (p2 - mu) / sqrt(sq - mu * mu) AS z2 FROM b JOIN m USING (datalake_id)),
+r AS (SELECT datalake_id, count(*) AS kept FROM f WHERE filled <= 9000 GROUP BY 1),
+s AS (SELECT datalake_id, 2 AS st, 'clean_masking:bal_txt' AS step_key, 0 AS before_nulls, n_na AS after_nulls, NULL AS rows_before, NULL AS rows_after FROM m WHERE n_na > 0 AND n_na < n
+      UNION ALL SELECT datalake_id, 3, 'fill_missing:c_acctbal', nulls, 0, NULL, NULL FROM m WHERE nulls > 0
+      UNION ALL SELECT datalake_id, 4, 'balance_classes:judge', NULL, NULL, NULL, NULL FROM m WHERE n_ng > 0 AND n_ng < n AND round(least(n_ng, n - n_ng) * 1.0 / n, 4) < 0.1
+      UNION ALL SELECT datalake_id, 5, 'normalize_group:pack_pressure_profile', NULL, NULL, NULL, NULL FROM m
+      UNION ALL SELECT datalake_id, 6, 'remove_outlier:c_acctbal', NULL, NULL, n, coalesce(kept, 0) FROM m LEFT JOIN r USING (datalake_id)
+      UNION ALL SELECT datalake_id, 7, 'compute_stats:global', NULL, NULL, NULL, NULL FROM m),
+stop AS (SELECT module_index FROM m WHERE stage_order = 1 ORDER BY module_index LIMIT 1 OFFSET 2),
+w AS (SELECT datalake_id, string_agg(step_key, ',' ORDER BY step_key) AS waiting FROM s WHERE st < 7 GROUP BY 1),
+status AS (
+  SELECT 'status' AS kind, CASE WHEN stage_order = 0 OR (stage_order = 1 AND module_index < (SELECT * FROM stop)) THEN 1 ELSE 2 END AS call, stage_order, module_index, datalake_id,
+         'done' AS status, 'ready_for_ml' AS detail FROM m
+  UNION ALL SELECT 'status', 1, stage_order, module_index, datalake_id, 'awaiting_approval', waiting FROM m JOIN w USING (datalake_id) WHERE module_index = (SELECT * FROM stop)),
+held AS (SELECT m.*, coalesce(kept, 0) AS kept FROM m LEFT JOIN r USING (datalake_id) WHERE module_index = (SELECT * FROM stop)),
+raw AS (SELECT count(CASE WHEN bal IS NULL OR bal <= 9000 THEN 1 END) AS stays FROM b WHERE module_index = (SELECT * FROM stop)),
+opts AS (SELECT unnest(['class_weight', 'smote', 'random_under', 'skip']) AS option),
+p AS (SELECT step_key, option, n AS rows_before, CASE option WHEN 'smote' THEN 2 * greatest(n_ng, n - n_ng) WHEN 'random_under' THEN 2 * least(n_ng, n - n_ng) ELSE n END AS rows_after
+      FROM held JOIN s USING (datalake_id), opts WHERE step_key = 'balance_classes:judge'
+      UNION ALL SELECT step_key, NULL, n, CASE WHEN st = 6 THEN (SELECT stays FROM raw) END FROM held JOIN s USING (datalake_id) WHERE st IN (2, 3, 5, 6))
+SELECT kind, CAST(call AS BIGINT) AS call, CAST(stage_order AS BIGINT) AS stage_order, CAST(module_index AS BIGINT) AS module_index, datalake_id, status, detail, CAST(NULL AS VARCHAR) AS step_key,
+       CAST(NULL AS VARCHAR) AS option, CAST(NULL AS BIGINT) AS rows_before, CAST(NULL AS BIGINT) AS rows_after, CAST(NULL AS BIGINT) AS n_rows, CAST(NULL AS BIGINT) AS n_bal,
+       CAST(NULL AS DOUBLE) AS acctbal, CAST(NULL AS DOUBLE) AS bal, CAST(NULL AS DOUBLE) AS z1, CAST(NULL AS DOUBLE) AS z2, CAST(NULL AS BIGINT) AS "order",
+       CAST(NULL AS BIGINT) AS before_nulls, CAST(NULL AS BIGINT) AS after_nulls FROM status
+UNION ALL SELECT 'preview', 1, NULL, NULL, NULL, NULL, NULL, step_key, option, rows_before, rows_after, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM p
+UNION ALL SELECT 'output', NULL, NULL, NULL, datalake_id, NULL, NULL, NULL, NULL, NULL, NULL, count(*), count(CASE WHEN NOT na THEN 1 END), round(sum(filled), 3),
+       round(CAST(sum(CASE WHEN NOT na THEN k END) AS DOUBLE), 3), round(sum(abs(z1)), 3), round(sum(abs(z2)), 3), NULL, NULL, NULL FROM f WHERE filled <= 9000 GROUP BY datalake_id
+UNION ALL SELECT 'step', NULL, NULL, NULL, datalake_id, NULL, NULL, step_key, NULL, rows_before, rows_after, NULL, NULL, NULL, NULL, NULL, NULL,
+       row_number() OVER (PARTITION BY datalake_id ORDER BY st), before_nulls, after_nulls FROM s"""
 
 
 @q("register_dataset")

@@ -1,25 +1,16 @@
-"""Multi-stage runs and the catalog-level registration / reference checks
-(J15, L7, C7, C9, C10).
-
-``run_stages`` is an idempotent batch function: finished modules live in a
-Parquet table, a left-anti join against it gives the work left, modules run
-in stage order and the run suspends at the first module that needs an
-approval (its previews are returned) or whose plan has a blocking conflict.
-Calling it again with the new approvals resumes where it stopped."""
+"""Catalog-level registration, model and reference checks.
+Runs over stages of modules are in ``stage_runs``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import slug
 from millrace.plans.commits import CommitConflict, CommitLog
-from millrace.plans.rules import plan_precheck
-from millrace.plans.runner import run_plan
 
-STATUS_SCHEMA = "stage_order int, module_index int, datalake_id string, status string, detail string"
 
 # --- fixed values -----------------------------------------------------------
 # Recommended models per process node (model, task); heavy deep models are advisory only.
@@ -35,41 +26,6 @@ ADVISORY_MODELS = ("CNNClassifier", "EfficientNet", "ResNet", "ViT", "BERT")
 # ---------------------------------------------------------------------------
 
 
-def run_stages(spark: SparkSession, modules: DataFrame, completed_path: str,
-               load: Callable[[str], DataFrame], plan_for: Callable[[DataFrame], DataFrame],
-               approved_keys: Iterable[str] = (), constraints: Mapping | None = None) -> DataFrame:
-    """Run pending modules (stage_order, module_index, datalake_id) in order;
-    append finished ones to the Parquet table at ``completed_path``."""
-    approved = set(approved_keys)
-    try:
-        done = spark.read.parquet(completed_path).select("stage_order", "module_index")
-    except Exception:  # first call: nothing finished yet
-        done = spark.createDataFrame([], "stage_order int, module_index int")
-    todo = (modules.filter(F.col("datalake_id").isNotNull())
-            .join(done, ["stage_order", "module_index"], "left_anti")
-            .orderBy("stage_order", "module_index").collect())  # one row per module
-    rows = []
-    for m in todo:
-        df = load(m["datalake_id"])
-        plan = plan_for(df)
-        if plan_precheck(plan).filter(F.col("severity") == "high").limit(1).count():
-            rows.append((m["stage_order"], m["module_index"], m["datalake_id"], "blocked", "plan conflict"))
-            break
-        steps = [r.asDict() for r in plan.collect()]
-        waiting = [s["step_key"] for s in steps if s["permission_level"] in ("L2", "L3") and s["step_key"] not in approved]
-        if waiting:
-            rows.append((m["stage_order"], m["module_index"], m["datalake_id"], "awaiting_approval", ",".join(sorted(waiting))))
-            break
-        res = run_plan(df, plan, approved_keys=approved, constraints=constraints, dataset_id=m["datalake_id"],
-                       run_id="stages", validate=True)
-        rep = res.report.first()
-        rows.append((m["stage_order"], m["module_index"], m["datalake_id"], "done", rep["next_action"]))
-        spark.createDataFrame([(m["stage_order"], m["module_index"], m["datalake_id"])],
-                              "stage_order int, module_index int, datalake_id string") \
-            .write.mode("append").parquet(completed_path)
-    return spark.createDataFrame(rows, STATUS_SCHEMA)
-
-
 #: The dataset of the log that holds the catalog itself.
 CATALOG = "catalog"
 
