@@ -263,20 +263,7 @@ SQL["infer_dtypes"] = ("WITH s AS (SELECT " + ", ".join(f"CAST({c} AS VARCHAR) A
                                             for i, c in enumerate(_INF_COLS)))
 
 
-# --- A13 / A14 / A16 ----------------------------------------------------------------
-@q("ingest_normalize")
-def _normalize(spark, sf):
-    src = _customer_csv(spark, sf, "MS949")
-    dst = _dir(spark, "normalized")
-    df = S.read_csv_safe(spark, src, typed=False)
-    S.write_csv(df, dst, encoding="UTF-8")
-    back = S.probe_files(spark, dst, "*.csv")
-    return back.select("encoding", "headerless", F.size("header").alias("n_cols")).distinct()
-
-
-SQL["ingest_normalize"] = "SELECT DISTINCT 'utf-8-sig' AS encoding, FALSE AS headerless, 5 AS n_cols FROM customer"
-
-
+# --- A14 / A16 ----------------------------------------------------------------
 @q("sink_backup_pair")
 def _backup_pair(spark, sf):
     from millrace.sources.sinks import write_backup_pair
@@ -415,15 +402,56 @@ SELECT vec_id, round(rms, 4) AS rms, round(peak, 4) AS peak, round(mean, 4) AS m
 FROM m JOIN s USING (vec_id)"""
 
 
-# --- A9 ----------------------------------------------------------------------------
+# --- A9 / A13 ----------------------------------------------------------------------
+def _lake(spark, sf):
+    """Customers by nation: even nations in MS949, odd ones in UTF-8, nation 4 below
+    nation 2's folder, nation 6 without the Korean suffix; and a manifest with a row a
+    nation, one for an image folder and one a region that has no files."""
+    def build():
+        root = _dir(spark, "lake-files")
+        rows = table(spark, sf, "customer").selectExpr("c_custkey", "c_nationkey AS nation", "CASE WHEN c_nationkey = 6 THEN c_name ELSE concat(c_name, ' 고객') END AS c_name",
+                                                       "c_acctbal").withColumn("k", F.col("nation"))
+        for codec, odd in (("MS949", 0), ("UTF-8", 1)):
+            part = rows.filter((F.col("nation") % 2 == odd) & (F.col("nation") != 4)).repartition("nation")
+            part.write.option("header", "true").option("encoding", codec).partitionBy("k").csv(f"{root}/{codec}")
+        rows.filter("nation = 4").drop("k").write.option("header", "true").option("encoding", "MS949").csv(f"{root}/MS949/k=2/deeper")
+        spark.createDataFrame([("x",)], "v string").write.text(f"{root}/pictures")
+        return root
+    manifest = table(spark, sf, "nation").selectExpr(
+        "concat('nation_', n_nationkey) AS dataset",
+        "CASE WHEN n_nationkey = 4 THEN '/MS949/k=2/deeper/' ELSE concat(CASE WHEN n_nationkey % 2 = 0 THEN 'MS949' ELSE 'UTF-8' END, '/k=', n_nationkey) END AS path",
+        "CASE WHEN n_nationkey % 3 = 0 THEN 'utf-8' WHEN n_nationkey % 2 = 0 THEN 'cp949' ELSE 'utf-8-sig' END AS declared_encoding")
+    absent = table(spark, sf, "region").selectExpr("concat('region_', r_regionkey) AS dataset", "concat('MS949/region/', r_regionkey) AS path", "'utf-8' AS declared_encoding")
+    return _once(spark, sf, "lake-files", build), manifest.unionByName(absent)
+
+
 @q("manifest_verify")
 def _manifest(spark, sf):
-    from millrace.sources.sinks import manifest_verify
-    a = _customer_csv(spark, sf, "MS949")
-    b = _dir(spark, "shards-m")
-    table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").repartition(3) \
-        .write.mode("overwrite").option("header", "true").csv(b)
-    manifest = spark.createDataFrame(
-        [("customer_kr", a, "cp949", 1500), ("orders_shards", b, "utf-8", None), ("missing_set", a + "-nope", "utf-8", None)],
-        "dataset string, path string, declared_encoding string, declared_rows bigint")
-    return manifest_verify(spark, manifest)
+    """Load records of every manifest row."""
+    from millrace.sources import manifest as MF
+    root, manifest = _lake(spark, sf)
+    records = MF.load_records(manifest, MF.manifest_files(spark, manifest, root))
+    return records.select("dataset", "exists", "n_files", "n_tabular", "encodings", "headers_differ", "n_columns", "warnings", (F.col("size_bytes") > 0).alias("has_bytes"))
+
+
+SQL["manifest_verify"] = """
+WITH d AS (SELECT n_nationkey AS k, count(c_custkey) > 0 AS found FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT 'nation_' || k AS dataset, found AS exists, CAST(CASE WHEN found THEN 1 ELSE 0 END AS BIGINT) AS n_files, CAST(CASE WHEN found THEN 1 ELSE 0 END AS BIGINT) AS n_tabular,
+       CASE WHEN NOT found THEN NULL WHEN k % 2 = 0 AND k <> 6 THEN 'cp949' ELSE 'utf-8-sig' END AS encodings, CASE WHEN found THEN FALSE END AS headers_differ, CASE WHEN found THEN 4 END AS n_columns,
+       CASE WHEN NOT found THEN 'path_missing' WHEN k % 6 = 0 AND k <> 6 THEN 'encoding_mismatch' ELSE '' END AS warnings, found AS has_bytes FROM d
+UNION ALL SELECT 'region_' || r_regionkey, FALSE, 0, 0, NULL, NULL, NULL, 'path_missing', FALSE FROM region"""
+
+
+@q("ingest_normalize")
+def _normalize(spark, sf):
+    """The rows of all datasets, read from their UTF-8 copies."""
+    from millrace.sources import manifest as MF
+    root, manifest = _lake(spark, sf)
+    target = _dir(spark, "normalized")
+    folders = MF.copy_normalised(spark, root, MF.manifest_files(spark, manifest, root), target)
+    rows = spark.read.option("header", "true").schema("c_custkey bigint, nation int, c_name string, c_acctbal double, folder string").csv(target)
+    return rows.join(folders, "folder").select("dataset", "c_custkey", "nation", "c_name", "c_acctbal")
+
+
+SQL["ingest_normalize"] = """
+SELECT 'nation_' || c_nationkey AS dataset, c_custkey, c_nationkey AS nation, CASE WHEN c_nationkey = 6 THEN c_name ELSE c_name || ' 고객' END AS c_name, c_acctbal FROM customer"""

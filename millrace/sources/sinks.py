@@ -1,13 +1,9 @@
 """Sinks and file-set checks: backup/processed Parquet pair, before/after CSV
-export with removed rows, manifest verification (A9, A14, A16)."""
+export with removed rows (A14-A16)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from millrace.functions.small import attach_row
-from millrace.sources.files import list_files, probe_files
 
 
 def write_backup_pair(before: DataFrame, after: DataFrame, root: str, dataset_id: str) -> tuple[str, str]:
@@ -30,39 +26,6 @@ def export_diff(before: DataFrame, after: DataFrame, root: str | None = None) ->
     return removed, {"before": before, "after": after}
 
 
-def manifest_verify(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """One load record per manifest row (dataset, path, declared_encoding,
-    declared_rows): exists, n_files, size, probed encodings, header
-    homogeneity over all files, and warnings."""
-    rows = manifest.collect()  # one row per dataset in the manifest
-    parts = []
-    for r in rows:
-        try:
-            files = list_files(spark, r["path"])
-            probes = probe_files(spark, r["path"], "*.csv")
-            agg = files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
-            pagg = probes.agg(F.count_distinct(F.array_join("header", "\u001f")).alias("n_headers"),
-                              F.array_join(F.array_sort(F.collect_set("encoding")), ",").alias("encodings"))
-            rec = attach_row(agg, pagg).select(
-                F.lit(r["dataset"]).alias("dataset"), F.lit(True).alias("exists"), "n_files", "size_bytes",
-                "encodings", "n_headers")
-        except Exception:
-            rec = spark.createDataFrame([(r["dataset"], False, 0, 0, None, 0)],
-                                        "dataset string, exists boolean, n_files bigint, size_bytes bigint, "
-                                        "encodings string, n_headers bigint")
-        decl = F.lit(r["declared_encoding"])
-        warn = F.array_compact(F.array(
-            F.when(~F.col("exists"), F.lit("path_missing")),
-            F.when(F.col("exists") & (F.col("n_headers") > 1), F.lit("headers_differ")),
-            F.when(F.col("exists") & decl.isNotNull() & ~F.coalesce(F.col("encodings").contains(decl), F.lit(False)),
-                   F.lit("encoding_mismatch"))))
-        parts.append(rec.withColumn("warnings", F.array_join(warn, ",")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def read_processed(spark: SparkSession, root: str, dataset_id: str) -> DataFrame | None:
     """A dataset's processed rows, or None where it has none yet. Any other
     failure to read them is raised."""
