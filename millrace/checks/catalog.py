@@ -9,7 +9,7 @@ from millrace.checks.common import messy_lineitem, MESSY_LINEITEM_SQL
 from millrace.operators import catalog as K
 from millrace.operators import constraints as CN
 from millrace.operators import profile as P
-from millrace.session import TABLES, table
+from millrace.session import table
 
 Q: dict = {}
 SQL: dict = {}
@@ -154,40 +154,44 @@ UNION ALL SELECT 'entries', 'only_a', (SELECT count(*) FROM (SELECT * FROM a EXC
 UNION ALL SELECT 'entries', 'only_b', (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))"""
 
 
-# --- columns metadata derived from the tables' schemas -------------------------------
+# --- columns metadata: one registered dataset per customer, one column per order --------
+_COLUMN_EXPRS = [
+    "concat('cust_', CAST(o_custkey AS STRING)) AS datalake_id",
+    "concat('c', CAST(o_orderkey AS STRING), '_', CASE o_orderkey % 8 WHEN 0 THEN 'part_key' WHEN 1 THEN 'injection pressure' WHEN 2 THEN 'unit_name' WHEN 3 THEN 'ship_status' "
+    "WHEN 4 THEN 'free_text' WHEN 5 THEN 'temperature' WHEN 6 THEN 'wave' ELSE 'cycletime' END) AS name",
+    "CASE WHEN o_orderkey % 8 = 6 THEN 'array' WHEN o_orderkey % 11 = 0 THEN 'datetime' WHEN o_orderkey % 8 IN (0, 7) THEN 'integer' WHEN o_orderkey % 8 IN (1, 5) THEN 'float' ELSE 'text' END AS dtype",
+    "CASE WHEN o_orderkey % 8 = 6 THEN 'group' ELSE 'scalar' END AS column_kind",
+    "CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS ordinal",
+]
+COLS_D = "SELECT " + ", ".join(_COLUMN_EXPRS).replace("AS STRING)", "AS VARCHAR)") + " FROM orders"
+
+
 def columns_meta(spark, sf):
-    rows = []
-    for t in TABLES:
-        for i, f in enumerate(table(spark, sf, t).schema.fields):
-            dt = P.dtype_name(f.dataType)
-            rows.append((t, f.name, dt, "group" if dt == "array" else "scalar", None, i, None, None))
-    return spark.createDataFrame(rows, K.COLUMNS_SCHEMA)
+    rows = table(spark, sf, "orders").selectExpr(*_COLUMN_EXPRS)
+    return rows.select("datalake_id", "name", "dtype", "column_kind", F.lit(None).cast("string").alias("group_desc"), "ordinal",
+                       F.lit(None).cast("double").alias("stat_min"), F.lit(None).cast("double").alias("stat_max"))
 
 
-_DT_CASE = ("CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT', 'HUGEINT') THEN 'integer' "
-            "WHEN data_type IN ('DOUBLE', 'FLOAT', 'REAL') OR data_type LIKE 'DECIMAL%' THEN 'float' "
-            "WHEN data_type = 'BOOLEAN' THEN 'boolean' WHEN data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' THEN 'datetime' "
-            "WHEN data_type = 'VARCHAR' THEN 'text' WHEN data_type LIKE '%[]' THEN 'array' ELSE 'unknown' END")
-COLS_D = (f"SELECT table_name AS datalake_id, column_name AS name, {_DT_CASE} AS dtype, "
-          f"CASE WHEN {_DT_CASE} = 'array' THEN 'group' ELSE 'scalar' END AS column_kind, "
-          "CAST(ordinal_position - 1 AS INTEGER) AS ordinal FROM information_schema.columns "
-          f"WHERE table_name IN ({', '.join(repr(t) for t in TABLES)})")
+def _ids(cond: str):
+    """Datasets by their number, as a filter both engines read."""
+    return f"datalake_id LIKE '%{cond}'"
 
 
 @q("column_ordinals")
 def _ordinals(spark, sf):
-    heads = spark.createDataFrame([(t, table(spark, sf, t).columns) for t in TABLES], "datalake_id string, header array<string>")
+    """The header of every dataset, unfolded; its ordinals are those of the source."""
+    named = F.array_sort(F.collect_list(F.struct("ordinal", "name")))  # one dataset's columns
+    heads = columns_meta(spark, sf).groupBy("datalake_id").agg(F.transform(named, lambda c: c["name"]).alias("header"))
     return K.column_ordinals(heads)
 
 
-SQL["column_ordinals"] = f"SELECT datalake_id, name, ordinal FROM ({COLS_D})"
+SQL["column_ordinals"] = f"SELECT datalake_id, name, CAST(row_number() OVER (PARTITION BY datalake_id ORDER BY ordinal) - 1 AS INTEGER) AS ordinal FROM ({COLS_D})"
 
 
 def _replaced(spark, sf):
     old = columns_meta(spark, sf)
-    # lineitem and orders re-registered with ordinals halved (introduces duplicates)
-    new = old.filter(F.col("datalake_id").isin("lineitem", "orders")).withColumn(
-        "ordinal", (F.col("ordinal") / 2).cast("int"))
+    # a tenth of the datasets registered again with ordinals halved (introduces duplicates)
+    new = old.filter(_ids("7")).withColumn("ordinal", (F.col("ordinal") / 2).cast("int"))
     return K.replace_columns(old, new)
 
 
@@ -196,7 +200,7 @@ def _replace(spark, sf):
     return _replaced(spark, sf).select("datalake_id", "name", "dtype", "column_kind", "ordinal")
 
 
-REPLACED_D = (f"SELECT datalake_id, name, dtype, column_kind, CASE WHEN datalake_id IN ('lineitem', 'orders') "
+REPLACED_D = (f"SELECT datalake_id, name, dtype, column_kind, CASE WHEN {_ids('7')} "
               f"THEN CAST(ordinal // 2 AS INTEGER) ELSE ordinal END AS ordinal FROM ({COLS_D})")
 SQL["replace_columns"] = REPLACED_D
 
@@ -219,16 +223,16 @@ FROM c LEFT JOIN d USING (datalake_id) GROUP BY c.datalake_id"""
 @q("schema_drift")
 def _drift(spark, sf):
     src = columns_meta(spark, sf).select("datalake_id", "name")
-    # the catalog stored orders' names upper-cased and dropped customer's last column
-    cat = (src.withColumn("name", F.when(F.col("datalake_id") == "orders", F.upper("name")).otherwise(F.col("name")))
-           .filter(~((F.col("datalake_id") == "customer") & (F.col("name") == "c_mktsegment"))))
+    # the catalog stored some datasets' names upper-cased and dropped a column of others
+    cat = (src.withColumn("name", F.when(F.expr(_ids("4")), F.upper("name")).otherwise(F.col("name")))
+           .filter(~(F.expr(_ids("8")) & F.col("name").rlike("^c[0-9]*2_"))))
     return K.schema_drift(src, cat)
 
 
 SQL["schema_drift"] = f"""
 WITH src AS (SELECT datalake_id, name FROM ({COLS_D})),
-cat AS (SELECT datalake_id, CASE WHEN datalake_id = 'orders' THEN upper(name) ELSE name END AS name FROM src
-        WHERE NOT (datalake_id = 'customer' AND name = 'c_mktsegment'))
+cat AS (SELECT datalake_id, CASE WHEN {_ids('4')} THEN upper(name) ELSE name END AS name FROM src
+        WHERE NOT ({_ids('8')} AND regexp_matches(name, '^c[0-9]*2_')))
 SELECT datalake_id, name, 'missing_in_catalog' AS drift FROM (SELECT * FROM src EXCEPT SELECT * FROM cat)
 UNION ALL SELECT datalake_id, name, 'missing_in_source' FROM (SELECT * FROM cat EXCEPT SELECT * FROM src)"""
 
@@ -261,7 +265,7 @@ SQL["stat_minmax"] = _minmax_sql()
 # One spec per column, chosen from the column's kind, type and name so that
 # every acceptance rule is exercised: group -> aggregate; *key -> extra field;
 # dates -> both bounds null; *name -> boolean value; *type / *status ->
-# unknown metric; free text -> deferred type; numbers -> a valid range.
+# unknown metric; *text -> deferred type; numbers -> a valid range.
 _SPEC_RULE = (
     "CASE "
     "WHEN column_kind = 'group' THEN '{\"type\": \"aggregate\", \"metric\": \"rms\", \"op\": \"<=\", \"value\": 1.5}' "
@@ -269,7 +273,7 @@ _SPEC_RULE = (
     "WHEN dtype = 'datetime' THEN '{\"type\": \"range\", \"min\": null, \"max\": null}' "
     "WHEN name LIKE '%name' THEN '{\"type\": \"single_value\", \"value\": true}' "
     "WHEN name LIKE '%type' OR name LIKE '%status' THEN '{\"type\": \"aggregate\", \"metric\": \"median\", \"op\": \"<=\", \"value\": 1}' "
-    "WHEN name IN ('text', 'html') THEN '{\"type\": \"ratio\", \"value\": 0.5}' "
+    "WHEN name LIKE '%text' THEN '{\"type\": \"ratio\", \"value\": 0.5}' "
     "WHEN dtype IN ('integer', 'float') THEN concat('{\"type\": \"range\", \"min\": ', CAST(ordinal AS STRING), "
     "', \"max\": null, \"unit\": \"mm\"}') "
     "ELSE '{\"type\": \"single_value\", \"value\": \"42\"}' END")
@@ -313,8 +317,7 @@ def _spec_error_d() -> str:
 @q("constraint_spec_check")
 def _spec_check(spark, sf):
     cm = columns_meta(spark, sf)
-    ents = spark.createDataFrame([(t,) for t in TABLES], "datalake_id string")
-    return CN.check_specs(specs(spark, sf), cm, ents)
+    return CN.check_specs(specs(spark, sf), cm, cm.select("datalake_id").distinct())
 
 
 SQL["constraint_spec_check"] = f"""
@@ -350,31 +353,29 @@ WHERE json_extract_string(spec, '$.type') IS DISTINCT FROM 'range'"""
 
 @q("constraint_merge")
 def _merge(spark, sf):
-    """Session specs on the float columns of lineitem (plus one key with no
-    column), stored specs on all numeric columns: floats resolve to the
-    session value, integers to the stored suggestion, text stays blank."""
-    cm = columns_meta(spark, sf).filter(F.col("datalake_id") == "lineitem")
-    sp = specs(spark, sf).filter(F.col("datalake_id") == "lineitem")
-    typed = sp.join(cm.select(F.col("name").alias("column_name"), "dtype"), "column_name")
-    session = typed.filter(F.col("dtype") == "float").select("column_name", "spec")
-    session = session.unionByName(spark.createDataFrame([("l_comment", '{"type": "range", "min": 0}')], "column_name string, spec string"))
-    stored = typed.filter(F.col("dtype").isin("integer", "float")).select("column_name", "spec", F.lit("planner").alias("approved_by"))
-    return CN.merge_view(cm.select("name"), session, stored)
+    """Session specs on every dataset's float columns (plus a key with no column in
+    some), stored specs on all numeric columns: floats resolve to the session
+    value, integers to the stored suggestion, text stays blank."""
+    cm = columns_meta(spark, sf)
+    typed = specs(spark, sf).join(cm.select("datalake_id", F.col("name").alias("column_name"), "dtype"), ["datalake_id", "column_name"])
+    session = typed.filter(F.col("dtype") == "float").select("datalake_id", "column_name", "spec")
+    gone = cm.filter(_ids("9")).select("datalake_id", F.lit("no_such_column").alias("column_name"), F.lit('{"type": "range", "min": 0}').alias("spec")).distinct()
+    stored = typed.filter(F.col("dtype").isin("integer", "float")).select("datalake_id", "column_name", "spec", F.lit("planner").alias("approved_by"))
+    return CN.merge_view(cm.select("datalake_id", "name"), session.unionByName(gone), stored, by=["datalake_id"])
 
 
 SQL["constraint_merge"] = f"""
-WITH c AS (SELECT name, dtype FROM ({COLS_D}) WHERE datalake_id = 'lineitem'),
-sp AS (SELECT column_name, spec FROM ({SPECS_D}) WHERE datalake_id = 'lineitem'),
-ses AS (SELECT sp.column_name, sp.spec FROM sp JOIN c ON sp.column_name = c.name WHERE c.dtype = 'float'
-        UNION ALL SELECT 'l_comment', '{{"type": "range", "min": 0}}'),
-sto AS (SELECT sp.column_name, sp.spec, 'planner' AS approved_by FROM sp JOIN c ON sp.column_name = c.name
+WITH c AS (SELECT datalake_id, name, dtype FROM ({COLS_D})),
+sp AS (SELECT * FROM ({SPECS_D})),
+ses AS (SELECT sp.datalake_id, sp.column_name, sp.spec FROM sp JOIN c ON sp.datalake_id = c.datalake_id AND sp.column_name = c.name WHERE c.dtype = 'float'
+        UNION ALL SELECT DISTINCT datalake_id, 'no_such_column', '{{"type": "range", "min": 0}}' FROM c WHERE {_ids('9')}),
+sto AS (SELECT sp.datalake_id, sp.column_name, sp.spec, 'planner' AS approved_by FROM sp JOIN c ON sp.datalake_id = c.datalake_id AND sp.column_name = c.name
         WHERE c.dtype IN ('integer', 'float'))
-SELECT c.name AS column_name, CASE WHEN ses.spec IS NOT NULL THEN 'session' WHEN sto.spec IS NOT NULL THEN 'prefill' ELSE 'blank' END AS source,
+SELECT c.datalake_id, c.name AS column_name, CASE WHEN ses.spec IS NOT NULL THEN 'session' WHEN sto.spec IS NOT NULL THEN 'prefill' ELSE 'blank' END AS source,
        ses.spec AS spec, ses.spec IS NOT NULL AS applied, sto.spec AS prefill_spec, sto.approved_by AS prefill_by, FALSE AS stale
-FROM c LEFT JOIN ses ON c.name = ses.column_name LEFT JOIN sto ON c.name = sto.column_name
+FROM c LEFT JOIN ses ON c.datalake_id = ses.datalake_id AND c.name = ses.column_name LEFT JOIN sto ON c.datalake_id = sto.datalake_id AND c.name = sto.column_name
 UNION ALL
-SELECT ses.column_name, 'session', ses.spec, TRUE, sto.spec, sto.approved_by, TRUE FROM ses LEFT JOIN sto USING (column_name)
-WHERE ses.column_name NOT IN (SELECT name FROM c)"""
+SELECT ses.datalake_id, ses.column_name, 'session', ses.spec, TRUE, NULL, NULL, TRUE FROM ses ANTI JOIN c ON c.datalake_id = ses.datalake_id AND c.name = ses.column_name"""
 
 
 # --- L3 / L4 / L5 ------------------------------------------------------------------------
@@ -387,7 +388,7 @@ def _history_flow(spark, sf):
     cur0 = spark.createDataFrame([], K.CONSTRAINT_SCHEMA)
     hist0 = spark.createDataFrame([], K.HISTORY_SCHEMA)
     cur1, hist1 = K.constraint_upsert(cur0, hist0, v1)
-    v2 = (v1.filter(F.col("datalake_id").isin("lineitem", "orders", "events"))
+    v2 = (v1.filter(_ids("1"))
           .withColumn("constraint_spec", F.regexp_replace("constraint_spec", '"unit": "mm"', '"unit": "cm"'))
           .withColumn("approved_at", t2).withColumn("approved_by", F.lit("bob")))
     cur2, hist2 = K.constraint_upsert(cur1, hist1, v2)
@@ -408,36 +409,35 @@ WITH ok AS ({_OK_SPECS_D})
 SELECT datalake_id, column_name, spec AS constraint_spec, 'alice' AS approved_by, 'create' AS action FROM ok
 UNION ALL
 SELECT datalake_id, column_name, replace(spec, '"unit": "mm"', '"unit": "cm"'), 'bob', 'update' FROM ok
-WHERE datalake_id IN ('lineitem', 'orders', 'events')"""
+WHERE {_ids('1')}"""
 
 
 @q("constraint_delete_history")
 def _delete_hist(spark, sf):
     cur, hist = _history_flow(spark, sf)
-    # remove every constraint of integer columns of lineitem, plus keys that do not exist
-    cm = columns_meta(spark, sf)
-    keys = (cm.filter((F.col("datalake_id") == "lineitem") & (F.col("dtype") == "integer"))
-            .select("datalake_id", F.col("name").alias("column_name"))
-            .unionByName(spark.createDataFrame([("lineitem", "no_such_column")], "datalake_id string, column_name string")))
+    # remove every constraint of integer columns of some datasets, plus keys that do not exist
+    some = columns_meta(spark, sf).filter(_ids("1") + " OR " + _ids("2"))
+    keys = (some.filter(F.col("dtype") == "integer").select("datalake_id", F.col("name").alias("column_name"))
+            .unionByName(some.select("datalake_id", F.lit("no_such_column").alias("column_name")).distinct()))
     cur3, hist3 = K.constraint_delete(cur, hist, keys, "carol", F.expr("timestamp_seconds(1735862400)"))
     return hist3.filter(F.col("action") == "delete").select("datalake_id", "column_name", "constraint_spec", "approved_by", "action")
 
 
 SQL["constraint_delete_history"] = f"""
 WITH ok AS ({_OK_SPECS_D}),
-cur AS (SELECT datalake_id, column_name, CASE WHEN datalake_id IN ('lineitem', 'orders', 'events')
+cur AS (SELECT datalake_id, column_name, CASE WHEN {_ids('1')}
              THEN replace(spec, '"unit": "mm"', '"unit": "cm"') ELSE spec END AS constraint_spec FROM ok)
 SELECT cur.datalake_id, cur.column_name, cur.constraint_spec, 'carol' AS approved_by, 'delete' AS action
 FROM cur JOIN ({COLS_D}) c ON cur.datalake_id = c.datalake_id AND cur.column_name = c.name
-WHERE c.datalake_id = 'lineitem' AND c.dtype = 'integer'"""
+WHERE (c.{_ids('1')} OR c.{_ids('2')}) AND c.dtype = 'integer'"""
 
 
 @q("entry_delete_cascade")
 def _cascade(spark, sf):
     cur, hist = _history_flow(spark, sf)
-    ents = spark.createDataFrame([(t,) for t in TABLES], "datalake_id string")
     cm = columns_meta(spark, sf)
-    ids = spark.createDataFrame([("orders",), ("customer",)], "datalake_id string")
+    ents = cm.select("datalake_id").distinct()
+    ids = ents.filter(_ids("1") + " OR " + _ids("3"))
     e2, c2, cur2, h2 = K.entry_delete_cascade(ents, cm, cur, hist, ids, F.expr("timestamp_seconds(1735862400)"))
     count = lambda d, n: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("relation"), "n")
     dels = h2.filter(F.col("action") == "delete").groupBy("approved_by").agg(F.count(F.lit(1)).alias("n")).select(
@@ -446,16 +446,17 @@ def _cascade(spark, sf):
         count(h2, "history")).unionByName(dels)
 
 
+_GONE_D = _ids("1") + " OR " + _ids("3")
 SQL["entry_delete_cascade"] = f"""
 WITH ok AS ({_OK_SPECS_D}), c AS ({COLS_D}),
-upd AS (SELECT * FROM ok WHERE datalake_id IN ('lineitem', 'orders', 'events'))
-SELECT 'entries' AS relation, CAST({len(TABLES) - 2} AS BIGINT) AS n
-UNION ALL SELECT 'columns', count(*) FROM c WHERE datalake_id NOT IN ('orders', 'customer')
-UNION ALL SELECT 'constraints', count(*) FROM ok WHERE datalake_id NOT IN ('orders', 'customer')
+upd AS (SELECT * FROM ok WHERE {_ids('1')})
+SELECT 'entries' AS relation, count(DISTINCT datalake_id) AS n FROM c WHERE NOT ({_GONE_D})
+UNION ALL SELECT 'columns', count(*) FROM c WHERE NOT ({_GONE_D})
+UNION ALL SELECT 'constraints', count(*) FROM ok WHERE NOT ({_GONE_D})
 UNION ALL SELECT 'history', (SELECT count(*) FROM ok) + (SELECT count(*) FROM upd)
-          + (SELECT count(*) FROM ok WHERE datalake_id IN ('orders', 'customer'))
-UNION ALL SELECT 'history_delete_by_' || CASE WHEN datalake_id IN ('lineitem', 'orders', 'events') THEN 'bob' ELSE 'alice' END,
-          count(*) FROM ok WHERE datalake_id IN ('orders', 'customer') GROUP BY 1"""
+          + (SELECT count(*) FROM ok WHERE {_GONE_D})
+UNION ALL SELECT 'history_delete_by_' || CASE WHEN {_ids('1')} THEN 'bob' ELSE 'alice' END,
+          count(*) FROM ok WHERE {_GONE_D} GROUP BY 1"""
 
 
 # --- B21 / B20 / B13 / B15 ----------------------------------------------------------------
@@ -529,12 +530,9 @@ SELECT 'class_too_few', label, count(*), CAST(NULL AS VARCHAR) FROM d WHERE labe
 # --- F8 ---------------------------------------------------------------------------------------
 @q("json_schema")
 def _json_schema(spark, sf):
-    from millrace.operators.checks import json_schema_rows
-    parts = [json_schema_rows(table(spark, sf, t), t) for t in TABLES]
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    """The JSON type of every column of every dataset in the catalog."""
+    from millrace.operators.checks import json_types
+    return json_types(columns_meta(spark, sf))
 
 
 SQL["json_schema"] = (f"SELECT datalake_id AS dataset, name AS property, CASE WHEN dtype = 'integer' THEN 'integer' "

@@ -13,7 +13,7 @@ from millrace.operators import profile as P
 from millrace.operators import transforms as X
 from millrace.operators import validate as V
 from millrace.plans import rules as R
-from millrace.session import TABLES, table
+from millrace.session import table
 from millrace.sources.tables import rebalance
 
 Q: dict = {}
@@ -35,13 +35,9 @@ def _case_chain(expr: str, rules, idx: int) -> str:
 # --- J10 ----------------------------------------------------------------------
 @q("semantic_groups")
 def _groups(spark, sf):
-    frames = []
-    for t in TABLES:
-        cols = table(spark, sf, t).columns
-        frames.append(R.names_frame(spark, cols).withColumn("table_name", F.lit(t)))
-    names = frames[0]
-    for f in frames[1:]:
-        names = names.unionByName(f)
+    """The semantic groups of every dataset's columns."""
+    from millrace.checks.catalog import columns_meta
+    names = columns_meta(spark, sf).select(F.col("datalake_id").alias("table_name"), "name", "ordinal")
     g, s = R.classify_expr(F.col("name"))
     cls = names.withColumn("semantic_group", g).withColumn("strategy", s)
     return (cls.groupBy("table_name", "semantic_group", "strategy")
@@ -50,14 +46,18 @@ def _groups(spark, sf):
                  F.count(F.lit(1)).alias("count")))
 
 
-_NAME = "lower(trim(column_name))"
-SQL["semantic_groups"] = f"""
-WITH c AS (SELECT table_name, column_name, ordinal_position,
-                  {_case_chain(_NAME, [(p, g, s) for p, g, s in R.SEMANTIC_RULES], 0)} AS semantic_group,
-                  {_case_chain(_NAME, [(p, g, s) for p, g, s in R.SEMANTIC_RULES], 1)} AS strategy
-           FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in TABLES)}))
-SELECT table_name, semantic_group, strategy, string_agg(column_name, ',' ORDER BY ordinal_position) AS members,
-       count(*) AS count FROM c GROUP BY table_name, semantic_group, strategy"""
+_NAME = "lower(trim(name))"
+
+
+def _groups_sql() -> str:
+    from millrace.checks.catalog import COLS_D
+    rules = [(p, g, s) for p, g, s in R.SEMANTIC_RULES]
+    return f"""
+WITH c AS (SELECT datalake_id AS table_name, name, ordinal, {_case_chain(_NAME, rules, 0)} AS semantic_group, {_case_chain(_NAME, rules, 1)} AS strategy FROM ({COLS_D}))
+SELECT table_name, semantic_group, strategy, string_agg(name, ',' ORDER BY ordinal) AS members, count(*) AS count FROM c GROUP BY table_name, semantic_group, strategy"""
+
+
+SQL["semantic_groups"] = _groups_sql()
 
 
 # --- J11 / J12 ----------------------------------------------------------------

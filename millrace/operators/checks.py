@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.small import attach_row
-from millrace.operators.profile import dtype_name
+
+#: JSON type of each catalog dtype; all others are text.
+JSON_TYPES = {"integer": "integer", "float": "number", "boolean": "boolean", "array": "array"}
 
 
 def required_and_nulls(profile: DataFrame, required: Sequence[str], max_null_ratio: float) -> DataFrame:
@@ -51,8 +53,8 @@ def attribute_rules(items: DataFrame, attr: str, required: str, label: str, min_
     return mism.unionByName(few)
 
 
-def json_schema_rows(df: DataFrame, dataset: str) -> DataFrame:
-    """F8: JSON-Schema property types of a DataFrame (integer / number / boolean / array / string)."""
-    to_json = {"integer": "integer", "float": "number", "boolean": "boolean", "array": "array"}
-    rows = [(dataset, f.name, to_json.get(dtype_name(f.dataType), "string")) for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "dataset string, property string, json_type string")
+def json_types(columns_meta: DataFrame) -> DataFrame:
+    """F8: the JSON-Schema type of every catalog column: dataset, property,
+    json_type (integer, number, boolean, array, else string)."""
+    named = F.create_map(*[F.lit(x) for kv in JSON_TYPES.items() for x in kv])
+    return columns_meta.select(F.col("datalake_id").alias("dataset"), F.col("name").alias("property"), F.coalesce(named[F.col("dtype")], F.lit("string")).alias("json_type"))

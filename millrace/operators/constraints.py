@@ -4,6 +4,8 @@ array-valued (group) columns (B16, B17, C2, D27, B21)."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,23 +94,25 @@ def downconvert(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return engine, excluded
 
 
-def merge_view(columns: DataFrame, session: DataFrame, stored: DataFrame) -> DataFrame:
+def merge_view(columns: DataFrame, session: DataFrame, stored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Session value (applied) > stored value (shown, never applied) >
     blank; session keys without a column are emitted as stale.
-    columns: name; session: column_name, spec; stored: column_name, spec, approved_by."""
-    s = session.select(F.col("column_name").alias("name"), F.col("spec").alias("s_spec"))
-    p = stored.select(F.col("column_name").alias("name"), F.col("spec").alias("p_spec"), F.col("approved_by").alias("p_by"))
-    base = columns.select("name").join(s, "name", "left").join(p, "name", "left")
+    columns: name; session: column_name, spec; stored: column_name, spec,
+    approved_by; each with the columns ``by`` where they are of several datasets."""
+    keys = [*by, "name"]
+    s = session.select(*by, F.col("column_name").alias("name"), F.col("spec").alias("s_spec"))
+    p = stored.select(*by, F.col("column_name").alias("name"), F.col("spec").alias("p_spec"), F.col("approved_by").alias("p_by"))
+    base = columns.select(*keys).join(s, keys, "left").join(p, keys, "left")
     view = base.select(
-        F.col("name").alias("column_name"),
+        *by, F.col("name").alias("column_name"),
         F.when(F.col("s_spec").isNotNull(), "session").when(F.col("p_spec").isNotNull(), "prefill")
         .otherwise("blank").alias("source"),
         F.col("s_spec").alias("spec"),
         F.col("s_spec").isNotNull().alias("applied"),
         F.col("p_spec").alias("prefill_spec"), F.col("p_by").alias("prefill_by"),
         F.lit(False).alias("stale"))
-    stale = (s.join(columns.select("name"), "name", "left_anti").join(p, "name", "left")
-             .select(F.col("name").alias("column_name"), F.lit("session").alias("source"), F.col("s_spec").alias("spec"),
+    stale = (s.join(columns.select(*keys), keys, "left_anti").join(p, keys, "left")
+             .select(*by, F.col("name").alias("column_name"), F.lit("session").alias("source"), F.col("s_spec").alias("spec"),
                      F.lit(True).alias("applied"), F.col("p_spec").alias("prefill_spec"), F.col("p_by").alias("prefill_by"),
                      F.lit(True).alias("stale")))
     return view.unionByName(stale)
