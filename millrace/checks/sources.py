@@ -337,11 +337,29 @@ def _img_scan(spark, sf):
     return I.scan_images(spark, _write_images(spark, sf))
 
 
+_IMG_D = """
+k AS (SELECT p_partkey AS key, p_size AS s, replace(p_brand, '#', '_') AS label, split_part(p_type, ' ', 1) AS t, p_partkey % 97 = 0 AS bad FROM part),
+x AS (SELECT *, CASE t WHEN 'SMALL' THEN 'JPEG' WHEN 'STANDARD' THEN 'BMP' WHEN 'MEDIUM' THEN 'GIF' WHEN 'LARGE' THEN 'WEBP' ELSE 'PNG' END AS f FROM k),
+img AS (SELECT label || '/' || key || '.' || CASE f WHEN 'JPEG' THEN 'jpg' ELSE lower(f) END AS file, CASE WHEN NOT bad THEN CAST(s * 7 + 10 AS INTEGER) END AS width,
+               CASE WHEN NOT bad THEN CAST(s * 5 + 3 AS INTEGER) END AS height,
+               CASE WHEN bad THEN NULL WHEN f = 'PNG' AND s % 3 = 0 THEN 'RGBA' WHEN f = 'JPEG' AND s % 2 = 1 THEN 'L' WHEN f = 'GIF' THEN 'P' ELSE 'RGB' END AS mode,
+               CASE WHEN NOT bad THEN f END AS format, label, s % 4 = 0 AS has_txt_label, CASE WHEN bad THEN 'corrupt/unreadable' END AS error FROM x)"""
+SQL["img_scan"] = f"WITH {_IMG_D} SELECT * FROM img"
+
+
 @q("img_profile")
 def _img_profile(spark, sf):
     return I.image_profile(I.scan_images(spark, _write_images(spark, sf)))
 
 
+SQL["img_profile"] = f"""WITH {_IMG_D},
+ok AS (SELECT * FROM img WHERE error IS NULL),
+v AS ({" UNION ALL ".join(f"SELECT '{a}' AS attr, CAST({a} AS VARCHAR) AS val FROM ok" for a in ("width", "height", "mode", "format", "label"))}),
+c AS (SELECT attr, val, count(*) AS n, row_number() OVER (PARTITION BY attr ORDER BY count(*) DESC, val) AS rk FROM v WHERE val IS NOT NULL GROUP BY attr, val)
+SELECT attr, (SELECT count(*) FROM ok) - CAST(sum(n) AS BIGINT) AS null_count, count(*) AS n_unique, attr <> 'label' AND count(*) > 1 AS mixed,
+       string_agg(CASE WHEN rk <= 5 THEN val || ':' || n END, '|' ORDER BY rk) AS top FROM c GROUP BY attr"""
+
+
 @q("img_stats")
 def _img_stats(spark, sf):
     scan = I.scan_images(spark, _write_images(spark, sf))
@@ -349,12 +367,36 @@ def _img_stats(spark, sf):
                          ).unionByName(I.image_stats(scan))
 
 
+SQL["img_stats"] = f"""WITH {_IMG_D}, ok AS (SELECT * FROM img WHERE error IS NULL)
+SELECT 'RGB' AS mode, count(*) AS n_files, CAST(1 AS BIGINT) AS n_sizes FROM ok UNION ALL SELECT mode, count(*), count(DISTINCT (width, height)) FROM ok GROUP BY mode"""
+
+
+@q("img_ops")
+def _img_ops(spark, sf):
+    """Every readable image as it would be after the operations, with its class index."""
+    return I.image_ops(I.scan_images(spark, _write_images(spark, sf)))
+
+
+SQL["img_ops"] = f"""WITH {_IMG_D}, ok AS (SELECT * FROM img WHERE error IS NULL),
+big AS (SELECT width, height FROM ok GROUP BY 1, 2 ORDER BY count(*) DESC, width, height LIMIT 1),
+l AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_index FROM (SELECT DISTINCT label FROM ok))
+SELECT file, (SELECT width FROM big) AS width, (SELECT height FROM big) AS height, 'RGB' AS mode, format, label, label_index, mode AS mode_before, width AS width_before, height AS height_before
+FROM ok JOIN l USING (label)"""
+
+
 @q("img_manifest_verify")
 def _img_manifest(spark, sf):
     root = _write_images(spark, sf)
     return I.image_set_check(spark, root, declared_n=2000, declared_formats={"png": 800, "jpg": 400})
 
 
+SQL["img_manifest_verify"] = f"""WITH {_IMG_D},
+n AS (SELECT 'format' AS kind, regexp_extract(file, '[^.]+$') AS key, count(*) AS n FROM img GROUP BY 2
+      UNION ALL SELECT 'n_images', NULL, count(*) FROM img UNION ALL SELECT 'label_files', NULL, count(CASE WHEN has_txt_label THEN 1 END) FROM img),
+d AS (SELECT *, CAST(CASE WHEN kind = 'n_images' THEN 2000 WHEN key = 'png' THEN 800 WHEN key = 'jpg' THEN 400 END AS BIGINT) AS declared FROM n)
+SELECT kind, key, n, declared, declared IS NOT NULL AND n <> declared AS mismatch FROM d"""
+
+
 # --- A11 / D27 ------------------------------------------------------------------------
 def _wide_waves(spark, sf):
     e = table(spark, sf, "embeddings")

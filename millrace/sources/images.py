@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.rowindex import global_index, written
+
 # --- fixed values -----------------------------------------------------------
 IMAGE_EXTS = (".png", ".jpg", ".jpeg", ".bmp", ".gif", ".webp")
 LABEL_EXTS = (".txt",)
@@ -22,7 +24,8 @@ ATTR_SCHEMA = "path string, width int, height int, mode string, format string, e
 
 
 def image_header(data: bytes) -> tuple[int, int, str, str]:
-    """(width, height, mode, format) from the first bytes of an image."""
+    """(width, height, mode, format) from an image's header, wherever the frame
+    header of a JPEG stands behind its other segments."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
         w, h, depth, ctype = struct.unpack(">IIBB", data[16:26])
         mode = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}[ctype]
@@ -79,25 +82,28 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for p, content in zip(pdf["path"], pdf["content"]):
             try:
-                w, h, m, f = image_header(bytes(content[:65536]))
+                w, h, m, f = image_header(content)
                 rows.append((p, w, h, m, f, None))
-            except Exception:
+            except (ValueError, KeyError, IndexError, struct.error):  # what a damaged header leads to
                 rows.append((p, None, None, None, None, "corrupt/unreadable"))
         yield pd.DataFrame(rows, columns=["path", "width", "height", "mode", "format", "error"])
 
 
+def _any_case(exts: tuple[str, ...]) -> str:
+    """A glob of files with one of the extensions, in capitals or not."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e[1:]) for e in exts) + "}"
+
+
 def scan_images(spark: SparkSession, root: str) -> DataFrame:
     """A8 + C8: file (relative), width, height, mode, format, label (first
     sub-folder, NULL at top level), has_txt_label (same-stem .txt), error."""
     root = root.rstrip("/")
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-               .select("path", "content"))
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    imgs = listing.filter(ext.isin(*IMAGE_EXTS))
+    # only images are opened
+    imgs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(IMAGE_EXTS)).load(root).select("path", "content")
     attrs = imgs.mapInPandas(_decode, schema=ATTR_SCHEMA)
     rel = F.regexp_replace("path", r"^.*?" + re.escape(root.split(":")[-1]) + "/", "")
     stem = F.regexp_replace("path", r"\.[^./]+$", "")
-    txt = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
+    txt = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(LABEL_EXTS))
            .load(root).select(F.regexp_replace("path", r"\.[^./]+$", "").alias("__stem")).distinct()
            .withColumn("has_txt_label", F.lit(True)))
     parts = F.split(rel, "/")
@@ -106,8 +112,8 @@ def scan_images(spark: SparkSession, root: str) -> DataFrame:
                    F.when(F.size(parts) > 1, parts[0]).alias("label"),
                    F.coalesce("has_txt_label", F.lit(False)).alias("has_txt_label"), "error"))
     # the attribute table (one small row per file) feeds several aggregates:
-    # keep it instead of re-opening every file for each of them
-    return out.persist()
+    # write it instead of opening every file again for each of them
+    return written(out, "image-attributes")
 
 
 def image_profile(scan: DataFrame, top: int = 5) -> DataFrame:
@@ -169,8 +175,7 @@ def image_ops(scan: DataFrame, target_mode: str = "RGB", target_size: tuple[int,
                   .orderBy(F.desc("n"), "width", "height").first())
         target_size = (common["width"], common["height"]) if common else (None, None)
     labels = ok.select("label").filter(F.col("label").isNotNull()).distinct()
-    from pyspark.sql import Window
-    idx = labels.withColumn("label_index", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))  # one row per class
+    idx = global_index(labels, ["label"], "label_index", unique_key=True).withColumn("label_index", F.col("label_index").cast("int"))
     return (ok.join(idx, "label", "left")  # AQE broadcasts the class table when its runtime size allows
             .select("file", F.lit(target_size[0]).alias("width"), F.lit(target_size[1]).alias("height"),
                     F.lit(target_mode).alias("mode"), "format", "label", "label_index",

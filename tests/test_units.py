@@ -118,3 +118,11 @@ def test_classify_names_local_matches_rules():
     assert got["TEMP_1"] == ("temperature", "single_zscore")
     assert got["Cycle_Time"] == ("cycle", "single_zscore")
     assert got["misc"] == ("unknown", "single_zscore")
+
+
+def test_jpeg_frame_behind_long_metadata():
+    """The frame header may stand anywhere behind other segments."""
+    import struct
+    image = fake_image_bytes("JPEG", 640, 480, "RGB")
+    notes = b"".join(b"\xff\xe1" + struct.pack(">H", 60_002) + bytes(60_000) for _ in range(3))
+    assert image_header(image[:2] + notes + image[2:]) == (640, 480, "RGB", "JPEG")
