@@ -236,6 +236,27 @@ SELECT c_custkey AS key, c_name AS name, c_acctbal AS acctbal, c_mktsegment AS s
 UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL, s_nationkey FROM supplier"""
 
 
+@q("workbook_merge")
+def _workbook(spark, sf):
+    """A workbook a nation with a sheet of balances and one of segments, written,
+    opened again and merged on LOT_NO."""
+    from millrace.functions.rowindex import written
+    from millrace.sources.workbook import build_workbooks, sheet_frames, workbook_cells
+    c = table(spark, sf, "customer")
+    balances = c.select("c_nationkey", F.col("c_custkey").alias("LOT_NO"), F.col("c_name").alias("NAME"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("BAL"))
+    segments = c.filter(F.col("c_custkey") % 3 != 0).select("c_nationkey", F.col("c_custkey").alias("LOT_NO"), F.col("c_mktsegment").alias("SEGMENT"), F.concat(F.lit("<"), "c_name", F.lit(">")).alias("NAME"))
+    books = written(build_workbooks({"balances": balances, "segments & names": segments}, "c_nationkey", "LOT_NO"), "workbooks")
+    frames = sheet_frames(workbook_cells(books))
+    merged = merge_sheets([f.drop("path", "row_ord") for f in frames.values()], "LOT_NO")
+    return merged.select(F.col("LOT_NO").cast("double").cast("bigint").alias("lot_no"), F.col("NAME").alias("name"), F.round(F.col("BAL").cast("double"), 2).alias("bal"),
+                         F.col("SEGMENT").alias("segment"), F.col("NAME_dup").alias("name_dup"))
+
+
+SQL["workbook_merge"] = """
+SELECT c_custkey AS lot_no, c_name AS name, CASE WHEN c_acctbal >= 0 THEN round(c_acctbal, 2) END AS bal,
+       CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 3 <> 0 THEN '<' || c_name || '>' END AS name_dup FROM customer"""
+
+
 # --- A10 ---------------------------------------------------------------------------
 @q("infer_dtypes")
 def _infer(spark, sf):

@@ -67,11 +67,29 @@ def test_workbook_merge(spark):
     with open(os.path.join(d, "book.xlsx"), "wb") as fh:
         fh.write(write_xlsx({"s1": s1, "s2": s2}))
     frames = sheet_frames(read_workbook_cells(spark, d))
-    merged = merge_sheets([f.drop("row_ord") for f in frames.values()], "LOT_NO")
+    merged = merge_sheets([f.drop("row_ord", "path") for f in frames.values()], "LOT_NO")
     assert sorted(merged.columns) == sorted(["LOT_NO", "TEMP_1", "EQP_ID", "PRESSURE", "EQP_ID_dup"])
     assert merged.count() == 4
 
 
+def test_workbooks_of_many_groups(spark):
+    from millrace.sources.workbook import build_workbooks, sheet_frames, workbook_cells
+    df = spark.createDataFrame([(i % 3, i, f"<n{i}>" if i % 5 else None, i / 4) for i in range(60)], "g int, k long, name string, v double")
+    books = build_workbooks({"all": df, "few & \"odd\"": df.filter("k < 30").select("g", "k")}, "g", "k")
+    assert {r["path"] for r in books.collect()} == {"0.xlsx", "1.xlsx", "2.xlsx"}
+    frames = sheet_frames(workbook_cells(books))
+    assert list(frames) == ["all", "few & \"odd\""]
+    got = {(r["path"], float(r["k"]), r["name"], float(r["v"])) for r in frames["all"].collect()}
+    assert got == {(f"{i % 3}.xlsx", float(i), f"<n{i}>" if i % 5 else None, i / 4) for i in range(60)}
+    assert frames["few & \"odd\""].count() == 30
+    other = workbook_cells(books).unionByName(workbook_cells(build_workbooks({"all": df.select("g", "name", "k")}, "g", "k").withColumn("path", F.lit("z.xlsx"))))
+    try:
+        sheet_frames(other)
+        raise AssertionError("different headers were merged")
+    except ValueError:
+        pass
+
+
 def test_guarded_query(spark):
     from millrace.operators.adhoc import guarded_query
     df = spark.range(500).withColumn("x", F.col("id") * 2)

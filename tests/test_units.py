@@ -126,3 +126,19 @@ def test_jpeg_frame_behind_long_metadata():
     image = fake_image_bytes("JPEG", 640, 480, "RGB")
     notes = b"".join(b"\xff\xe1" + struct.pack(">H", 60_002) + bytes(60_000) for _ in range(3))
     assert image_header(image[:2] + notes + image[2:]) == (640, 480, "RGB", "JPEG")
+
+
+def test_workbook_shared_strings_and_missing_references():
+    import io
+    import zipfile
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    buf = io.BytesIO(write_xlsx({"a": pd.DataFrame({"x": [1]})}))
+    z = zipfile.ZipFile(buf)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as w:
+        for name in z.namelist():
+            if "sheet1" not in name:
+                w.writestr(name, z.read(name))
+        w.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>one</t></si><si><r><t>t</t></r><r><t>wo</t></r></si></sst>")
+        w.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c t="s"><v>1</v></c><c r="C1" t="b"><v>1</v></c><c><v>5</v></c></row><row r="4"><c t="s"><v>0</v></c><c/></row></sheetData></worksheet>')
+    assert parse_xlsx(out.getvalue()) == [("a", 0, 1, 0, "two"), ("a", 0, 1, 2, "TRUE"), ("a", 0, 1, 3, "5"), ("a", 0, 4, 0, "one"), ("a", 0, 4, 1, None)]
