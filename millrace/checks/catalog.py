@@ -239,7 +239,13 @@ UNION ALL SELECT datalake_id, name, 'missing_in_source' FROM (SELECT * FROM cat
 
 @q("stat_minmax")
 def _minmax(spark, sf):
-    return K.stat_minmax(table(spark, sf, "lineitem"), "lineitem")
+    """Observed bounds of every lineitem column, put into the catalog's columns."""
+    path = f"{sf.rstrip('/')}/lineitem.parquet"
+    stats = K.stat_minmax_of_files(spark, path, "lineitem")
+    fields = spark.read.parquet(path).schema.fields
+    own = spark.createDataFrame([("lineitem", f.name, f.dataType.simpleString(), "scalar", None, i, None, None) for i, f in enumerate(fields)], K.COLUMNS_SCHEMA)
+    meta = K.apply_minmax(own.unionByName(columns_meta(spark, sf)), stats)
+    return meta.filter("datalake_id = 'lineitem'").select("datalake_id", "name", "stat_min", "stat_max", F.col("stat_min").isNull().alias("all_null"))
 
 
 _LI_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",

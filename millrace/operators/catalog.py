@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.rowsets import compare
 from millrace.functions.scalars import try_to_double
 
 # --- fixed values -----------------------------------------------------------
@@ -112,11 +113,47 @@ def stat_minmax(df: DataFrame, datalake_id: str, columns: Sequence[str] | None =
             .withColumn("all_null", F.col("stat_min").isNull()))
 
 
+def stat_minmax_of_files(spark: SparkSession, path: str, datalake_id: str) -> DataFrame:
+    """D15 for Parquet files: the numeric columns' min/max come from the files'
+    footers (aggregate push-down), without reading a data page; only text columns
+    are scanned. Files without statistics are scanned for all."""
+    from millrace.operators.profile import is_numeric_type
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    footers = session.read.parquet(path)
+    numbers = [f.name for f in footers.schema.fields if is_numeric_type(f.dataType, bool_numeric=False) and f.dataType.typeName() != "decimal"]
+    rows = []
+    if numbers:
+        one = footers.agg(*[g(F.col(f"`{c}`")).alias(f"{k}{i}") for i, c in enumerate(numbers) for k, g in (("lo", F.min), ("hi", F.max))])
+        try:
+            got = one.first()
+        except Exception as e:  # noqa: BLE001 - Spark names no class for it
+            if "min/max found" not in str(e) and "AGGREGATE_PUSHDOWN" not in str(e).upper():
+                raise
+            numbers = []
+        else:
+            rows = [(datalake_id, c, *[None if got[f"{k}{i}"] is None else float(got[f"{k}{i}"]) for k in ("lo", "hi")]) for i, c in enumerate(numbers)]
+    told = spark.createDataFrame(rows, "datalake_id string, name string, stat_min double, stat_max double").withColumn("all_null", F.col("stat_min").isNull())
+    df = spark.read.parquet(path)
+    rest = [c for c in df.columns if c not in numbers]
+    return told.unionByName(stat_minmax(df, datalake_id, rest)) if rest else told
+
+
+class ColumnMismatch(ValueError):
+    """Observed columns and the catalog's columns of a dataset differ."""
+
+
 def apply_minmax(columns_meta: DataFrame, stats: DataFrame) -> DataFrame:
-    """Upsert observed min/max into the column metadata."""
-    s = stats.select("datalake_id", "name", F.col("stat_min").alias("__lo"), F.col("stat_max").alias("__hi"))
-    return (columns_meta.join(s, ["datalake_id", "name"], "left")
-            .withColumn("stat_min", F.coalesce("__lo", "stat_min"))
+    """The observed min/max put into the column metadata of the datasets
+    that ``stats`` has. Names that only one side has are an error."""
+    keys = ["datalake_id", "name"]
+    own = columns_meta.join(stats.select("datalake_id").distinct(), "datalake_id", "left_semi")
+    odd = schema_drift(stats.select(*keys), own.select(*keys)).orderBy(*keys).limit(20).collect()  # named in the error
+    if odd:
+        raise ColumnMismatch("; ".join(f"{r['datalake_id']}.{r['name']}: {r['drift']}" for r in odd))
+    s = stats.select(*keys, F.col("stat_min").alias("__lo"), F.col("stat_max").alias("__hi"))
+    return (columns_meta.join(s, keys, "left").withColumn("stat_min", F.coalesce("__lo", "stat_min"))
             .withColumn("stat_max", F.coalesce("__hi", "stat_max")).drop("__lo", "__hi"))
 
 
@@ -168,16 +205,13 @@ def entry_delete_cascade(entries: DataFrame, columns_meta: DataFrame, current: D
 
 def snapshot_compare(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
     """Per table: row counts of both snapshots and rows only in a / only
-    in b (exceptAll both ways, duplicates respected)."""
+    in b (duplicates respected), from one count of row fingerprints a table."""
+    sides = ("n_a", "n_b", "only_a", "only_b")
     parts = []
-    for name in a:
-        x, y = a[name], b[name]
-        parts.append(x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), F.lit("a").alias("side"), "n"))
-        parts.append(y.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), F.lit("b").alias("side"), "n"))
-        parts.append(x.exceptAll(y).agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("table"), F.lit("only_a").alias("side"), "n"))
-        parts.append(y.exceptAll(x).agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("table"), F.lit("only_b").alias("side"), "n"))
+    for name, rows in a.items():
+        found = compare(rows, b[name].select(*[F.col(f"`{c}`") for c in rows.columns]))
+        shown = F.array(*[F.struct(F.lit(s.removeprefix("n_")).alias("side"), F.col(s).alias("n")) for s in sides])
+        parts.append(found.select(F.lit(name).alias("table"), F.explode(shown).alias("s")).select("table", "s.*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

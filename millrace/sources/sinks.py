@@ -5,6 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.functions.rowindex import quoted
+from millrace.functions.rowsets import multiset_difference
+
 
 def write_backup_pair(before: DataFrame, after: DataFrame, root: str, dataset_id: str) -> tuple[str, str]:
     """Untouched input and processed output, both Parquet."""
@@ -16,10 +19,9 @@ def write_backup_pair(before: DataFrame, after: DataFrame, root: str, dataset_id
 
 
 def export_diff(before: DataFrame, after: DataFrame, root: str | None = None) -> tuple[DataFrame, dict]:
-    """Rows removed between before and after (exceptAll keeps
-    duplicate multiplicities), optional CSV export of both sides, and the
-    two row counts."""
-    removed = before.exceptAll(after.select(*before.columns))
+    """Rows removed between before and after, as often as they were
+    removed, and an optional CSV export of both sides."""
+    removed = multiset_difference(before, after.select(*[quoted(c) for c in before.columns]))
     if root:
         before.write.mode("overwrite").option("header", "true").csv(f"{root}/before")
         after.write.mode("overwrite").option("header", "true").csv(f"{root}/after")

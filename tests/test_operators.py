@@ -326,3 +326,37 @@ def test_fill_values(spark):
     got = X.fill_values(df, ["x", "s", "absent"])
     assert math.isclose(got["x"], float(pdf["x"].median()), rel_tol=1e-12)
     assert got["s"] == pdf["s"].value_counts().idxmax() and set(got) == {"x", "s"}
+
+
+def test_multiset_difference(spark):
+    from millrace.functions.rowsets import compare, multiset_difference
+    nan = float("nan")
+    rows = [(1, None, "a", nan, [1, None]), (1, None, "a", nan, [1, None]), (None, 1, "a", 0.5, None), (2, 3, None, None, []), (2, 3, None, None, [])] + [(i, i, "x", 1.0, [i]) for i in range(9, 50)]
+    schema = "`a.b` int, c int, s string, x double, l array<int>"
+    a = spark.createDataFrame(rows, schema)
+    b = spark.createDataFrame([rows[0], (1, None, "a", nan, [None, 1]), (1, None, "a", nan, [1]), (None, 1, "a", 0.5, None), *rows[9:30], *rows[9:12]], schema)
+    for x, y in ((a, b), (b, a), (a, a), (a, b.limit(0))):
+        got = sorted(map(repr, multiset_difference(x, y).collect()))
+        assert got == sorted(map(repr, x.exceptAll(y).collect()))
+    assert compare(a, b).first().asDict() == {"n_a": a.count(), "n_b": b.count(), "only_a": a.exceptAll(b).count(), "only_b": b.exceptAll(a).count()}
+    assert compare(a.limit(0), a.limit(0)).first().asDict() == {"n_a": 0, "n_b": 0, "only_a": 0, "only_b": 0}
+
+
+def test_bounds_from_footers(spark, tmp_path):
+    from millrace.operators import catalog as K
+    path = f"file://{tmp_path}/t"
+    df = spark.createDataFrame([(i, i / 3, f"{i}" if i % 2 else "x", None) for i in range(1000)], "a long, b double, c string, d int")
+    df.write.parquet(path)
+    got = {r["name"]: (r["stat_min"], r["stat_max"], r["all_null"]) for r in K.stat_minmax_of_files(spark, path, "t").collect()}
+    assert got == {"a": (0.0, 999.0, False), "b": (0.0, 333.0, False), "c": (1.0, 999.0, False), "d": (None, None, True)}
+    assert K.stat_minmax_of_files(spark, path, "t").count() == 4
+    whole = f"file://{tmp_path}/whole"
+    df.drop("d").write.parquet(whole)  # without a column of NULLs the footers tell all numbers
+    assert {r["name"]: (r["stat_min"], r["stat_max"]) for r in K.stat_minmax_of_files(spark, whole, "t").collect()} == {k: v[:2] for k, v in got.items() if k != "d"}
+    meta = spark.createDataFrame([("t", n, "x", "scalar", None, i, None, None) for i, n in enumerate("abcd")] + [("u", "z", "x", "scalar", None, 0, 1.0, 2.0)], K.COLUMNS_SCHEMA)
+    stats = K.stat_minmax_of_files(spark, path, "t")
+    done = {(r["datalake_id"], r["name"]): r["stat_max"] for r in K.apply_minmax(meta, stats).collect()}
+    assert done == {("t", "a"): 999.0, ("t", "b"): 333.0, ("t", "c"): 999.0, ("t", "d"): None, ("u", "z"): 2.0}
+    for odd in (meta.filter("name <> 'b'"), meta.unionByName(meta.filter("name = 'b'").withColumn("name", F.lit("more")))):
+        with pytest.raises(K.ColumnMismatch):
+            K.apply_minmax(odd, stats)
