@@ -23,10 +23,11 @@ from millrace.llm.common import doc_rows
 
 #: Labelled rows, at most, that lexicon and weights are learned from.
 MAX_FIT_ROWS = 20_000
-#: Different (word before, word after) pairs a term needs in toxic documents,
-#: and the share of its documents that may be clean.
+#: Different (word before, word after) pairs a term needs in toxic texts, the share
+#: of its texts that may be clean, and the different toxic texts it must stand in.
 MIN_CONTEXTS = 6
 MAX_CLEAN_SHARE = 0.1
+MIN_TEXTS = 3
 #: Spelling errors allowed in a term of at least ``MIN_FUZZY`` characters.
 MAX_ERRORS = 1
 MIN_FUZZY = 5
@@ -48,9 +49,10 @@ _is_word = functools.lru_cache(maxsize=1)(_alnum)
 
 
 class Automaton:
-    """Words within ``MAX_ERRORS`` edits of a term, as a lazily determinised
-    product of the lexicon's trie and the Levenshtein automaton: a state maps
-    trie nodes to the fewest errors that lead there."""
+    """Words within ``MAX_ERRORS`` edits of a term, two neighbours swapped being
+    one, as a lazily determinised product of the lexicon's trie and the
+    Levenshtein automaton: a state maps trie nodes to the fewest errors that lead
+    there. A node below the trie's stands for a swap of which one character is read."""
 
     def __init__(self, terms: list[str], max_errors: int = MAX_ERRORS, min_fuzzy: int = MIN_FUZZY):
         self.terms, self.max_errors, self.min_fuzzy = terms, max_errors, min_fuzzy
@@ -65,6 +67,15 @@ class Automaton:
                     self.ends.append(-1)
                 node = self.children[node][c]
             self.ends[node] = i
+        self.swaps: list[dict[str, list[int]]] = [{} for _ in self.children]
+        self.half = len(self.children)  # nodes from here on are half-read swaps
+        for node in range(self.half):
+            for first, child in list(self.children[node].items()):
+                for second, end in self.children[child].items():
+                    if first != second:
+                        self.swaps[node].setdefault(second, []).append(len(self.children))
+                        self.children.append({first: end})
+                        self.ends.append(-1)
         self.letters = sorted({c for t in terms for c in t})
         self.classes = np.zeros(0x110000, np.int16)
         for k, c in enumerate(self.letters):
@@ -81,7 +92,7 @@ class Automaton:
         todo = list(state.items())
         while todo:
             node, errors = todo.pop()
-            if errors < self.max_errors:
+            if errors < self.max_errors and node < self.half:
                 for child in self.children[node].values():
                     if state.get(child, 99) > errors + 1:
                         state[child] = errors + 1
@@ -111,7 +122,11 @@ class Automaton:
         c = self.letters[letter - 1] if letter else None
         out: dict[int, int] = {}
         for node, errors in self.sets[state].items():
-            moves = [(node, errors + 1)] + [(child, errors + (x != c)) for x, child in self.children[node].items()]
+            if node >= self.half:
+                moves = [(end, errors) for x, end in self.children[node].items() if x == c]
+            else:
+                moves = [(node, errors + 1)] + [(child, errors + (x != c)) for x, child in self.children[node].items()]
+                moves += [(swap, errors + 1) for swap in self.swaps[node].get(c, ())]
             for n, e in moves:
                 if e <= self.max_errors and out.get(n, 99) > e:
                     out[n] = e
@@ -195,11 +210,12 @@ def hits(texts: list[str], lexicon: Lexicon) -> tuple[list[list[tuple[int, int,
 
 
 def features(found: list[tuple[int, int, str, bool, bool]], n_words: int, lexicon: Lexicon) -> list[float]:
-    exact = sum(e == 0 and not q for _, e, _, q, _ in found)
-    fuzzy = sum(e > 0 and not q for _, e, _, q, _ in found)
-    return [math.log1p(exact), math.log1p(fuzzy), math.log1p(sum(q for *_, q, _ in found)), math.log1p(sum(a for *_, a in found)),
-            min(1.0, 20 * len(found) / max(n_words, 1)), max((lexicon.weights[t] / (1 + e) for t, e, *_ in found), default=0.0),
-            math.log1p(len({t for t, *_ in found}))]
+    """All but ``quoted`` are of the hits that are not quoted."""
+    abuse = [h for h in found if not h[3]]
+    exact = sum(e == 0 for _, e, *_ in abuse)
+    return [math.log1p(exact), math.log1p(len(abuse) - exact), math.log1p(len(found) - len(abuse)), math.log1p(sum(a for *_, a in abuse)),
+            min(1.0, 20 * len(abuse) / max(n_words, 1)), max((lexicon.weights[t] / (1 + e) for t, e, *_ in abuse), default=0.0),
+            math.log1p(len({t for t, *_ in abuse}))]
 
 
 @dataclass(frozen=True)
@@ -228,17 +244,21 @@ def _regression(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
     return w
 
 
-def learn_lexicon(rows: DataFrame, min_contexts: int = MIN_CONTEXTS, max_clean_share: float = MAX_CLEAN_SHARE) -> Lexicon:
-    """Terms from ``rows`` (``doc_id, text, toxic``). Contexts, not occurrences,
-    are counted, so that copies of one toxic document add nothing."""
+def learn_lexicon(rows: DataFrame, min_contexts: int = MIN_CONTEXTS, max_clean_share: float = MAX_CLEAN_SHARE, min_texts: int = MIN_TEXTS) -> Lexicon:
+    """Terms from ``rows`` (``doc_id, text, toxic``): words that stand in several
+    contexts and several different texts that are toxic, and in few that are not.
+    Texts whose smallest hash of five words is the same, as exact copies have and
+    near ones mostly, count once, and so does a text that repeats a word."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    tokens = rows.select("doc_id", "toxic", words.alias("w")).select("doc_id", "toxic", "w", F.posexplode("w").alias("i", "word"))
-    around = F.xxhash64(F.get("w", F.col("i") - 1), F.get("w", F.col("i") + 1))
-    seen = (tokens.filter("toxic = 1").select("word", "doc_id", around.alias("context")).groupBy("word")
-            .agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id").alias("bad")).filter(F.col("contexts") >= min_contexts))
-    clean = tokens.filter("toxic = 0").select("word", "doc_id").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("good"))
-    got = (seen.join(clean, "word", "left").withColumn("good", F.coalesce("good", F.lit(0)))
-           .filter((F.col("good") <= max_clean_share * (F.col("bad") + F.col("good"))) & (F.length("word") >= 3)).orderBy("word").collect())
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))
+    texts = rows.select("toxic", words.alias("w")).withColumn("text_id", F.array_min(runs)).groupBy("text_id").agg(F.max_by("w", F.size("w")).alias("w"), F.max("toxic").alias("toxic"))
+    tokens = texts.select("text_id", "toxic", "w", F.posexplode("w").alias("i", "word"))
+    around = F.xxhash64(F.coalesce(F.get("w", F.col("i") - 1), F.lit("")), F.lit(0), F.coalesce(F.get("w", F.col("i") + 1), F.lit("")))
+    bad = F.col("toxic") == 1
+    each = tokens.select("word", "text_id", "toxic", F.when(bad, around).alias("context")).groupBy("word").agg(
+        F.count_distinct("context").alias("contexts"), F.count_distinct(F.when(bad, F.col("text_id"))).alias("bad"), F.count_distinct(F.when(~bad, F.col("text_id"))).alias("good"))
+    few_clean = F.col("good") <= max_clean_share * (F.col("bad") + F.col("good"))
+    got = each.filter((F.col("contexts") >= min_contexts) & (F.col("bad") >= min_texts) & few_clean & (F.length("word") >= 3)).orderBy("word").collect()
     return Lexicon(tuple(r["word"] for r in got), tuple(math.log((r["bad"] + 0.5) / (r["good"] + 0.5)) for r in got))
 
 
@@ -266,9 +286,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS, id_col
             variants.setdefault(w, Counter())[r["toxic"]] += 1
     harmless = frozenset(w for w, c in variants.items() if c[0] > MAX_CLEAN_SHARE * (c[0] + c[1]))
     lexicon = Lexicon(lexicon.terms, lexicon.weights, harmless)
-    x = np.array([features([h for h in found if not (h[1] and h[2] in harmless)], r["n"], lexicon) for r, found in zip(got, parsed, strict=True)])
-    y = np.array([float(r["toxic"]) for r in got])
-    return Model(lexicon, tuple(_regression(x, y)))
+    x, y = [], []
+    for r, found in zip(got, parsed, strict=True):
+        kept = [h for h in found if not (h[1] and h[2] in harmless)]
+        x.append(features(kept, r["n"], lexicon))
+        y.append(float(r["toxic"]))
+        if r["toxic"] and kept:  # the same text with its terms quoted, and with them addressed to the reader
+            for quoted, addressed in ((True, False), (False, True)):
+                x.append(features([(*h[:3], quoted, addressed) for h in kept], r["n"], lexicon))
+                y.append(float(not quoted))
+    return Model(lexicon, tuple(_regression(np.array(x), np.array(y))))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -162,12 +162,14 @@ def test_redact_keeps_columns(llm, field):
 # ---- toxicity --------------------------------------------------------------
 
 def _edits(a, b):
-    row = list(range(len(b) + 1))
+    """Insertions, deletions, substitutions and swaps of neighbours."""
+    d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 def test_automaton():
@@ -178,7 +180,7 @@ def test_automaton():
     forms = {"".join(rnd.choices("idotmrnscu", k=rnd.randrange(1, 8))) for _ in range(500)} | set(terms)
     for t in terms:
         for i in range(len(t) + 1):
-            forms |= {t[:i] + t[i + 1:], t[:i] + "x" + t[i:], t[:i] + "o" + t[i + 1:], t[:i] + "éé" + t[i:]}
+            forms |= {t[:i] + t[i + 1:], t[:i] + "x" + t[i:], t[:i] + "o" + t[i + 1:], t[:i] + "éé" + t[i:], t[:i] + t[i:i + 2][::-1] + t[i + 2:], t[:i] + t[i:i + 3][::-1] + t[i + 3:]}
     forms = sorted(forms - {""})
     points = np.frombuffer("\n".join(forms).encode("utf-32-le"), np.uint32)
     ends = np.cumsum([len(f) + 1 for f in forms]) - 1
@@ -197,7 +199,7 @@ def test_context():
     lexicon = toxicity.Lexicon(("idiot",), (3.0,))
     found, n = toxicity.hits(["you idiot", 'he said "idiot" twice', "an idoit or idiott", "", "x\nidiot"], lexicon)
     assert list(n) == [2, 4, 4, 0, 2]
-    assert found[0] == [(0, 0, "idiot", False, True)] and found[1][0][3] and found[2] == [(0, 1, "idiott", False, False)] and found[3] == [] and len(found[4]) == 1
+    assert found[0] == [(0, 0, "idiot", False, True)] and found[1][0][3] and found[2] == [(0, 1, "idoit", False, False), (0, 1, "idiott", False, False)] and found[3] == [] and len(found[4]) == 1
 
 
 def test_toxicity_on_held_out_rows(llm):
@@ -209,11 +211,24 @@ def test_toxicity_on_held_out_rows(llm):
     flagged = [r for r in got if r["score"] >= 0.3]
     assert sum(r["toxic"] for r in flagged) >= 0.9 * sum(r["toxic"] for r in got)
     assert sum(r["toxic"] for r in flagged) >= 0.8 * len(flagged)
+    for abuse, quotation in (("you are an idiot", 'he said "idiot" to them'), ("what a moron, you moron", "they wrote »moron« and »moron« again"), ("you idoit", 'the word was "idoit"')):
+        assert model.scores([abuse])[0] >= 0.3 > model.scores([quotation])[0]
     odd = llm.createDataFrame([(1, None), (None, ""), (1, "plain words only"), (1, "plain words only")], "doc_id long, text string")
     scores = [r["score"] for r in toxicity.score_toxicity(odd, model).collect()]
     assert len(scores) == 4 and len(set(scores)) == 1 and 0 <= scores[0] < 0.3
 
 
+def test_lexicon_needs_different_texts(llm):
+    """Neither one text that repeats a word nor its copies give a term."""
+    filler = [f"w{i}x" for i in range(400)]
+    def text(k, word):
+        return " ".join(x for i in range(12) for x in (filler[(31 * k + 7 * i) % 400], word if i % 3 == 0 else filler[(17 * k + i) % 400], filler[(13 * k + 5 * i) % 400]))
+    alone = text(1, "glorp")
+    rows = [(1, alone, 1), (2, alone, 1), (3, alone + " end", 1), (4, " ".join(f"v{i % 7} blorb" for i in range(40)), 1)] + [(10 + k, text(100 + k, "scumbag"), 1) for k in range(4)] + [(50 + k, text(200 + k, "nice"), 0) for k in range(20)]
+    got = toxicity.learn_lexicon(llm.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert "scumbag" in got.terms and not {"glorp", "blorb", "nice"} & set(got.terms)
+
+
 def test_toxicity_without_labels(llm, empty):
     labels = llm.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(empty, labels)
