@@ -62,6 +62,20 @@ SELECT o_orderpriority AS label, round(min(o_totalprice), 4) AS min, round(quant
 FROM orders WHERE o_orderpriority IN (SELECT label FROM top) AND o_totalprice IS NOT NULL GROUP BY 1"""
 
 
+@q("boxplot_many_labels")
+def _box_many(spark, sf):
+    """More labels than are shown: the others are counted."""
+    b = C.boxplot_by_label(table(spark, sf, "orders"), "o_totalprice", "o_custkey")
+    return b.select("label", *[F.round(c, 4).alias(c) for c in ("min", "q1", "median", "q3", "max")], "n")
+
+
+SQL["boxplot_many_labels"] = """
+WITH top AS (SELECT o_custkey AS k FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 30)
+SELECT CAST(o_custkey AS VARCHAR) AS label, round(min(o_totalprice), 4) AS min, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(quantile_cont(o_totalprice, 0.5), 4) AS median,
+       round(quantile_cont(o_totalprice, 0.75), 4) AS q3, round(max(o_totalprice), 4) AS max, count(o_totalprice) AS n FROM orders WHERE o_custkey IN (SELECT k FROM top) GROUP BY 1
+UNION ALL SELECT '__others__', NULL, NULL, NULL, NULL, NULL, count(o_totalprice) FROM orders WHERE o_custkey NOT IN (SELECT k FROM top) HAVING count(o_totalprice) > 0"""
+
+
 @q("boxplot_by_label_wide")
 def _box_wide(spark, sf):
     """Quartiles of a high-cardinality column per label."""
@@ -143,6 +157,15 @@ SELECT idx, 'o_totalprice' AS x_column, 'o_custkey' AS y_column, x, y FROM p, n
 WHERE n.n <= 5000 OR idx % (n.n // 5000) = 0"""
 
 
+@q("scatter_default")
+def _scatter_default(spark, sf):
+    """Columns picked by spread; the row key, which grows with the order, is no candidate."""
+    return C.scatter_points(table(spark, sf, "orders"), ["o_orderkey"])
+
+
+SQL["scatter_default"] = SQL["scatter_points"]
+
+
 @q("stride_sample")
 def _stride(spark, sf):
     s = C.stride_sample(table(spark, sf, "orders"), ["o_orderkey"], every_nth=7)

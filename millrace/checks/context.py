@@ -78,7 +78,7 @@ def _module_results(spark, sf):
                  F.lit(None).cast("long").alias("before_nulls")))
              .withColumn("status", F.lit("done")).withColumn("semantic_group", null_s))
     viol = rows.groupBy(*K).agg(F.count(F.when(F.col("o_totalprice") > 400000, 1)).alias("nv"))
-    issues = viol.filter(F.col("nv") > 0).select(*K, F.lit("constraint").alias("kind"), F.lit("medium").alias("severity"),
+    issues = viol.filter(F.col("nv") > 0).select(*K, F.lit("constraint").alias("kind"), F.when(F.col("nv") % 3 == 0, "high").otherwise("medium").alias("severity"),
                                                  F.lit("o_totalprice").alias("target"))
     return mods, flags, steps, issues
 
@@ -119,7 +119,8 @@ SQL["key_findings"] = "WITH " + _KF_CTE + _KF_SELECT
 def _chain(spark, sf):
     mods, flags, steps, issues = _module_results(spark, sf)
     stages = mods.select("stage_order", "node_id").distinct()
-    return CX.stage_chain(CX.key_findings(flags, steps, issues), stages)
+    chain = CX.stage_chain(CX.key_findings(flags, steps, issues), stages)
+    return chain.withColumn("main_findings", F.array_join("main_findings", "|"))
 
 
 @q("function_axis")
@@ -135,10 +136,10 @@ _TMPL_D = "CASE type " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'",
 SQL["stage_chain"] = f"""
 WITH {_KF_CTE}, f AS ({_KF_SELECT}),
 st AS (SELECT DISTINCT stage_order, node_id FROM ({MODULES_SQL.replace('AS STRING', 'AS VARCHAR')})),
-nf AS (SELECT stage_order, count(*) AS n FROM f GROUP BY stage_order),
+nf AS (SELECT stage_order, string_agg(type || '(' || severity || ')' || coalesce(': ' || "column", ''), '|' ORDER BY module_index, type, coalesce("column", '')) AS found FROM f GROUP BY stage_order),
 ty AS (SELECT stage_order, type, max({_RANK_D}) AS r FROM f GROUP BY stage_order, type),
 im AS (SELECT stage_order, string_agg({_TMPL_D}, ' ' ORDER BY -r, type) AS txt FROM ty GROUP BY stage_order)
-SELECT st.stage_order, st.node_id, coalesce(nf.n, 0) AS n_findings,
+SELECT st.stage_order, st.node_id, coalesce(nf.found, '') AS main_findings,
        coalesce(nullif(im.txt, ''), '{CX.NO_FINDING_IMPLICATION}') AS downstream_implication
 FROM st LEFT JOIN nf USING (stage_order) LEFT JOIN im USING (stage_order)"""
 
@@ -152,26 +153,17 @@ sp AS (SELECT stage_order, module_index, string_agg(x, '|' ORDER BY x) AS steps
          SELECT stage_order, module_index, 'clean_masking:price_txt' AS x FROM mix WHERE nm > 0 AND nm < nn
          UNION ALL SELECT stage_order, module_index, 'fill_missing:status' FROM nul WHERE nb > 0
          UNION ALL SELECT stage_order, module_index, 'balance_classes:big' FROM imb WHERE k = 2 AND r < 0.1) GROUP BY ALL),
-iss AS (SELECT stage_order, module_index, count(*) AS n_medium FROM vio WHERE nv > 0 GROUP BY ALL)
+iss AS (SELECT stage_order, module_index, count(CASE WHEN nv % 3 = 0 THEN 1 END) AS n_high, count(CASE WHEN nv % 3 <> 0 THEN 1 END) AS n_medium FROM vio WHERE nv > 0 GROUP BY ALL)
 SELECT m.stage_order, m.module_index, m.module_function, m.datalake_id, m.modality, fl.flags, sp.steps,
-       coalesce(iss.n_medium, 0) AS n_medium, TRUE AS passed
+       coalesce(iss.n_high, 0) AS n_high, coalesce(iss.n_medium, 0) AS n_medium, coalesce(iss.n_high, 0) = 0 AS passed
 FROM mods m LEFT JOIN fl USING (stage_order, module_index) LEFT JOIN sp USING (stage_order, module_index)
 LEFT JOIN iss USING (stage_order, module_index) WHERE m.datalake_id IS NOT NULL"""
 
 
 @q("agent_records")
 def _records(spark, sf):
-    """One flattened record per module: flags, steps and issues as
-    delimited text (struct/collect_list per module)."""
-    mods, flags, steps, issues = _module_results(spark, sf)
-    k2 = ["stage_order", "module_index"]
-    fl = flags.groupBy(*k2).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "flag", "column"))), "|").alias("flags"))
-    st = steps.groupBy(*k2).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "operation", "target_column"))), "|").alias("steps"))
-    iss = issues.groupBy(*k2).agg(F.count(F.lit(1)).alias("n_medium"))
-    return (mods.filter(F.col("datalake_id").isNotNull()).select(*k2, "module_function", "datalake_id", "modality")
-            .join(fl, k2, "left").join(st, k2, "left").join(iss, k2, "left")
-            .withColumn("n_medium", F.coalesce("n_medium", F.lit(0)).cast("long"))
-            .withColumn("passed", F.lit(True)))
+    return CX.agent_records(*_module_results(spark, sf)).select(
+        "stage_order", "module_index", "module_function", "datalake_id", "modality", "flags", "steps", "n_high", "n_medium", "passed")
 
 
 @q("module_counts")

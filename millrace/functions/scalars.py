@@ -71,12 +71,6 @@ def safe_file_id(c: str | Column) -> Column:
     return F.regexp_replace(col_of(c), r"[^\p{L}\p{N}_-]", "_")
 
 
-def percent_in_text(c: str | Column) -> Column:
-    """First 'NN.NN%' figure of a text as double (NULL when absent)."""
-    v = F.regexp_extract(col_of(c), r"(\d+\.\d+)%", 1)
-    return F.when(v != "", v.cast("double"))
-
-
 def human_size(c: str | Column) -> Column:
     """Bytes -> '12.3 KB' style text (B, KB, MB, GB, TB; base 1024)."""
     b = col_of(c).cast("double")
@@ -87,20 +81,6 @@ def human_size(c: str | Column) -> Column:
     return out
 
 
-def round4(c: str | Column) -> Column:
-    return F.round(col_of(c), 4)
-
-
-def is_finite(c: str | Column) -> Column:
-    c = col_of(c)
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
-
-
-def stable_id(*parts: str | Column) -> Column:
-    """Deterministic, replayable identifier (sha-256 of the parts)."""
-    return F.sha2(F.concat_ws("\u001f", *[col_of(p).cast("string") for p in parts]), 256)
-
-
 def iso_utc(ts: Column) -> Column:
     """a timestamp as ISO text with microseconds; the session's zone is UTC."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

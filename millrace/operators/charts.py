@@ -16,8 +16,6 @@ from millrace.functions.small import attach_row
 from millrace.operators.profile import (is_numeric_type, junk_columns, numeric_columns, value_of)
 
 # --- fixed values -----------------------------------------------------------
-ROW_GUARD_MAX = 1_000_000
-ROW_GUARD_TARGET = 10_000
 BOX_TOP_LABELS = 30
 CATEGORY_TOP = 50
 CORR_TOP = 20
@@ -25,12 +23,6 @@ SCATTER_MAX_POINTS = 5000
 # ---------------------------------------------------------------------------
 
 
-def guard_stride(n_rows: int, max_rows: int = ROW_GUARD_MAX, target_rows: int = ROW_GUARD_TARGET) -> int:
-    """B10 row guard: the stride that leaves about ``target_rows`` of more than
-    ``max_rows`` rows, 1 for fewer. Callers choose whether to use it."""
-    return max(1, n_rows // target_rows) if n_rows > max_rows else 1
-
-
 def stride_sample(df: DataFrame, order_by: Sequence[str], every_nth: int = 1, idx_col: str = "idx") -> DataFrame:
     """Every ``every_nth`` row in ``order_by`` order, starting at row 0; all
     rows unless asked for less. Adds the row index."""
@@ -111,16 +103,19 @@ def top_labels(df: DataFrame, label: str, k: int) -> DataFrame:
 
 def boxplot_by_label(df: DataFrame, target: str, label: str, top: int = BOX_TOP_LABELS) -> DataFrame:
     """Five-number summary (linear quartiles) of ``target`` per label, for the
-    ``top`` most frequent labels. label, min, q1, median, q3, max, n."""
+    ``top`` most frequent labels, and a row '__others__' with the number of values
+    under all other labels (when any). label, min, q1, median, q3, max, n."""
     labels = top_labels(df, label, top).select("label")
-    data = (df.select(F.col(f"`{label}`").alias("label"), value_of(df, target).cast("double").alias("x"))
-            .join(F.broadcast(labels), "label", "left_semi"))  # at most `top` rows: bounded broadcast
+    every = df.select(F.col(f"`{label}`").alias("label"), value_of(df, target).cast("double").alias("x"))
+    data = every.join(F.broadcast(labels), "label", "left_semi")  # at most `top` rows: bounded broadcast
+    others = (every.filter(F.col("label").isNotNull()).join(F.broadcast(labels), "label", "left_anti").agg(F.count("x").alias("n")).filter("n > 0")
+              .select(F.lit("__others__").alias("label"), *[F.lit(None).cast("double").alias(c) for c in ("min", "q1", "median", "q3", "max")], "n"))
     qs = exact_quantiles(data, "x", [0.0, 0.25, 0.5, 0.75, 1.0], ["label"])
     pick = {p: F.max(F.when(F.col("p") == p, F.col("q"))) for p in (0.0, 0.25, 0.5, 0.75, 1.0)}
     return (qs.groupBy("label", "n")
             .agg(pick[0.0].alias("min"), pick[0.25].alias("q1"), pick[0.5].alias("median"),
                  pick[0.75].alias("q3"), pick[1.0].alias("max"))
-            .select(F.col("label").cast("string").alias("label"), "min", "q1", "median", "q3", "max", "n"))
+            .select(F.col("label").cast("string").alias("label"), "min", "q1", "median", "q3", "max", "n").unionByName(others))
 
 
 # --- D11 / D12 ----------------------------------------------------------------
@@ -188,11 +183,13 @@ def correlation_bar(df: DataFrame, target: str | None = None, order_by: str | No
 # --- D14 ----------------------------------------------------------------------
 def scatter_points(df: DataFrame, order_by: Sequence[str], x: str | None = None, y: str | None = None,
                    max_points: int = SCATTER_MAX_POINTS) -> DataFrame:
-    """Two numeric columns (default: the two largest sample std), rows with a
-    NULL in either removed, more than ``max_points`` -> every (n // max)-th in
+    """Two numeric columns (default: the two largest sample std among those that
+    aren't junk), rows with a NULL in either removed, more than ``max_points`` -> every (n // max)-th in
     row order. idx, x, y (idx = position among the kept pairs)."""
     nums = numeric_columns(df, bool_numeric=False)
     if x is None or y is None or x == y:
+        junk = {r["name"] for r in junk_columns(df, order_by[0]).filter("junk").collect()}  # names of columns
+        nums = [c for c in nums if c not in junk or c in (x, y)]
         r = df.agg(*[F.stddev_samp(value_of(df, c).cast("double")).alias(f"s{i}") for i, c in enumerate(nums)]).first()
         ranked = sorted([(r[f"s{i}"], c) for i, c in enumerate(nums) if r[f"s{i}"] is not None],
                         key=lambda t: -t[0])

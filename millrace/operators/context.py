@@ -138,25 +138,45 @@ def key_findings(flags: DataFrame, steps: DataFrame, issues: DataFrame) -> DataF
 
 
 def stage_chain(findings: DataFrame, stages: DataFrame) -> DataFrame:
-    """D22 per stage: main findings 'type(severity): column' (module order) and
-    the implication text: distinct finding types in severity order, joined
-    from the template table. stages: stage_order, node_id."""
+    """D22 per stage: ``main_findings``, the labels 'type(severity): column' in the
+    order of modules, then types and columns, and the implication text: distinct finding
+    types in severity order, joined from the template table. stages: stage_order,
+    node_id."""
     rank = F.create_map(*[F.lit(x) for kv in SEVERITY_RANK.items() for x in kv])
     tmpl = F.create_map(*[F.lit(x) for kv in IMPLICATION_TEMPLATES.items() for x in kv])
     fnd = findings.withColumn("label", F.concat(F.col("type"), F.lit("("), F.col("severity"), F.lit(")"),
                                                 F.when(F.col("column").isNotNull(), F.concat(F.lit(": "), F.col("column")))
                                                 .otherwise(F.lit(""))))
-    main = fnd.groupBy("stage_order").agg(F.count(F.lit(1)).alias("n_findings"))
+    placed = F.array_sort(F.collect_list(F.struct("module_index", "type", F.coalesce("column", F.lit("")).alias("column"), "label")))  # one stage's findings
+    main = fnd.groupBy("stage_order").agg(F.transform(placed, lambda x: x["label"]).alias("main_findings"))
     types = (fnd.groupBy("stage_order", "type").agg(F.max(F.coalesce(rank[F.col("severity")], F.lit(0))).alias("r"))
              .groupBy("stage_order")
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("r")).alias("nr"), F.col("type")))),
                                            lambda x: tmpl[x["type"]]), " ").alias("implication")))
     return (stages.join(main, "stage_order", "left").join(types, "stage_order", "left")
-            .select("stage_order", "node_id", F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
+            .select("stage_order", "node_id", F.coalesce("main_findings", F.array().cast("array<string>")).alias("main_findings"),
                     F.coalesce(F.when(F.col("implication") != "", F.col("implication")), F.lit(NO_FINDING_IMPLICATION))
                     .alias("downstream_implication")))
 
 
+def agent_records(modules: DataFrame, flags: DataFrame, steps: DataFrame, issues: DataFrame) -> DataFrame:
+    """One flattened record per module with data: its flags and steps as
+    delimited text, its issues by severity, and ``passed``: no issue of high severity and
+    no failed step. All inputs carry stage_order and module_index."""
+    k = ["stage_order", "module_index"]
+
+    def listed(rows: DataFrame, name: str, *parts: str) -> DataFrame:
+        return rows.groupBy(*k).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", *parts))), "|").alias(name))  # one module's
+
+    levels = [F.count(F.when(F.col("severity") == s, 1)).alias(f"n_{s}") for s in ("high", "medium", "low")]
+    failed = steps.groupBy(*k).agg(F.count(F.when(F.col("status") == "failed", 1)).alias("n_failed"))
+    out = modules.filter(F.col("datalake_id").isNotNull()).select(*k, "module_function", "datalake_id", "modality")
+    for side in (listed(flags, "flags", "flag", "column"), listed(steps, "steps", "operation", "target_column"), issues.groupBy(*k).agg(*levels), failed):
+        out = out.join(side, k, "left")
+    out = out.fillna(0, ["n_high", "n_medium", "n_low", "n_failed"])
+    return out.withColumn("passed", (F.col("n_high") == 0) & (F.col("n_failed") == 0))
+
+
 def function_axis(findings: DataFrame) -> DataFrame:
     """Findings per function axis and severity."""
     return findings.groupBy("module_function", "severity").agg(F.count(F.lit(1)).alias("n"))

@@ -250,8 +250,8 @@ def eda_profile(df: DataFrame, approx: bool = True) -> DataFrame:
 
 # --- junk columns and picks --------------------------------------------------
 # --- fixed values -----------------------------------------------------------
-INDEX_NAME_PATTERN = r"(?i)^(unnamed.*|index|idx|no\.?|seq(no)?|순번|행번호|번호|row(num)?)$"
-TIME_NAME_PATTERN = r"(?i)^(_?time|timestamp|datetime|_?start|_?stop|date|reg_?date|dttm|일시|시각|날짜)$"
+INDEX_NAME_PATTERN = r"^(unnamed.*|index|idx|no\.?|seq(no)?|순번|행번호|번호|row(num)?)$"
+TIME_NAME_PATTERN = r"^(_?time|timestamp|datetime|_?start|_?stop|date|reg_?date|dttm|일시|시각|날짜)$"
 # ---------------------------------------------------------------------------
 
 
@@ -268,8 +268,8 @@ def junk_columns(df: DataFrame, order_by: str | None = None) -> DataFrame:
     """
     import re
     spark = df.sparkSession
-    idx_re = re.compile(INDEX_NAME_PATTERN[4:], re.I)
-    time_re = re.compile(TIME_NAME_PATTERN[4:], re.I)
+    idx_re = re.compile(INDEX_NAME_PATTERN, re.IGNORECASE)
+    time_re = re.compile(TIME_NAME_PATTERN, re.IGNORECASE)
     rows, value_cands = [], []
     for f in df.schema.fields:
         name = f.name.strip()

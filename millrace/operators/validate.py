@@ -81,11 +81,6 @@ def constraint_violations(source: DataFrame, constraints: DataFrame, removed_col
             .filter(F.col("severity").isNotNull()))
 
 
-def constraint_issues(viol: DataFrame) -> DataFrame:
-    return _issues(viol, "constraint", F.col("severity"), F.lit(None), F.coalesce("column", "key"),
-                   F.concat_ws("/", F.col("n_violations").cast("string"), F.col("n_total").cast("string")))
-
-
 def output_health_aggs(out: DataFrame, touched: Sequence[str] = (), groups: Sequence[tuple[str, Sequence[str]]] = (),
                        cond: Column | None = None):
     """Aggregate expressions for D16 and a function turning the collected row

@@ -320,11 +320,12 @@ def plan_filter(plan: DataFrame, modality: str) -> DataFrame:
 
 
 def plan_permissions(plan: DataFrame, perm_table: DataFrame | None = None) -> DataFrame:
-    """C4: attach permission levels by joining the operation->permission table; unknown -> L3."""
+    """C4: attach permission levels by joining the operation->permission table;
+    unknown -> L3. A caller's table is broadcast only where Spark finds it small."""
     spark = plan.sparkSession
     if perm_table is None:
         perm_table = spark.createDataFrame(list(OPERATION_PERMISSION.items()), "operation string, level string")
-    return (plan.drop("permission_level").join(F.broadcast(perm_table), "operation", "left")
+    return (plan.drop("permission_level").join(perm_table, "operation", "left")
             .withColumn("permission_level", F.coalesce(F.col("level"), F.lit("L3"))).drop("level"))
 
 

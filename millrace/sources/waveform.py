@@ -9,18 +9,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _is_float(name: str) -> bool:
-    try:
-        float(name)
-        return True
-    except ValueError:
-        return False
+from millrace.sources.files import is_number_text
 
 
 def split_header(names: Sequence[str]) -> tuple[list[str], list[str]]:
     """(scalar columns, numeric-named columns) in source order."""
-    return [n for n in names if not _is_float(n)], [n for n in names if _is_float(n)]
+    return [n for n in names if not is_number_text(n)], [n for n in names if is_number_text(n)]
 
 
 def verify_waveform(names: Sequence[str], declared: dict) -> dict:
@@ -52,8 +46,3 @@ def waveform_pack(df: DataFrame, array_col: str = "wave") -> tuple[DataFrame, Da
                        F.array(*[F.col(f"`{c}`").cast("double") for c in numeric]).alias(array_col))
     axis = df.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(numeric)], "pos int, offset double")
     return packed, axis
-
-
-def unpack_long(packed: DataFrame, key_cols: Sequence[str], array_col: str = "wave") -> DataFrame:
-    """Long form (keys..., pos, value) by posexplode."""
-    return packed.select(*key_cols, F.posexplode(array_col).alias("pos", "value"))
