@@ -1,9 +1,11 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
 Each document's histograms of character classes and of its language's common
-words are compared with the language's own histograms, summed over all
-documents, by the Jensen-Shannon distance. Guards on length keep short texts,
-whose histograms say little, out of the comparison.
+words are compared with the language's own by the Jensen-Shannon distance. A
+language's histograms are the mean over the documents that speak it: those that pass
+the base rules and hold enough of its listed words, each with the same weight, so
+neither junk, however much, nor one long text moves them. Guards on length keep short
+texts, whose histograms say little, out of the comparison.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ MAX_CLASS_DISTANCE = 0.3
 MAX_WORD_SHARE = 0.5
 MIN_CLASS_WORDS = 50
 MIN_WORD_WORDS = 200
+#: Share of listed words with which a document speaks for its language; all
+#: documents of a language without a list, and of one for which none speaks, do.
+SPEAKER_SHARE = 0.1
 
 
 def _covered_by_repeats(grams: Column) -> Column:
@@ -74,7 +79,7 @@ def document_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "la
         F.array_sort(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     sorted_grams = hashed.select("*", grams.alias("_sorted"), F.length("_text").cast("long").alias("_chars"),
                                  F.coalesce(F.element_at(lists, F.col("q_lang")), F.array().cast("array<string>")).alias("_list")).drop("_text", "_grams")
-    counted = F.transform("_list", lambda c: F.size(F.filter("_commons", lambda w: w == c)).cast("long"))
+    counted = F.transform("_list", lambda c: (F.size("_commons") - F.size(F.array_remove("_commons", c))).cast("long"))
     filled = sorted_grams.select("*", F.when(F.size("_sorted") == 0, F.lit(0)).otherwise(_covered_by_repeats(F.col("_sorted"))).cast("long").alias("n_repeat_words"),
                                  counted.alias("_counted"))
     white = F.col("_chars") - F.col("word_chars")
@@ -98,13 +103,23 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def language_references(counts: DataFrame) -> DataFrame:
-    """Per ``q_lang`` the shares of character classes and common words, summed
-    over all its documents (partial sums before the shuffle)."""
-    def summed(column: str) -> DataFrame:
-        return (counts.select("q_lang", F.posexplode(column).alias("k", "n")).groupBy("q_lang", "k").agg(F.sum("n").alias("n"))
-                .groupBy("q_lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias(column)))
-    return summed("classes").join(summed("commons"), "q_lang", "left").select(
+    """Per ``q_lang`` the mean shares of character classes and common words over
+    the documents that speak it (see the module; partial sums before the shuffle)."""
+    listed = 1 - F.element_at("commons", -1) / F.col("n_words")
+    rank = F.when(base_failed(), 0).when((F.size("commons") > 0) & (listed < SPEAKER_SHARE), 1).otherwise(2)
+    ranked = counts.select("q_lang", "classes", "commons", rank.alias("_rank"))
+    best = ranked.groupBy("q_lang").agg(F.max("_rank").alias("_best"))  # one row a language
+    speakers = ranked.join(best, "q_lang").filter(F.col("_rank") == F.col("_best"))
+
+    def mean(column: str) -> DataFrame:
+        return (speakers.select("q_lang", F.posexplode(_shares(F.col(column))).alias("k", "x")).groupBy("q_lang", "k").agg(F.sum("x").alias("x"))
+                .groupBy("q_lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda c: c["x"]).alias(column)))
+    return mean("classes").join(mean("commons"), "q_lang", "left").select(
         "q_lang", _shares(F.col("classes")).alias("_class_ref"), _shares(F.col("commons")).alias("_word_ref")) \
         .withColumn("_bare", F.when(F.size("_word_ref") > 0, js_distance(F.transform("_word_ref", lambda x, i: F.when(i == F.size("_word_ref") - 1, 1.0).otherwise(0.0)), F.col("_word_ref")))) \
         .withColumn("_cells", F.size(F.filter("_word_ref", lambda x: x > 0)))
@@ -128,7 +143,7 @@ def _verdict(counts: DataFrame, references: DataFrame, limits: dict[str, float])
         .withColumn("word_distance", F.when(compared & (F.size("commons") > 0), js_distance(_shares(F.col("commons")), F.col("_word_ref"))))
     far = (((F.col("n_words") >= limits["min_class_words"]) & F.coalesce(F.col("class_distance") > limits["max_class_distance"], F.lit(False)))
            | ((F.col("n_words") >= limits["min_word_words"]) & F.coalesce(F.col("word_distance") > word_limit(limits["max_word_share"]), F.lit(False))))
-    return (distances.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return (distances.withColumn("base_failed", base_failed())
             .withColumn("kept", ~F.col("base_failed") & ~far))
 
 
@@ -147,15 +162,17 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     or for words a language without a list. NULL texts are empty (and fail); a
     NULL language counts as one of its own; ties and repeated rows are judged
     each; an empty table gives an empty result. Columns of the input named like
-    a result are replaced.
+    a result are replaced; all others, whatever their names, stay.
     """
     names = ("q_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "commons",
              "class_distance", "word_distance", "base_failed", "kept")
-    keep = [c for c in docs.columns if c not in names and c not in (text_col, lang_col) and not c.startswith("_")]
-    narrowed = docs.select(*keep, F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in names and c not in (text_col, lang_col)]
+    row = F.struct(*keep) if keep else F.struct(F.lit(0).alias("none"))  # in one column, so that no name clashes
+    narrowed = docs.select(row.alias("_row"), F.col(f"`{text_col}`").alias("_t"), F.col(f"`{lang_col}`").alias("_l"))
     counts = materialize(document_counts(narrowed, "_t", "_l", common).drop("_t", "_l"), "quality")
     references = materialize(language_references(counts), "references")
-    return _verdict(counts, references, LIMITS | limits).select(*keep, *names[1:6], "class_distance", "word_distance", "base_failed", "kept")
+    judged = _verdict(counts, references, LIMITS | limits)
+    return judged.select(*(["_row.*"] if keep else []), *names[1:6], "class_distance", "word_distance", "base_failed", "kept")
 
 
 def keep_good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

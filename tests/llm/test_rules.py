@@ -74,6 +74,23 @@ def test_quality_rejects_other_languages_and_no_common_words(llm):
     assert not any(got[x[0]]["base_failed"] or got[x[0]]["kept"] for x in wrong + bare)
 
 
+def test_junk_does_not_move_the_references(llm):
+    """Good texts are kept alike beside two and beside eighty rows of junk, which go;
+    columns stay, whatever their names."""
+    rows = [r for r in llm.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en' AND length(text) BETWEEN 2500 AND 60000").orderBy("doc_id").collect()
+            if not re.search(r"[#*$%&|<>]", r["text"]) and _counts(r["text"])[4] * 10 < len(words(r["text"]))][:20]
+    rng = np.random.default_rng(8)
+    letters = np.array(list("QXZ0123456789#$%&|"))
+    junk = [(1000 + i, " ".join("".join(rng.choice(letters, 6)) for _ in range(400)), "en", "j") for i in range(80)]
+    good = [(r["doc_id"], r["text"], "en", "g") for r in rows]
+    kept = []
+    for n in (2, 80):
+        got = quality.quality_verdicts(llm.createDataFrame(good + junk[:n], "doc_id long, text string, lang string, `_words` string"))
+        assert got.columns[:2] == ["doc_id", "_words"]
+        kept.append({r["doc_id"] for r in got.filter("kept").collect()})
+    assert kept[0] == kept[1] == {r["doc_id"] for r in rows}
+
+
 def test_quality_is_native(llm):
     plan = quality.quality_verdicts(llm.read.parquet(f"{SF_SMALL}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
