@@ -67,4 +67,34 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (k) LEFT JOIN named USING (k)"""
 
 
-SQL = {"op11_divergence": source_divergence(), "op12_codes": vector_codes(), "op13_decontaminate": contamination()}
+def repeated_windows(size: int = 13) -> str:
+    """Twin of ``op10``: windows as strings, ids that are NULL before all others."""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(doc_id, -9223372036854775808) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT k, id, i, array_to_string(w[i:i + {size - 1}], ' ') AS g FROM d, unnest(range(1, len(w) - {size - 2})) u(i) WHERE len(w) >= {size}),
+hit AS (SELECT k, i FROM win JOIN (SELECT g, min(id) AS lo FROM win GROUP BY g) USING (g) WHERE id > lo),
+gone AS (SELECT DISTINCT k, j FROM hit, unnest(range(i, i + {size})) u(j)),
+words AS (SELECT k, j, w[j] AS word FROM d, unnest(range(1, len(w) + 1)) u(j)),
+marked AS (SELECT words.*, gone.j IS NOT NULL AS out, coalesce(lag(gone.j IS NOT NULL) OVER (PARTITION BY words.k ORDER BY words.j), FALSE) AS before FROM words LEFT JOIN gone USING (k, j)),
+per AS (SELECT k, count(CASE WHEN out THEN 1 END) AS n_removed, count(CASE WHEN out AND NOT before THEN 1 END) AS n_spans, string_agg(CASE WHEN NOT out THEN word END, ' ' ORDER BY j) AS kept FROM marked GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0)::BIGINT AS n_spans FROM d LEFT JOIN per USING (k)"""
+
+
+def near_duplicates(size: int = 3, percent: int = 90) -> str:
+    """Twin of ``op8``: all pairs that share a shingle and may be alike by size."""
+    return rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT k, array_to_string(w[i:i + {size - 1}], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - {size - 2}, 2))) u(i) WHERE len(w) > 0),
+z AS MATERIALIZED (SELECT k, count(*) AS n, sum(hash(g)) AS h FROM s GROUP BY k),
+one AS MATERIALIZED (SELECT h, n, min(k) AS r FROM z GROUP BY h, n),
+c AS (SELECT s.k, g, n FROM s JOIN one ON s.k = one.r),
+p AS (SELECT a.k AS a, b.k AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM c a JOIN c b ON a.g = b.g AND a.k < b.k AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * shared >= {percent} * (na + nb - shared) UNION ALL SELECT r, k FROM z JOIN one USING (h, n) WHERE r <> k),
+t AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(k, r) AS (SELECT k, k FROM d UNION SELECT t.b, reach.r FROM reach JOIN t ON t.a = reach.k)
+SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN d USING (k) JOIN d o ON o.k = reach.r LEFT JOIN z ON z.k = d.k GROUP BY d.k"""
+
+
+SQL = {"op8_jaccard": near_duplicates(), "op10_windows": repeated_windows(),
+       "op11_divergence": source_divergence(), "op12_codes": vector_codes(), "op13_decontaminate": contamination()}
