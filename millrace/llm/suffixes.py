@@ -14,6 +14,10 @@ their leading bytes. A bucket sorts its suffixes, and the reversed strings
 before the anchors, by multikey quicksort with eight-byte keys; common prefixes
 of neighbours then tell which strings are equal. Splitters are no longer than a
 gram, so equal strings never lie on both sides of one.
+
+No border can part the runs around one gram. Where a gram has more than ``HOT_RUNS``
+different ones, as a phrase of 32 to 199 bytes that many documents share has, the
+hashes of their strings are counted by Spark instead, row by row over all tasks.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textkernel as tk
-from millrace.llm.common import doc_rows, text_bytes
+from millrace.llm.common import doc_rows, materialize, text_bytes
 
 CHUNK_BYTES = 12 << 20
 GRAM = 32
@@ -36,6 +40,9 @@ SEGMENT_BYTES = 1 << 20
 #: Leading bytes compared with a splitter, and sampled suffixes a bucket.
 LEADING = 16
 SAMPLES_A_BUCKET = 64
+#: Different runs around one gram that a bucket sorts; of grams with more, the
+#: strings are counted.
+HOT_RUNS = 20_000
 _PLACE = np.uint64(28)
 _PLACES = np.uint64((1 << 28) - 1)
 
@@ -129,9 +136,15 @@ def _ship(length: int, buckets: int):
 
 #: What becomes of an entry.
 _ALONE, _REPEATED, _UNSURE, _MODEL = range(4)
+#: Added to the codes of runs around a hot gram.
+_HOT = 4
+
+
+def _judge(hot_runs: int):
+    return lambda key, table: _judged(key, table, hot_runs)
 
 
-def _judge(key, table):
+def _judged(key, table, hot_runs: int):
     """Per chunk, the codes of its entries: repeated runs, runs to be compared,
     and repeated runs that others are to be compared with."""
     chunks = table["chunk"].to_pylist()
@@ -148,11 +161,12 @@ def _judge(key, table):
     kinds = np.bincount(gram_at, weights=new_run)[gram_at]
     lone = np.bincount(gram_at, weights=copies == 1)[gram_at]
     codes = np.where(copies > 1, np.where((kinds > 1) & (lone > 0) & new_run, _MODEL, _REPEATED), np.where(kinds > 1, _UNSURE, _ALONE)).astype(np.uint8)
+    codes[(codes >= _UNSURE) & (kinds > hot_runs)] += _HOT
     back = np.empty(len(g), np.uint8)
     back[order] = codes
-    parts = [(c, p.tobytes()) for c, p in zip(chunks, np.split(back, np.cumsum(sizes)[:-1]), strict=True) if p.any()]
-    return pa.table([pa.array([c for c, _ in parts], pa.int32()), pa.array([key[0].as_py()] * len(parts), pa.int32()), pa.array([p for _, p in parts], pa.binary())],
-                    names=["chunk", "part", "codes"])
+    parts = [(c, p.tobytes(), bool((p >= _HOT).any())) for c, p in zip(chunks, np.split(back, np.cumsum(sizes)[:-1]), strict=True) if p.any()]
+    return pa.table([pa.array([c for c, *_ in parts], pa.int32()), pa.array([key[0].as_py()] * len(parts), pa.int32()), pa.array([p for _, p, _ in parts], pa.binary()),
+                     pa.array([h for *_, h in parts], pa.bool_())], names=["chunk", "part", "codes", "hot"])
 
 
 def _codes(runs: ChunkRuns, buckets: int, replies: pa.Table) -> np.ndarray:
@@ -170,7 +184,8 @@ def _send(length: int, buckets: int, splitters: list[bytes]):
         out = [[], [], [], [], []]
         if replies.num_rows:
             runs = ChunkRuns(_ordered(table)["text"], length)
-            wanted = np.flatnonzero(_codes(runs, buckets, replies) >= _UNSURE)
+            codes = _codes(runs, buckets, replies)
+            wanted = np.flatnonzero((codes >= _UNSURE) & (codes < _HOT))
             head = runs.head[wanted]
             raw = runs.data.tobytes()
             first, last, anchor = runs.first[head], runs.last[head], runs.anchor[head]
@@ -183,6 +198,61 @@ def _send(length: int, buckets: int, splitters: list[bytes]):
     return run
 
 
+def _send_hot(length: int, buckets: int):
+    """The strings of the runs around hot grams, as one row of hashes a run."""
+    def run(key, table, replies):
+        entries, starts, packed = np.empty(0, np.int64), [], []
+        if table.num_rows and replies.num_rows:
+            runs = ChunkRuns(_ordered(table)["text"], length)
+            entries = np.flatnonzero(_codes(runs, buckets, replies) >= _HOT)
+            for head in runs.head[entries].tolist():
+                first, last = int(runs.first[head]), int(runs.last[head])
+                starts.append(last - first + 1)
+                packed.append(string_hashes(runs.data[first:last + length], length).view(np.int64).tolist())
+        return pa.table([pa.array([key[0].as_py()] * len(starts), pa.int32()), pa.array(entries, pa.int32()), pa.array(starts, pa.int32()), pa.array(packed, pa.list_(pa.int64()))],
+                        names=["chunk", "entry", "starts", "hashes"])
+    return run
+
+
+def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each of the ``len(data) - length + 1`` strings, which does not
+    depend on where the string stands."""
+    keys = tk.byte_keys(data) * tk.powers(len(data))[::-1]
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(keys, dtype=np.uint64)))
+        rolled = sums[length:] - sums[:-length]
+        return tk.mix(rolled * _inverse_powers(len(data), length))
+
+
+def _inverse_powers(n: int, length: int) -> np.ndarray:
+    """What brings the hash of the string at each start to the same power."""
+    inverse = pow(int(tk.BASE), -1, 1 << 64)
+    steps = np.full(n - length + 1, np.uint64(int(tk.BASE)), np.uint64)
+    steps[0] = pow(inverse, n - length, 1 << 64)
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(steps)
+
+
+def _pack_hot(key, rows):
+    """The counted strings that stand twice, as codes of their chunk."""
+    rows = rows.sort_by([("entry", "ascending"), ("at", "ascending")])
+    entry, starts, at = (rows[c].to_numpy().astype(np.int64) for c in ("entry", "starts", "at"))
+    heads = np.flatnonzero(np.diff(entry, prepend=-1))
+    begin = np.cumsum(starts[heads]) - starts[heads]
+    bits = np.zeros(int(starts[heads].sum()), bool)
+    bits[np.repeat(begin, np.diff(np.append(heads, len(entry)))) + at] = True
+    packed = entry[heads].astype(np.int32).tobytes() + np.packbits(bits).tobytes()
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([-len(heads)], pa.int32()), pa.array([packed], pa.binary())], names=["chunk", "part", "codes"])
+
+
+def _hot_flags(sent: DataFrame) -> DataFrame:
+    """Count the strings around hot grams over all tasks, and tell each chunk
+    which of its own stand in another run too."""
+    strings = materialize(sent.select("chunk", "entry", "starts", F.posexplode("hashes").alias("at", "h")), "hot-strings")
+    twice = strings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")  # partial sums before the shuffle
+    return strings.join(twice, "h", "left_semi").select("chunk", "entry", "starts", "at").groupBy("chunk").applyInArrow(_pack_hot, "chunk int, part int, codes binary")
+
+
 def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of equally long strings given as rows of big-endian eight-byte keys,
     and the bytes each shares with the one before. Key by key, only strings that
@@ -263,7 +333,7 @@ def _cut(length: int, buckets: int):
         runs = ChunkRuns(table["text"], length)
         codes = _codes(runs, buckets, replies)
         change = np.zeros(len(runs.data) + 1, np.int32)
-        sure = np.flatnonzero(np.isin(codes, (_REPEATED, _MODEL))[runs.entry])
+        sure = np.flatnonzero(np.isin(codes, (_REPEATED, _MODEL, _MODEL + _HOT))[runs.entry])
         np.add.at(change, runs.first[sure], 1)
         np.add.at(change, runs.last[sure] + length, -1)
         for part, packed in zip(replies["part"].to_pylist(), replies["codes"].to_pylist(), strict=True):
@@ -312,7 +382,8 @@ def _splitters(rows: DataFrame, length: int, buckets: int, n_texts: int) -> list
     return sorted({got[len(got) * b // buckets] for b in range(1, buckets)}) if got else []
 
 
-def cut_repeated_bytes(docs: DataFrame, length: int = 200, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeated_bytes(docs: DataFrame, length: int = 200, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text",
+                       hot_runs: int = HOT_RUNS) -> DataFrame:
     """Remove every byte covered by a string of ``length`` UTF-8 bytes that also
     starts anywhere else, in the same or another document.
 
@@ -322,7 +393,9 @@ def cut_repeated_bytes(docs: DataFrame, length: int = 200, chunk_bytes: int = CH
     first too. NULL texts are empty; texts shorter than ``length`` lose nothing;
     NULL and repeated ids are rows like any other; an empty table gives an empty
     result; other columns are ignored. ``length`` must lie between 160 and 240.
-    Whole runs are compared by 64-bit hashes of grams and of runs together.
+    Whole runs are compared by 64-bit hashes of grams and of runs together, and
+    strings around a gram with more than ``hot_runs`` different runs by a 64-bit
+    hash each.
     """
     if not 160 <= length <= 240:
         raise ValueError("length must lie between 160 and 240")
@@ -331,10 +404,16 @@ def cut_repeated_bytes(docs: DataFrame, length: int = 200, chunk_bytes: int = CH
     splitters = _splitters(rows, length, n, rows.count())
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "chunk")
     shipped = dealt.groupBy("chunk").applyInArrow(_ship(length, n), "bucket int, chunk int, grams binary, wholes binary, twice binary")
-    codes = shipped.repartition(n, "bucket").groupBy("bucket").applyInArrow(_judge, "chunk int, part int, codes binary")
+    judged = materialize(shipped.repartition(n, "bucket").groupBy("bucket").applyInArrow(_judge(hot_runs), "chunk int, part int, codes binary, hot boolean"), "run-codes")
+    codes = judged.drop("hot")
     sent = dealt.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(
         _send(length, n, splitters), "bucket int, entry int, lead int, starts int, bytes binary, chunk int")
     flags = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_compare(length), "chunk int, part int, codes binary")
+    hot = judged.filter("hot").select("chunk").distinct()
+    if hot.limit(1).count():  # only the chunks with such a run are read again
+        some = dealt.join(F.broadcast(hot), "chunk", "left_semi").repartition(n, "chunk")  # numbers of chunks
+        strings = some.groupBy("chunk").cogroup(codes.join(F.broadcast(hot), "chunk", "left_semi").groupBy("chunk")).applyInArrow(_send_hot(length, n), "chunk int, entry int, starts int, hashes array<bigint>")
+        flags = flags.unionByName(_hot_flags(strings))
     return dealt.groupBy("chunk").cogroup(codes.unionByName(flags).groupBy("chunk")).applyInArrow(
         _cut(length, n), "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
 

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from millrace.llm import partenum, suffixes, windows
@@ -66,13 +67,39 @@ def _cut_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 30, 60_000])
-def test_suffixes(odd, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "hot_runs"), [(1 << 30, 20_000), (60_000, 20_000), (60_000, 1), (60_000, 2)])
+def test_suffixes(odd, chunk_bytes, hot_runs):
     docs, rows = odd
-    got = suffixes.digests(suffixes.cut_repeated_bytes(docs, 200, chunk_bytes)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    got = suffixes.digests(suffixes.cut_repeated_bytes(docs, 200, chunk_bytes, hot_runs=hot_runs)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert as_counter(got) == Counter(_cut_bytes(rows, 200))
 
 
+def test_phrase_in_a_third_of_the_documents(llm):
+    """Runs around one common phrase are spread; what repeats is still found."""
+    rng = np.random.default_rng(4)
+    phrase = "this very common phrase of sixty-four bytes stands nearly everywhere "
+
+    def noise(n):
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    shared = phrase.join([noise(150), noise(150)])
+    texts = [noise(300) + (phrase if i % 3 == 0 else " ") + noise(300) for i in range(900)] + [noise(50) + shared + noise(40) for _ in range(5)]
+    docs = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter(_cut_bytes(list(enumerate(texts)), 200))
+    for hot_runs in (20_000, 50):
+        got = suffixes.digests(suffixes.cut_repeated_bytes(docs, 200, 50_000, hot_runs=hot_runs)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        assert as_counter(got) == want
+    assert sum(r[2] > 0 for r in want.elements()) == 5
+
+
+def test_string_hashes_do_not_depend_on_the_place():
+    data = np.frombuffer(b"abcab" * 60 + b"xyz" * 40, np.uint8)
+    got = suffixes.string_hashes(data, 40)
+    same = {}
+    for i, h in enumerate(got.tolist()):
+        assert same.setdefault(data[i:i + 40].tobytes(), h) == h
+    assert len(set(same.values())) == len(same) and (suffixes.string_hashes(data[7:120], 40) == got[7:81]).all()
+
+
 def test_suffix_segments(llm):
     """A text longer than a segment gives the same as a short segment."""
     import numpy as np
