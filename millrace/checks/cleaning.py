@@ -377,3 +377,21 @@ SQL["mixed_dtype_head"] = (
         f"SELECT '{c}' AS name, round(CASE WHEN count(v) > 0 THEN count({duck_to_double('v')}) / count(v) ELSE 0.0 END, 3) "
         f"AS numeric_ratio, (count({duck_to_double('v')}) > 0 AND count({duck_to_double('v')}) < count(v)) AS mixed FROM h_{c}"
         for c in ("v_txt", "kind")))
+
+
+@q("balance_smote")
+def _smote(spark, sf):
+    """Rows and key sums by class: the original rows, and the synthetic ones."""
+    from millrace.operators.smote import balance_smote
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, "NG").when(F.col("o_orderkey") % 77 != 0, "OK").alias("judge"), "o_totalprice", "o_orderstatus")
+    out = balance_smote(o, "judge", ["o_orderkey"], ["o_totalprice"])
+    return out.groupBy("judge", "is_synthetic").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("n_keys"),
+                                                    F.sum(F.when(~F.col("is_synthetic"), F.col("o_orderkey"))).alias("keys"))
+
+
+SQL["balance_smote"] = """
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'NG' WHEN o_orderkey % 77 <> 0 THEN 'OK' END AS judge FROM orders),
+c AS (SELECT judge, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM o GROUP BY 1)
+SELECT judge, FALSE AS is_synthetic, n, n AS n_keys, keys FROM c
+UNION ALL SELECT judge, TRUE, (SELECT max(n) FROM c WHERE judge IS NOT NULL) - n, least(n, (SELECT max(n) FROM c WHERE judge IS NOT NULL) - n), NULL FROM c
+WHERE judge IS NOT NULL AND n < (SELECT max(n) FROM c WHERE judge IS NOT NULL)"""

@@ -66,7 +66,7 @@ def _module_results(spark, sf):
                                          null_s.alias("detail"))
              .unionByName(imb.filter((F.col("n_classes") == 2) & (F.col("minority_ratio") < 0.1)).select(
                  *K, F.lit("class_imbalance").alias("flag"), F.lit("big").alias("column"),
-                 F.format_string("%.2f", F.col("minority_ratio") * 100).alias("detail"))))
+                 F.format_string("minority %.2f%%", F.col("minority_ratio") * 100).alias("detail"))))
     mixed_cols = prof.filter("mixed").select(*K, F.col("name").alias("target_column"))
     steps = (mixed_cols.select(*K, F.lit("clean_masking").alias("operation"), "target_column",
                                F.lit(None).cast("long").alias("before_nulls"))
@@ -102,7 +102,7 @@ SELECT {_KD}, 'dtype_mixed' AS type, CAST(NULL AS VARCHAR) AS column, 'medium' A
 FROM mix WHERE nm > 0 AND nm < nn
 UNION ALL
 SELECT {_KD}, 'class_imbalance', NULL, CASE WHEN r * 100 < 5.0 THEN 'high' ELSE 'medium' END,
-       'class_imbalance:big:' || printf('%.2f', r * 100) FROM imb WHERE k = 2 AND r < 0.1
+       'class_imbalance:big:minority ' || printf('%.2f', r * 100) || '%' FROM imb WHERE k = 2 AND r < 0.1
 UNION ALL
 SELECT {_KD}, 'transformation_applied', 'price_txt', 'low', 'clean_masking:price_txt' FROM mix WHERE nm > 0 AND nm < nn
 UNION ALL

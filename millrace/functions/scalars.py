@@ -71,6 +71,12 @@ def safe_file_id(c: str | Column) -> Column:
     return F.regexp_replace(col_of(c), r"[^\p{L}\p{N}_-]", "_")
 
 
+def percent_in_text(c: str | Column) -> Column:
+    """the first figure like '12.34%' of a text, as a double; NULL without one."""
+    figure = F.regexp_extract(col_of(c), r"([0-9]+[.][0-9]+)%", 1)
+    return F.when(figure != "", figure.cast("double"))
+
+
 def human_size(c: str | Column) -> Column:
     """Bytes -> '12.3 KB' style text (B, KB, MB, GB, TB; base 1024)."""
     b = col_of(c).cast("double")

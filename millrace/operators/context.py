@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.scalars import percent_in_text
+
 FLAG_SCHEMA = "flag string, column string, detail string"
 
 
@@ -107,7 +109,7 @@ def key_findings(flags: DataFrame, steps: DataFrame, issues: DataFrame) -> DataF
     validation issues (kind, severity, target), each keyed by stage_order,
     module_index, module_function."""
     k = ["stage_order", "module_index", "module_function"]
-    pct = F.col("detail").cast("double")
+    pct = percent_in_text("detail")
     f = flags.filter(F.col("flag").isin("mixed_dtype", "class_imbalance")).select(
         *k, F.when(F.col("flag") == "mixed_dtype", "dtype_mixed").otherwise("class_imbalance").alias("type"),
         F.lit(None).cast("string").alias("column"),
