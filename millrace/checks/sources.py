@@ -465,6 +465,20 @@ SELECT vec_id, round(rms, 4) AS rms, round(peak, 4) AS peak, round(mean, 4) AS m
 FROM m JOIN s USING (vec_id)"""
 
 
+@q("event_log_encoding")
+def _event_log(spark, sf):
+    """The encodings of the lake's files as event logs."""
+    root, _ = _lake(spark, sf)
+    found = S.event_log_encodings(spark, root)
+    return found.select(F.regexp_extract("path", "/(MS949|UTF-8|pictures)/", 1).alias("written_as"), "encoding", "confidence").groupBy("written_as", "encoding", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL["event_log_encoding"] = """
+WITH d AS (SELECT DISTINCT c_nationkey AS k FROM customer)
+SELECT CASE WHEN k % 2 = 0 THEN 'MS949' ELSE 'UTF-8' END AS written_as, CASE WHEN k % 2 = 0 AND k <> 6 THEN 'cp949' ELSE 'utf-8-sig' END AS encoding, 'high' AS confidence, count(*) AS n FROM d GROUP BY ALL
+UNION ALL SELECT 'pictures', 'utf-8-sig', 'high', 1"""
+
+
 # --- A9 / A13 ----------------------------------------------------------------------
 def _lake(spark, sf):
     """Customers by nation: even nations in MS949, odd ones in UTF-8, nation 4 below

@@ -59,3 +59,11 @@ def test_jobs_do_not_grow_with_the_manifest(spark, root):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         return found
     assert abs(jobs(10_000) - jobs(10)) <= 2
+
+
+def test_event_logs(spark, tmp_path):
+    from millrace.sources.files import event_log_encodings
+    for name, data in {"a.csv": b"a,b\n1,2\n", "k.csv": "가,나\n".encode("cp949"), "odd.csv": b"x\n\xff\xff\n", "Book.XLSX": b"PK", "log.bin": b"\x00"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: (r["encoding"], r["confidence"]) for r in event_log_encodings(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a.csv": ("utf-8-sig", "high"), "k.csv": ("cp949", "high"), "odd.csv": ("unknown", "low"), "Book.XLSX": ("xlsx (multi-sheet)", "high"), "log.bin": ("unknown", "low")}
