@@ -109,7 +109,7 @@ def key_findings(flags: DataFrame, steps: DataFrame, issues: DataFrame) -> DataF
     validation issues (kind, severity, target), each keyed by stage_order,
     module_index, module_function."""
     k = ["stage_order", "module_index", "module_function"]
-    pct = percent_in_text("detail")
+    pct = F.coalesce(percent_in_text("detail"), F.col("detail").try_cast("double"))
     f = flags.filter(F.col("flag").isin("mixed_dtype", "class_imbalance")).select(
         *k, F.when(F.col("flag") == "mixed_dtype", "dtype_mixed").otherwise("class_imbalance").alias("type"),
         F.lit(None).cast("string").alias("column"),
