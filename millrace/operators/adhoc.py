@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 from py4j.java_gateway import JavaObject, is_instance_of
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 MAX_CHARS = 10_000
