@@ -40,9 +40,9 @@ SEGMENT_BYTES = 1 << 20
 #: Leading bytes compared with a splitter, and sampled suffixes a bucket.
 LEADING = 16
 SAMPLES_A_BUCKET = 64
-#: Different runs around one gram that a bucket sorts; of grams with more, the
-#: strings are counted.
-HOT_RUNS = 20_000
+#: Different runs around one gram that a bucket sorts (about 1 KB of memory each); of
+#: grams with more, the strings are counted.
+HOT_RUNS = 100_000
 _PLACE = np.uint64(28)
 _PLACES = np.uint64((1 << 28) - 1)
 

@@ -67,7 +67,7 @@ def _cut_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("chunk_bytes", "hot_runs"), [(1 << 30, 20_000), (60_000, 20_000), (60_000, 1), (60_000, 2)])
+@pytest.mark.parametrize(("chunk_bytes", "hot_runs"), [(1 << 30, 100_000), (60_000, 100_000), (60_000, 1), (60_000, 2)])
 def test_suffixes(odd, chunk_bytes, hot_runs):
     docs, rows = odd
     got = suffixes.digests(suffixes.cut_repeated_bytes(docs, 200, chunk_bytes, hot_runs=hot_runs)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
@@ -85,7 +85,7 @@ def test_phrase_in_a_third_of_the_documents(llm):
     texts = [noise(300) + (phrase if i % 3 == 0 else " ") + noise(300) for i in range(900)] + [noise(50) + shared + noise(40) for _ in range(5)]
     docs = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = Counter(_cut_bytes(list(enumerate(texts)), 200))
-    for hot_runs in (20_000, 50):
+    for hot_runs in (100_000, 50):
         got = suffixes.digests(suffixes.cut_repeated_bytes(docs, 200, 50_000, hot_runs=hot_runs)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
         assert as_counter(got) == want
     assert sum(r[2] > 0 for r in want.elements()) == 5
