@@ -1,12 +1,15 @@
-"""Image folders: a recursive ``binaryFile`` scan whose header bytes are
-decoded in Arrow batches (PNG / JPEG / BMP / GIF / WebP, standard library
-only), plus the attribute profile, rule checks, set checks and the
-metadata-only image operations (A8, A12, C8, D4, B14, J8)."""
+"""Image folders: files are listed a folder level at a time and opened by tasks
+(other stores: Spark's ``binaryFile`` reader), their header bytes decoded
+(PNG / JPEG / BMP / GIF / WebP, standard library only), plus the attribute
+profile, rule checks, set checks and the metadata-only image operations
+(A8, A12, C8, D4, B14, J8)."""
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,12 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.rowindex import global_index, written
+from millrace.session import scratch_path
 
 # --- fixed values -----------------------------------------------------------
 IMAGE_EXTS = (".png", ".jpg", ".jpeg", ".bmp", ".gif", ".webp")
 LABEL_EXTS = (".txt",)
+FILES_PER_TASK = 10_000
 # ---------------------------------------------------------------------------
 
+LISTING_SCHEMA = "file string, is_folder boolean, size long"
 ATTR_SCHEMA = "path string, width int, height int, mode string, format string, error string"
 
 
@@ -77,16 +83,17 @@ def image_header(data: bytes) -> tuple[int, int, str, str]:
     raise ValueError("unrecognised image header")
 
 
+def _attributes(path: str, content: bytes) -> tuple:
+    try:
+        w, h, m, f = image_header(content)
+        return path, w, h, m, f, None
+    except (ValueError, KeyError, IndexError, struct.error):  # what a damaged header leads to
+        return path, None, None, None, None, "corrupt/unreadable"
+
+
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for p, content in zip(pdf["path"], pdf["content"]):
-            try:
-                w, h, m, f = image_header(content)
-                rows.append((p, w, h, m, f, None))
-            except (ValueError, KeyError, IndexError, struct.error):  # what a damaged header leads to
-                rows.append((p, None, None, None, None, "corrupt/unreadable"))
-        yield pd.DataFrame(rows, columns=["path", "width", "height", "mode", "format", "error"])
+        yield pd.DataFrame([_attributes(p, c) for p, c in zip(pdf["path"], pdf["content"])], columns=["path", "width", "height", "mode", "format", "error"])
 
 
 def _any_case(exts: tuple[str, ...]) -> str:
@@ -94,18 +101,85 @@ def _any_case(exts: tuple[str, ...]) -> str:
     return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e[1:]) for e in exts) + "}"
 
 
+def _shared_folder(root: str) -> str | None:
+    """The folder as tasks open it, if it is one of a shared file system."""
+    if root.startswith("file:"):
+        return "/" + root[5:].lstrip("/")
+    return root if root.startswith("/") else None
+
+
+def tasks_for(spark: SparkSession, n_files: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-n_files // FILES_PER_TASK))
+
+
+def _list_folders(base: str):
+    """What lies in each folder; as for Spark's readers, names in ``_`` and ``.`` are hidden."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for folder in pdf["file"]:
+                with os.scandir(os.path.join(base, folder)) as entries:
+                    for x in entries:
+                        if x.name.startswith(".") or x.name.startswith("_") and "=" not in x.name or x.name.endswith("._COPYING_"):
+                            continue
+                        below = x.is_dir()
+                        rows.append((os.path.join(folder, x.name), below, 0 if below else x.stat().st_size))
+                        if len(rows) == FILES_PER_TASK:
+                            yield pd.DataFrame(rows, columns=["file", "is_folder", "size"])
+                            rows = []
+            yield pd.DataFrame(rows, columns=["file", "is_folder", "size"])
+    return run
+
+
+def _open_images(base: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name in pdf["path"]:
+                with open(os.path.join(base, name), "rb") as fh:
+                    rows.append(_attributes(name, fh.read()))
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "mode", "format", "error"])
+    return run
+
+
+def list_files(spark: SparkSession, base: str) -> DataFrame:
+    """``file`` (relative) of every file below a shared folder that isn't empty.
+    The folders of a level are listed by tasks and written, so that no list of
+    files stands in the driver."""
+    at, depth, found = scratch_path(spark, f"image-listing-{uuid.uuid4().hex}"), 0, None
+    level = spark.createDataFrame([("",)], "file string")
+    while found is None or not level.isEmpty():
+        (level.repartition(spark.sparkContext.defaultParallelism, "file").mapInPandas(_list_folders(base), schema=LISTING_SCHEMA)
+         .write.parquet(f"{at}/{depth}"))
+        inside = spark.read.schema(LISTING_SCHEMA).parquet(f"{at}/{depth}")
+        found = inside if found is None else found.unionByName(inside)
+        level, depth = inside.filter("is_folder").select("file"), depth + 1
+    return found.filter("NOT is_folder AND size > 0").select("file")
+
+
+def _with_ext(files: DataFrame, exts: tuple[str, ...]) -> DataFrame:
+    return files.filter(F.lower(F.regexp_extract("file", r"(\.[^./]+)$", 1)).isin(*exts))
+
+
 def scan_images(spark: SparkSession, root: str) -> DataFrame:
     """A8 + C8: file (relative), width, height, mode, format, label (first
     sub-folder, NULL at top level), has_txt_label (same-stem .txt), error."""
     root = root.rstrip("/")
-    # only images are opened
-    imgs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(IMAGE_EXTS)).load(root).select("path", "content")
-    attrs = imgs.mapInPandas(_decode, schema=ATTR_SCHEMA)
-    rel = F.regexp_replace("path", r"^.*?" + re.escape(root.split(":")[-1]) + "/", "")
+    base = _shared_folder(root)
+    if base:
+        files = list_files(spark, base)
+        images, texts = _with_ext(files, IMAGE_EXTS).withColumnRenamed("file", "path"), _with_ext(files, LABEL_EXTS).withColumnRenamed("file", "path")
+        attrs = images.repartition(tasks_for(spark, images.count()), "path").mapInPandas(_open_images(base), schema=ATTR_SCHEMA)
+        rel = F.col("path")
+    else:
+        # only images are opened
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        imgs = files.option("pathGlobFilter", _any_case(IMAGE_EXTS)).load(root).select("path", "content")
+        attrs = imgs.mapInPandas(_decode, schema=ATTR_SCHEMA)
+        texts = files.option("pathGlobFilter", _any_case(LABEL_EXTS)).load(root).select("path")
+        rel = F.regexp_replace("path", r"^.*?" + re.escape(root.split(":")[-1]) + "/", "")
     stem = F.regexp_replace("path", r"\.[^./]+$", "")
-    txt = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(LABEL_EXTS))
-           .load(root).select(F.regexp_replace("path", r"\.[^./]+$", "").alias("__stem")).distinct()
-           .withColumn("has_txt_label", F.lit(True)))
+    txt = texts.select(stem.alias("__stem")).distinct().withColumn("has_txt_label", F.lit(True))
     parts = F.split(rel, "/")
     out = (attrs.withColumn("__stem", stem).join(txt, "__stem", "left")
            .select(rel.alias("file"), "width", "height", "mode", "format",
