@@ -223,8 +223,9 @@ def image_set_check(spark: SparkSession, root: str, declared_n: int | None = Non
                     declared_formats: dict | None = None) -> DataFrame:
     """n_images, per-format counts and label-file count, compared with
     the declared values (mismatch flags). One listing job (no content read)."""
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-               .select(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext")))
+    base = _shared_folder(root)
+    files = list_files(spark, base) if base else spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("file"))
+    listing = files.select(F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1)).alias("ext"))
     counts = listing.groupBy("ext").agg(F.count(F.lit(1)).alias("n"))
     img = counts.filter(F.col("ext").isin(*[e[1:] for e in IMAGE_EXTS]))
     rows = img.select(F.lit("format").alias("kind"), F.col("ext").alias("key"), "n")
