@@ -18,6 +18,7 @@ MODALITIES = ("timeseries", "inspection-image", "event-log", "order")
 FUNCTION_AXES = ("process", "quality", "maintenance", "reference")
 ENTRY_FIELDS = ("datalake_id", "source", "name", "modality", "function", "site", "vid", "size_bytes",
                 "encoding", "format", "data_path", "reusable_flag", "company", "registered_at")
+NAMES_A_TASK = 250_000  # compared by one task
 # ---------------------------------------------------------------------------
 
 ENTRY_SCHEMA = ("datalake_id string, source string, name string, modality string, function string, site string, "
@@ -90,11 +91,15 @@ def schema_drift(source_names: DataFrame, catalog_names: DataFrame) -> DataFrame
     """Names in the source but not in the catalog (missing_in_catalog) and
     the reverse (missing_in_source), per datalake_id; a dataset absent on one
     side drifts as a whole. Inputs: datalake_id, name."""
-    a = source_names.select("datalake_id", "name").distinct()
-    b = catalog_names.select("datalake_id", "name").distinct()
-    left = a.join(b, ["datalake_id", "name"], "left_anti").withColumn("drift", F.lit("missing_in_catalog"))
-    right = b.join(a, ["datalake_id", "name"], "left_anti").withColumn("drift", F.lit("missing_in_source"))
-    return left.unionByName(right)
+    keys = ["datalake_id", "name"]
+    both = (source_names.select(*keys, F.lit(True).alias("s"), F.lit(False).alias("c"))
+            .unionByName(catalog_names.select(*keys, F.lit(False).alias("s"), F.lit(True).alias("c"))))
+    spread = max(both.sparkSession.sparkContext.defaultParallelism, -(-both.count() // NAMES_A_TASK))
+    found = both.repartition(spread, *keys).groupBy(*keys).agg(F.max("s").alias("s"), F.max("c").alias("c"))
+    unknown = F.col("datalake_id").isNull() | F.col("name").isNull()  # equals no other name
+    drifts = F.array(F.when(F.col("s") & (~F.col("c") | unknown), F.lit("missing_in_catalog")),
+                     F.when(F.col("c") & (~F.col("s") | unknown), F.lit("missing_in_source")))
+    return found.select(*keys, F.explode(F.array_compact(drifts)).alias("drift"))
 
 
 def stat_minmax(df: DataFrame, datalake_id: str, columns: Sequence[str] | None = None) -> DataFrame:
