@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.checks.common import messy_lineitem, MESSY_LINEITEM_SQL
+from millrace.functions.rowindex import written
 from millrace.operators import catalog as K
 from millrace.operators import constraints as CN
 from millrace.operators import profile as P
@@ -386,7 +387,8 @@ SELECT ses.datalake_id, ses.column_name, 'session', ses.spec, TRUE, NULL, NULL,
 
 # --- L3 / L4 / L5 ------------------------------------------------------------------------
 def _history_flow(spark, sf):
-    ok = CN.check_specs(specs(spark, sf)).filter("accepted")
+    """Constraints and history after two rounds, each written as a version, since every later step reads them."""
+    ok = written(CN.check_specs(specs(spark, sf)).filter("accepted").select("datalake_id", "column_name", "spec"), "accepted-specs")
     t1 = F.expr("timestamp_seconds(1735689600)")
     t2 = F.expr("timestamp_seconds(1735776000)")
     v1 = ok.select("datalake_id", "column_name", F.col("spec").alias("constraint_spec"), t1.alias("approved_at"),
@@ -398,7 +400,7 @@ def _history_flow(spark, sf):
           .withColumn("constraint_spec", F.regexp_replace("constraint_spec", '"unit": "mm"', '"unit": "cm"'))
           .withColumn("approved_at", t2).withColumn("approved_by", F.lit("bob")))
     cur2, hist2 = K.constraint_upsert(cur1, hist1, v2)
-    return cur2, hist2
+    return written(cur2, "constraints"), written(hist2, "constraint-history")
 
 
 _OK_SPECS_D = f"SELECT * FROM ({SPECS_D}) WHERE ({_spec_error_d()}) IS NULL"
@@ -442,7 +444,7 @@ WHERE (c.{_ids('1')} OR c.{_ids('2')}) AND c.dtype = 'integer'"""
 def _cascade(spark, sf):
     cur, hist = _history_flow(spark, sf)
     cm = columns_meta(spark, sf)
-    ents = cm.select("datalake_id").distinct()
+    ents = written(cm.select("datalake_id").distinct(), "catalog-entries")
     ids = ents.filter(_ids("1") + " OR " + _ids("3"))
     e2, c2, cur2, h2 = K.entry_delete_cascade(ents, cm, cur, hist, ids, F.expr("timestamp_seconds(1735862400)"))
     count = lambda d, n: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("relation"), "n")
