@@ -28,6 +28,8 @@ from millrace.session import scratch_path
 
 #: ``monotonically_increasing_id`` numbers a partition's rows in the lower bits.
 _PLACE_BITS = 33
+#: Of a row group of a table that several jobs read again.
+_GROUP_BYTES = 8 << 20
 
 
 def quoted(name: str) -> Column:
@@ -39,13 +41,19 @@ def _col(name: str | Column) -> Column:
     return quoted(name) if isinstance(name, str) else name
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, **options) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     path = scratch_path(df.sparkSession, f"{tag}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, tag: str) -> DataFrame:
+    """``written`` under neutral names, whatever characters the columns' have, and in
+    small row groups, so that many tasks read what few have written."""
+    return written(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), tag, **{"parquet.block.size": _GROUP_BYTES}).toDF(*df.columns)
+
+
 def _holds_map(kind: T.DataType) -> bool:
     if isinstance(kind, T.ArrayType):
         return _holds_map(kind.elementType)
